@@ -112,7 +112,112 @@ FLOW_SQL = {
 }
 
 
+
+
+# --- cleaning (C1-C11, S3, S6) and profile (A1-A3) over flows_raw ------------------
+
+NUM_PAT = r"^\s*[+-]?(([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?|[Ii][Nn][Ff]([Ii][Nn][Ii][Tt][Yy])?)\s*$"
+INT_PAT = r"^\s*[+-]?[0-9]+\s*$"
+RAW_COLS = ["id", "sload", "dur", "proto", "service", "state", "sbytes", "rate", "sttl", "swin", "attack_cat", "label"]
+# after dropping id / attack_cat, string candidates of the 90 % rule
+CANDIDATES = ["sload", "dur", "proto", "service", "state", "sbytes", "rate", "sttl", "swin"]
+# outcome of the share job on flows_raw (checked by the coerce_numeric key)
+COERCED = ["sload", "dur", "sbytes", "rate", "sttl"]
+
+
+def _num(c: str) -> str:
+    return f"(CASE WHEN regexp_matches({c}, '{NUM_PAT}') THEN TRY_CAST({c} AS DOUBLE) END)"
+
+
+def _fin(e: str) -> str:
+    return f"(CASE WHEN isnan({e}) OR isinf({e}) THEN NULL ELSE {e} END)"
+
+
+def _parsed(c: str) -> str:
+    return f"coalesce({_num(c)} IS NOT NULL AND NOT isnan({_num(c)}), false)"
+
+
+_CLEAN_COLS = [c for c in RAW_COLS if c not in ("id", "attack_cat")]
+_TYPED = ", ".join(f"{_num(c)} AS {c}" if c in COERCED else c for c in _CLEAN_COLS)
+_FINITE = ", ".join(f"{_fin(c)} AS {c}" if c in COERCED else c for c in _CLEAN_COLS)
+_FEATURES = [c for c in _CLEAN_COLS if c != "label"]
+
+_CLEAN_CTES = f"""
+typed AS (SELECT {_TYPED} FROM flows_raw),
+finite AS (SELECT {_FINITE} FROM typed),
+clean AS (SELECT DISTINCT * FROM finite)
+"""
+
+
+def _raw(body: str, ctes: str = "") -> str:
+    return with_views(body, "flows_raw", ctes=ctes)
+
+
+def _clean(body: str) -> str:
+    return with_views(body, "flows_raw", ctes=_CLEAN_CTES)
+
+
+_SHARES = " UNION ALL ".join(
+    f"SELECT '{c}' AS \"column\", avg(CASE WHEN {_parsed(c)} THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END) AS numeric_share FROM flows_raw"
+    for c in CANDIDATES
+)
+_INF = " UNION ALL ".join(
+    f"SELECT '{c}' AS \"column\", CAST(count_if(isinf({c})) AS BIGINT) AS inf_count FROM typed" for c in COERCED
+)
+_MISSING = " UNION ALL ".join(
+    f"SELECT '{c}' AS \"column\", CAST(count_if({c} IS NULL) AS BIGINT) AS missing_count, "
+    f"CAST(100 AS DOUBLE) * count_if({c} IS NULL) / count(*) AS missing_pct FROM clean"
+    for c in _CLEAN_COLS
+)
+_NULL_CELLS = " + ".join(f"count_if({c} IS NULL)" for c in _CLEAN_COLS)
+_ALL_STRINGS = ", ".join(f"CAST({c} AS VARCHAR) AS {c}" for c in RAW_COLS)
+
+# CSV round trip: a reader types all-integer columns BIGINT and all-number columns DOUBLE
+_CSV_KIND = {"id": "BIGINT", "sload": "DOUBLE", "dur": "BIGINT", "sbytes": "BIGINT", "rate": "DOUBLE", "label": "BIGINT"}
+_CSV_TYPED = ", ".join(
+    f"{_num(c)} AS {c}" if c == "sttl" else (f"CAST({c} AS {_CSV_KIND[c]}) AS {c}" if c in _CSV_KIND else c)
+    for c in _CLEAN_COLS
+)
+_CSV_FINITE = ", ".join(f"{_fin(c)} AS {c}" if c in ("sload", "rate", "sttl") else c for c in _CLEAN_COLS)
+
+CLEAN_SQL = {
+    "normalize_columns": _raw("SELECT * FROM flows_raw"),
+    "resolve_target": _raw("SELECT * FROM flows_raw"),
+    "detect_format": "SELECT 'flows_raw' AS table_name, 'UNSW-NB15' AS format "
+    "UNION ALL SELECT 'packets', 'unknown' UNION ALL SELECT 'scored', 'unknown'",
+    "coerce_numeric": _raw(
+        f"SELECT \"column\", coalesce(numeric_share, CAST(0 AS DOUBLE)) AS numeric_share, "
+        f"coalesce(numeric_share, 0) >= CAST(0.9 AS DOUBLE) AS coerced FROM shares",
+        ctes=f"shares AS ({_SHARES})",
+    ),
+    "inf_count": _clean(f"SELECT * FROM ({_INF})"),
+    "inf_to_null": _clean("SELECT * FROM finite"),
+    "drop_duplicates": _raw("SELECT DISTINCT * EXCLUDE (id, attack_cat) FROM flows_raw"),
+    "clean_flows": _clean("SELECT * FROM clean"),
+    "clean_unlabelled": _clean(f"SELECT DISTINCT {', '.join(_FEATURES)} FROM finite"),
+    "dataset_profile": _clean(
+        f"SELECT 'UNSW-NB15' AS format, CAST(count(*) AS BIGINT) AS n_rows, {len(_CLEAN_COLS)} AS n_cols, "
+        f"CAST({_NULL_CELLS} AS BIGINT) AS missing_cells, "
+        f"CASE WHEN count(*) > 0 THEN round_even(CAST(100 AS DOUBLE) * ({_NULL_CELLS}) / (count(*) * {len(_CLEAN_COLS)}), 4) ELSE CAST(0 AS DOUBLE) END AS missing_pct, "
+        f"CAST(0 AS BIGINT) AS duplicate_rows, "
+        f"CAST((SELECT count(*) FROM finite) - count(*) AS BIGINT) AS duplicates_removed FROM clean"
+    ),
+    "target_distribution": _clean(
+        "SELECT CAST(label AS VARCHAR) AS label, CAST(count(*) AS BIGINT) AS count FROM clean "
+        "WHERE label IS NOT NULL GROUP BY 1"
+    ),
+    "missing_report": _clean(f"SELECT * FROM ({_MISSING}) WHERE missing_count > 0"),
+    "na_tokens": _raw(f"SELECT {_ALL_STRINGS} FROM flows_raw"),
+    "load_dataset": _raw(
+        "SELECT DISTINCT * FROM csv_finite",
+        ctes=f"csv_typed AS (SELECT {_CSV_TYPED} FROM flows_raw), csv_finite AS (SELECT {_CSV_FINITE} FROM csv_typed)",
+    ),
+    "attacks_only": with_views("SELECT * FROM scored WHERE prediction = 1", "scored"),
+}
+
+
 def oracle_sql() -> dict[str, str]:
     out: dict[str, str] = {}
     out.update(FLOW_SQL)
+    out.update(CLEAN_SQL)
     return out

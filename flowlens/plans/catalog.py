@@ -10,7 +10,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from pyspark.sql import functions as F
+
+from flowlens.operators import clean as cl
 from flowlens.operators import flows as fl
+from flowlens.operators import profile as pr
+from flowlens.session import scratch_path
+from flowlens.sources import csv as csvsrc
 from flowlens.sources import fixtures as fx
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -44,6 +50,107 @@ def _flow_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fl.flow_rates(fx.packets(spark, sf_dir))
 
 
+# --- cleaning ---------------------------------------------------------------------
+
+
+def _dirty_names(df: DataFrame) -> DataFrame:
+    """The flow table as a careless export names it: padded, upper-case headers."""
+    return df.toDF(*[f"  {c.upper()} " for c in df.columns])
+
+
+def _normalize_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cl.normalize_columns(_dirty_names(fx.flows_raw(spark, sf_dir)))
+
+
+def _resolve_target(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = fx.flows_raw(spark, sf_dir).withColumnRenamed("label", " Attack_Label")
+    return cl.resolve_target(cl.normalize_columns(raw)).withColumnRenamed("attack_label", "label")
+
+
+def _detect_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = [(name, cl.detect_format(fx.load_view(spark, sf_dir, name))) for name in ("flows_raw", "packets", "scored")]
+    return spark.createDataFrame(rows, "table_name STRING, format STRING")
+
+
+def _prepared_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """C1-C4 on flows_raw: names normalised, target resolved, identifiers dropped."""
+    return cl.drop_identifiers(cl.resolve_target(cl.normalize_columns(fx.flows_raw(spark, sf_dir))))
+
+
+def _coerce_numeric(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = _prepared_raw(spark, sf_dir)
+    shares = cl.numeric_shares(df, cl.numeric_candidates(df))
+    return shares.select("column", "numeric_share", (F.col("numeric_share") >= F.lit(0.9)).alias("coerced"))
+
+
+def _typed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cl.coerce_numeric(_prepared_raw(spark, sf_dir))[0]
+
+
+def _inf_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cl.inf_counts(_typed(spark, sf_dir))
+
+
+def _inf_to_null(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cl.inf_to_null(_typed(spark, sf_dir))
+
+
+def _drop_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cl.drop_duplicates(fx.flows_raw(spark, sf_dir).drop("id", "attack_cat"))
+
+
+def cleaned_flows(spark: SparkSession, sf_dir: str):
+    return cl.clean_dataframe(fx.flows_raw(spark, sf_dir))
+
+
+def _clean_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cleaned_flows(spark, sf_dir)[0]
+
+
+def _clean_unlabelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cl.clean_for_inference(fx.flows_raw(spark, sf_dir).drop("label"))[0]
+
+
+def _attacks_only(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cl.attacks_only(fx.scored(spark, sf_dir))
+
+
+def _dataset_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df, res = cleaned_flows(spark, sf_dir)
+    return pr.dataset_profile(df, res.format, before_dedup=res.before_dedup)
+
+
+def _target_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pr.target_distribution(_clean_flows(spark, sf_dir))
+
+
+def _missing_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pr.missing_report(_clean_flows(spark, sf_dir))
+
+
+# --- CSV sources: the flow table written as CSV under the shared folder -------------
+
+
+def flows_csv(spark: SparkSession, sf_dir: str, null_token: str = "") -> str:
+    path = scratch_path(spark, "flows-csv")
+    fx.flows_raw(spark, sf_dir).write.mode("overwrite").option("header", True).option(
+        "nullValue", null_token
+    ).csv(path)
+    return path
+
+
+def _csv_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return csvsrc.load_csv(spark, flows_csv(spark, sf_dir))
+
+
+def _na_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return csvsrc.load_csv(spark, flows_csv(spark, sf_dir, null_token="NA"))
+
+
+def _load_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return csvsrc.load_dataset(spark, flows_csv(spark, sf_dir))[0]
+
+
 QUERIES: dict[str, Query] = {
     "flow_features": _flow_features,
     "flow_stats": _flow_stats,
@@ -52,4 +159,20 @@ QUERIES: dict[str, Query] = {
     "infer_service": _infer_service,
     "flow_flag": _flow_flag,
     "flow_rates": _flow_rates,
+    "csv_ingest": _csv_ingest,
+    "na_tokens": _na_tokens,
+    "load_dataset": _load_dataset,
+    "normalize_columns": _normalize_columns,
+    "detect_format": _detect_format,
+    "resolve_target": _resolve_target,
+    "coerce_numeric": _coerce_numeric,
+    "inf_to_null": _inf_to_null,
+    "inf_count": _inf_count,
+    "drop_duplicates": _drop_duplicates,
+    "clean_flows": _clean_flows,
+    "clean_unlabelled": _clean_unlabelled,
+    "attacks_only": _attacks_only,
+    "dataset_profile": _dataset_profile,
+    "target_distribution": _target_distribution,
+    "missing_report": _missing_report,
 }
