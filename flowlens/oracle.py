@@ -216,8 +216,103 @@ CLEAN_SQL = {
 }
 
 
+# --- scoring reports over scored (A4-A9, C10, P5) and class weights (M0) ------------
+
+_PROB = """
+v AS (SELECT CAST(attack_probability AS DOUBLE) AS p FROM scored
+      WHERE attack_probability IS NOT NULL AND NOT isnan(attack_probability)),
+s AS (SELECT min(p) AS mn, max(p) AS mx, stddev_samp(p) AS sd, count(*) AS n FROM v)
+"""
+
+_PER_CLASS = """
+pc AS (SELECT true_label AS t, prediction AS p, count(*) AS n FROM scored GROUP BY ALL),
+bt AS (SELECT t AS class, sum(n) AS support, sum(CASE WHEN t = p THEN n END) AS tp FROM pc GROUP BY t),
+bp AS (SELECT p AS class, sum(n) AS predicted FROM pc GROUP BY p),
+m0 AS (SELECT coalesce(bt.class, bp.class) AS class, CAST(coalesce(support, 0) AS BIGINT) AS support,
+              CAST(coalesce(predicted, 0) AS BIGINT) AS predicted, CAST(coalesce(tp, 0) AS BIGINT) AS tp
+       FROM bt FULL OUTER JOIN bp ON bt.class = bp.class),
+m AS (SELECT *, CASE WHEN predicted > 0 THEN tp / predicted ELSE CAST(0 AS DOUBLE) END AS precision,
+              CASE WHEN support > 0 THEN tp / support ELSE CAST(0 AS DOUBLE) END AS recall,
+              CASE WHEN support + predicted > 0 THEN CAST(2 AS DOUBLE) * tp / (support + predicted) ELSE CAST(0 AS DOUBLE) END AS f1_score
+      FROM m0)
+"""
+
+
+def _scored(body: str, ctes: str = "") -> str:
+    return with_views(body, "scored", ctes=ctes)
+
+
+REPORT_SQL = {
+    "traffic_summary": _scored(
+        "SELECT CAST(count(*) AS BIGINT) AS total, CAST(count(*) - count_if(prediction = 1) AS BIGINT) AS n_normal, "
+        "CAST(count_if(prediction = 1) AS BIGINT) AS n_attack, "
+        "CASE WHEN count(*) > 0 THEN CAST(100 AS DOUBLE) * (count(*) - count_if(prediction = 1)) / count(*) END AS pct_normal, "
+        "CASE WHEN count(*) > 0 THEN CAST(100 AS DOUBLE) * count_if(prediction = 1) / count(*) END AS pct_attack, "
+        "round_even(avg(attack_probability), 6) AS mean_attack_probability FROM scored"
+    ),
+    "probability_histogram": _scored(
+        """SELECT g.bin, mn + g.bin * ((mx - mn) / CAST(20 AS DOUBLE)) AS bin_lo,
+  CASE WHEN g.bin = 19 THEN mx WHEN mx = mn THEN mx ELSE mn + (g.bin + 1) * ((mx - mn) / CAST(20 AS DOUBLE)) END AS bin_hi,
+  CAST(coalesce(cnt, 0) AS BIGINT) AS count
+FROM g LEFT JOIN c ON g.bin = c.bin""",
+        ctes=_PROB
+        + """,
+b AS (SELECT CAST(CASE WHEN mx - mn > 0 THEN least(floor(CAST(20 AS DOUBLE) * (p - mn) / (mx - mn)), 19) ELSE 0 END AS INTEGER) AS bin FROM v, s),
+c AS (SELECT bin, count(*) AS cnt FROM b GROUP BY bin),
+g AS (SELECT CAST(i AS INTEGER) AS bin, mn, mx FROM s, range(20) t(i) WHERE mn IS NOT NULL AND i < CASE WHEN mx > mn THEN 20 ELSE 1 END)""",
+    ),
+    "probability_kde": _scored(
+        """SELECT grid_index, round_even(x, 6) AS x,
+  round_even(ksum / (n * h * sqrt(2 * pi())), 6) AS density,
+  round_even(ksum / (n * h * sqrt(2 * pi())) * (n * (mx - mn) / 20), 6) AS count_scaled
+FROM d""",
+        ctes=_PROB
+        + """,
+k AS (SELECT sd * pow(CAST(n AS DOUBLE), CAST(-0.2 AS DOUBLE)) AS h, mn, mx, n FROM s),
+g AS (SELECT CAST(i AS INTEGER) AS grid_index, CASE WHEN i = 199 THEN mx ELSE mn + i * ((mx - mn) / 199) END AS x, h, n, mn, mx
+      FROM k, range(200) t(i)),
+w AS (SELECT p, count(*) AS w FROM v GROUP BY p),
+d AS (SELECT grid_index, x, sum(w * exp(CAST(-0.5 AS DOUBLE) * pow((x - p) / h, 2))) AS ksum,
+             any_value(h) AS h, any_value(n) AS n, any_value(mn) AS mn, any_value(mx) AS mx
+      FROM g, w GROUP BY grid_index, x)""",
+    ),
+    "confusion_matrix": _scored(
+        "SELECT CAST(count_if(true_label = 0 AND prediction = 0) AS BIGINT) AS true_negative, "
+        "CAST(count_if(true_label = 0 AND prediction = 1) AS BIGINT) AS false_positive, "
+        "CAST(count_if(true_label = 1 AND prediction = 0) AS BIGINT) AS false_negative, "
+        "CAST(count_if(true_label = 1 AND prediction = 1) AS BIGINT) AS true_positive FROM scored"
+    ),
+    "weighted_metrics": _scored(
+        "SELECT round_even(sum(tp) / sum(support), 4) AS accuracy, "
+        "round_even(sum(precision * support) / sum(support), 4) AS precision_weighted, "
+        "round_even(sum(recall * support) / sum(support), 4) AS recall_weighted, "
+        "round_even(sum(f1_score * support) / sum(support), 4) AS f1_weighted FROM m",
+        ctes=_PER_CLASS,
+    ),
+    "classification_report": _scored(
+        """SELECT CAST(class AS VARCHAR) AS class, round_even(precision, 4) AS precision, round_even(recall, 4) AS recall,
+  round_even(f1_score, 4) AS f1_score, support FROM m
+UNION ALL SELECT 'accuracy', CAST(NULL AS DOUBLE), CAST(NULL AS DOUBLE), round_even(sum(tp) / sum(support), 4), CAST(sum(support) AS BIGINT) FROM m
+UNION ALL SELECT 'macro avg', round_even(avg(precision), 4), round_even(avg(recall), 4), round_even(avg(f1_score), 4), CAST(sum(support) AS BIGINT) FROM m
+UNION ALL SELECT 'weighted avg', round_even(sum(precision * support) / sum(support), 4), round_even(sum(recall * support) / sum(support), 4),
+  round_even(sum(f1_score * support) / sum(support), 4), CAST(sum(support) AS BIGINT) FROM m""",
+        ctes=_PER_CLASS,
+    ),
+    "label_names": _scored(
+        "SELECT *, CASE WHEN prediction = 1 THEN 'Attack' ELSE 'Normal' END AS prediction_label, "
+        "CASE WHEN true_label = 1 THEN 'Attack' ELSE 'Normal' END AS true_label_name FROM scored"
+    ),
+    "class_weights": _clean(
+        "SELECT label, CAST(count(*) AS BIGINT) AS count, "
+        "CAST(sum(count(*)) OVER () AS DOUBLE) / (count(*) OVER () * count(*)) AS weight "
+        "FROM clean WHERE label IS NOT NULL GROUP BY label"
+    ),
+}
+
+
 def oracle_sql() -> dict[str, str]:
     out: dict[str, str] = {}
     out.update(FLOW_SQL)
     out.update(CLEAN_SQL)
+    out.update(REPORT_SQL)
     return out

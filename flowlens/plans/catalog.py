@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from flowlens.operators import clean as cl
 from flowlens.operators import flows as fl
+from flowlens.operators import metrics as me
 from flowlens.operators import profile as pr
 from flowlens.session import scratch_path
 from flowlens.sources import csv as csvsrc
@@ -151,6 +152,41 @@ def _load_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
     return csvsrc.load_dataset(spark, flows_csv(spark, sf_dir))[0]
 
 
+# --- scoring reports over the scored view -----------------------------------------
+
+
+def _traffic_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return me.traffic_summary(fx.scored(spark, sf_dir))
+
+
+def _probability_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return me.probability_histogram(fx.scored(spark, sf_dir))
+
+
+def _probability_kde(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return me.probability_kde(fx.scored(spark, sf_dir))
+
+
+def _confusion_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return me.confusion_matrix(fx.scored(spark, sf_dir))
+
+
+def _weighted_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return me.weighted_metrics(fx.scored(spark, sf_dir))
+
+
+def _classification_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return me.classification_report(fx.scored(spark, sf_dir))
+
+
+def _label_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return me.with_label_names(fx.scored(spark, sf_dir))
+
+
+def _class_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return me.class_weight_table(_clean_flows(spark, sf_dir), "label")
+
+
 QUERIES: dict[str, Query] = {
     "flow_features": _flow_features,
     "flow_stats": _flow_stats,
@@ -175,4 +211,12 @@ QUERIES: dict[str, Query] = {
     "dataset_profile": _dataset_profile,
     "target_distribution": _target_distribution,
     "missing_report": _missing_report,
+    "traffic_summary": _traffic_summary,
+    "probability_histogram": _probability_histogram,
+    "probability_kde": _probability_kde,
+    "confusion_matrix": _confusion_matrix,
+    "weighted_metrics": _weighted_metrics,
+    "classification_report": _classification_report,
+    "label_names": _label_names,
+    "class_weights": _class_weights,
 }
