@@ -310,9 +310,80 @@ UNION ALL SELECT 'weighted avg', round_even(sum(precision * support) / sum(suppo
 }
 
 
+# --- feature preparation (E1-E5, P2, A10, F10) over the cleaned flow table -----------------
+
+# fitted categories of the cleaned flows_raw (first one of each list is dropped)
+CATEGORIES = {
+    "proto": ["tcp", "udp"],
+    "service": ["-", "dns", "http", "smtp"],
+    "state": ["CON", "FIN", "RST"],
+    "swin": ["0", "1", "2", "bad"],
+}
+_NUMERIC_FEATURES = ["sload", "dur", "sbytes", "rate", "sttl"]
+_DUMMIES = [(c, v) for c, vals in CATEGORIES.items() for v in vals[1:]]
+FEATURES = _NUMERIC_FEATURES + [f"{c}_{v}" for c, v in _DUMMIES]
+_DUMMY_SQL = ", ".join(f"CAST(coalesce({c} = '{v}', false) AS INTEGER) AS \"{c}_{v}\"" for c, v in _DUMMIES)
+_KEY_SQL = "md5(concat_ws('|', '42', " + ", ".join(
+    f"coalesce(CAST({c} AS VARCHAR), '\\N')" for c in _CLEAN_COLS
+) + "))"
+
+_SPLIT_CTES = f"""
+keyed AS (SELECT *, {_KEY_SQL} AS u FROM clean),
+cc AS (SELECT label, count(*) AS nc FROM keyed GROUP BY label),
+tot AS (SELECT sum(nc) AS n, CAST(ceil(CAST(0.2 AS DOUBLE) * sum(nc)) AS BIGINT) AS n_test FROM cc),
+cont AS (SELECT label, nc, nc * (n - n_test) / n AS c, floor(nc * (n - n_test) / n) AS f, n, n_test FROM cc, tot),
+need AS (SELECT (n - n_test) - sum(f) AS k FROM cont GROUP BY n, n_test),
+alloc AS (SELECT label, nc, f + CASE WHEN row_number() OVER (ORDER BY c - f DESC, CAST(label AS VARCHAR)) <= (SELECT k FROM need) THEN 1 ELSE 0 END AS n_train FROM cont),
+split_rows AS (
+  SELECT keyed.* EXCLUDE (u),
+    CASE WHEN row_number() OVER (PARTITION BY keyed.label ORDER BY u) <= alloc.nc - alloc.n_train THEN 'test' ELSE 'train' END AS split
+  FROM keyed JOIN alloc ON keyed.label = alloc.label),
+encoded AS (SELECT {", ".join(_NUMERIC_FEATURES)}, label, split, {_DUMMY_SQL} FROM split_rows),
+stats AS (SELECT {", ".join(f'avg(CAST("{f}" AS DOUBLE)) AS "m_{f}", stddev_pop(CAST("{f}" AS DOUBLE)) AS "s_{f}"' for f in FEATURES)}
+          FROM encoded WHERE split = 'train'),
+scales AS (SELECT {", ".join(f'coalesce("m_{f}", 0) AS "m_{f}", CASE WHEN "s_{f}" IS NULL OR "s_{f}" = 0 OR isnan("s_{f}") THEN CAST(1 AS DOUBLE) ELSE "s_{f}" END AS "s_{f}"' for f in FEATURES)} FROM stats),
+scaled AS (SELECT {", ".join(f'round_even((CAST("{f}" AS DOUBLE) - "m_{f}") / "s_{f}", 6) AS "{f}"' for f in FEATURES)}, label, split
+           FROM encoded, scales)
+"""
+
+_SCALER_ROWS = " UNION ALL ".join(
+    f"SELECT '{f}' AS feature, round_even(\"m_{f}\", 9) AS mean, round_even(\"s_{f}\", 9) AS scale FROM scales" for f in FEATURES
+)
+
+
+def _features(body: str) -> str:
+    return with_views(body, "flows_raw", ctes=_CLEAN_CTES.strip() + ",\n" + _SPLIT_CTES.strip())
+
+
+# a narrower unlabelled export: no label, no sttl column
+_ALIGN_FEATURES = ", ".join(
+    f'CAST(0 AS INTEGER) AS "{f}"' if f == "sttl" else f'"{f}"' for f in FEATURES
+)
+_UNSUPPORTED = ["ct_srv_src", "ct_state_ttl", "ct_dst_ltm", "ct_src_dport_ltm", "ct_dst_sport_ltm", "ct_dst_src_ltm",
+                "is_sqrk", "is_sm_ips_ports", "ct_flw_http_mthd", "is_ftp_login", "ct_ftp_cmd"]
+
+FEATURE_SQL = {
+    "one_hot": _clean(f"SELECT {', '.join(_NUMERIC_FEATURES)}, label, {_DUMMY_SQL} FROM clean"),
+    "stratified_split": _features("SELECT * FROM split_rows"),
+    "scaler_fit": _features(f"SELECT * FROM ({_SCALER_ROWS})"),
+    "scale_features": _features("SELECT * EXCLUDE (split) FROM scaled WHERE split = 'test'"),
+    "prepare_data": _features("SELECT * FROM scaled"),
+    "align_features": _clean(
+        f"SELECT {_ALIGN_FEATURES} FROM (SELECT *, {_DUMMY_SQL} FROM "
+        f"(SELECT DISTINCT sload, dur, proto, service, state, sbytes, rate, swin FROM finite) x) y"
+    ),
+    "alignment_report": f"SELECT {len(FEATURES)} AS n_expected, 1 AS n_missing, 0 AS n_extra, "
+    f"CAST(1 AS DOUBLE) / {len(FEATURES)} AS missing_ratio, false AS unreliable",
+    "feature_gate": "SELECT * FROM (VALUES "
+    + ", ".join(f"('{f}', {i}, {'true' if f in _UNSUPPORTED else 'false'})" for i, f in enumerate(FEATURES))
+    + ") t(feature, position, blocked)",
+}
+
+
 def oracle_sql() -> dict[str, str]:
     out: dict[str, str] = {}
     out.update(FLOW_SQL)
     out.update(CLEAN_SQL)
     out.update(REPORT_SQL)
+    out.update(FEATURE_SQL)
     return out

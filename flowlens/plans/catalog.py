@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowlens.operators import clean as cl
+from flowlens.operators import features as fe
 from flowlens.operators import flows as fl
 from flowlens.operators import metrics as me
 from flowlens.operators import profile as pr
@@ -187,6 +188,77 @@ def _class_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return me.class_weight_table(_clean_flows(spark, sf_dir), "label")
 
 
+# --- feature preparation over the cleaned flow table ------------------------------------
+
+
+def prepared_flows(spark: SparkSession, sf_dir: str) -> fe.Prepared:
+    return fe.prepare_data(_clean_flows(spark, sf_dir))
+
+
+def _one_hot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fe.encode_categorical(_clean_flows(spark, sf_dir))[0]
+
+
+def _stratified_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fe.assign_split(_clean_flows(spark, sf_dir))[0]
+
+
+def _scaler_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prep = prepared_flows(spark, sf_dir)
+    rows = [(f, prep.scaler.mean[f], prep.scaler.scale[f]) for f in prep.features]
+    stats = spark.createDataFrame(rows, "feature STRING, mean DOUBLE, scale DOUBLE")
+    return stats.select("feature", F.bround("mean", 9).alias("mean"), F.bround("scale", 9).alias("scale"))
+
+
+def _rounded_features(prep: fe.Prepared, df: DataFrame) -> DataFrame:
+    feats = set(prep.features)
+    return df.select(*[F.bround(cl.col(c), 6).alias(c) if c in feats else cl.col(c) for c in df.columns])
+
+
+def _scale_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prep = prepared_flows(spark, sf_dir)
+    return _rounded_features(prep, prep.test.drop("split"))
+
+
+def _prepare_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prep = prepared_flows(spark, sf_dir)
+    return _rounded_features(prep, prep.data)
+
+
+def _incoming_batch(spark: SparkSession, sf_dir: str):
+    """A narrower unlabelled export of the flow table (no label, no sttl), encoded
+    with the categories fitted on the training table."""
+    train = _clean_flows(spark, sf_dir)
+    cats = fe.fit_categories(train)
+    expected = [c for c in fe.one_hot(train, cats).columns if c != "label"]
+    batch = cl.clean_for_inference(fx.flows_raw(spark, sf_dir).drop("label", "sttl"))[0]
+    return fe.one_hot(batch, cats), expected
+
+
+def _align_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    encoded, expected = _incoming_batch(spark, sf_dir)
+    return fe.align_features(encoded, expected)[0]
+
+
+def _alignment_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    encoded, expected = _incoming_batch(spark, sf_dir)
+    _, missing, extra = fe.align_features(encoded, expected)
+    rep = me.alignment_report(expected, missing, extra)
+    return spark.createDataFrame(
+        [(rep["n_expected"], rep["n_missing"], rep["n_extra"], rep["missing_ratio"], rep["unreliable"])],
+        "n_expected INT, n_missing INT, n_extra INT, missing_ratio DOUBLE, unreliable BOOLEAN",
+    )
+
+
+def _feature_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, expected = _incoming_batch(spark, sf_dir)
+    names = spark.createDataFrame(list(enumerate(expected)), "position INT, feature STRING")
+    blocked = fl.feature_gate(names).select("feature", F.lit(True).alias("blocked"))
+    return names.join(F.broadcast(blocked), "feature", "left").select(
+        "feature", "position", F.coalesce("blocked", F.lit(False)).alias("blocked")
+    )
+
+
 QUERIES: dict[str, Query] = {
     "flow_features": _flow_features,
     "flow_stats": _flow_stats,
@@ -219,4 +291,12 @@ QUERIES: dict[str, Query] = {
     "classification_report": _classification_report,
     "label_names": _label_names,
     "class_weights": _class_weights,
+    "one_hot": _one_hot,
+    "stratified_split": _stratified_split,
+    "scaler_fit": _scaler_fit,
+    "scale_features": _scale_features,
+    "prepare_data": _prepare_data,
+    "align_features": _align_features,
+    "alignment_report": _alignment_report,
+    "feature_gate": _feature_gate,
 }
