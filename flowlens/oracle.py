@@ -380,10 +380,27 @@ FEATURE_SQL = {
 }
 
 
+LIVE_SQL = {
+    "capture_bound": with_views(
+        "SELECT * FROM packets WHERE ts_us >= (SELECT min(ts_us) FROM packets) "
+        "AND ts_us < (SELECT min(ts_us) FROM packets) + 10000000 ORDER BY ts_us, packet_id LIMIT 1000",
+        "packets",
+    ),
+    "flow_verdicts": with_views(
+        "SELECT pk.packet_id AS row_id, k_src_ip AS src_ip, k_dst_ip AS dst_ip, k_src_port AS src_port, "
+        "k_dst_port AS dst_port, protocol_type, s.prediction, "
+        "CASE WHEN s.prediction = 1 THEN 'Attack' ELSE 'Normal' END AS prediction_label "
+        "FROM pk JOIN scored s ON pk.packet_id = s.row_id",
+        "packets", "scored", ctes=_PACKET_KEYS,
+    ),
+}
+
+
 def oracle_sql() -> dict[str, str]:
     out: dict[str, str] = {}
     out.update(FLOW_SQL)
     out.update(CLEAN_SQL)
     out.update(REPORT_SQL)
     out.update(FEATURE_SQL)
+    out.update(LIVE_SQL)
     return out

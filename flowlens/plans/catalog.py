@@ -259,6 +259,90 @@ def _feature_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# --- models: one training per session and data folder, shared by the model keys --------
+
+_TRAINED: dict[tuple[str, str], object] = {}
+
+
+def trained_flows(spark: SparkSession, sf_dir: str):
+    """Train on the flow table once per (application, folder); artifacts go to the shared store."""
+    from flowlens.plans.training import train
+
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _TRAINED:
+        _TRAINED[key] = train(spark, fx.flows_raw(spark, sf_dir))
+    return _TRAINED[key]
+
+
+def _model_predictions(name: str) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        from flowlens.plans.training import model_predictions
+
+        return model_predictions(trained_flows(spark, sf_dir), name)
+
+    return run
+
+
+def _train_and_select(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = trained_flows(spark, sf_dir)
+    return t.result.results.withColumn("is_best", F.col("model") == F.lit(t.result.best_name))
+
+
+def _best_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return me.best_model(trained_flows(spark, sf_dir).result.results)
+
+
+def _top_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from flowlens.operators.models import feature_importances
+
+    t = trained_flows(spark, sf_dir)
+    imp = feature_importances(t.result.best_model, t.prepared.features, spark)
+    if imp is None:  # model without importances: "not available"
+        return spark.createDataFrame([], "feature STRING, importance DOUBLE")
+    return me.top_features(imp)
+
+
+def _evaluate_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from flowlens.plans.training import evaluate_model
+
+    t = trained_flows(spark, sf_dir)
+    return evaluate_model(spark, t.artifacts_path, t.test)[1]
+
+
+def _score_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from flowlens.operators.score import score
+    from flowlens.sources.artifacts import load_artifacts
+
+    t = trained_flows(spark, sf_dir)
+    art = load_artifacts(spark, t.artifacts_path)
+    # model inputs must be complete (Q5): rows whose raw values are all present and numeric
+    raw = fx.flows_raw(spark, sf_dir).filter(
+        "sload IS NOT NULL AND service IS NOT NULL AND rate <> 'Infinity' AND sttl <> 'bad'"
+    )
+    return score(raw, art).predictions
+
+
+def _detect_traffic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from flowlens.plans.live import run_live_detection
+
+    t = trained_flows(spark, sf_dir)
+    res = run_live_detection(fx.packets(spark, sf_dir), t.artifacts_path)
+    return res.verdicts
+
+
+def _capture_bound(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from flowlens.sources.packets import capture_bound
+
+    return capture_bound(fx.packets(spark, sf_dir))
+
+
+def _flow_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """each verdict of the scored view beside the flow its packet belongs to."""
+    keys = fl.packet_flow_keys(fx.packets(spark, sf_dir)).withColumnRenamed("packet_id", "row_id").drop("forward")
+    verdicts = me.with_label_names(fx.scored(spark, sf_dir), truth=None).select("row_id", "prediction", "prediction_label")
+    return fl.flow_verdicts(keys, verdicts)
+
+
 QUERIES: dict[str, Query] = {
     "flow_features": _flow_features,
     "flow_stats": _flow_stats,
@@ -299,4 +383,15 @@ QUERIES: dict[str, Query] = {
     "align_features": _align_features,
     "alignment_report": _alignment_report,
     "feature_gate": _feature_gate,
+    "capture_bound": _capture_bound,
+    "flow_verdicts": _flow_verdicts,
+    "train_random_forest": _model_predictions("Random Forest"),
+    "train_logistic": _model_predictions("Logistic Regression"),
+    "train_tree": _model_predictions("Decision Tree"),
+    "train_and_select": _train_and_select,
+    "best_model": _best_model,
+    "top_features": _top_features,
+    "evaluate_model": _evaluate_model,
+    "score_flows": _score_flows,
+    "detect_traffic": _detect_traffic,
 }
