@@ -17,6 +17,7 @@ from flowlens.constants import PROBABILITY_DIGITS, ROW_ID, TARGET
 from flowlens.operators import features as fe
 from flowlens.operators import metrics as me
 from flowlens.operators import models as mo
+from flowlens.operators import clean as cl
 from flowlens.operators.clean import clean_for_inference, col
 from flowlens.sources.artifacts import Artifacts
 
@@ -41,15 +42,9 @@ def attack_probability(model, pred: DataFrame) -> DataFrame:
     )
 
 
-def score(
-    df: DataFrame, art: Artifacts, output_path: str | None = None, fmt: str = "csv", check_missing: bool = True
-) -> ScoreResult:
-    """Score a raw batch (with or without a target column)."""
+def _predictions(cleaned: DataFrame, art: Artifacts, has_labels: bool, check_missing: bool):
+    """P1-P5 after cleaning: fitted one-hot, alignment, scaler, model, probability, names."""
     target = art.target
-    string_numeric = [
-        c for c in art.numeric_columns if c in df.columns and df.schema[c].dataType.typeName() == "string"
-    ]
-    cleaned, has_labels, _ = clean_for_inference(df, target, coerce_columns=string_numeric)
     encoded = fe.one_hot(cleaned, art.categories)
     keep = tuple(c for c in (ROW_ID, target) if c in encoded.columns)
     aligned, missing, extra = fe.align_features(encoded, art.feature_names, keep=keep)
@@ -61,11 +56,49 @@ def score(
     pred = mo.predict(art.model, mo.assemble(scaled, art.feature_names))
     pred = attack_probability(art.model, pred)
     out_cols = [c for c in (ROW_ID,) if c in pred.columns] + ["prediction"]
-    out = pred.select(*out_cols, *(["attack_probability"] if "attack_probability" in pred.columns else []),
-                      *([col(target).alias("true_label")] if has_labels else []))
+    out = pred.select(
+        *out_cols,
+        *(["attack_probability"] if "attack_probability" in pred.columns else []),
+        *([col(target).alias("true_label")] if has_labels else []),
+    )
     out = me.with_label_names(out, "prediction", "true_label" if has_labels else None)
-    ordered = [c for c in (ROW_ID, "prediction", "prediction_label", "attack_probability", "true_label", "true_label_name") if c in out.columns]
-    out = out.select(*ordered)
+    ordered = [
+        c
+        for c in (ROW_ID, "prediction", "prediction_label", "attack_probability", "true_label", "true_label_name")
+        if c in out.columns
+    ]
+    return out.select(*ordered), missing, extra
+
+
+def _string_numeric(df: DataFrame, art: Artifacts) -> list[str]:
+    return [c for c in art.numeric_columns if c in df.columns and df.schema[c].dataType.typeName() == "string"]
+
+
+def score_features(df: DataFrame, art: Artifacts) -> DataFrame:
+    """Stateless scoring (streams): no de-duplication and no share job.
+
+    Names are normalised, identifiers dropped, known numeric columns parsed
+    and infinities nulled, then the fitted encoding, alignment, scaler and
+    model are applied row by row.
+    """
+    df = cl.normalize_columns(df)
+    has_labels = art.target in df.columns
+    df = cl.drop_identifiers(df)
+    df, _ = cl.coerce_numeric(df, art.target, columns=_string_numeric(df, art))
+    df = cl.inf_to_null(df)
+    return _predictions(df, art, has_labels, check_missing=False)[0]
+
+
+def score(
+    df: DataFrame, art: Artifacts, output_path: str | None = None, fmt: str = "csv", check_missing: bool = True
+) -> ScoreResult:
+    """Score a raw batch (with or without a target column).
+
+    Cleaning is the training chain (with the trained numeric columns, so no
+    share job); everything after the de-duplication shuffle is one stage.
+    """
+    cleaned, has_labels, _ = clean_for_inference(df, art.target, coerce_columns=_string_numeric(df, art))
+    out, missing, extra = _predictions(cleaned, art, has_labels, check_missing)
     if output_path:
         from flowlens.sources.artifacts import write_predictions
 

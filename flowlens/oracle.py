@@ -396,6 +396,50 @@ LIVE_SQL = {
 }
 
 
+# --- windows (W1, W2, W4) ------------------------------------------------------------------
+
+
+def _stats_from(source: str, extra: str) -> str:
+    """The F4/F6-F8 CTEs (fs, svc, fd) over ``source`` with extra group columns."""
+    cte = _FLOW_STATS.replace("FROM pk GROUP BY ALL", f"FROM {source} GROUP BY ALL")
+    cte = cte.replace("SELECT k_src_ip AS src_ip,", f"SELECT {extra}, k_src_ip AS src_ip,", 1)
+    return cte[: cte.index("fr AS (")].rstrip().rstrip(",")
+
+
+_WINDOW_OUT = (
+    "src_ip, dst_ip, src_port, dst_port, protocol_type, start_us, end_us, src_bytes, dst_bytes, spkts, dpkts, "
+    "service, flag, duration_us, total_pkts, total_bytes"
+)
+_KEY = "k_src_ip, k_dst_ip, k_src_port, k_dst_port, protocol_type"
+
+WINDOW_SQL = {
+    "flows_tumbling": with_views(
+        f"SELECT window_start_us, window_start_us + 10000000 AS window_end_us, {_WINDOW_OUT} FROM fd",
+        "packets",
+        ctes=_PACKET_KEYS.strip()
+        + ",\npw AS (SELECT *, ts_us - (ts_us % 10000000) AS window_start_us FROM pk),\n"
+        + _stats_from("pw", "window_start_us"),
+    ),
+    "flows_session": with_views(
+        f"SELECT start_us AS session_start_us, end_us + 2000000 AS session_end_us, {_WINDOW_OUT} FROM fd",
+        "packets",
+        ctes=_PACKET_KEYS.strip()
+        + f""",
+po AS (SELECT *, ts_us - lag(ts_us) OVER (PARTITION BY {_KEY} ORDER BY ts_us, packet_id) AS d FROM pk),
+ps AS (SELECT *, sum(CASE WHEN d IS NULL OR d >= 2000000 THEN 1 ELSE 0 END)
+              OVER (PARTITION BY {_KEY} ORDER BY ts_us, packet_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS sid FROM po),
+"""
+        + _stats_from("ps", "sid"),
+    ),
+    "capture_cap": with_views(
+        "SELECT * EXCLUDE (rn) FROM (SELECT *, ts_us - (ts_us % 10000000) AS window_start_us, "
+        "row_number() OVER (PARTITION BY ts_us - (ts_us % 10000000) ORDER BY ts_us, packet_id) AS rn FROM packets) "
+        "WHERE rn <= 1000",
+        "packets",
+    ),
+}
+
+
 def oracle_sql() -> dict[str, str]:
     out: dict[str, str] = {}
     out.update(FLOW_SQL)
@@ -403,4 +447,5 @@ def oracle_sql() -> dict[str, str]:
     out.update(REPORT_SQL)
     out.update(FEATURE_SQL)
     out.update(LIVE_SQL)
+    out.update(WINDOW_SQL)
     return out

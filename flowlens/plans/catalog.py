@@ -343,6 +343,27 @@ def _flow_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fl.flow_verdicts(keys, verdicts)
 
 
+# --- windows (batch twins of the streaming path) ------------------------------------------
+
+
+def _flows_tumbling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from flowlens.operators.windows import tumbling_flows
+
+    return tumbling_flows(fx.packets(spark, sf_dir))
+
+
+def _flows_session(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from flowlens.operators.windows import session_flows
+
+    return session_flows(fx.packets(spark, sf_dir)).drop("sid")
+
+
+def _capture_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from flowlens.operators.windows import capture_cap
+
+    return capture_cap(fx.packets(spark, sf_dir))
+
+
 QUERIES: dict[str, Query] = {
     "flow_features": _flow_features,
     "flow_stats": _flow_stats,
@@ -394,4 +415,7 @@ QUERIES: dict[str, Query] = {
     "evaluate_model": _evaluate_model,
     "score_flows": _score_flows,
     "detect_traffic": _detect_traffic,
+    "flows_tumbling": _flows_tumbling,
+    "flows_session": _flows_session,
+    "capture_cap": _capture_cap,
 }
