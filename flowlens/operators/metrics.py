@@ -74,8 +74,18 @@ def probability_histogram(df: DataFrame, probability: str = "attack_probability"
     mn = stats.select("mn").scalar()
     mx = stats.select("mx").scalar()
     width = mx - mn
-    raw_bin = F.floor(F.lit(float(bins)) * (F.col("p") - mn) / width)
-    b = F.when(width > 0, F.least(raw_bin, F.lit(bins - 1))).otherwise(F.lit(0)).cast("int")
+    step = width / F.lit(float(bins))
+    # bin index as a histogram over linspace edges assigns it: scaled index,
+    # then one step down/up when the value falls outside its edges
+    b0 = F.least(F.floor((F.col("p") - mn) * (F.lit(float(bins)) / width)), F.lit(bins - 1))
+    lo_edge = mn + b0 * step
+    hi_edge = mn + (b0 + 1) * step
+    adjusted = (
+        F.when(F.col("p") < lo_edge, b0 - 1)
+        .when((b0 != bins - 1) & (F.col("p") >= hi_edge), b0 + 1)
+        .otherwise(b0)
+    )
+    b = F.when(width > 0, adjusted).otherwise(F.lit(0)).cast("int")
     counts = vals.groupBy(b.alias("bin")).agg(F.count(F.lit(1)).alias("count"))
     n_bins = F.when(F.col("mx") > F.col("mn"), F.lit(bins)).otherwise(F.lit(1))
     grid = stats.filter(F.col("mn").isNotNull()).select(

@@ -257,7 +257,10 @@ REPORT_SQL = {
 FROM g LEFT JOIN c ON g.bin = c.bin""",
         ctes=_PROB
         + """,
-b AS (SELECT CAST(CASE WHEN mx - mn > 0 THEN least(floor(CAST(20 AS DOUBLE) * (p - mn) / (mx - mn)), 19) ELSE 0 END AS INTEGER) AS bin FROM v, s),
+b0 AS (SELECT p, mn, mx, least(floor((p - mn) * (CAST(20 AS DOUBLE) / (mx - mn))), 19) AS i FROM v, s WHERE mx > mn),
+b AS (SELECT CAST(CASE WHEN p < mn + i * ((mx - mn) / CAST(20 AS DOUBLE)) THEN i - 1
+                       WHEN i <> 19 AND p >= mn + (i + 1) * ((mx - mn) / CAST(20 AS DOUBLE)) THEN i + 1 ELSE i END AS INTEGER) AS bin FROM b0
+      UNION ALL SELECT 0 FROM v, s WHERE mx = mn),
 c AS (SELECT bin, count(*) AS cnt FROM b GROUP BY bin),
 g AS (SELECT CAST(i AS INTEGER) AS bin, mn, mx FROM s, range(20) t(i) WHERE mn IS NOT NULL AND i < CASE WHEN mx > mn THEN 20 ELSE 1 END)""",
     ),

@@ -86,6 +86,25 @@ def session_flow_stream(packets: DataFrame, gap_s: float = 2.0, watermark_s: flo
 
 CAP_COLUMNS = [f.name for f in PACKET_SCHEMA.fields]
 CAP_SCHEMA = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in PACKET_SCHEMA.fields)
+STATE_COLUMNS = CAP_COLUMNS + ["window_start_us"]
+INT_COLUMNS = {f.name for f in PACKET_SCHEMA.fields if f.dataType.typeName() in ("integer", "long")} | {"window_start_us"}
+
+
+def _records(pdf: pd.DataFrame) -> list[tuple]:
+    """Rows for the state struct; nullable integers stay integers (pandas turns them into floats)."""
+    out = []
+    for r in pdf[STATE_COLUMNS].itertuples(index=False):
+        out.append(
+            tuple(None if pd.isna(v) else (int(v) if c in INT_COLUMNS else v) for c, v in zip(STATE_COLUMNS, r))
+        )
+    return out
+
+
+def _frame(rows: list) -> pd.DataFrame:
+    pdf = pd.DataFrame.from_records(rows, columns=STATE_COLUMNS)
+    for c in INT_COLUMNS:
+        pdf[c] = pdf[c].astype("Int64")
+    return pdf
 
 
 def _smallest_per_window(width_us: int, cap: int):
@@ -106,17 +125,15 @@ def _cap_state(cap: int, width_us: int):
         if state.hasTimedOut:
             (kept,) = state.get
             state.remove()
-            out = pd.DataFrame.from_records(kept, columns=CAP_COLUMNS + ["window_start_us"]) if kept else None
-            if out is not None:
-                yield out
+            if kept:
+                yield _frame([tuple(r) for r in kept])
             return
-        parts = [b for b in batches]
+        parts = [b[STATE_COLUMNS] for b in batches]
         if state.exists:
             (kept,) = state.get
-            parts.append(pd.DataFrame.from_records(kept, columns=CAP_COLUMNS + ["window_start_us"]))
+            parts.append(_frame([tuple(r) for r in kept]))
         pdf = pd.concat(parts, ignore_index=True).sort_values(["ts_us", "packet_id"]).head(cap)
-        rows = [tuple(None if pd.isna(v) else v for v in r) for r in pdf[CAP_COLUMNS + ["window_start_us"]].itertuples(index=False)]
-        state.update((rows,))
+        state.update((_records(pdf),))
         state.setTimeoutTimestamp(int((start + width_us) // 1000))
         return iter(())
 
@@ -129,7 +146,7 @@ def capped_packet_stream(
 ) -> DataFrame:
     """W4 on a stream: the first ``max_packets`` packets of each window, emitted when it closes."""
     width = int(round(window_s * MICROS))
-    pre = packets.withWatermark("ts", _seconds(watermark_s)).select(*CAP_COLUMNS, "ts")
+    pre = packets.select(*CAP_COLUMNS, "ts")  # the watermark is set after the per-partition pre-cut
     local = pre.mapInPandas(_smallest_per_window(width, max_packets), f"{CAP_SCHEMA}, ts timestamp, window_start_us bigint")
     state_schema = f"rows array<struct<{', '.join(f'{n}: {t}' for n, t in (x.split(' ') for x in (CAP_SCHEMA + ', window_start_us bigint').split(', ')))}>>"
     return local.withWatermark("ts", _seconds(watermark_s)).groupBy("window_start_us").applyInPandasWithState(
