@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from flowlens.constants import RANDOM_STATE, ROW_ID, TARGET, TEST_SIZE
 from flowlens.functions.numeric import is_numeric_type
 from flowlens.operators.clean import col
+from flowlens.session import cut_lineage
 
 MAX_CATEGORIES = 1000
 NULL_KEY = "\\N"
@@ -50,13 +51,16 @@ def fit_categories(
         .filter(F.col("value").isNotNull())
         .distinct()
     )
-    sizes = {r["column"]: r["n"] for r in pairs.groupBy("column").agg(F.count(F.lit(1)).alias("n")).collect()}
-    too_many = {c: n for c, n in sizes.items() if n > max_categories}
-    if too_many:
-        raise ValueError(f"categorical columns exceed {max_categories} values: {too_many}")
+    # one bounded job: if no column exceeds the limit within (limit + 1) * columns
+    # pairs, the collected pairs are complete; otherwise some column exceeds it
+    cap = (max_categories + 1) * len(cols)
+    rows = pairs.limit(cap).collect()
     cats: dict[str, list[str]] = {c: [] for c in cols}
-    for r in pairs.collect():  # bounded by max_categories per column
+    for r in rows:
         cats[r["column"]].append(r["value"])
+    too_many = {c: len(v) for c, v in cats.items() if len(v) > max_categories}
+    if too_many:
+        raise ValueError(f"categorical columns exceed {max_categories} values: {too_many}")
     return {c: sorted(v) for c, v in cats.items()}
 
 
@@ -132,45 +136,56 @@ HEX_PER_LEVEL = 3  # 4096 buckets per refinement level
 FINAL_BUCKET_ROWS = 50_000
 
 
-def kth_keys(keyed: DataFrame, k_by_stratum: dict[str, int]) -> dict[str, str]:
+def _pick_buckets(todo, prefix, by_s, level, final):
+    """Walk each stratum's sorted bucket counts to the bucket holding its k-th key."""
+    for s in list(todo):
+        cum = 0
+        for b, n in sorted(by_s.get(s, [])):
+            if cum + n >= todo[s]:
+                todo[s] -= cum
+                prefix[s] = b
+                if n <= FINAL_BUCKET_ROWS or level >= 32:
+                    final[s] = b
+                break
+            cum += n
+        else:
+            raise RuntimeError("split bucket search ran past the stratum")
+
+
+def kth_keys(
+    keyed: DataFrame, k_by_stratum: dict[str, int], first_level: dict[str, list[tuple[str, int]]] | None = None
+) -> dict[str, str]:
     """The k-th smallest ``_u`` per ``_s`` stratum, by prefix-histogram refinement.
 
     Every round is one distributed aggregate over the rows still inside the
     boundary bucket; only histograms (<= 4096 rows per stratum) and, at the
     end, a boundary bucket of at most ``FINAL_BUCKET_ROWS`` keys reach the
-    driver.
+    driver.  ``first_level`` is an already computed first-round histogram.
     """
     todo = {s: k for s, k in k_by_stratum.items() if k > 0}
     prefix = {s: "" for s in todo}
     result: dict[str, str] = {}
+    level = 0
     while todo:
-        level = len(next(iter(prefix.values()))) + HEX_PER_LEVEL
-        cond = None
-        for s in todo:
-            c = (F.col("_s") == F.lit(s)) & F.col("_u").startswith(prefix[s])
-            cond = c if cond is None else (cond | c)
-        hist = (
-            keyed.filter(cond)
-            .groupBy("_s", F.substring("_u", 1, level).alias("b"))
-            .agg(F.count(F.lit(1)).alias("n"))
-            .collect()
-        )
-        by_s: dict[str, list[tuple[str, int]]] = {}
-        for r in hist:
-            by_s.setdefault(r["_s"], []).append((r["b"], r["n"]))
-        final = {}
-        for s in list(todo):
-            cum = 0
-            for b, n in sorted(by_s.get(s, [])):
-                if cum + n >= todo[s]:
-                    todo[s] -= cum
-                    prefix[s] = b
-                    if n <= FINAL_BUCKET_ROWS or level >= 32:
-                        final[s] = b
-                    break
-                cum += n
-            else:
-                raise RuntimeError("split bucket search ran past the stratum")
+        level += HEX_PER_LEVEL
+        if level == HEX_PER_LEVEL and first_level is not None:
+            by_s = first_level
+        else:
+            cond = None
+            for s in todo:
+                c = (F.col("_s") == F.lit(s)) & F.col("_u").startswith(prefix[s])
+                cond = c if cond is None else (cond | c)
+            hist = (
+                keyed.filter(cond)
+                .groupBy("_s", F.substring("_u", 1, level).alias("b"))
+                .agg(F.count(F.lit(1)).alias("n"))
+                .collect()
+            )
+            by_s = {}
+            for r in hist:
+                by_s.setdefault(r["_s"], []).append((r["b"], r["n"]))
+        final: dict[str, str] = {}
+        _pick_buckets(todo, prefix, by_s, level, final)
         if final:
             cond = None
             for s, b in final.items():
@@ -201,20 +216,44 @@ def assign_split(
     seed: int = RANDOM_STATE,
     key_columns: list[str] | None = None,
     split_col: str = "split",
+    checkpoint: bool = True,
 ) -> tuple[DataFrame, SplitPlan]:
     """Add ``split`` = 'train' | 'test' with exact class sizes.
 
-    Test rows of each class are the ones with the smallest hash keys.
+    Test rows of each class are the ones with the smallest hash keys.  The
+    input is read by 2-3 passes (histogram rounds, boundary keys, output), so
+    by default it is checkpointed once into the shared checkpoint folder.
     """
+    if checkpoint:
+        df = cut_lineage(df)
     if key_columns is None:
         key_columns = [ROW_ID] if ROW_ID in df.columns else list(df.columns)
-    counts_rows = df.groupBy(stratum_key(col(target)).alias("_s")).agg(F.count(F.lit(1)).alias("n")).collect()
-    class_counts = {r["_s"]: int(r["n"]) for r in counts_rows}
+    # one job: per class and first-level key prefix, the row count; class
+    # sizes are its sums, and it is the first round of the threshold search
+    cls = stratum_key(col(target))
+    keyed_cls = df.select(cls.alias("_c"), split_key(df, key_columns, seed).alias("_u"))
+    hist = (
+        keyed_cls.groupBy("_c", F.substring("_u", 1, HEX_PER_LEVEL).alias("b"))
+        .agg(F.count(F.lit(1)).alias("n"))
+        .collect()
+    )  # <= 4096 rows per class
+    class_counts: dict[str, int] = {}
+    for r in hist:
+        class_counts[r["_c"]] = class_counts.get(r["_c"], 0) + int(r["n"])
     tests = test_sizes(class_counts, test_size) if class_counts else {}
     stratified = "*" not in tests
-    stratum = stratum_key(col(target)) if stratified else F.lit("*")
+    first: dict[str, list[tuple[str, int]]] = {}
+    if stratified:
+        for r in hist:
+            first.setdefault(r["_c"], []).append((r["b"], int(r["n"])))
+    else:
+        merged: dict[str, int] = {}
+        for r in hist:
+            merged[r["b"]] = merged.get(r["b"], 0) + int(r["n"])
+        first["*"] = list(merged.items())
+    stratum = cls if stratified else F.lit("*")
     keyed = df.select(stratum.alias("_s"), split_key(df, key_columns, seed).alias("_u"))
-    thresholds = kth_keys(keyed, tests)
+    thresholds = kth_keys(keyed, tests, first_level=first)
     if thresholds:
         pairs = []
         for s, t in thresholds.items():
@@ -317,14 +356,22 @@ class Prepared:
 
 
 def prepare_data(
-    df: DataFrame, target: str = TARGET, test_size: float = TEST_SIZE, seed: int = RANDOM_STATE
+    df: DataFrame,
+    target: str = TARGET,
+    test_size: float = TEST_SIZE,
+    seed: int = RANDOM_STATE,
+    checkpoint: bool = True,
 ) -> Prepared:
     """E5: encode -> features/target -> exact split -> scaler fitted on train -> scale all."""
     if target not in df.columns:
         raise KeyError(f"Target column '{target}' not found in dataframe.")
+    if checkpoint:
+        # several passes follow (categories, split rounds, scaler): read the
+        # de-duplicated table from the shared checkpoint folder, not its lineage
+        df = cut_lineage(df)
     key_cols = [ROW_ID] if ROW_ID in df.columns else list(df.columns)
     cats = fit_categories(df, target=target)  # fitted before the split, as in the source
-    keyed, plan = assign_split(df, target, test_size, seed, key_columns=key_cols)
+    keyed, plan = assign_split(df, target, test_size, seed, key_columns=key_cols, checkpoint=False)
     encoded = one_hot(keyed, cats)
     features = [c for c in encoded.columns if c not in (target, ROW_ID, "split")]
     non_numeric = [c for c in features if not is_numeric_type(encoded.schema[c].dataType)
