@@ -29,9 +29,13 @@ def parse_number(c: Column) -> Column:
 
 
 def parses_as_number(c: Column) -> Column:
-    """True when the value parses to a number (NaN and NULL do not count)."""
-    v = parse_number(c)
-    return F.coalesce(v.isNotNull() & ~F.isnan(v), F.lit(False))
+    """True when the value parses to a number (NaN and NULL do not count).
+
+    Every text the pattern accepts casts to a finite number or an infinity,
+    and 'nan' is not accepted, so the pattern alone decides: no cast is
+    evaluated for the share count.
+    """
+    return F.coalesce(c.rlike(NUMERIC_PATTERN), F.lit(False))
 
 
 def is_infinite(c: Column) -> Column:

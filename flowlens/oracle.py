@@ -208,6 +208,7 @@ CLEAN_SQL = {
     ),
     "missing_report": _clean(f"SELECT * FROM ({_MISSING}) WHERE missing_count > 0"),
     "na_tokens": _raw(f"SELECT {_ALL_STRINGS} FROM flows_raw"),
+    "csv_ingest": _raw(f"SELECT {_ALL_STRINGS} FROM flows_raw"),
     "load_dataset": _raw(
         "SELECT DISTINCT * FROM csv_finite",
         ctes=f"csv_typed AS (SELECT {_CSV_TYPED} FROM flows_raw), csv_finite AS (SELECT {_CSV_FINITE} FROM csv_typed)",
