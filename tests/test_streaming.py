@@ -161,3 +161,25 @@ def test_capture_cap_uses_group_limit(spark):
     pk = fx.packets(spark, SF_SMALL)
     plan = wn.capture_cap(pk)._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan or "AdaptiveSparkPlan" in plan
+
+
+def test_stream_scoring(spark, packet_folder):
+    """Windowed flows of a packet stream scored by a stored model, row for row."""
+    import tempfile
+
+    from flowlens.plans.training import train
+    from flowlens.sources.artifacts import load_artifacts
+    from tests.conftest import SMOKE_ROWS, SMOKE_SCHEMA
+
+    trained = train(
+        spark, spark.createDataFrame(SMOKE_ROWS, SMOKE_SCHEMA),
+        artifacts_path=tempfile.mkdtemp(prefix="flowlens-art-"), only=("Decision Tree",),
+    )
+    art = load_artifacts(spark, trained.artifacts_path)
+    base, pk = packet_folder
+    folder = _fresh_folder(spark, base)
+    name = "w5_" + uuid.uuid4().hex[:8]
+    flows = sf.windowed_flow_stream(_stream_source(spark, folder))
+    got = _run_to_end(spark, sf.score_stream(flows, art), name, folder)
+    assert got.count() == wn.tumbling_flows(pk).count()
+    assert set(got.columns) >= {"prediction", "prediction_label"}
