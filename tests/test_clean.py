@@ -135,3 +135,10 @@ def test_cleaning_is_idempotent(spark):
     once, _ = cl.clean_dataframe(df)
     twice, _ = cl.clean_dataframe(once)
     assert sorted(map(tuple, once.collect()), key=str) == sorted(map(tuple, twice.collect()), key=str)
+
+
+def test_several_csv_files_read_as_one(spark, tmp_dir):
+    a = _write(os.path.join(tmp_dir, "a.csv"), b"x,label\n1,0\n2,1\n")
+    b = _write(os.path.join(tmp_dir, "b.csv"), b"x,label\n3,0\n")
+    assert csvsrc.load_csv(spark, [a, b]).count() == 3  # S5
+    assert csvsrc.load_csv(spark, os.path.join(tmp_dir, "*.csv")).count() == 3

@@ -95,3 +95,21 @@ def test_capture_bounds(packets):
     assert capture_bound(pk, duration_s=5).count() == 5
     assert capture_bound(pk, duration_s=60, max_packets=7).count() == 7
     assert [r.packet_id for r in capture_bound(pk, duration_s=60, max_packets=3).collect()] == [0, 1, 2]
+
+
+def test_capture_without_ip_packets_is_success_with_zero_flows(spark, trained, packets):
+    from tests.conftest import non_ip
+
+    art = load_artifacts(spark, trained.artifacts_path)
+    res = run_live_detection(packets([non_ip(1), non_ip(2, t=1000.1)]), art)
+    assert res.status == STATUS_SUCCESS and res.packets_captured == 2 and res.flows_detected == 0  # Q11
+
+
+def test_fitted_encoder_never_encodes_ip_columns(spark, trained, packets):
+    from flowlens.plans.live import flows_with_ids
+
+    art = load_artifacts(spark, trained.artifacts_path)
+    flows = flows_with_ids(packets([tcp(1), udp(2)]))
+    res = score(flows, art)
+    assert not any(c.startswith("src_ip_") or c.startswith("dst_ip_") for c in art.feature_names)  # Q14
+    assert "src_ip" in res.extra_features and res.predictions.count() == 2
