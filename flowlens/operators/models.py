@@ -30,6 +30,12 @@ from flowlens.constants import (
 from flowlens.operators import metrics as me
 from flowlens.operators.clean import col
 
+# Execution settings for the tree learners (the fitted trees are the same):
+# each row's node id is cached between levels instead of re-derived from the
+# tree (checkpointed every 10 levels into the shared checkpoint folder, so
+# deep-tree lineage stays short), and more nodes are split per data pass.
+TREE_EXECUTION = {"cacheNodeIds": True, "maxMemoryInMB": 1024, "checkpointInterval": 10}
+
 FEATURES_VEC = "features"
 LABEL_IDX = "_label"
 WEIGHT = "_weight"
@@ -64,9 +70,9 @@ def ml_frame(df: DataFrame, features: list[str], target: str = TARGET) -> DataFr
 def estimators(weight_sum: float, overrides: dict | None = None) -> dict:
     """The three classifiers with the fixed settings (``overrides`` per model name)."""
     overrides = overrides or {}
-    rf = dict(RANDOM_FOREST_PARAMS, **overrides.get("Random Forest", {}))
+    rf = dict(RANDOM_FOREST_PARAMS, **TREE_EXECUTION, **overrides.get("Random Forest", {}))
     lr = dict(LOGISTIC_REGRESSION_PARAMS, **overrides.get("Logistic Regression", {}))
-    dt = dict(DECISION_TREE_PARAMS, **overrides.get("Decision Tree", {}))
+    dt = dict(DECISION_TREE_PARAMS, **TREE_EXECUTION, **overrides.get("Decision Tree", {}))
     # Spark averages the weighted loss, scikit-learn sums it: C=1 -> regParam = 1 / sum(w)
     lr.setdefault("regParam", 1.0 / weight_sum if weight_sum > 0 else 0.0)
     common = dict(featuresCol=FEATURES_VEC, labelCol=LABEL_IDX, weightCol=WEIGHT)
