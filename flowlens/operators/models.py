@@ -51,12 +51,12 @@ def missing_value_columns(df: DataFrame, features: list[str]) -> list[str]:
     return [c for i, c in enumerate(features) if row[f"n{i}"] > 0]
 
 
-def assemble(df: DataFrame, features: list[str]) -> DataFrame:
+def assemble(df: DataFrame, features: list[str], handle_invalid: str = "error") -> DataFrame:
     """Named double columns -> one vector column, only at the ML boundary."""
     cast = df.select(
         "*", *[col(c).cast("double").alias(f"__f{i}") for i, c in enumerate(features)]
     )
-    va = VectorAssembler(inputCols=[f"__f{i}" for i in range(len(features))], outputCol=FEATURES_VEC, handleInvalid="error")
+    va = VectorAssembler(inputCols=[f"__f{i}" for i in range(len(features))], outputCol=FEATURES_VEC, handleInvalid=handle_invalid)
     return va.transform(cast).drop(*[f"__f{i}" for i in range(len(features))])
 
 

@@ -42,19 +42,35 @@ def attack_probability(model, pred: DataFrame) -> DataFrame:
     )
 
 
-def _predictions(cleaned: DataFrame, art: Artifacts, has_labels: bool, check_missing: bool):
-    """P1-P5 after cleaning: fitted one-hot, alignment, scaler, model, probability, names."""
+def _predictions(cleaned: DataFrame, art: Artifacts, has_labels: bool, on_missing: str):
+    """P1-P5 after cleaning: fitted one-hot, alignment, scaler, model, probability, names.
+
+    ``on_missing``: "error" raises when a feature value is missing (the
+    models cannot use it, Q5); "null" keeps every row and gives rows with a
+    missing feature a NULL prediction and probability (one pass, no split of
+    the data); "skip-check" trusts the caller (streams).
+    """
     target = art.target
     encoded = fe.one_hot(cleaned, art.categories)
     keep = tuple(c for c in (ROW_ID, target) if c in encoded.columns)
     aligned, missing, extra = fe.align_features(encoded, art.feature_names, keep=keep)
-    if check_missing:
+    if on_missing == "error":
         bad = mo.missing_value_columns(aligned, art.feature_names)
         if bad:
             raise ValueError(f"feature columns with missing values cannot be scored (Q5): {bad}")
+    complete = None
+    if on_missing == "null":
+        for c in art.feature_names:
+            ok = col(c).isNotNull() & ~F.isnan(col(c).cast("double"))
+            complete = ok if complete is None else (complete & ok)
+        aligned = aligned.withColumn("_complete", complete if complete is not None else F.lit(True))
     scaled = fe.apply_scaler(aligned, art.scaler)
-    pred = mo.predict(art.model, mo.assemble(scaled, art.feature_names))
+    pred = mo.predict(art.model, mo.assemble(scaled, art.feature_names, "keep" if on_missing == "null" else "error"))
     pred = attack_probability(art.model, pred)
+    if on_missing == "null":
+        pred = pred.withColumn("prediction", F.when(F.col("_complete"), F.col("prediction")))
+        if "attack_probability" in pred.columns:
+            pred = pred.withColumn("attack_probability", F.when(F.col("_complete"), F.col("attack_probability")))
     out_cols = [c for c in (ROW_ID,) if c in pred.columns] + ["prediction"]
     out = pred.select(
         *out_cols,
@@ -62,6 +78,8 @@ def _predictions(cleaned: DataFrame, art: Artifacts, has_labels: bool, check_mis
         *([col(target).alias("true_label")] if has_labels else []),
     )
     out = me.with_label_names(out, "prediction", "true_label" if has_labels else None)
+    if on_missing == "null":
+        out = out.withColumn("prediction_label", F.when(F.col("prediction").isNotNull(), F.col("prediction_label")))
     ordered = [
         c
         for c in (ROW_ID, "prediction", "prediction_label", "attack_probability", "true_label", "true_label_name")
@@ -86,11 +104,11 @@ def score_features(df: DataFrame, art: Artifacts) -> DataFrame:
     df = cl.drop_identifiers(df)
     df, _ = cl.coerce_numeric(df, art.target, columns=_string_numeric(df, art))
     df = cl.inf_to_null(df)
-    return _predictions(df, art, has_labels, check_missing=False)[0]
+    return _predictions(df, art, has_labels, on_missing="skip-check")[0]
 
 
 def score(
-    df: DataFrame, art: Artifacts, output_path: str | None = None, fmt: str = "csv", check_missing: bool = True
+    df: DataFrame, art: Artifacts, output_path: str | None = None, fmt: str = "csv", on_missing: str = "error"
 ) -> ScoreResult:
     """Score a raw batch (with or without a target column).
 
@@ -98,7 +116,7 @@ def score(
     share job); everything after the de-duplication shuffle is one stage.
     """
     cleaned, has_labels, _ = clean_for_inference(df, art.target, coerce_columns=_string_numeric(df, art))
-    out, missing, extra = _predictions(cleaned, art, has_labels, check_missing)
+    out, missing, extra = _predictions(cleaned, art, has_labels, on_missing)
     if output_path:
         from flowlens.sources.artifacts import write_predictions
 
@@ -107,6 +125,7 @@ def score(
     summary = out.agg(
         n_input.alias("n_input_rows"),
         F.count(F.when(F.col("prediction") != 1, 1)).alias("n_normal"),
+        F.count(F.when(F.col("prediction").isNull(), 1)).alias("n_unscored"),
         F.count(F.when(F.col("prediction") == 1, 1)).alias("n_attack"),
         F.lit(has_labels).alias("has_ground_truth"),
         F.array(*[F.lit(m) for m in missing]).cast("array<string>").alias("missing_features"),

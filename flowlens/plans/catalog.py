@@ -315,11 +315,8 @@ def _score_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     t = trained_flows(spark, sf_dir)
     art = load_artifacts(spark, t.artifacts_path)
-    # model inputs must be complete (Q5): rows whose raw values are all present and numeric
-    raw = fx.flows_raw(spark, sf_dir).filter(
-        "sload IS NOT NULL AND service IS NOT NULL AND rate <> 'Infinity' AND sttl <> 'bad'"
-    )
-    return score(raw, art).predictions
+    # every row is kept; rows with a missing feature value get a NULL verdict (Q5)
+    return score(fx.flows_raw(spark, sf_dir), art, on_missing="null").predictions
 
 
 def _detect_traffic(spark: SparkSession, sf_dir: str) -> DataFrame:

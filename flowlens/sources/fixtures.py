@@ -16,11 +16,15 @@ from pyspark.sql import DataFrame, SparkSession
 from flowlens.session import read_table
 
 DIALECTS = {
+    # Spark binds the source tables as DataFrame arguments of spark.sql, so no
+    # temp view is registered in the caller's session
     "spark": {
         "us": "timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts)",
         "rd": "bround",
+        "events": "{events}",
+        "lineitem": "{lineitem}",
     },
-    "duckdb": {"us": "epoch_us(ts)", "rd": "round_even"},
+    "duckdb": {"us": "epoch_us(ts)", "rd": "round_even", "events": "events", "lineitem": "lineitem"},
 }
 
 # 30 days of events squeezed to ~26 s in 100 microsecond steps.
@@ -30,7 +34,7 @@ WITH e AS (
          CAST(1704067200000000 + 100 * (({us} - 1704067200000000) - ({us} - 1704067200000000) % 10000000) / 10000000 AS BIGINT) AS ts_us,
          user_id, event_type, CAST(floor(value) AS INT) AS v,
          CAST(regexp_extract(props, '([0-9]+)', 1) AS INT) AS k
-  FROM events),
+  FROM {events}),
 r AS (
   SELECT *, CAST(user_id % 8 AS INT) AS b, (event_id % 3 = 0) AS rev,
          CASE WHEN user_id % 10 = 0 THEN 'icmp' WHEN user_id % 10 IN (1, 2) THEN 'udp'
@@ -74,7 +78,7 @@ SELECT CAST(l_orderkey AS BIGINT) * 10 + l_linenumber AS id,
   CASE WHEN l_suppkey % 4 = 0 THEN 'bad' ELSE CAST(CAST(l_suppkey % 3 AS INT) AS STRING) END AS swin,
   CASE WHEN l_returnflag = 'R' THEN 'DoS' ELSE 'Normal' END AS attack_cat,
   CASE WHEN l_returnflag = 'R' AND l_discount >= 0.03 OR l_quantity < 5 THEN 1 ELSE 0 END AS label
-FROM lineitem
+FROM {lineitem}
 """
 
 # Predictions with ground truth, as a scoring run would emit.
@@ -83,7 +87,7 @@ SELECT event_id AS row_id,
   CASE WHEN event_type IN ('error', 'click') THEN 1 ELSE 0 END AS true_label,
   CASE WHEN value >= 30 THEN 1 ELSE 0 END AS prediction,
   {rd}(value / 500.0, 4) AS attack_probability
-FROM events
+FROM {events}
 """
 
 VIEWS = {"packets": PACKETS_SQL, "flows_raw": FLOWS_RAW_SQL, "scored": SCORED_SQL}
@@ -105,8 +109,7 @@ def with_views(body: str, *names: str, dialect: str = "duckdb", ctes: str = "")
 def load_view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Build a fixture view over the driver table it derives from."""
     source = VIEW_SOURCES[name]
-    read_table(spark, sf_dir, source).createOrReplaceTempView(source)
-    return spark.sql(view_sql(name, "spark"))
+    return spark.sql(view_sql(name, "spark"), **{source: read_table(spark, sf_dir, source)})
 
 
 def packets(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -113,3 +113,19 @@ def test_fitted_encoder_never_encodes_ip_columns(spark, trained, packets):
     res = score(flows, art)
     assert not any(c.startswith("src_ip_") or c.startswith("dst_ip_") for c in art.feature_names)  # Q14
     assert "src_ip" in res.extra_features and res.predictions.count() == 2
+
+
+def test_score_keeps_rows_with_missing_features_as_null(spark, trained):
+    from tests.conftest import SMOKE_ROWS, SMOKE_SCHEMA
+
+    art = load_artifacts(spark, trained.artifacts_path)
+    rows = list(SMOKE_ROWS)
+    rows[0] = (rows[0][0], rows[0][1], rows[0][2], rows[0][3], None, rows[0][5], rows[0][6])
+    df = spark.createDataFrame(rows, SMOKE_SCHEMA)
+    with pytest.raises(ValueError):
+        score(df, art)  # default: a missing value stops scoring (Q5)
+    res = score(df, art, on_missing="null")
+    got = res.predictions.collect()
+    assert len(got) == 12  # every row kept
+    assert sum(r.prediction is None for r in got) == 1
+    assert res.summary.first().n_unscored == 1
