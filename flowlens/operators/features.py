@@ -84,8 +84,20 @@ def one_hot(df: DataFrame, categories: dict[str, list[str]], drop_first: bool =
     return df.select(*keep, *dummies)
 
 
-def encode_categorical(df: DataFrame, target: str | None = TARGET, categories: dict[str, list[str]] | None = None):
-    """Fit (unless given) and apply the one-hot encoding; returns (frame, categories)."""
+def encode_categorical(
+    df: DataFrame,
+    target: str | None = TARGET,
+    categories: dict[str, list[str]] | None = None,
+    checkpoint: bool = False,
+):
+    """Fit (unless given) and apply the one-hot encoding; returns (frame, categories).
+
+    Fitting and applying are two passes over ``df``; ``checkpoint=True``
+    writes it once to the shared checkpoint folder so an expensive input
+    (e.g. a de-duplicated table) is not recomputed by the second pass.
+    """
+    if categories is None and checkpoint:
+        df = cut_lineage(df)
     cats = fit_categories(df, target=target) if categories is None else categories
     return one_hot(df, cats), cats
 

@@ -196,7 +196,7 @@ def prepared_flows(spark: SparkSession, sf_dir: str) -> fe.Prepared:
 
 
 def _one_hot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fe.encode_categorical(_clean_flows(spark, sf_dir))[0]
+    return fe.encode_categorical(_clean_flows(spark, sf_dir), checkpoint=True)[0]
 
 
 def _stratified_split(spark: SparkSession, sf_dir: str) -> DataFrame:
