@@ -21,12 +21,12 @@ def _missing(df: DataFrame, name: str):
     return c.isNull()
 
 
-def _data_columns(df: DataFrame) -> list[str]:
-    return [c for c in df.columns if c != ROW_ID]
+def _data_columns(df: DataFrame, copies: str | None = None) -> list[str]:
+    return [c for c in df.columns if c not in (ROW_ID, copies)]
 
 
-def missing_cells_expr(df: DataFrame):
-    cols = _data_columns(df)
+def missing_cells_expr(df: DataFrame, copies: str | None = None):
+    cols = _data_columns(df, copies)
     if not cols:
         return F.lit(0).cast("long")
     return sum((F.count(F.when(_missing(df, c), 1)) for c in cols), F.lit(0).cast("long"))
@@ -37,18 +37,23 @@ def dataset_profile(
     fmt: str,
     before_dedup: DataFrame | None = None,
     deduplicated: bool = True,
+    copies: str | None = None,
 ) -> DataFrame:
     """A1: one row: format, rows, cols, missing cells/% and duplicate counts.
 
     ``duplicate_rows`` is counted on ``df`` itself (0 after the cleaning
     chain, as in the source); ``duplicates_removed`` is what de-duplication
-    dropped, taken from ``before_dedup`` through a scalar subquery so the
-    whole profile is one plan.
+    dropped.  With ``copies`` (a column of ``df`` holding the input rows each
+    row stands for, as ``CleanResult.counted`` has it) it is
+    ``sum(copies) - rows`` in the same aggregate: one pass.  Otherwise it is
+    taken from ``before_dedup`` through a scalar subquery (a second scan).
     """
-    cols = _data_columns(df)
+    if copies is not None and copies not in df.columns:
+        raise KeyError(f"copies column '{copies}' not in {df.columns}")
+    cols = _data_columns(df, copies)
     n_cols = len(cols)
     n_rows = F.count(F.lit(1))
-    missing = missing_cells_expr(df)
+    missing = missing_cells_expr(df, copies)
     cells = n_rows * F.lit(n_cols)
     pct = F.when(cells > 0, F.bround(F.lit(100.0) * missing / cells, 4)).otherwise(F.lit(0.0))
     if deduplicated:
@@ -56,7 +61,9 @@ def dataset_profile(
     else:
         distinct_rows = df.select(*[col(c) for c in cols]).distinct().select(F.count(F.lit(1))).scalar()
         dup = n_rows - distinct_rows
-    if before_dedup is not None:
+    if copies is not None:
+        removed = F.sum(col(copies)) - n_rows
+    elif before_dedup is not None:
         removed = before_dedup.select(F.count(F.lit(1))).scalar() - n_rows
     else:
         removed = F.lit(0).cast("long")

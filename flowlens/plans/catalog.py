@@ -119,7 +119,7 @@ def _attacks_only(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _dataset_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     df, res = cleaned_flows(spark, sf_dir)
-    return pr.dataset_profile(df, res.format, before_dedup=res.before_dedup)
+    return pr.dataset_profile(res.counted, res.format, copies=cl.COPIES)
 
 
 def _target_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -83,6 +83,8 @@ def test_clean_chain_and_profile(spark):
     prof = pr.dataset_profile(out, res.format, res.before_dedup).first()
     assert prof.n_rows == 3 and prof.n_cols == 3 and prof.duplicate_rows == 0 and prof.duplicates_removed == 1
     assert prof.missing_cells == 1 and prof.missing_pct == round(100 / 9, 4)
+    # the one-pass form over the counted rows gives the same profile
+    assert pr.dataset_profile(res.counted, res.format, copies=cl.COPIES).first() == prof
     dist = {r["label"]: r["count"] for r in pr.target_distribution(out).collect()}
     assert dist == {"0": 1, "1": 2}
     rep = pr.missing_report(out).collect()
