@@ -26,6 +26,10 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8) -> SparkS
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        # no Python call-site capture per Column function (about five py4j
+        # round trips each): plan building is driver time that does not scale
+        # with the data; errors then lack the Python line of the failing call
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.driver.memory", "16g")
     )
     spark = builder.getOrCreate()
