@@ -1,4 +1,4 @@
-"""One test per remaining survey quirk with a rule (Q2, Q9, Q13, Q15, Q16)."""
+"""One test per remaining survey quirk with a rule (Q2, Q4, Q8, Q9, Q13, Q15, Q16)."""
 
 from __future__ import annotations
 
@@ -44,3 +44,27 @@ def test_q16_top_n_is_fifteen(spark):
     imp = spark.createDataFrame([(f"f{i:02d}", float(i)) for i in range(30)], "feature STRING, importance DOUBLE")
     top = me.top_features(imp).collect()
     assert len(top) == 15 and top[0].feature == "f29" and top[-1].feature == "f15"
+
+
+def test_q4_string_values_are_not_trimmed(spark):
+    from flowlens.operators import clean as cl
+
+    rows = [(1, " tcp", "1", 0), (2, "tcp", "1", 0), (3, "tcp ", "1", 0), (4, "tcp", "1", 0)]
+    df = spark.createDataFrame(rows, "row_id BIGINT, proto STRING, dur STRING, label INT")
+    out, _ = cl.clean_dataframe(df)
+    # only names are normalised: padded values stay distinct categories and rows
+    assert sorted(r.proto for r in out.collect()) == [" tcp", "tcp", "tcp "]
+    assert fe.fit_categories(out)["proto"] == [" tcp", "tcp", "tcp "]
+
+
+def test_q8_no_oth_flag(packets):
+    rows = [
+        tcp(1, flags="FA", t=1.0),  # no SYN, no RST -> SF
+        tcp(2, sport=49153, flags=None, t=1.0),  # no flags at all -> SF
+        tcp(3, sport=49154, flags="S", t=1.0),
+        tcp(4, src="10.0.0.1", dst="192.168.1.10", sport=80, dport=49154, flags="R", t=1.1),  # RST wins -> REJ
+        tcp(5, sport=49155, flags="S", t=1.0),  # SYN without ACK -> S0
+    ]
+    flags = {r.src_port + r.dst_port: r.flag for r in fl.flow_features(packets(rows)).collect()}
+    assert flags == {49152 + 80: "SF", 49153 + 80: "SF", 49154 + 80: "REJ", 49155 + 80: "S0"}
+    assert "OTH" not in set(flags.values())
