@@ -115,9 +115,11 @@ def probability_kde(
 
     Values are first pre-aggregated to (value, weight): partial aggregation
     collapses repeated values map-side (rounded probabilities have at most
-    10^4 + 1 distinct values).  Each distinct value then meets the grid
-    indices of a ``sequence`` (no join), and the kernel sums are a group-by
-    on the grid index, partially aggregated before its (tiny) shuffle.
+    10^4 + 1 distinct values).  Each distinct value then gets its kernel
+    values over the grid as one array (``transform``, JVM-side), and the
+    arrays are summed element-wise by one ``Summarizer.sum`` aggregate: no
+    row is multiplied by the grid (unrounded input costs CPU, not rows) and
+    each task returns one partial vector.
     ``count_scaled`` is the density scaled to the histogram's counts
     (n * bin width), as drawn over a count histogram.
     """
@@ -136,15 +138,21 @@ def probability_kde(
     h = sd * math.pow(n, -0.2)
     step = (mx - mn) / (grid_points - 1)
     last = grid_points - 1
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.stat import Summarizer
+
     weighted = vals.groupBy("p").agg(F.count(F.lit(1)).alias("w"))
-    i = F.col("grid_index")
-    x = F.when(i == last, F.lit(mx)).otherwise(F.lit(mn) + i * F.lit(step))
-    kernel = F.col("w") * F.exp(F.lit(-0.5) * F.pow((F.col("x") - F.col("p")) / F.lit(h), 2))
-    sums = (
-        weighted.select("p", "w", F.explode(F.sequence(F.lit(0), F.lit(last))).alias("grid_index"))
-        .withColumn("x", x)
-        .groupBy("grid_index", "x")
-        .agg(F.sum(kernel).alias("k"))
+
+    def grid_x(i: Column) -> Column:
+        return F.when(i == last, F.lit(mx)).otherwise(F.lit(mn) + i * F.lit(step))
+
+    kernels = F.transform(
+        F.sequence(F.lit(0), F.lit(last)),
+        lambda i: F.col("w") * F.exp(F.lit(-0.5) * F.pow((grid_x(i) - F.col("p")) / F.lit(h), 2)),
+    )
+    summed = weighted.select(array_to_vector(kernels).alias("kv")).agg(Summarizer.sum(F.col("kv")).alias("kv"))
+    sums = summed.select(F.posexplode(vector_to_array("kv")).alias("grid_index", "k")).select(
+        "grid_index", grid_x(F.col("grid_index")).alias("x"), "k"
     )
     norm = n * h * math.sqrt(2.0 * math.pi)
     scale = n * (mx - mn) / bins

@@ -76,6 +76,20 @@ def test_kde_matches_direct_formula(spark):
     assert np.allclose([r.density for r in got], np.round(dens, 6), atol=2e-6)
 
 
+def test_kde_does_not_multiply_rows_by_the_grid(spark):
+    # unrounded, all-distinct values: the kernel sums must stay one aggregate
+    # over the value rows (no value x grid rows before it)
+    df = spark.range(5000).select(
+        F.col("id").alias("row_id"), F.lit(0).alias("true_label"), F.lit(0).alias("prediction"),
+        (F.col("id") * 0.000137 % 1).alias("attack_probability"),
+    )
+    kde = me.probability_kde(df)
+    plan = kde._jdf.queryExecution().executedPlan().toString()
+    below_agg = plan.split("ObjectHashAggregate", 1)[-1]
+    assert "ObjectHashAggregate" in plan and "Generate" not in below_agg
+    assert kde.count() == 200
+
+
 def test_one_hot_drop_first_and_unseen(spark):
     train = spark.createDataFrame([("tcp", 1), ("udp", 0), ("icmp", 1)], ["proto", "label"])
     cats = fe.fit_categories(train)
