@@ -22,6 +22,9 @@ from flowlens.operators.clean import clean_for_inference, col
 from flowlens.sources.artifacts import Artifacts
 
 
+MISSING_VALUE_ERROR = "a feature value is missing and rows with missing values cannot be scored (Q5); column"
+
+
 @dataclass
 class ScoreResult:
     predictions: DataFrame
@@ -46,10 +49,16 @@ def _predictions(cleaned: DataFrame, art: Artifacts, has_labels: bool, on_missin
     """P1-P5 after cleaning: fitted one-hot, alignment, scaler, model, probability, names.
 
     ``on_missing``: "error" raises when a feature value is missing (the
-    models cannot use it, Q5); "null" keeps every row and gives rows with a
-    missing feature a NULL prediction and probability (one pass, no split of
-    the data); "skip-check" trusts the caller (streams).
+    models cannot use it, Q5), listing every such column -- found by a pass
+    of its own before scoring; "fail" checks inside the scoring pass
+    instead (no extra pass: the job fails at the first row with a missing
+    value, naming its column), the choice for large batches; "null" keeps
+    every row and gives rows with a missing feature a NULL prediction and
+    probability (one pass, no split of the data); "skip-check" trusts the
+    caller (streams).
     """
+    if on_missing not in ("error", "fail", "null", "skip-check"):
+        raise ValueError(f"on_missing must be 'error', 'fail', 'null' or 'skip-check', not {on_missing!r}")
     target = art.target
     encoded = fe.one_hot(cleaned, art.categories)
     keep = tuple(c for c in (ROW_ID, target) if c in encoded.columns)
@@ -58,6 +67,19 @@ def _predictions(cleaned: DataFrame, art: Artifacts, has_labels: bool, on_missin
         bad = mo.missing_value_columns(aligned, art.feature_names)
         if bad:
             raise ValueError(f"feature columns with missing values cannot be scored (Q5): {bad}")
+    if on_missing == "fail":
+        feats = set(art.feature_names)
+        aligned = aligned.select(
+            *[
+                F.when(
+                    col(c).isNull() | F.isnan(col(c).cast("double")),
+                    F.raise_error(F.lit(f"{MISSING_VALUE_ERROR}: '{c}'")),
+                ).otherwise(col(c)).alias(c)
+                if c in feats
+                else col(c)
+                for c in aligned.columns
+            ]
+        )
     complete = None
     if on_missing == "null":
         for c in art.feature_names:

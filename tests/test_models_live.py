@@ -129,3 +129,22 @@ def test_score_keeps_rows_with_missing_features_as_null(spark, trained):
     assert len(got) == 12  # every row kept
     assert sum(r.prediction is None for r in got) == 1
     assert res.summary.first().n_unscored == 1
+
+
+def test_fail_mode_checks_missing_values_inside_the_scoring_pass(spark, trained):
+    from tests.conftest import SMOKE_ROWS, SMOKE_SCHEMA
+
+    art = load_artifacts(spark, trained.artifacts_path)
+    rows = list(SMOKE_ROWS)
+    rows[3] = (rows[3][0], rows[3][1], rows[3][2], rows[3][3], None, rows[3][5], rows[3][6])
+    bad = spark.createDataFrame(rows, SMOKE_SCHEMA)
+    sc = spark.sparkContext
+    sc.setJobGroup("fail-mode", "score() must not run a job of its own")
+    res = score(bad, art, on_missing="fail")
+    assert list(sc.statusTracker().getJobIdsForGroup("fail-mode")) == []
+    with pytest.raises(Exception, match="src_bytes"):
+        res.predictions.collect()
+    sc.setJobGroup("fail-mode-ok", "complete rows")
+    ok = score(spark.createDataFrame(SMOKE_ROWS, SMOKE_SCHEMA), art, on_missing="fail").predictions
+    ref = score(spark.createDataFrame(SMOKE_ROWS, SMOKE_SCHEMA), art).predictions
+    assert sorted(ok.collect()) == sorted(ref.collect())
