@@ -53,17 +53,22 @@ def _read(spark: SparkSession, paths: list[str], encoding: str) -> DataFrame:
     )
 
 
+def _bad_bytes(df: DataFrame):
+    """True for a row where some value holds U+FFFD (bytes that were not UTF-8)."""
+    bad = None
+    for c in df.columns:
+        hit = F.coalesce(col(c).contains(REPLACEMENT_CHAR), F.lit(False))
+        bad = hit if bad is None else (bad | hit)
+    return bad
+
+
 def has_decoding_errors(df: DataFrame) -> bool:
     """True when the header or any value holds U+FFFD (bytes that were not UTF-8)."""
     if any(REPLACEMENT_CHAR in c for c in df.columns):
         return True
     if not df.columns:
         return False
-    bad = None
-    for c in df.columns:
-        hit = F.coalesce(col(c).contains(REPLACEMENT_CHAR), F.lit(False))
-        bad = hit if bad is None else (bad | hit)
-    return not df.filter(bad).isEmpty()
+    return not df.filter(_bad_bytes(df)).isEmpty()
 
 
 def na_tokens(df: DataFrame, tokens=NA_TOKENS) -> DataFrame:
@@ -79,26 +84,32 @@ def na_tokens(df: DataFrame, tokens=NA_TOKENS) -> DataFrame:
     return df.select(*out)
 
 
-def infer_types(df: DataFrame) -> DataFrame:
+def _type_counts(strings: list[str]) -> list:
+    aggs = []
+    for i, c in enumerate(strings):
+        v = col(c)
+        aggs += [
+            F.count(v).alias(f"p{i}"),
+            F.count(F.when(v.rlike(INTEGER_PATTERN) & v.try_cast("long").isNotNull(), 1)).alias(f"i{i}"),
+            F.count(F.when(v.rlike(NUMERIC_PATTERN), 1)).alias(f"d{i}"),
+        ]
+    return aggs
+
+
+def infer_types(df: DataFrame, row=None) -> DataFrame:
     """Read-time typing of string columns, as a CSV reader infers it.
 
     A column whose every present value is an integer becomes BIGINT; one
     whose every present value is a number (infinity included) becomes
     DOUBLE; an all-missing column becomes DOUBLE; anything else stays a
-    string for the 90 % rule of the cleaning chain.  One aggregate job.
+    string for the 90 % rule of the cleaning chain.  One aggregate job
+    (``row``: its result, already computed together with another check).
     """
     strings = [f.name for f in df.schema.fields if f.dataType.typeName() == "string"]
     if not strings:
         return df
-    aggs = []
-    for i, c in enumerate(strings):
-        v = col(c)
-        aggs += [
-            F.count(v).alias(f"p{i}"),
-            F.count(F.when(v.rlike(INTEGER_PATTERN) & v.try_cast("long").isNotNull(), 1)).alias(f"i{i}"),
-            F.count(F.when(v.rlike(NUMERIC_PATTERN), 1)).alias(f"d{i}"),
-        ]
-    row = df.agg(*aggs).first()
+    if row is None:
+        row = df.agg(*_type_counts(strings)).first()
     kinds = {}
     for i, c in enumerate(strings):
         present, ints, nums = row[f"p{i}"], row[f"i{i}"], row[f"d{i}"]
@@ -128,7 +139,20 @@ def load_csv(
     df = _read(spark, paths, encoding)
     if not df.columns:
         raise ValueError(f"CSV file is empty: {source}")
-    if detect_encoding and encoding.lower().replace("-", "") in ("utf8",) and has_decoding_errors(df):
+    check = detect_encoding and encoding.lower().replace("-", "") in ("utf8",)
+    if typed and check and not any(REPLACEMENT_CHAR in c for c in df.columns):
+        # one pass answers both questions: any undecodable value, and the
+        # type counts (U+FFFD is no NA token, so checking after na_tokens is the same)
+        typed_df = na_tokens(df)
+        strings = [f.name for f in typed_df.schema.fields if f.dataType.typeName() == "string"]
+        row = typed_df.agg(
+            F.max(_bad_bytes(df).cast("int")).alias("_bad"), *_type_counts(strings)
+        ).first()
+        if not row["_bad"]:
+            return infer_types(typed_df, row)
+        df = _read(spark, paths, "ISO-8859-1")
+        return infer_types(na_tokens(df))
+    if check and has_decoding_errors(df):
         df = _read(spark, paths, "ISO-8859-1")
     df = na_tokens(df)
     return infer_types(df) if typed else df
