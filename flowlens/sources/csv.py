@@ -12,9 +12,16 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowlens.constants import NA_TOKENS
+from flowlens.constants import COLUMNS_TO_DROP, NA_TOKENS, NUMERIC_SHARE_THRESHOLD, TARGET
 from flowlens.functions.numeric import NUMERIC_PATTERN
-from flowlens.operators.clean import CleanResult, clean_dataframe, col
+from flowlens.operators.clean import (
+    CleanResult,
+    clean_dataframe,
+    col,
+    normalized_names,
+    numeric_candidates,
+    resolve_target,
+)
 
 # fixed value: an integer literal as a CSV reader types it
 INTEGER_PATTERN = r"^\s*[+-]?[0-9]+\s*$"
@@ -139,23 +146,64 @@ def load_csv(
     df = _read(spark, paths, encoding)
     if not df.columns:
         raise ValueError(f"CSV file is empty: {source}")
-    check = detect_encoding and encoding.lower().replace("-", "") in ("utf8",)
-    if typed and check and not any(REPLACEMENT_CHAR in c for c in df.columns):
-        # one pass answers both questions: any undecodable value, and the
-        # type counts (U+FFFD is no NA token, so checking after na_tokens is the same)
-        typed_df = na_tokens(df)
-        strings = [f.name for f in typed_df.schema.fields if f.dataType.typeName() == "string"]
-        row = typed_df.agg(
-            F.max(_bad_bytes(df).cast("int")).alias("_bad"), *_type_counts(strings)
-        ).first()
-        if not row["_bad"]:
-            return infer_types(typed_df, row)
+    if typed:
+        return _load_typed(spark, paths, encoding, detect_encoding, df)[0]
+    if _checks_encoding(encoding, detect_encoding) and has_decoding_errors(df):
         df = _read(spark, paths, "ISO-8859-1")
-        return infer_types(na_tokens(df))
-    if check and has_decoding_errors(df):
+    return na_tokens(df)
+
+
+def _checks_encoding(encoding: str, detect_encoding: bool) -> bool:
+    return detect_encoding and encoding.lower().replace("-", "") in ("utf8",)
+
+
+def _load_typed(spark: SparkSession, paths: list[str], encoding: str, detect_encoding: bool, df: DataFrame):
+    """Typed read in one aggregate pass; returns (typed frame, numeric shares).
+
+    The pass answers three questions at once: any undecodable value (U+FFFD
+    is no NA token, so checking after ``na_tokens`` is the same), the
+    read-time type counts, and, per column left as text, the share of ALL
+    rows that parse as a number -- the cleaning chain's 90 % rule needs no
+    pass of its own.  Undecodable bytes mean a latin-1 re-read and a second
+    pass (the rare path).
+    """
+    check = _checks_encoding(encoding, detect_encoding)
+    if check and any(REPLACEMENT_CHAR in c for c in df.columns):
         df = _read(spark, paths, "ISO-8859-1")
-    df = na_tokens(df)
-    return infer_types(df) if typed else df
+        check = False
+    for attempt in (0, 1):
+        nt = na_tokens(df)
+        strings = [f.name for f in nt.schema.fields if f.dataType.typeName() == "string"]
+        extra = [F.max(_bad_bytes(df).cast("int")).alias("_bad")] if check and df.columns else []
+        row = nt.agg(F.count(F.lit(1)).alias("_n"), *extra, *_type_counts(strings)).first()
+        if check and row["_bad"] and attempt == 0:
+            df = _read(spark, paths, "ISO-8859-1")
+            check = False
+            continue
+        break
+    typed_df = infer_types(nt, row) if strings else nt
+    still_text = {f.name for f in typed_df.schema.fields if f.dataType.typeName() == "string"}
+    n = row["_n"] or 0
+    shares = {c: (row[f"d{i}"] / n if n else 0.0) for i, c in enumerate(strings) if c in still_text}
+    return typed_df, shares
+
+
+def _columns_to_coerce(raw: DataFrame, shares: dict[str, float], target: str = TARGET) -> list[str]:
+    """The cleaning chain's C5 decision from shares measured at read time.
+
+    Same candidates as the chain (text columns after name normalisation and
+    target resolution, neither the target nor the row id), same threshold.
+    """
+    names, _ = normalized_names(raw.columns)
+    by_name = {new: shares[old] for old, new in zip(raw.columns, names) if old in shares}
+    resolved = resolve_target(raw.toDF(*names), target)  # metadata only; raises like the chain
+    renamed = [n for n, r in zip(names, resolved.columns) if n != r]
+    text = set(numeric_candidates(resolved, target))
+    return [
+        n for n in names
+        if n not in renamed and n not in COLUMNS_TO_DROP and n in text
+        and by_name.get(n, 0.0) >= NUMERIC_SHARE_THRESHOLD
+    ]
 
 
 def load_dataset(
@@ -165,8 +213,15 @@ def load_dataset(
     fmt: str = "parquet",
 ) -> tuple[DataFrame, CleanResult]:
     """Load + clean, optionally persisting the processed table."""
-    raw = source if isinstance(source, DataFrame) else load_csv(spark, source, typed=True)
-    cleaned, result = clean_dataframe(raw)
+    if isinstance(source, DataFrame):
+        cleaned, result = clean_dataframe(source)
+    else:
+        paths = _expand(source)
+        df = _read(spark, paths, "utf-8")
+        if not df.columns:
+            raise ValueError(f"CSV file is empty: {source}")
+        raw, shares = _load_typed(spark, paths, "utf-8", True, df)
+        cleaned, result = clean_dataframe(raw, coerce_columns=_columns_to_coerce(raw, shares))
     if save_processed:
         writer = cleaned.write.mode("overwrite")
         if fmt == "csv":

@@ -136,6 +136,27 @@ def test_typed_csv_read_decodes_and_types_in_one_pass(spark, tmp_dir):
     assert [r["name"] for r in typed.orderBy("n").collect()] == ["José", "x"]
 
 
+def test_load_dataset_takes_the_share_from_the_read_pass(spark, tmp_dir):
+    # 'rate' parses for 9 of 10 rows (90 %: coerced), 'ttl' for 8 of 10 (stays text);
+    # ' Label' is resolved as the target, 'id' and 'attack_cat' are dropped
+    lines = ["id,Rate,ttl,proto,attack_cat, Label"]
+    for i in range(10):
+        rate = "x" if i == 0 else str(i / 2)
+        ttl = "bad" if i < 2 else str(i)
+        lines.append(f"{i},{rate},{ttl},{'tcp' if i % 2 else 'udp'},n,{i % 2}")
+    path = _write(os.path.join(tmp_dir, "share.csv"), ("\n".join(lines) + "\n").encode())
+    out, res = csvsrc.load_dataset(spark, path)
+    ref, ref_res = cl.clean_dataframe(csvsrc.load_csv(spark, path, typed=True))
+    assert res.coerced == ref_res.coerced == ["rate"]
+    assert out.dtypes == ref.dtypes and out.count() == ref.count() == 10
+    assert out.exceptAll(ref).isEmpty() and ref.exceptAll(out).isEmpty()
+    sc = spark.sparkContext
+    sc.setJobGroup("load-dataset", "read pass only")
+    csvsrc.load_dataset(spark, path)
+    # header read + one aggregate: no separate share job before the lazy clean
+    assert len(list(sc.statusTracker().getJobIdsForGroup("load-dataset"))) <= 3
+
+
 def test_csv_typed_read_and_load_dataset(spark, tmp_dir):
     data = b"id,dur,rate,proto,attack_cat,label\n1,1,0.5,tcp,x,0\n2,2,Infinity,udp,y,1\n3,2,Infinity,udp,y,1\n"
     path = _write(os.path.join(tmp_dir, "flows.csv"), data)
