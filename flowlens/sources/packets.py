@@ -33,12 +33,21 @@ def capture_bound(
 ) -> DataFrame:
     """The packets of one capture window, stopping at whichever bound comes first.
 
-    ``[start, start + duration)`` (start defaults to the first packet, as a
-    scalar subquery) then the first ``max_packets`` by time and id: a
-    per-partition top-k merged once (TakeOrderedAndProject).
+    ``[start, start + duration)`` then the first ``max_packets`` by time and
+    id: a per-partition top-k merged once (TakeOrderedAndProject).  Without
+    ``start_us`` the first packet's time is fetched first (a one-row
+    aggregate over the time column only), so both bounds are literals and
+    reach the Parquet scan as pushed filters: row groups outside the window
+    are skipped.  (Spark pushes ``ts >= (subquery)`` but not
+    ``ts < (subquery) + d``, and merges two subqueries over one table into
+    a struct that is not pushed at all.)
     """
     p = packets.withColumn("ts_us", packet_time_us(packets))
-    start = p.select(F.min("ts_us")).scalar() if start_us is None else F.lit(int(start_us))
+    if start_us is None:
+        start_us = p.agg(F.min("ts_us").alias("first")).first()["first"]  # one row
+        if start_us is None:  # no packets at all
+            return p.filter(F.lit(False))
+    start = F.lit(int(start_us))
     end = start + F.lit(int(round(duration_s * 1_000_000)))
     window = p.filter((F.col("ts_us") >= start) & (F.col("ts_us") < end))
     if max_packets is None:

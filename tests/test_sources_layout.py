@@ -48,3 +48,17 @@ def test_fixture_views_equal_with_and_without_spreading(spark):
         plain = spark.sql(fx.view_sql(name, "spark"), **{source: read_table(spark, SF_SMALL, source)})
         spread = fx.load_view(spark, SF_SMALL, name)
         assert plain.exceptAll(spread).isEmpty() and spread.exceptAll(plain).isEmpty()
+
+
+def test_capture_window_bounds_reach_the_parquet_scan(spark, tmp_dir, packets):
+    from flowlens.sources.packets import capture_bound
+    from tests.conftest import tcp
+
+    path = os.path.join(tmp_dir, "packets")
+    packets([tcp(i, t=1000.0 + i) for i in range(30)]).write.parquet(path)
+    df = capture_bound(spark.read.parquet(path), max_packets=5)
+    scan = [ln for ln in df._jdf.queryExecution().executedPlan().toString().splitlines() if "FileScan" in ln]
+    pushed = scan[0][scan[0].find("PushedFilters"):]
+    assert "GreaterThanOrEqual(ts_us,1000000000)" in pushed and "LessThan(ts_us,1010000000)" in pushed
+    assert [r.packet_id for r in df.collect()] == [0, 1, 2, 3, 4]
+    assert capture_bound(spark.read.parquet(path).limit(0)).count() == 0  # no packets: empty capture
