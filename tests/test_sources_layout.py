@@ -62,3 +62,21 @@ def test_capture_window_bounds_reach_the_parquet_scan(spark, tmp_dir, packets):
     assert "GreaterThanOrEqual(ts_us,1000000000)" in pushed and "LessThan(ts_us,1010000000)" in pushed
     assert [r.packet_id for r in df.collect()] == [0, 1, 2, 3, 4]
     assert capture_bound(spark.read.parquet(path).limit(0)).count() == 0  # no packets: empty capture
+
+
+def _scan_line(df) -> str:
+    return next(ln for ln in df._jdf.queryExecution().executedPlan().toString().splitlines() if "FileScan" in ln)
+
+
+def test_scans_read_only_the_columns_a_query_needs(spark, tmp_dir):
+    from flowlens.operators import flows as fl
+    from flowlens.operators import metrics as me
+
+    fx.packets(spark, SF_SMALL).write.parquet(os.path.join(tmp_dir, "p"))
+    fx.scored(spark, SF_SMALL).write.parquet(os.path.join(tmp_dir, "s"))
+    p = spark.read.parquet(os.path.join(tmp_dir, "p"))
+    s = spark.read.parquet(os.path.join(tmp_dir, "s"))
+    assert "ReadSchema: struct<src_ip:string,dst_ip:string,l4:string,pkt_len:int>" in _scan_line(fl.protocol_mix(p))
+    assert "packet_id" not in _scan_line(fl.flow_features(p)).split("ReadSchema")[1]
+    assert "ReadSchema: struct<true_label:int,prediction:int>" in _scan_line(me.confusion_matrix(s))
+    assert "EqualTo(prediction,1)" in _scan_line(s.filter("prediction = 1"))
