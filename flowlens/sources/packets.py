@@ -25,6 +25,27 @@ PACKET_SCHEMA = T.StructType(
 )
 
 
+def _raw_time_bounds(packets: DataFrame, start_us: int, end_us: int):
+    """``[start, end)`` on a stored ``ts`` column (TIMESTAMP or TIMESTAMP_NTZ).
+
+    The derived microseconds cannot be pushed to the scan; this equivalent
+    bound on the column itself folds to literals and can.  None when the
+    table carries ``ts_us`` (already a plain column) or no timestamp ``ts``.
+    """
+    if "ts_us" in packets.columns or "ts" not in packets.columns:
+        return None
+    kind = packets.schema["ts"].dataType.typeName()
+    if kind == "timestamp":
+        lo, hi = F.timestamp_micros(F.lit(start_us)), F.timestamp_micros(F.lit(end_us))
+    elif kind == "timestamp_ntz":
+        epoch = "TIMESTAMP_NTZ'1970-01-01 00:00:00'"
+        lo = F.expr(f"timestampadd(MICROSECOND, {start_us}, {epoch})")
+        hi = F.expr(f"timestampadd(MICROSECOND, {end_us}, {epoch})")
+    else:
+        return None
+    return (F.col("ts") >= lo) & (F.col("ts") < hi)
+
+
 def capture_bound(
     packets: DataFrame,
     start_us: int | None = None,
@@ -50,6 +71,9 @@ def capture_bound(
     start = F.lit(int(start_us))
     end = start + F.lit(int(round(duration_s * 1_000_000)))
     window = p.filter((F.col("ts_us") >= start) & (F.col("ts_us") < end))
+    raw_ts = _raw_time_bounds(packets, int(start_us), int(start_us) + int(round(duration_s * 1_000_000)))
+    if raw_ts is not None:
+        window = window.filter(raw_ts)  # the same window on the stored column: a pushed filter
     if max_packets is None:
         return window
     return window.orderBy("ts_us", "packet_id").limit(int(max_packets))

@@ -80,3 +80,22 @@ def test_scans_read_only_the_columns_a_query_needs(spark, tmp_dir):
     assert "packet_id" not in _scan_line(fl.flow_features(p)).split("ReadSchema")[1]
     assert "ReadSchema: struct<true_label:int,prediction:int>" in _scan_line(me.confusion_matrix(s))
     assert "EqualTo(prediction,1)" in _scan_line(s.filter("prediction = 1"))
+
+
+def test_capture_window_on_a_timestamp_column_is_pushed(spark, tmp_dir, packets):
+    from pyspark.sql import functions as F
+
+    from flowlens.sources.packets import capture_bound
+    from tests.conftest import tcp
+
+    rows = packets([tcp(i, t=1000.0 + i * 0.7) for i in range(40)])
+    for kind in ("timestamp", "timestamp_ntz"):
+        path = os.path.join(tmp_dir, kind)
+        ts = F.timestamp_micros("ts_us")
+        if kind == "timestamp_ntz":
+            ts = F.expr("timestampadd(MICROSECOND, ts_us, TIMESTAMP_NTZ'1970-01-01 00:00:00')")
+        rows.withColumn("ts", ts).drop("ts_us").write.parquet(path)
+        df = capture_bound(spark.read.parquet(path), max_packets=None)
+        pushed = _scan_line(df).split("PushedFilters")[1].split("ReadSchema")[0]
+        assert "GreaterThanOrEqual(ts," in pushed and "LessThan(ts," in pushed
+        assert sorted(r.packet_id for r in df.collect()) == list(range(15))  # t < 1010.0: ids 0..14
