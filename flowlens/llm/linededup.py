@@ -9,7 +9,8 @@ word for each pair and many pairs side by side.
 
 The names are 64-bit rolling hashes (a false one costs a check, never a result).  They are summed up by name first, with
 partial sums, so equal lines cost one row and only names that two different lines share are looked up again.  A name
-shared by very many lines is split into blocks; checked pairs are not collected, only the later line of each.
+shared by very many lines is split into blocks; checked pairs are not collected, only the later line of each.  Tables
+that grow with the input are joined by sort-merge whatever their size, so the plan is the same at every scale.
 
 Defined cases: null and empty texts have no lines to drop and stay as they are; shorter lines are never dropped; rows
 that share doc_id and text are one document and get one result; null doc_ids come last; a document that loses lines and
@@ -285,17 +286,17 @@ def near_later_lines(rows: DataFrame, firsts: DataFrame, edits: int, least: int)
 
     shared = named().groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("b"), F.min("side").alias("s"))
     shared = written(shared.where("a < b and s = 0").select("key"), "line-names")
-    members = named().join(shared, "key").groupBy("key", "id").agg(F.min("side").alias("side"))
+    members = named().join(shared.hint("merge"), "key").groupBy("key", "id").agg(F.min("side").alias("side"))
     members = written(members, "line-members")
     place = F.col("f")
-    live = firsts.join(members.select(F.col("id").alias("h1")).distinct(), "h1")
+    live = firsts.join(members.select(F.col("id").alias("h1")).distinct().hint("merge"), "h1")
     live = live.groupBy("h1").agg(F.min("f").alias("f"))
     live = written(live.select(F.col("h1").alias("id"), place["none"].alias("none"), place["d"].alias("d"), place["t"].alias("t"), place["no"].alias("no")), "line-places")
     wanted = live.groupBy("none", "d", "t").agg(F.collect_list(F.struct("id", "no")).alias("wanted"))
     texts = rows.select(F.col("doc_id").isNull().cast("int").alias("none"), F.coalesce("doc_id", F.lit(0)).alias("d"), F.col("th").alias("t"), "text")
-    texts = texts.join(wanted, ["none", "d", "t"]).select("text", "wanted").mapInArrow(_wanted_lines, "id long, line string")
-    texts = written(texts.dropDuplicates(["id"]).join(live, "id"), "line-texts")
-    blocks = bucket_blocks(members, "key", "id", BLOCK).join(texts, "id")
+    texts = texts.join(wanted.hint("merge"), ["none", "d", "t"]).select("text", "wanted").mapInArrow(_wanted_lines, "id long, line string")
+    texts = written(texts.dropDuplicates(["id"]).join(live.hint("merge"), "id"), "line-texts")
+    blocks = bucket_blocks(members, "key", "id", BLOCK).join(texts.hint("merge"), "id")
     blocks = blocks.repartition("key", "bi", "bj").sortWithinPartitions("key", "bi", "bj")
     return blocks.mapInArrow(_later_lines(edits), "id long").distinct()
 
@@ -311,8 +312,8 @@ def dedup_lines(docs: DataFrame, edits: int = EDITS, least: int = MIN_CHARS) ->
     place = F.struct(F.col("doc_id").isNull().cast("int").alias("none"), F.coalesce("doc_id", F.lit(0)).alias("d"), F.col("th").alias("t"), "no")
     firsts = written(lines.withColumn("f", place).groupBy("h1", "h2").agg(F.min("f").alias("f")), "first-lines")
     late = written(near_later_lines(rows, firsts, edits, least), "late-lines")
-    known = firsts.join(late.select(F.col("id").alias("h1"), F.lit(True).alias("near")), "h1", "left")
-    drops = lines.withColumn("p", place).join(known, ["h1", "h2"])
+    known = firsts.join(late.select(F.col("id").alias("h1"), F.lit(True).alias("near")).hint("merge"), "h1", "left")
+    drops = lines.withColumn("p", place).join(known.hint("merge"), ["h1", "h2"])
     first = F.col("p") == F.col("f")
     near = F.coalesce("near", F.lit(False))
     drops = drops.where(~first | near).select(F.col("p.none").alias("none"), F.col("p.d").alias("d"), F.col("th"), "no", (~first).alias("again"))
@@ -324,7 +325,7 @@ def dedup_lines(docs: DataFrame, edits: int = EDITS, least: int = MIN_CHARS) ->
         F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.struct(F.lit(0).alias("_"), *others).alias("rest")
     )
     whole = whole.withColumn("th", F.xxhash64("text")).withColumn("none", F.col("doc_id").isNull().cast("int")).withColumn("d", F.coalesce("doc_id", F.lit(0)))
-    whole = whole.join(drops, ["none", "d", "th"], "left").select(
+    whole = whole.join(drops.hint("merge"), ["none", "d", "th"], "left").select(
         "doc_id", "rest", F.coalesce("exact", F.lit(0)).alias("exact_dropped"), F.coalesce("near", F.lit(0)).alias("near_dropped"), "text", "drop"
     )
     out = T.StructType([f for f in whole.schema.fields if f.name not in ("text", "drop")])
