@@ -117,7 +117,7 @@ def bucket_blocks(members: DataFrame, key: str, ident: str, block: int) -> DataF
     members is one block; a bucket of n members is written n / block times.
     """
     sizes = members.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
-    rows = members.join(sizes, key)
+    rows = members.join(sizes.hint("merge"), key)
     blocks = F.ceil(F.col("_n") / F.lit(block)).cast("int")
     rows = rows.withColumn("_blocks", blocks).withColumn("_b", F.pmod(F.xxhash64(F.col(ident)), F.col("_blocks")).cast("int"))
     rows = rows.withColumn("_x", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
@@ -192,9 +192,9 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", name: str
     while was[0]:
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = both.join(low.hint("merge"), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        small = large.join(least.hint("merge"), "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         e = written(small.union(least.select("u", F.col("m").alias("v"))).distinct(), name)
         now = state(e)
         if now == was:

@@ -1,10 +1,10 @@
 """MinHash near-duplicates: universal hash minima, banding, signature verification, exact confirmation, components.
 
 Documents with the same shingle set form a class and are handled once, so a text copied any number of times costs one
-signature.  Classes that share a band meet in a bucket.  First every member of a bucket is checked against the bucket's
-smallest member, which joins the large groups; then only buckets whose members still lie in different components
-compare the rest, block by block, so no bucket is expanded into all its pairs and no link between different texts is
-lost.  A pair counts when its full shingle sets say so; the signature only thins the candidates, five standard
+signature.  Classes that share a band meet in a bucket.  First every member of a bucket of the first few bands is checked
+against the bucket's smallest member, which joins the large groups; then, in all bands, only members that still lie in
+different components are compared, with the smallest member and, block by block, with each other.  So no bucket is
+expanded into all its pairs, and no link that could join two components is lost.  A pair counts when its full shingle sets say so; the signature only thins the candidates, five standard
 deviations below the threshold.
 
 Defined cases: null, empty and blank texts have no shingles, link with nothing and keep themselves.  Of rows that share
@@ -31,6 +31,7 @@ WIDTH = 5
 THRESHOLD = 75  # percent
 BANDS, ROWS = 32, 4  # a pair at 0.75 is missed with probability 6e-6
 HASHES = BANDS * ROWS
+FIRST_BANDS = 4
 BLOCK = 1024
 
 _SEEDS = mix(np.arange(1, 2 * HASHES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
@@ -128,44 +129,53 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, threshold: int = THRESH
     classes = written(classes, "classes")
 
     bands = F.array(*[F.xxhash64(F.substring("sig", 2 * ROWS * b + 1, 2 * ROWS), F.lit(b)) for b in range(BANDS)])
-    banded = classes.select("id", F.explode(bands).alias("key"))
+    banded = classes.select("id", F.posexplode(bands).alias("band", "key"))
     shared = banded.groupBy("key").agg(F.min("id").alias("lead"), F.max("id").alias("last")).where("lead < last").drop("last")
-    members = written(banded.join(shared, "key"), "members")
+    members = written(banded.join(shared.hint("merge"), "key"), "members")
 
     least = _least_agreement(threshold)
     agreement = _agreement_udf()
 
-    def confirmed(pairs: DataFrame, signed_already: bool) -> DataFrame:
+    def agreeing(pairs: DataFrame) -> DataFrame:
+        for side in "ab":
+            other = classes.select(F.col("id").alias(side), F.col("n").alias(f"n{side}"), F.col("sig").alias(f"s{side}"))
+            pairs = pairs.join(other.hint("merge"), side)
+        pairs = pairs.where(100 * F.least("na", "nb") >= threshold * F.greatest("na", "nb"))
+        return pairs.withColumn("same", agreement("sa", "sb")).where(F.col("same") >= least).select("a", "b")
+
+    def confirmed(pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) whose full shingle sets reach the threshold."""
-        if not signed_already:
-            for side in "ab":
-                other = classes.select(F.col("id").alias(side), F.col("n").alias(f"n{side}"), F.col("sig").alias(f"s{side}"))
-                pairs = pairs.join(other, side)
-            pairs = pairs.where(100 * F.least("na", "nb") >= threshold * F.greatest("na", "nb"))
-            pairs = pairs.withColumn("same", agreement("sa", "sb")).where(F.col("same") >= least).select("a", "b")
-        pairs = written(pairs.distinct(), "candidates")
+        pairs = written(pairs, "candidates")
         wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
-        sets = written(texts.join(wanted, "doc_id").mapInArrow(_sets(width), "id long, shingles array<long>"), "sets")
+        sets = written(texts.join(wanted.hint("merge"), "doc_id").mapInArrow(_sets(width), "id long, shingles array<long>"), "sets")
         for side in "ab":
-            pairs = pairs.join(sets.select(F.col("id").alias(side), F.col("shingles").alias(f"x{side}")), side)
+            pairs = pairs.join(sets.select(F.col("id").alias(side), F.col("shingles").alias(f"x{side}")).hint("merge"), side)
         both = F.size(F.array_intersect("xa", "xb"))
-        return pairs.where(100 * both >= threshold * (F.size("xa") + F.size("xb") - both)).select("a", "b")
+        return written(pairs.where(100 * both >= threshold * (F.size("xa") + F.size("xb") - both)).select("a", "b"), "links")
 
-    led = members.where("id > lead").select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct()
-    links = written(confirmed(led, False), "links")
+    def placed(comps: DataFrame) -> DataFrame:
+        return members.join(comps.withColumnRenamed("node", "id").hint("merge"), "id", "left").withColumn("comp", F.coalesce("component", "id"))
+
+    # a few bands join the large groups; of the other bands only members apart from their leader are left to check
+    led = members.where((F.col("band") < FIRST_BANDS) & (F.col("id") > F.col("lead"))).select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct()
+    links = confirmed(agreeing(led))
     comps = connected_components(links)
-    placed = members.join(comps.withColumnRenamed("node", "id"), "id", "left").withColumn("comp", F.coalesce("component", "id"))
-    open_ = placed.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 < c1").select("key")
-    rest = bucket_blocks(placed.join(open_, "key").select("key", "id", "lead", "comp"), "key", "id", BLOCK)
-    rest = rest.join(classes.select("id", "n", "sig"), "id")
+    leads = comps.select(F.col("node").alias("lead"), F.col("component").alias("lead_comp"))
+    apart = placed(comps).where(F.col("id") > F.col("lead")).join(leads.hint("merge"), "lead", "left")
+    apart = apart.where(F.col("comp") != F.coalesce("lead_comp", "lead")).select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct()
+    apart = apart.join(led.hint("merge"), ["a", "b"], "left_anti")
+    near = agreeing(apart)
+    # members apart from each other, neither of them the leader
+    open_ = placed(comps).groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 < c1").select("key")
+    rest = bucket_blocks(placed(comps).join(open_.hint("merge"), "key").select("key", "id", "lead", "comp"), "key", "id", BLOCK)
+    rest = rest.join(classes.select("id", "n", "sig").hint("merge"), "id")
     rest = rest.repartition("key", "bi", "bj").sortWithinPartitions("key", "bi", "bj")
     late = rest.mapInArrow(_bucket_candidates(threshold, least), "a long, b long")
-    links = links.union(confirmed(late, True))
-    comps = connected_components(links)
+    comps = connected_components(links.union(confirmed(near.union(late).distinct())))
 
-    named = classes.select("set_key", F.col("id").alias("node")).join(comps, "node", "left")
+    named = classes.select("set_key", F.col("id").alias("node")).join(comps.hint("merge"), "node", "left")
     named = named.select("set_key", F.coalesce("component", "node").alias("component"))
-    out = signed.select("doc_id", "n_shingles", "set_key").join(named, "set_key", "left")
+    out = signed.select("doc_id", "n_shingles", "set_key").join(named.hint("merge"), "set_key", "left")
     least_id = F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id"))
     out = out.select("doc_id", "n_shingles", least_id.alias("component_id"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
@@ -174,5 +184,5 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, threshold: int = THRESH
 def one_of_each(docs: DataFrame, width: int = WIDTH, threshold: int = THRESHOLD) -> DataFrame:
     """The documents kept, columns unchanged; of rows equal in doc_id and text one stays."""
     ids = near_duplicates(docs, width, threshold).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    rows = docs.join(ids, F.col("doc_id").cast("long").eqNullSafe(F.col("_kept")), "left_semi")
+    rows = docs.join(ids.hint("merge"), F.col("doc_id").cast("long").eqNullSafe(F.col("_kept")), "left_semi")
     return rows.dropDuplicates(["doc_id", "text"])
