@@ -96,23 +96,49 @@ def _agreement_udf():
     return agreement
 
 
-def _bucket_candidates(threshold: int, least: int):
+def _bucket_links(threshold: int, least: int):
+    """Links between members of a bucket that lie in different components, confirmed on full sets; likeliest pairs first,
+    and none between components that this run has already joined.  A pair that shares several bands is looked at in the
+    first of them only."""
     keys = ["key", "bi", "bj"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in runs(batches, keys):
-            ident, comp, lead, n, mine = (t.column(c).to_numpy() for c in ("id", "comp", "lead", "n", "mine"))
+            ident, comp, lead, n, mine, band = (t.column(c).to_numpy() for c in ("id", "comp", "lead", "n", "mine", "band"))
             sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), "<u2").reshape(-1, HASHES)
+            sets = t.column("shingles").combine_chunks()
+            at, flat = sets.offsets.to_numpy(), sets.values.to_numpy()
+            root: dict[int, int] = {}
+
+            def find(c: int) -> int:
+                while (up := root.get(c, c)) != c:
+                    root[c] = root.get(up, up)
+                    c = up
+                return c
+
+            found = []
             for x, y in run_pairs(t, keys, mine):
                 ok = (comp[x] != comp[y]) & (ident[x] != lead[x]) & (ident[y] != lead[y])
                 ok &= 100 * np.minimum(n[x], n[y]) >= threshold * np.maximum(n[x], n[y])
                 x, y = x[ok], y[ok]
+                agree, first = np.empty(len(x), np.int64), np.empty(len(x), np.int64)
                 for i in range(0, len(x), 1 << 15):
-                    p, q = x[i : i + (1 << 15)], y[i : i + (1 << 15)]
-                    near = (sig[p] == sig[q]).sum(axis=1) >= least
-                    p, q = ident[p[near]], ident[q[near]]
-                    if len(p):
-                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(p, q)), pa.array(np.maximum(p, q))], names=["a", "b"])
+                    same = sig[x[i : i + (1 << 15)]] == sig[y[i : i + (1 << 15)]]
+                    agree[i : i + (1 << 15)] = same.sum(axis=1)
+                    first[i : i + (1 << 15)] = same.reshape(-1, BANDS, ROWS).all(axis=2).argmax(axis=1)
+                near = (agree >= least) & (first == band[x])
+                x, y, agree = x[near], y[near], agree[near]
+                for k in np.argsort(-agree, kind="stable").tolist():
+                    p, q = int(x[k]), int(y[k])
+                    c, d = find(int(comp[p])), find(int(comp[q]))
+                    if c == d:
+                        continue
+                    both = len(np.intersect1d(flat[at[p] : at[p + 1]], flat[at[q] : at[q + 1]], assume_unique=True))
+                    if 100 * both >= threshold * (n[p] + n[q] - both):
+                        root[max(c, d)] = min(c, d)
+                        found.append((int(ident[p]), int(ident[q])))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], names=["a", "b"])
 
     return run
 
@@ -143,35 +169,42 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, threshold: int = THRESH
         pairs = pairs.where(100 * F.least("na", "nb") >= threshold * F.greatest("na", "nb"))
         return pairs.withColumn("same", agreement("sa", "sb")).where(F.col("same") >= least).select("a", "b")
 
-    def confirmed(pairs: DataFrame) -> DataFrame:
+    def sets_of(ids: DataFrame) -> DataFrame:
+        ids = ids.select(F.col("id").alias("doc_id")).distinct().hint("merge")
+        return written(texts.join(ids, "doc_id").mapInArrow(_sets(width), "id long, shingles array<long>").dropDuplicates(["id"]), "sets")
+
+    def ends(pairs: DataFrame) -> DataFrame:
+        return pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id")))
+
+    def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
         """The pairs (a, b) whose full shingle sets reach the threshold."""
-        pairs = written(pairs, "candidates")
-        wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
-        sets = written(texts.join(wanted.hint("merge"), "doc_id").mapInArrow(_sets(width), "id long, shingles array<long>"), "sets")
         for side in "ab":
             pairs = pairs.join(sets.select(F.col("id").alias(side), F.col("shingles").alias(f"x{side}")).hint("merge"), side)
         both = F.size(F.array_intersect("xa", "xb"))
-        return written(pairs.where(100 * both >= threshold * (F.size("xa") + F.size("xb") - both)).select("a", "b"), "links")
+        return pairs.where(100 * both >= threshold * (F.size("xa") + F.size("xb") - both)).select("a", "b")
 
     def placed(comps: DataFrame) -> DataFrame:
         return members.join(comps.withColumnRenamed("node", "id").hint("merge"), "id", "left").withColumn("comp", F.coalesce("component", "id"))
 
     # a few bands join the large groups; of the other bands only members apart from their leader are left to check
     led = members.where((F.col("band") < FIRST_BANDS) & (F.col("id") > F.col("lead"))).select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct()
-    links = confirmed(agreeing(led))
+    pairs = written(agreeing(led), "pairs")
+    links = written(confirmed(pairs, sets_of(ends(pairs))), "links")
     comps = connected_components(links)
     leads = comps.select(F.col("node").alias("lead"), F.col("component").alias("lead_comp"))
     apart = placed(comps).where(F.col("id") > F.col("lead")).join(leads.hint("merge"), "lead", "left")
     apart = apart.where(F.col("comp") != F.coalesce("lead_comp", "lead")).select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct()
     apart = apart.join(led.hint("merge"), ["a", "b"], "left_anti")
-    near = agreeing(apart)
+    near = written(agreeing(apart), "pairs")
     # members apart from each other, neither of them the leader
     open_ = placed(comps).groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 < c1").select("key")
-    rest = bucket_blocks(placed(comps).join(open_.hint("merge"), "key").select("key", "id", "lead", "comp"), "key", "id", BLOCK)
-    rest = rest.join(classes.select("id", "n", "sig").hint("merge"), "id")
+    rest = written(placed(comps).join(open_.hint("merge"), "key").select("band", "key", "id", "lead", "comp"), "open-buckets")
+    sets = sets_of(ends(near).union(rest.select("id")))
+    rest = bucket_blocks(rest, "key", "id", BLOCK)
+    rest = rest.join(classes.select("id", "n", "sig").hint("merge"), "id").join(sets.hint("merge"), "id")
     rest = rest.repartition("key", "bi", "bj").sortWithinPartitions("key", "bi", "bj")
-    late = rest.mapInArrow(_bucket_candidates(threshold, least), "a long, b long")
-    comps = connected_components(links.union(confirmed(near.union(late).distinct())))
+    late = rest.mapInArrow(_bucket_links(threshold, least), "a long, b long")
+    comps = connected_components(links.union(confirmed(near, sets)).union(late))
 
     named = classes.select("set_key", F.col("id").alias("node")).join(comps.hint("merge"), "node", "left")
     named = named.select("set_key", F.coalesce("component", "node").alias("component"))
