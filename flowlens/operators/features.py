@@ -23,7 +23,6 @@ from flowlens.functions.numeric import is_numeric_type
 from flowlens.operators.clean import col
 from flowlens.session import cut_lineage
 
-MAX_CATEGORIES = 1000
 NULL_KEY = "\\N"
 
 
@@ -39,9 +38,9 @@ def categorical_columns(df: DataFrame, target: str | None = TARGET) -> list[str]
 
 
 def fit_categories(
-    df: DataFrame, columns: list[str] | None = None, target: str | None = TARGET, max_categories: int = MAX_CATEGORIES
+    df: DataFrame, columns: list[str] | None = None, target: str | None = TARGET, max_categories: int | None = None
 ) -> dict[str, list[str]]:
-    """Sorted distinct non-missing values of each categorical column (one job + a size check)."""
+    """Sorted distinct non-missing values of each categorical column; more than ``max_categories``, if given, is an error."""
     cols = categorical_columns(df, target) if columns is None else list(columns)
     if not cols:
         return {}
@@ -51,16 +50,13 @@ def fit_categories(
         .filter(F.col("value").isNotNull())
         .distinct()
     )
-    # one bounded job: if no column exceeds the limit within (limit + 1) * columns
-    # pairs, the collected pairs are complete; otherwise some column exceeds it
-    cap = (max_categories + 1) * len(cols)
-    rows = pairs.limit(cap).collect()
+    if max_categories is not None:
+        sizes = pairs.groupBy("column").count().filter(F.col("count") > max_categories).collect()
+        if sizes:
+            raise ValueError(f"categorical columns exceed {max_categories} values: { {r['column']: r['count'] for r in sizes} }")
     cats: dict[str, list[str]] = {c: [] for c in cols}
-    for r in rows:
+    for r in pairs.collect():  # the values name the encoded columns, so the driver needs them all
         cats[r["column"]].append(r["value"])
-    too_many = {c: len(v) for c, v in cats.items() if len(v) > max_categories}
-    if too_many:
-        raise ValueError(f"categorical columns exceed {max_categories} values: {too_many}")
     return {c: sorted(v) for c, v in cats.items()}
 
 

@@ -10,9 +10,8 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from flowlens.constants import (
     CLASS_NAMES,
@@ -349,26 +348,13 @@ def best_model(results: DataFrame) -> DataFrame:
 def class_weight_table(df: DataFrame, target: str) -> DataFrame:
     """M0: per class, balanced weight n / (k * n_class)."""
     counts = df.filter(col(target).isNotNull()).groupBy(col(target).alias(target)).agg(F.count(F.lit(1)).alias("count"))
-    n = counts.select(F.sum("count")).scalar()
-    k = counts.select(F.count(F.lit(1))).scalar()
+    every = Window.partitionBy()  # one row per class meets here
+    n, k = F.sum("count").over(every), F.count(F.lit(1)).over(every)
     return counts.select(target, "count", (n.cast("double") / (k * F.col("count"))).alias("weight"))
 
 
-MAX_CLASSES = 10_000
-
-
 def with_class_weights(df: DataFrame, target: str, weight_col: str = "weight") -> DataFrame:
-    """Attach balanced class weights as a literal map lookup (no join, no shuffle).
-
-    The class table is bounded by the number of classes; it is checked
-    before it is brought to the driver.
-    """
-    table = class_weight_table(df, target)
-    rows = table.limit(MAX_CLASSES + 1).collect()
-    if len(rows) > MAX_CLASSES:
-        raise ValueError(f"more than {MAX_CLASSES} classes in '{target}'")
-    pairs = []
-    for r in rows:
-        pairs += [F.lit(r[target]), F.lit(float(r["weight"]))]
-    m = F.create_map(*pairs) if pairs else F.create_map().cast(T.MapType(T.StringType(), T.DoubleType()))
-    return df.withColumn(weight_col, F.coalesce(F.element_at(m, col(target)), F.lit(0.0)))
+    """Attach balanced class weights by an equi-join to the class table; a row without a class weighs 0."""
+    table = class_weight_table(df, target).select(col(target).alias("_class"), F.col("weight").alias("_class_weight"))
+    rows = df.join(table, col(target) == F.col("_class"), "left")
+    return rows.withColumn(weight_col, F.coalesce("_class_weight", F.lit(0.0))).drop("_class", "_class_weight")

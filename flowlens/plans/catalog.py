@@ -270,7 +270,7 @@ def trained_flows(spark: SparkSession, sf_dir: str):
 
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _TRAINED:
-        _TRAINED[key] = train(spark, fx.flows_raw(spark, sf_dir))
+        _TRAINED[key] = train(spark, fx.flows_raw(spark, sf_dir), on_missing="drop")
     return _TRAINED[key]
 
 

@@ -26,14 +26,25 @@ class Trained:
     result: mo.TrainResult
     artifacts_path: str
     numeric_columns: list[str]
-
-    @property
-    def train(self) -> DataFrame:
-        return self.prepared.train.dropna(subset=self.prepared.features)
-
-    @property
-    def test(self) -> DataFrame:
-        return self.prepared.test.dropna(subset=self.prepared.features)
+    dropped: dict[str, int]
+    train: DataFrame
+    test: DataFrame
+
+
+def complete_rows(df: DataFrame, features: list[str], on_missing: str, name: str) -> tuple[DataFrame, int]:
+    """The rows without missing feature values and how many others there are; with "raise" those are an error."""
+    if on_missing not in ("raise", "drop"):
+        raise ValueError("on_missing is 'raise' or 'drop'")
+    gap = [F.col(f"`{c}`").isNull() | F.isnan(F.col(f"`{c}`").cast("double")) for c in features]
+    missing = {f"c{i}": F.sum(g.cast("long")) for i, g in enumerate(gap)}
+    whole = df.dropna(subset=features)
+    counts = df.agg(F.count(F.lit(1)).alias("n"), *[x.alias(k) for k, x in missing.items()]).first()
+    found = [c for i, c in enumerate(features) if counts[f"c{i}"]]
+    if not found:
+        return df, 0
+    if on_missing == "raise":
+        raise ValueError(f"missing values in the {name} rows, columns {found}; filter them or pass on_missing='drop'")
+    return whole, counts["n"] - whole.count()
 
 
 def train(
@@ -43,17 +54,19 @@ def train(
     artifacts_path: str | None = None,
     overrides: dict | None = None,
     only: tuple[str, ...] = MODEL_ORDER,
+    on_missing: str = "raise",
 ) -> Trained:
-    """Train from a raw flow table; rows with missing feature values are left out (Q5)."""
+    """Train from a raw flow table.  Missing feature values are an error (Q5) unless ``on_missing="drop"`` leaves those
+    rows out, whose counts are then in ``dropped``."""
     cleaned, res = clean_dataframe(raw, target)
     prep = fe.prepare_data(cleaned, target)
     numeric = [c for c in cleaned.columns if c != target and c not in prep.categories]
-    tr = prep.train.dropna(subset=prep.features)
-    te = prep.test.dropna(subset=prep.features)
+    tr, train_dropped = complete_rows(prep.train, prep.features, on_missing, "training")
+    te, test_dropped = complete_rows(prep.test, prep.features, on_missing, "test")
     result = mo.train_and_select(tr, te, prep.features, target, overrides=overrides, only=only)
     art = Artifacts(result.best_model, result.best_name, prep.features, prep.categories, prep.scaler, numeric, target)
     path = save_artifacts(spark, art, artifacts_path or scratch_path(spark, "artifacts"))
-    return Trained(prep, result, path, numeric)
+    return Trained(prep, result, path, numeric, {"train": train_dropped, "test": test_dropped}, tr, te)
 
 
 def evaluate_model(

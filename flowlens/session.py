@@ -41,11 +41,14 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8) -> SparkS
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the cluster's shared checkpoint folder.
 
-    On a cluster ``spark.checkpoint.dir`` names a shared folder and is used
-    as is.  Only when it is unset (tests, a laptop) a private folder is made.
+    On a cluster ``spark.checkpoint.dir`` must name a shared folder, which is
+    used as is; a local session (tests, a laptop) without one gets its own.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         configured = tempfile.mkdtemp(prefix="flowlens-ckpt-")
         spark.conf.set("spark.checkpoint.dir", configured)
     spark.sparkContext.setCheckpointDir(configured)
@@ -64,56 +67,6 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def read_table(spark: SparkSession, sf_dir: str, name: str, spread_keys: tuple[str, ...] = ()) -> DataFrame:
-    """Read a driver table; with ``spread_keys`` a small few-file table is spread (see below)."""
-    df = spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
-    return spread_small_input(df, spread_keys) if spread_keys else df
-
-
-# A table stored as fewer files than the session has cores is read by at most
-# that many tasks (one per Parquet row group), so every projection before the
-# first shuffle would run on a few cores.  Up to this size such a table is
-# hash-spread by its row key right after the scan; a table of many files (the
-# normal layout at scale) is read as is and gains no shuffle.
-SPREAD_MAX_BYTES = 2 << 30
-SPREAD_BYTES_PER_TASK = 256 << 10
-
-
-def input_bytes(files: list[str]) -> int | None:
-    """Total size of the given files, or None when a file system cannot be asked."""
-    try:
-        import pyarrow.fs as pafs
-
-        total = 0
-        for uri in files:
-            fs, path = pafs.FileSystem.from_uri(uri)
-            total += fs.get_file_info(path).size
-        return total
-    except Exception:  # noqa: BLE001 - unknown file system: leave the scan alone
-        return None
-
-
-def spread_small_input(df: DataFrame, keys: tuple[str, ...], max_bytes: int = SPREAD_MAX_BYTES) -> DataFrame:
-    """Hash-repartition a small table held in fewer files than there are cores.
-
-    The spread is by the row key, so it is deterministic under task retries
-    (no round-robin).  Tables of many files, larger than ``max_bytes`` or on
-    a file system whose sizes cannot be read keep their scan partitioning.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    files = df.inputFiles()
-    if not files or len(files) >= cores:
-        return df
-    size = input_bytes(files)
-    if size is None or size > max_bytes:
-        return df
-    parts = min(cores, max(len(files), -(-size // SPREAD_BYTES_PER_TASK)))
-    return df.repartition(parts, *keys) if parts > len(files) else df
-
-
-def register_tables(spark: SparkSession, sf_dir: str, names=TABLES) -> None:
-    """Register driver tables as temp views under their own names."""
-    for name in names:
-        path = os.path.join(sf_dir, f"{name}.parquet")
-        if os.path.exists(path):
-            spark.read.parquet(path).createOrReplaceTempView(name)
+def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """Read a driver table as it is stored."""
+    return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))

@@ -92,8 +92,6 @@ FROM {events}
 
 VIEWS = {"packets": PACKETS_SQL, "flows_raw": FLOWS_RAW_SQL, "scored": SCORED_SQL}
 VIEW_SOURCES = {"packets": "events", "flows_raw": "lineitem", "scored": "events"}
-# unique row key of each source table: a small single-file source is spread by it
-SOURCE_KEYS = {"events": ("event_id",), "lineitem": ("l_orderkey", "l_linenumber")}
 
 
 def view_sql(name: str, dialect: str) -> str:
@@ -111,7 +109,7 @@ def with_views(body: str, *names: str, dialect: str = "duckdb", ctes: str = "")
 def load_view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Build a fixture view over the driver table it derives from."""
     source = VIEW_SOURCES[name]
-    table = read_table(spark, sf_dir, source, spread_keys=SOURCE_KEYS[source])
+    table = read_table(spark, sf_dir, source)
     return spark.sql(view_sql(name, "spark"), **{source: table})
 
 

@@ -64,7 +64,7 @@ def packets(spark):
     return make
 
 
-# The 12-row smoke table (duration, protocol_type, service, flag, src_bytes, dst_bytes, label).
+# The 12-row smoke table (duration, protocol_type, service, flag, src_bytes, dst_bytes, label).
 SMOKE_ROWS = list(
     zip(
         [0, 1, 0, 2, 0, 5, 0, 10, 3, 0, 1, 4],

@@ -22,7 +22,7 @@ def trained(spark):
     import tempfile
 
     raw = spark.createDataFrame(SMOKE_ROWS, SMOKE_SCHEMA)
-    return train(spark, raw, artifacts_path=tempfile.mkdtemp(prefix="flowlens-art-"))
+    return train(spark, raw, artifacts_path=tempfile.mkdtemp(prefix="flowlens-art-"), on_missing="drop")
 
 
 def test_train_selects_and_persists(trained):

@@ -1,53 +1,36 @@
-"""Spreading of small few-file sources: which tables are spread, and that results do not change."""
+"""How tables are read, and that nothing is capped or dropped on the way."""
 
 from __future__ import annotations
 
 import os
 
-from flowlens.session import read_table, spread_small_input
+import pytest
+
+from flowlens.operators.features import fit_categories
+from flowlens.plans.training import complete_rows
+from flowlens.session import read_table
 from flowlens.sources import fixtures as fx
 from tests.conftest import SF_CHECK, SF_SMALL
 
 
-def _nonempty_partitions(df) -> int:
-    return sum(1 for n in df.rdd.glom().map(len).collect() if n > 0)
-
-
-def test_single_file_table_is_spread_by_its_key(spark):
-    plain = read_table(spark, SF_CHECK, "lineitem")
-    spread = read_table(spark, SF_CHECK, "lineitem", spread_keys=("l_orderkey", "l_linenumber"))
-    assert _nonempty_partitions(plain) == 1  # one row group: one task holds every row
-    assert _nonempty_partitions(spread) > 1
-    plan = spread._jdf.queryExecution().executedPlan().toString()
-    assert "hashpartitioning(l_orderkey" in plan
-    assert plain.exceptAll(spread).isEmpty() and spread.exceptAll(plain).isEmpty()
-
-
-def test_tiny_table_is_not_spread(spark):
-    df = spark.read.parquet(os.path.join(SF_SMALL, "events.parquet"))
-    assert spread_small_input(df, ("event_id",)) is df  # below one task's share of bytes
-
-
-def test_many_file_table_keeps_its_scan(spark, tmp_dir):
-    cores = spark.sparkContext.defaultParallelism
-    path = os.path.join(tmp_dir, "many")
-    spark.range(0, 10 * cores).repartition(cores).write.parquet(path)
-    df = spark.read.parquet(path)
-    assert len(df.inputFiles()) >= cores
-    assert spread_small_input(df, ("id",)) is df
+def test_table_is_read_as_stored(spark):
+    plan = read_table(spark, SF_CHECK, "lineitem")._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
 
 
-def test_size_bound_keeps_a_large_table(spark):
-    df = spark.read.parquet(os.path.join(SF_SMALL, "events.parquet"))
-    assert spread_small_input(df, ("event_id",), max_bytes=1) is df
+def test_training_rows_with_missing_values_are_an_error_unless_dropped(spark):
+    rows = spark.createDataFrame([(1.0, None, 0), (2.0, 3.0, 1)], "a double, b double, label int")
+    with pytest.raises(ValueError, match="'b'"):
+        complete_rows(rows, ["a", "b"], "raise", "training")
+    kept, dropped = complete_rows(rows, ["a", "b"], "drop", "training")
+    assert (kept.count(), dropped) == (1, 1)
 
 
-def test_fixture_views_equal_with_and_without_spreading(spark):
-    for name in ("packets", "flows_raw", "scored"):
-        source = fx.VIEW_SOURCES[name]
-        plain = spark.sql(fx.view_sql(name, "spark"), **{source: read_table(spark, SF_SMALL, source)})
-        spread = fx.load_view(spark, SF_SMALL, name)
-        assert plain.exceptAll(spread).isEmpty() and spread.exceptAll(plain).isEmpty()
+def test_categories_have_no_default_bound(spark):
+    rows = spark.range(5_000).selectExpr("concat('v', id) AS name", "CAST(id % 2 AS INT) AS label")
+    assert len(fit_categories(rows)["name"]) == 5_000
+    with pytest.raises(ValueError, match="5000"):
+        fit_categories(rows, max_categories=1_000)
 
 
 def test_capture_window_bounds_reach_the_parquet_scan(spark, tmp_dir, packets):
