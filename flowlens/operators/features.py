@@ -104,14 +104,27 @@ def encode_categorical(
 def split_key(df: DataFrame, columns: list[str], seed: int = RANDOM_STATE) -> Column:
     """A per-row random key that depends only on the row's values and the seed.
 
-    With a row id the key hashes the id; otherwise the whole row (rows are
-    distinct after cleaning).  Membership is independent of partitioning and
+    With a row id the key hashes the id; otherwise the whole row.  Each value
+    carries its length, so different rows never build the same text and NULL
+    differs from every value.  Membership is independent of partitioning and
     row order.
     """
-    parts = [F.coalesce(col(c).cast("string"), F.lit(NULL_KEY)) for c in columns]
+    parts = []
+    for c in columns:
+        v = col(c).cast("string")
+        parts.append(F.coalesce(F.concat(F.length(v).cast("string"), F.lit(":"), v), F.lit("-")))
     return F.md5(F.concat_ws("|", F.lit(str(seed)), *parts))
 
 
+def ordered_key(df: DataFrame, columns: list[str], seed: int = RANDOM_STATE) -> Column:
+    """``split_key`` followed by the row's position, which tells repeated rows apart.
+
+    Only copies of one row can tie on the key, so which of them the position
+    picks does not change the rows of either side.
+    """
+    return F.concat(split_key(df, columns, seed), F.lpad(F.lower(F.hex(F.monotonically_increasing_id())), 16, "0"))
+
+
 def stratum_key(c: Column) -> Column:
     return F.coalesce(c.cast("string"), F.lit(NULL_KEY))
 
@@ -141,6 +154,7 @@ def test_sizes(class_counts: dict[str, int], test_size: float = TEST_SIZE) -> di
 
 
 HEX_PER_LEVEL = 3  # 4096 buckets per refinement level
+KEY_HEX = 48  # 32 of the hash, 16 of the position
 FINAL_BUCKET_ROWS = 50_000
 
 
@@ -152,7 +166,7 @@ def _pick_buckets(todo, prefix, by_s, level, final):
             if cum + n >= todo[s]:
                 todo[s] -= cum
                 prefix[s] = b
-                if n <= FINAL_BUCKET_ROWS or level >= 32:
+                if n <= FINAL_BUCKET_ROWS or level >= KEY_HEX:
                     final[s] = b
                 break
             cum += n
@@ -229,8 +243,11 @@ def assign_split(
     """Add ``split`` = 'train' | 'test' with exact class sizes.
 
     Test rows of each class are the ones with the smallest hash keys.  The
-    input is read by 2-3 passes (histogram rounds, boundary keys, output), so
-    by default it is checkpointed once into the shared checkpoint folder.
+    input is read by 2-3 passes (histogram rounds, boundary keys, output; more
+    only when one repeated row fills the boundary), so by default it is
+    checkpointed once into the shared checkpoint folder.  Pass
+    ``checkpoint=False`` only for stored input: repeated rows are told apart
+    by their position, which must be the same in each pass.
     """
     if checkpoint:
         df = cut_lineage(df)
@@ -239,7 +256,8 @@ def assign_split(
     # one job: per class and first-level key prefix, the row count; class
     # sizes are its sums, and it is the first round of the threshold search
     cls = stratum_key(col(target))
-    keyed_cls = df.select(cls.alias("_c"), split_key(df, key_columns, seed).alias("_u"))
+    ordered = df.withColumn("_u", ordered_key(df, key_columns, seed))
+    keyed_cls = ordered.select(cls.alias("_c"), "_u")
     hist = (
         keyed_cls.groupBy("_c", F.substring("_u", 1, HEX_PER_LEVEL).alias("b"))
         .agg(F.count(F.lit(1)).alias("n"))
@@ -260,17 +278,17 @@ def assign_split(
             merged[r["b"]] = merged.get(r["b"], 0) + int(r["n"])
         first["*"] = list(merged.items())
     stratum = cls if stratified else F.lit("*")
-    keyed = df.select(stratum.alias("_s"), split_key(df, key_columns, seed).alias("_u"))
+    keyed = ordered.select(stratum.alias("_s"), "_u")
     thresholds = kth_keys(keyed, tests, first_level=first)
     if thresholds:
         pairs = []
         for s, t in thresholds.items():
             pairs += [F.lit(s), F.lit(t)]
         cut = F.element_at(F.create_map(*pairs), stratum)
-        is_test = F.coalesce(split_key(df, key_columns, seed) <= cut, F.lit(False))
+        is_test = F.coalesce(F.col("_u") <= cut, F.lit(False))
     else:
         is_test = F.lit(False)
-    out = df.withColumn(split_col, F.when(is_test, F.lit("test")).otherwise(F.lit("train")))
+    out = ordered.withColumn(split_col, F.when(is_test, F.lit("test")).otherwise(F.lit("train"))).drop("_u")
     return out, SplitPlan(stratified, class_counts, tests, thresholds)
 
 
@@ -372,7 +390,7 @@ def prepare_data(
 ) -> Prepared:
     """E5: encode -> features/target -> exact split -> scaler fitted on train -> scale all."""
     if target not in df.columns:
-        raise KeyError(f"Target column '{target}' not found in dataframe.")
+        raise KeyError(f"cannot prepare data: no column {target!r} among {df.columns}")
     if checkpoint:
         # several passes follow (categories, split rounds, scaler): read the
         # de-duplicated table from the shared checkpoint folder, not its lineage

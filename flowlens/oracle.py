@@ -328,7 +328,7 @@ _DUMMIES = [(c, v) for c, vals in CATEGORIES.items() for v in vals[1:]]
 FEATURES = _NUMERIC_FEATURES + [f"{c}_{v}" for c, v in _DUMMIES]
 _DUMMY_SQL = ", ".join(f"CAST(coalesce({c} = '{v}', false) AS INTEGER) AS \"{c}_{v}\"" for c, v in _DUMMIES)
 _KEY_SQL = "md5(concat_ws('|', '42', " + ", ".join(
-    f"coalesce(CAST({c} AS VARCHAR), '\\N')" for c in _CLEAN_COLS
+    f"coalesce(CAST(length(CAST({c} AS VARCHAR)) AS VARCHAR) || ':' || CAST({c} AS VARCHAR), '-')" for c in _CLEAN_COLS
 ) + "))"
 
 _SPLIT_CTES = f"""

@@ -67,7 +67,7 @@ def load_artifacts(spark: SparkSession, path: str) -> Artifacts:
     base = path.rstrip("/")
     missing = [p for p in (f"{base}/model", f"{base}/meta") if not path_exists(spark, p)]
     if missing:
-        raise FileNotFoundError(f"Missing model artifact(s): {missing}. Run training first.")
+        raise FileNotFoundError(f"stored model incomplete, absent: {missing}")
     meta = json.loads(spark.read.json(f"{base}/meta").first()["meta"])
     model = MODEL_KINDS[meta["model_kind"]].load(f"{base}/model")
     scaler = Scaler(meta["feature_names"], meta["mean"], meta["scale"])
@@ -94,5 +94,5 @@ def save_report(spark: SparkSession, report: dict, path: str) -> str:
 
 def load_report(spark: SparkSession, path: str) -> dict:
     if not path_exists(spark, path):
-        raise FileNotFoundError(f"JSON file not found: {path}")
+        raise FileNotFoundError(f"no metrics report at {path}")
     return json.loads("".join(r["value"] for r in spark.read.text(path).collect()))

@@ -136,6 +136,21 @@ def test_split_refines_large_buckets(spark, monkeypatch):
     assert out.filter("split = 'test'").count() == 80
 
 
+@pytest.mark.parametrize("bucket", [50_000, 3])
+def test_split_is_exact_on_repeated_rows(spark, monkeypatch, bucket):
+    monkeypatch.setattr(fe, "FINAL_BUCKET_ROWS", bucket)
+    df = spark.createDataFrame([("a", 0)] * 100 + [("b", 1)] * 100, ["v", "label"]).repartition(4)
+    out, plan = fe.assign_split(df)
+    got = {(r.label, r.split): r["count"] for r in out.groupBy("label", "split").count().collect()}
+    assert got == {(0, "test"): 20, (0, "train"): 80, (1, "test"): 20, (1, "train"): 80}
+    assert out.columns == ["v", "label", "split"]
+
+
+def test_split_key_tells_rows_apart(spark):
+    df = spark.createDataFrame([("a|b", "c"), ("a", "b|c"), (None, "x"), ("\\N", "x"), ("-", "x"), ("", "x")], "p STRING, q STRING")
+    assert df.select(fe.split_key(df, ["p", "q"])).distinct().count() == 6
+
+
 def test_scaler_uses_population_std(spark):
     df = spark.createDataFrame([(1.0, 5.0), (2.0, 5.0), (3.0, 5.0), (None, 5.0)], ["a", "c"])
     sc = fe.fit_scaler(df, ["a", "c"])

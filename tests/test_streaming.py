@@ -160,7 +160,7 @@ def test_capped_stream_equals_batch(spark, packet_folder):
 def test_capture_cap_uses_group_limit(spark):
     pk = fx.packets(spark, SF_SMALL)
     plan = wn.capture_cap(pk)._jdf.queryExecution().executedPlan().toString()
-    assert "WindowGroupLimit" in plan or "AdaptiveSparkPlan" in plan
+    assert plan.count("WindowGroupLimit") >= 2  # a partial limit below the shuffle and the final one
 
 
 def test_stream_scoring(spark, packet_folder):
