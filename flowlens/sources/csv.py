@@ -11,6 +11,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from flowlens.constants import COLUMNS_TO_DROP, NA_TOKENS, NUMERIC_SHARE_THRESHOLD, TARGET
 from flowlens.functions.numeric import NUMERIC_PATTERN
@@ -26,6 +27,10 @@ from flowlens.operators.clean import (
 # fixed value: an integer literal as a CSV reader types it
 INTEGER_PATTERN = r"^\s*[+-]?[0-9]+\s*$"
 
+# fixed values: the words a CSV reader types as booleans
+BOOLEAN_WORDS = ("True", "TRUE", "true", "False", "FALSE", "false")
+
+MALFORMED = "_malformed_line"
 REPLACEMENT_CHAR = "�"
 
 
@@ -40,42 +45,98 @@ def _expand(paths: str | list[str]) -> list[str]:
         if any(ch in local for ch in "*?["):
             hits = glob.glob(local)
             if not hits:
-                raise FileNotFoundError(f"Dataset not found: {p}")
+                raise FileNotFoundError(f"no such CSV input: {p}")
             out.extend(hits)
         elif not os.path.exists(local):
-            raise FileNotFoundError(f"Dataset not found: {p}")
+            raise FileNotFoundError(f"no such CSV input: {p}")
         else:
             out.append(p)
     return out
 
 
-def _read(spark: SparkSession, paths: list[str], encoding: str) -> DataFrame:
+def _reader(spark: SparkSession, encoding: str, multi_line: bool):
     return (
-        spark.read.option("header", True)
-        .option("encoding", encoding)
-        .option("inferSchema", False)
+        spark.read.option("encoding", encoding)
         .option("mode", "PERMISSIVE")
-        .option("multiLine", False)
+        .option("escape", '"')  # a doubled quote inside a quoted value is one quote
+        .option("multiLine", multi_line)
+    )
+
+
+def unique_names(names: list[str]) -> list[str]:
+    """Repeated header names get ``.1``, ``.2`` ...; Spark ignores case in names, so this does too."""
+    taken = {n.lower() for n in names}
+    seen: dict[str, int] = {}
+    out = []
+    for n in names:
+        k = seen.get(n.lower(), 0)
+        seen[n.lower()] = k + 1
+        new = n
+        while k and new.lower() in taken:
+            new = f"{n}.{k}"
+            k += 1
+        taken.add(new.lower())
+        out.append(new)
+    return out
+
+
+def _read(spark: SparkSession, paths: list[str], encoding: str, multi_line: bool = False) -> DataFrame:
+    """All columns as text, plus ``MALFORMED`` with the whole line where a row has too many or too few values.
+
+    Values go by position, so every file must have the same header: Spark
+    compares them and fails on a difference.
+    """
+    names = _reader(spark, encoding, multi_line).option("header", True).csv(paths).columns
+    repeated = any(n.endswith(str(i)) for i, n in enumerate(names))
+    if repeated:  # Spark marks a repeated name by its position: see whether these are such names
+        first = _reader(spark, encoding, multi_line).option("header", False).csv(paths).first()
+        raw = [f"_c{i}" if v is None else v for i, v in enumerate(first)]
+        repeated = len({n.lower() for n in raw}) < len(raw) == len(names)
+        names = unique_names(raw) if repeated else names
+    if not names:
+        return spark.read.option("header", True).csv(paths)
+    schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, MALFORMED]])
+    return (
+        _reader(spark, encoding, multi_line)
+        .option("header", True)
+        .option("enforceSchema", repeated)  # names given by us are not those in the header
+        .option("columnNameOfCorruptRecord", MALFORMED)
+        .schema(schema)
         .csv(paths)
     )
 
 
+def _values(df: DataFrame) -> DataFrame:
+    return df.drop(MALFORMED)
+
+
+def _too_long(df: DataFrame):
+    """True for a line with more values than the header has names (a shorter one is filled with NULL)."""
+    commas = F.length(F.regexp_replace(col(MALFORMED), '(?s)"[^"]*"|[^,]', ""))
+    return F.coalesce(commas >= len(df.columns) - 1, F.lit(False))
+
+
+def _refuse_long(n: int, source) -> None:
+    if n:
+        raise ValueError(f"{n} lines of {source} hold more values than the header has names")
+
+
 def _bad_bytes(df: DataFrame):
     """True for a row where some value holds U+FFFD (bytes that were not UTF-8)."""
     bad = None
-    for c in df.columns:
+    for c in _values(df).columns:
         hit = F.coalesce(col(c).contains(REPLACEMENT_CHAR), F.lit(False))
         bad = hit if bad is None else (bad | hit)
     return bad
 
 
-def has_decoding_errors(df: DataFrame) -> bool:
-    """True when the header or any value holds U+FFFD (bytes that were not UTF-8)."""
-    if any(REPLACEMENT_CHAR in c for c in df.columns):
-        return True
-    if not df.columns:
-        return False
-    return not df.filter(_bad_bytes(df)).isEmpty()
+def _undecoded_header(df: DataFrame) -> bool:
+    return any(REPLACEMENT_CHAR in c for c in df.columns)
+
+
+def _checks(df: DataFrame) -> list:
+    """Aggregates of the read pass: any undecodable value, and the number of lines that are too long."""
+    return [F.max(_bad_bytes(df).cast("int")).alias("_bad"), F.count_if(_too_long(df)).alias("_long")]
 
 
 def na_tokens(df: DataFrame, tokens=NA_TOKENS) -> DataFrame:
@@ -99,6 +160,7 @@ def _type_counts(strings: list[str]) -> list:
             F.count(v).alias(f"p{i}"),
             F.count(F.when(v.rlike(INTEGER_PATTERN) & v.try_cast("long").isNotNull(), 1)).alias(f"i{i}"),
             F.count(F.when(v.rlike(NUMERIC_PATTERN), 1)).alias(f"d{i}"),
+            F.count_if(~F.coalesce(v.isin(*BOOLEAN_WORDS), F.lit(False))).alias(f"b{i}"),
         ]
     return aggs
 
@@ -106,7 +168,8 @@ def _type_counts(strings: list[str]) -> list:
 def infer_types(df: DataFrame, row=None) -> DataFrame:
     """Read-time typing of string columns, as a CSV reader infers it.
 
-    A column whose every present value is an integer becomes BIGINT; one
+    A column whose every value is a truth word becomes BOOLEAN; one
+    whose every present value is an integer becomes BIGINT; one
     whose every present value is a number (infinity included) becomes
     DOUBLE; an all-missing column becomes DOUBLE; anything else stays a
     string for the 90 % rule of the cleaning chain.  One aggregate job
@@ -122,6 +185,8 @@ def infer_types(df: DataFrame, row=None) -> DataFrame:
         present, ints, nums = row[f"p{i}"], row[f"i{i}"], row[f"d{i}"]
         if present == 0:
             kinds[c] = "double"
+        elif row[f"b{i}"] == 0:
+            kinds[c] = "boolean"
         elif ints == present:
             kinds[c] = "long"
         elif nums == present:
@@ -135,29 +200,36 @@ def load_csv(
     encoding: str = "utf-8",
     detect_encoding: bool = True,
     typed: bool = False,
+    multi_line: bool = False,
 ) -> DataFrame:
     """S1 + S2 + S3 + S5: read one or many CSV files with a header row, as strings.
 
     Missing path -> ``FileNotFoundError``; a file without a header (zero
-    bytes) -> ``ValueError``.  When UTF-8 decoding produced U+FFFD the files
+    bytes), a line with more values than the header, or files with different
+    headers -> an error.  When UTF-8 decoding produced U+FFFD the files
     are re-read as latin-1 (ISO-8859-1), which decodes any byte.
+    ``multi_line`` reads quoted values that hold line breaks; each file is
+    then one task, so it is off by default.
     """
     paths = _expand(source)
-    df = _read(spark, paths, encoding)
+    df = _read(spark, paths, encoding, multi_line)
     if not df.columns:
-        raise ValueError(f"CSV file is empty: {source}")
+        raise ValueError(f"no header line in {source}")
     if typed:
-        return _load_typed(spark, paths, encoding, detect_encoding, df)[0]
-    if _checks_encoding(encoding, detect_encoding) and has_decoding_errors(df):
-        df = _read(spark, paths, "ISO-8859-1")
-    return na_tokens(df)
+        return _load_typed(spark, paths, encoding, detect_encoding, df, multi_line)[0]
+    checks = _checks_encoding(encoding, detect_encoding)
+    found = df.agg(*_checks(df)).first()
+    _refuse_long(found["_long"], paths)
+    if checks and (_undecoded_header(df) or found["_bad"]):
+        df = _read(spark, paths, "ISO-8859-1", multi_line)
+    return na_tokens(_values(df))
 
 
 def _checks_encoding(encoding: str, detect_encoding: bool) -> bool:
     return detect_encoding and encoding.lower().replace("-", "") in ("utf8",)
 
 
-def _load_typed(spark: SparkSession, paths: list[str], encoding: str, detect_encoding: bool, df: DataFrame):
+def _load_typed(spark: SparkSession, paths: list[str], encoding: str, detect_encoding: bool, df: DataFrame, multi_line: bool = False):
     """Typed read in one aggregate pass; returns (typed frame, numeric shares).
 
     The pass answers three questions at once: any undecodable value (U+FFFD
@@ -168,20 +240,20 @@ def _load_typed(spark: SparkSession, paths: list[str], encoding: str, detect_enc
     pass (the rare path).
     """
     check = _checks_encoding(encoding, detect_encoding)
-    if check and any(REPLACEMENT_CHAR in c for c in df.columns):
-        df = _read(spark, paths, "ISO-8859-1")
+    if check and _undecoded_header(df):
+        df = _read(spark, paths, "ISO-8859-1", multi_line)
         check = False
+    strings = _values(df).columns
     for attempt in (0, 1):
-        nt = na_tokens(df)
-        strings = [f.name for f in nt.schema.fields if f.dataType.typeName() == "string"]
-        extra = [F.max(_bad_bytes(df).cast("int")).alias("_bad")] if check and df.columns else []
-        row = nt.agg(F.count(F.lit(1)).alias("_n"), *extra, *_type_counts(strings)).first()
+        row = na_tokens(df).agg(F.count(F.lit(1)).alias("_n"), *_checks(df), *_type_counts(strings)).first()
+        _refuse_long(row["_long"], paths)
         if check and row["_bad"] and attempt == 0:
-            df = _read(spark, paths, "ISO-8859-1")
-            check = False
+            df = _read(spark, paths, "ISO-8859-1", multi_line)
+            strings = _values(df).columns
             continue
         break
-    typed_df = infer_types(nt, row) if strings else nt
+    nt = na_tokens(_values(df))
+    typed_df = infer_types(nt, row)
     still_text = {f.name for f in typed_df.schema.fields if f.dataType.typeName() == "string"}
     n = row["_n"] or 0
     shares = {c: (row[f"d{i}"] / n if n else 0.0) for i, c in enumerate(strings) if c in still_text}
@@ -219,7 +291,7 @@ def load_dataset(
         paths = _expand(source)
         df = _read(spark, paths, "utf-8")
         if not df.columns:
-            raise ValueError(f"CSV file is empty: {source}")
+            raise ValueError(f"no header line in {source}")
         raw, shares = _load_typed(spark, paths, "utf-8", True, df)
         cleaned, result = clean_dataframe(raw, coerce_columns=_columns_to_coerce(raw, shares))
     if save_processed:

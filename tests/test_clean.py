@@ -181,3 +181,39 @@ def test_several_csv_files_read_as_one(spark, tmp_dir):
     b = _write(os.path.join(tmp_dir, "b.csv"), b"x,label\n3,0\n")
     assert csvsrc.load_csv(spark, [a, b]).count() == 3  # S5
     assert csvsrc.load_csv(spark, os.path.join(tmp_dir, "*.csv")).count() == 3
+
+
+def test_csv_quotes_and_line_breaks(spark, tmp_dir):
+    path = _write(os.path.join(tmp_dir, "quoted.csv"), b'a,b,label\n"x ""y"" z","p,q",0\nu,"l1\nl2",1\n')
+    rows = csvsrc.load_csv(spark, path, multi_line=True).orderBy("label").collect()
+    assert [tuple(r) for r in rows] == [('x "y" z', "p,q", "0"), ("u", "l1\nl2", "1")]
+
+
+def test_csv_long_rows_raise_and_short_rows_fill(spark, tmp_dir):
+    long = _write(os.path.join(tmp_dir, "long.csv"), b'a,b\n1,0\n1,,9\n"x,y",2\n')
+    for typed in (False, True):
+        with pytest.raises(ValueError, match="1 lines"):
+            csvsrc.load_csv(spark, long, typed=typed)
+    short = _write(os.path.join(tmp_dir, "short.csv"), b'a,b,c\n1,0\n2,"3,4",5\n')
+    assert [tuple(r) for r in csvsrc.load_csv(spark, short).orderBy("a").collect()] == [("1", "0", None), ("2", "3,4", "5")]
+
+
+def test_csv_files_with_different_headers_raise(spark, tmp_dir):
+    a = _write(os.path.join(tmp_dir, "h1.csv"), b"a,label\n1,0\n")
+    b = _write(os.path.join(tmp_dir, "h2.csv"), b"label,a\n1,20\n")
+    with pytest.raises(Exception, match="header"):
+        csvsrc.load_csv(spark, [a, b]).collect()
+
+
+def test_csv_repeated_header_names(spark, tmp_dir):
+    path = _write(os.path.join(tmp_dir, "rep.csv"), b"len,x1,len,label,len\n1,2,3,0,5\n")
+    out = csvsrc.load_csv(spark, path)
+    assert out.columns == ["len", "x1", "len.1", "label", "len.2"]
+    assert tuple(out.first()) == ("1", "2", "3", "0", "5")
+    plain = _write(os.path.join(tmp_dir, "plain.csv"), b"c0,c1\n1,2\n")
+    assert csvsrc.load_csv(spark, plain).columns == ["c0", "c1"]
+
+
+def test_csv_truth_words_are_booleans(spark, tmp_dir):
+    path = _write(os.path.join(tmp_dir, "bool.csv"), b"f,g,label\nTrue,true,0\nFalse,,1\n")
+    assert dict(csvsrc.load_csv(spark, path, typed=True).dtypes) == {"f": "boolean", "g": "string", "label": "bigint"}
