@@ -34,12 +34,19 @@ class ScoreResult:
     has_labels: bool
 
 
-def attack_probability(model, pred: DataFrame) -> DataFrame:
-    """Probability of class 1 (else the last class), half-even to 4 places."""
+def attack_probability(model, pred: DataFrame, classes: list[int] | None = None) -> DataFrame:
+    """Probability of class 1 (else the last class), half-even to 4 places.
+
+    ``classes``: the class values seen in training; the model alone cannot
+    tell, since its vector has a place for every number up to the largest.
+    """
     if "probability" not in pred.columns:
         return pred
     n_classes = getattr(model, "numClasses", 2)
-    idx = 1 if n_classes > 1 else n_classes - 1
+    if classes:
+        idx = min(1 if 1 in classes else max(classes), n_classes - 1)
+    else:
+        idx = 1 if n_classes > 1 else n_classes - 1
     return pred.withColumn(
         "attack_probability", F.bround(vector_to_array(F.col("probability"))[idx], PROBABILITY_DIGITS)
     )
@@ -88,7 +95,7 @@ def _predictions(cleaned: DataFrame, art: Artifacts, has_labels: bool, on_missin
         aligned = aligned.withColumn("_complete", complete if complete is not None else F.lit(True))
     scaled = fe.apply_scaler(aligned, art.scaler)
     pred = mo.predict(art.model, mo.assemble(scaled, art.feature_names, "keep" if on_missing == "null" else "error"))
-    pred = attack_probability(art.model, pred)
+    pred = attack_probability(art.model, pred, art.classes)
     if on_missing == "null":
         pred = pred.withColumn("prediction", F.when(F.col("_complete"), F.col("prediction")))
         if "attack_probability" in pred.columns:
@@ -130,13 +137,23 @@ def score_features(df: DataFrame, art: Artifacts) -> DataFrame:
 
 
 def score(
-    df: DataFrame, art: Artifacts, output_path: str | None = None, fmt: str = "csv", on_missing: str = "error"
+    df: DataFrame,
+    art: Artifacts,
+    output_path: str | None = None,
+    fmt: str = "csv",
+    on_missing: str = "error",
+    row_id: str | None = None,
 ) -> ScoreResult:
     """Score a raw batch (with or without a target column).
 
     Cleaning is the training chain (with the trained numeric columns, so no
     share job); everything after the de-duplication shuffle is one stage.
+    ``row_id`` names the column that identifies the input's rows (a
+    ``row_id`` column needs no naming); it is no feature, passes through to
+    the verdicts and the sink, and of equal rows the smallest one stays.
     """
+    if row_id is not None and row_id != ROW_ID:
+        df = df.select(col(row_id).alias(ROW_ID), *[col(c) for c in df.columns if c not in (row_id, ROW_ID)])
     cleaned, has_labels, _ = clean_for_inference(df, art.target, coerce_columns=_string_numeric(df, art))
     out, missing, extra = _predictions(cleaned, art, has_labels, on_missing)
     if output_path:

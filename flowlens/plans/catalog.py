@@ -316,7 +316,7 @@ def _score_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = trained_flows(spark, sf_dir)
     art = load_artifacts(spark, t.artifacts_path)
     # every row is kept; rows with a missing feature value get a NULL verdict (Q5)
-    return score(fx.flows_raw(spark, sf_dir), art, on_missing="null").predictions
+    return score(fx.flows_raw(spark, sf_dir), art, on_missing="null", row_id="id").predictions
 
 
 def _detect_traffic(spark: SparkSession, sf_dir: str) -> DataFrame:

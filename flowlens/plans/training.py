@@ -15,7 +15,7 @@ from flowlens.constants import MODEL_ORDER, TARGET
 from flowlens.operators import features as fe
 from flowlens.operators import metrics as me
 from flowlens.operators import models as mo
-from flowlens.operators.clean import clean_dataframe
+from flowlens.operators.clean import binarize_label, clean_dataframe
 from flowlens.session import scratch_path
 from flowlens.sources.artifacts import Artifacts, load_artifacts, save_artifacts, save_report
 
@@ -55,16 +55,22 @@ def train(
     overrides: dict | None = None,
     only: tuple[str, ...] = MODEL_ORDER,
     on_missing: str = "raise",
+    negative_label: str | None = None,
 ) -> Trained:
     """Train from a raw flow table.  Missing feature values are an error (Q5) unless ``on_missing="drop"`` leaves those
-    rows out, whose counts are then in ``dropped``."""
+    rows out, whose counts are then in ``dropped``.  With text labels pass the ``negative_label`` (``"BENIGN"`` in the CIC
+    layout): it becomes class 0 and every other label class 1."""
     cleaned, res = clean_dataframe(raw, target)
+    if negative_label is not None:
+        cleaned = binarize_label(cleaned, target, negative_label)
     prep = fe.prepare_data(cleaned, target)
     numeric = [c for c in cleaned.columns if c != target and c not in prep.categories]
     tr, train_dropped = complete_rows(prep.train, prep.features, on_missing, "training")
     te, test_dropped = complete_rows(prep.test, prep.features, on_missing, "test")
     result = mo.train_and_select(tr, te, prep.features, target, overrides=overrides, only=only)
-    art = Artifacts(result.best_model, result.best_name, prep.features, prep.categories, prep.scaler, numeric, target)
+    counts, tests = prep.split.class_counts, prep.split.test_counts
+    classes = sorted(int(float(k)) for k, n in counts.items() if k != fe.NULL_KEY and n > tests.get(k, 0))
+    art = Artifacts(result.best_model, result.best_name, prep.features, prep.categories, prep.scaler, numeric, target, classes)
     path = save_artifacts(spark, art, artifacts_path or scratch_path(spark, "artifacts"))
     return Trained(prep, result, path, numeric, {"train": train_dropped, "test": test_dropped}, tr, te)
 
@@ -89,5 +95,6 @@ def model_predictions(trained: Trained, name: str, target: str = TARGET) -> Data
 
     model = trained.result.models[name]
     pred = mo.predict(model, mo.assemble(trained.test, trained.prepared.features))
-    pred = attack_probability(model, pred)
+    counts = trained.prepared.split.class_counts
+    pred = attack_probability(model, pred, [int(float(k)) for k in counts if k != fe.NULL_KEY])
     return pred.select(F.col(target).alias("true_label"), "prediction", "attack_probability")

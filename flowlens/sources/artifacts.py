@@ -35,6 +35,7 @@ class Artifacts:
     scaler: Scaler
     numeric_columns: list[str]
     target: str = "label"
+    classes: list[int] | None = None  # class values seen in training
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:
@@ -57,6 +58,7 @@ def save_artifacts(spark: SparkSession, art: Artifacts, path: str) -> str:
         "scale": art.scaler.scale,
         "numeric_columns": art.numeric_columns,
         "target": art.target,
+        "classes": art.classes,
     }
     spark.createDataFrame([(json.dumps(meta),)], "meta STRING").coalesce(1).write.mode("overwrite").json(f"{base}/meta")
     return base
@@ -72,7 +74,8 @@ def load_artifacts(spark: SparkSession, path: str) -> Artifacts:
     model = MODEL_KINDS[meta["model_kind"]].load(f"{base}/model")
     scaler = Scaler(meta["feature_names"], meta["mean"], meta["scale"])
     return Artifacts(
-        model, meta["model_name"], meta["feature_names"], meta["categories"], scaler, meta["numeric_columns"], meta["target"]
+        model, meta["model_name"], meta["feature_names"], meta["categories"], scaler, meta["numeric_columns"], meta["target"],
+        meta.get("classes"),
     )
 
 

@@ -6,9 +6,6 @@ typing is decided later by the cleaning chain's numeric-share job.
 
 from __future__ import annotations
 
-import glob
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -34,23 +31,17 @@ MALFORMED = "_malformed_line"
 REPLACEMENT_CHAR = "�"
 
 
-def _expand(paths: str | list[str]) -> list[str]:
+def _expand(spark: SparkSession, paths: str | list[str]) -> list[str]:
+    """The paths with patterns resolved by the file system that holds them (local, HDFS or object store)."""
     items = [paths] if isinstance(paths, str) else list(paths)
     out: list[str] = []
+    conf = spark._jsc.hadoopConfiguration()
     for p in items:
-        if "://" in p and not p.startswith("file://"):
-            out.append(p)  # remote store: existence is checked by the reader
-            continue
-        local = p[len("file://"):] if p.startswith("file://") else p
-        if any(ch in local for ch in "*?["):
-            hits = glob.glob(local)
-            if not hits:
-                raise FileNotFoundError(f"no such CSV input: {p}")
-            out.extend(hits)
-        elif not os.path.exists(local):
+        path = spark._jvm.org.apache.hadoop.fs.Path(p)
+        hits = path.getFileSystem(conf).globStatus(path)
+        if not hits:
             raise FileNotFoundError(f"no such CSV input: {p}")
-        else:
-            out.append(p)
+        out.extend(h.getPath().toString() for h in hits)
     return out
 
 
@@ -211,7 +202,7 @@ def load_csv(
     ``multi_line`` reads quoted values that hold line breaks; each file is
     then one task, so it is off by default.
     """
-    paths = _expand(source)
+    paths = _expand(spark, source)
     df = _read(spark, paths, encoding, multi_line)
     if not df.columns:
         raise ValueError(f"no header line in {source}")
@@ -288,7 +279,7 @@ def load_dataset(
     if isinstance(source, DataFrame):
         cleaned, result = clean_dataframe(source)
     else:
-        paths = _expand(source)
+        paths = _expand(spark, source)
         df = _read(spark, paths, "utf-8")
         if not df.columns:
             raise ValueError(f"no header line in {source}")

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import dataclasses
 import os
+import tempfile
 
 import pytest
 from pyspark.sql import functions as F
 
 from flowlens.constants import STATUS_EMPTY, STATUS_INCOMPATIBLE, STATUS_MISSING_MODEL, STATUS_SUCCESS
-from flowlens.operators.score import score, score_features
+from flowlens.operators.score import attack_probability, score, score_features
 from flowlens.plans.live import run_live_detection
 from flowlens.plans.training import evaluate_model, train
 from flowlens.sources.artifacts import load_artifacts, load_report, write_predictions
@@ -148,3 +149,27 @@ def test_fail_mode_checks_missing_values_inside_the_scoring_pass(spark, trained)
     ok = score(spark.createDataFrame(SMOKE_ROWS, SMOKE_SCHEMA), art, on_missing="fail").predictions
     ref = score(spark.createDataFrame(SMOKE_ROWS, SMOKE_SCHEMA), art).predictions
     assert sorted(ok.collect()) == sorted(ref.collect())
+
+
+def test_probability_picks_the_class_seen_in_training(spark):
+    from pyspark.ml.linalg import Vectors
+
+    class Fitted:
+        numClasses = 3
+
+    pred = spark.createDataFrame([(Vectors.dense([0.25, 0.0, 0.75]),)], ["probability"])
+    assert attack_probability(Fitted, pred, [0, 2]).first()["attack_probability"] == 0.75
+    assert attack_probability(Fitted, pred, [0, 1, 2]).first()["attack_probability"] == 0.0
+    assert attack_probability(Fitted, pred, [0]).first()["attack_probability"] == 0.25
+
+
+def test_text_labels_train_and_score_with_row_identity(spark):
+    rows = [(1000 + i, float(i), float(i % 7), "BENIGN" if i < 30 else ("DDoS" if i % 2 else "PortScan")) for i in range(60)]
+    raw = spark.createDataFrame(rows + [(5000, 0.0, 0.0, "BENIGN")], ["flow_no", "Flow Duration", "Total Fwd Packets", "Label"])
+    t = train(spark, raw.drop("flow_no"), artifacts_path=tempfile.mkdtemp(prefix="flowlens-art-"), only=("Decision Tree",),
+              negative_label="BENIGN")
+    art = load_artifacts(spark, t.artifacts_path)
+    assert art.classes == [0, 1]
+    got = score(raw.drop("Label"), art, row_id="flow_no").predictions.collect()
+    assert sorted(r["row_id"] for r in got) == [1000 + i for i in range(60)]  # the repeated row keeps its smallest id
+    assert sum(r["prediction"] == (r["row_id"] >= 1030) for r in got) >= 55
