@@ -69,9 +69,11 @@ def probability_histogram(df: DataFrame, probability: str = "attack_probability"
     """
     p = col(probability)
     vals = df.select(p.cast("double").alias("p")).filter(F.col("p").isNotNull() & ~F.isnan("p"))
-    stats = vals.agg(F.min("p").alias("mn"), F.max("p").alias("mx"))
-    mn = stats.select("mn").scalar()
-    mx = stats.select("mx").scalar()
+    low, high = vals.agg(F.min("p"), F.max("p")).first()  # one row; the bounds are literals of the counting pass
+    if low is None:
+        return df.sparkSession.createDataFrame([], "bin INT, bin_lo DOUBLE, bin_hi DOUBLE, count BIGINT")
+    n_bins = bins if high > low else 1
+    mn, mx = F.lit(low), F.lit(high)
     width = mx - mn
     step = width / F.lit(float(bins))
     # bin index as a histogram over linspace edges assigns it: scaled index,
@@ -84,20 +86,12 @@ def probability_histogram(df: DataFrame, probability: str = "attack_probability"
         .when((b0 != bins - 1) & (F.col("p") >= hi_edge), b0 + 1)
         .otherwise(b0)
     )
-    b = F.when(width > 0, adjusted).otherwise(F.lit(0)).cast("int")
-    counts = vals.groupBy(b.alias("bin")).agg(F.count(F.lit(1)).alias("count"))
-    n_bins = F.when(F.col("mx") > F.col("mn"), F.lit(bins)).otherwise(F.lit(1))
-    grid = stats.filter(F.col("mn").isNotNull()).select(
-        F.explode(F.sequence(F.lit(0), n_bins - 1)).alias("bin"), "mn", "mx"
-    )
-    step = (F.col("mx") - F.col("mn")) / F.lit(float(bins))
-    edges = grid.select(
-        "bin",
-        (F.col("mn") + F.col("bin") * step).alias("bin_lo"),
-        F.when(F.col("bin") == bins - 1, F.col("mx"))
-        .when(F.col("mx") == F.col("mn"), F.col("mx"))
-        .otherwise(F.col("mn") + (F.col("bin") + 1) * step)
-        .alias("bin_hi"),
+    b = (adjusted if n_bins > 1 else F.lit(0)).cast("int")
+    counts = vals.select(b.alias("bin")).groupBy("bin").agg(F.count(F.lit(1)).alias("count"))
+    edges = df.sparkSession.range(n_bins).select(
+        F.col("id").cast("int").alias("bin"),
+        (mn + F.col("id") * step).alias("bin_lo"),
+        F.when(F.col("id") == n_bins - 1, mx).otherwise(mn + (F.col("id") + 1) * step).alias("bin_hi"),
     )
     return edges.join(counts, "bin", "left").select(
         "bin", "bin_lo", "bin_hi", F.coalesce("count", F.lit(0)).cast("long").alias("count")
@@ -214,15 +208,14 @@ def per_class_metrics(df: DataFrame, truth: str = "true_label", prediction: str
     denominator gives 0 (``zero_division=0``).  Unrounded.
     """
     pc = pair_counts(df, truth, prediction)
-    by_truth = pc.groupBy(F.col("t").alias("class")).agg(
-        F.sum("n").alias("support"), F.sum(F.when(F.col("t") == F.col("p"), F.col("n"))).alias("tp")
+    none = F.lit(0).cast("long")
+    hit = F.when(F.col("t") == F.col("p"), F.col("n")).otherwise(none)
+    sides = F.array(
+        F.struct(F.col("t").alias("class"), F.col("n").alias("support"), none.alias("predicted"), hit.alias("tp")),
+        F.struct(F.col("p").alias("class"), none.alias("support"), F.col("n").alias("predicted"), none.alias("tp")),
     )
-    by_pred = pc.groupBy(F.col("p").alias("class")).agg(F.sum("n").alias("predicted"))
-    m = by_truth.join(by_pred, "class", "full_outer").select(
-        "class",
-        F.coalesce("support", F.lit(0)).cast("long").alias("support"),
-        F.coalesce("predicted", F.lit(0)).cast("long").alias("predicted"),
-        F.coalesce("tp", F.lit(0)).cast("long").alias("tp"),
+    m = pc.select(F.inline(sides)).groupBy("class").agg(
+        *[F.sum(c).cast("long").alias(c) for c in ("support", "predicted", "tp")]
     )
     precision = F.when(F.col("predicted") > 0, F.col("tp") / F.col("predicted")).otherwise(F.lit(0.0))
     recall = F.when(F.col("support") > 0, F.col("tp") / F.col("support")).otherwise(F.lit(0.0))
@@ -246,43 +239,37 @@ def weighted_metrics(df: DataFrame, truth: str = "true_label", prediction: str =
 def classification_report(
     df: DataFrame, truth: str = "true_label", prediction: str = "prediction", digits: int = 4
 ) -> DataFrame:
-    """Per-class rows, then ``accuracy``, ``macro avg`` and ``weighted avg``.
+    """Per-class rows and the rows ``accuracy``, ``macro avg`` and ``weighted avg``.
 
     The accuracy row carries the accuracy in ``f1_score`` and the total in
-    ``support`` (the text-report layout).
+    ``support`` (the text-report layout).  A rollup over the classes gives the
+    class rows and the overall one together: one scan of the scored table.
+    An empty table gives no rows.
     """
     m = per_class_metrics(df, truth, prediction)
-    r = lambda c: F.bround(c, digits)
-    classes = m.select(
-        F.col("class").cast("string").alias("class"),
-        r(F.col("precision")).alias("precision"),
-        r(F.col("recall")).alias("recall"),
-        r(F.col("f1_score")).alias("f1_score"),
-        F.col("support").cast("long").alias("support"),
-    )
+    scores = ("precision", "recall", "f1_score")
     total = F.sum("support")
-    acc = m.agg(
-        F.lit("accuracy").alias("class"),
-        F.lit(None).cast("double").alias("precision"),
-        F.lit(None).cast("double").alias("recall"),
-        r(F.sum("tp") / total).alias("f1_score"),
-        total.cast("long").alias("support"),
-    )
-    macro = m.agg(
-        F.lit("macro avg").alias("class"),
-        r(F.avg("precision")).alias("precision"),
-        r(F.avg("recall")).alias("recall"),
-        r(F.avg("f1_score")).alias("f1_score"),
+    every = m.rollup("class").agg(
+        F.grouping("class").alias("overall"),
         total.cast("long").alias("support"),
+        (F.sum("tp") / total).alias("accuracy"),
+        *[F.avg(c).alias(c) for c in scores],
+        *[(F.sum(F.col(c) * F.col("support")) / total).alias(f"weighted_{c}") for c in scores],
     )
-    weighted = m.agg(
-        F.lit("weighted avg").alias("class"),
-        r(F.sum(F.col("precision") * F.col("support")) / total).alias("precision"),
-        r(F.sum(F.col("recall") * F.col("support")) / total).alias("recall"),
-        r(F.sum(F.col("f1_score") * F.col("support")) / total).alias("f1_score"),
-        total.cast("long").alias("support"),
+
+    def line(name, *values):
+        rounded = [F.bround(v, digits).cast("double").alias(c) for v, c in zip(values, scores)]
+        return F.struct(name.cast("string").alias("class"), *rounded, F.col("support").alias("support"))
+
+    means = [F.col(c) for c in scores]
+    lines = F.when(F.col("overall") == 0, F.array(line(F.col("class"), *means))).otherwise(
+        F.array(
+            line(F.lit("accuracy"), F.lit(None).cast("double"), F.lit(None).cast("double"), F.col("accuracy")),
+            line(F.lit("macro avg"), *means),
+            line(F.lit("weighted avg"), *[F.col(f"weighted_{c}") for c in scores]),
+        )
     )
-    return classes.unionByName(acc).unionByName(macro).unionByName(weighted)
+    return every.select(F.inline(lines))
 
 
 def evaluation_report(df: DataFrame, truth: str = "true_label", prediction: str = "prediction") -> dict:

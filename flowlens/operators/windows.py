@@ -56,27 +56,47 @@ def _window_features(stats: DataFrame) -> DataFrame:
     )
 
 
-def session_flows(packets: DataFrame, gap_s: float = 2.0) -> DataFrame:
+def session_flows(packets: DataFrame, gap_s: float = 2.0, chunk_s: float = 86_400.0) -> DataFrame:
     """W2 batch twin: a flow's packets split where the idle gap reaches ``gap_s``.
 
     Same boundaries as ``session_window``: a packet joins the session when
     it arrives before ``last packet + gap``; the session ends at last + gap.
+    Sessions are found inside chunks of ``chunk_s`` of a flow, so a long flow
+    is spread over tasks; then one row per chunk decides which sessions go on
+    into the next chunk.  The chunk length does not change the result.
     """
     gap = int(round(gap_s * MICROS))
+    chunk = gap * max(1, int(chunk_s * MICROS) // gap)
+    key = list(fl.FLOW_KEY)
     p = packets.withColumn("ts_us", fl.packet_time_us(packets))
     buckets = fl.flow_stats(p, window_start_us(F.col("ts_us"), gap).alias("_bucket"))
-    w = Window.partitionBy(*fl.FLOW_KEY).orderBy("_bucket")
-    starts = buckets.withColumn(
-        "_new",
-        F.when(F.lag("end_us").over(w).isNull(), 1)
-        .when(F.col("start_us") - F.lag("end_us").over(w) >= F.lit(gap), 1)
-        .otherwise(0),
-    ).withColumn("_session", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    sessions = starts.groupBy(*fl.FLOW_KEY, "_session").agg(*fl.merged_aggregates())
+    buckets = buckets.withColumn("_chunk", F.floor(F.col("_bucket") / F.lit(chunk)))
+    w = Window.partitionBy(*key, "_chunk").orderBy("_bucket")
+    idle = F.col("start_us") - F.lag("end_us").over(w) >= F.lit(gap)
+    starts = buckets.withColumn("_new", F.when(F.coalesce(idle, F.lit(True)), 1).otherwise(0))
+    starts = starts.withColumn("_nth", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    parts = starts.groupBy(*key, "_chunk", "_nth").agg(*fl.merged_aggregates())
+    # per chunk: whether its first session continues the last one before it, and the chunk where its own last one began
+    chunks = parts.groupBy(*key, "_chunk").agg(
+        F.min("start_us").alias("_from"), F.max("end_us").alias("_to"), F.max("_nth").alias("_last")
+    )
+    c = Window.partitionBy(*key).orderBy("_chunk")
+    chunks = chunks.withColumn("_goes_on", F.coalesce(F.col("_from") - F.lag("_to").over(c) < F.lit(gap), F.lit(False)))
+    began = F.when(F.col("_goes_on") & (F.col("_last") == 1), None).otherwise(F.col("_chunk"))
+    chunks = chunks.withColumn("_tail", F.max(began).over(c.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    chunks = chunks.withColumn("_before", F.lag("_tail").over(c)).drop("_from", "_to")
+    same = [F.col(f"p.{k}").eqNullSafe(F.col(f"c.{k}")) for k in [*key, "_chunk"]]
+    joined = parts.alias("p").join(chunks.alias("c"), same).select("p.*", "c._last", "c._goes_on", "c._tail", "c._before")
+    opens = F.col("_goes_on") & (F.col("_nth") == 1)
+    tail = opens | (F.col("_nth") == F.col("_last"))  # a session that may cross chunks is named by where it began
+    named = joined.withColumn(
+        "_owner", F.when(opens, F.col("_before")).when(tail, F.col("_tail")).otherwise(F.col("_chunk"))
+    ).withColumn("_session", F.when(tail, F.lit(0)).otherwise(F.col("_nth")))
+    sessions = named.groupBy(*key, "_owner", "_session").agg(*fl.merged_aggregates())
     sessions = sessions.withColumn("session_start_us", F.col("start_us")).withColumn(
         "session_end_us", F.col("end_us") + F.lit(gap)
     )
-    return _window_features(sessions.drop("_session"))
+    return _window_features(sessions.drop("_owner", "_session"))
 
 
 def capture_cap(

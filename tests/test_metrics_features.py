@@ -146,6 +146,18 @@ def test_split_is_exact_on_repeated_rows(spark, monkeypatch, bucket):
     assert out.columns == ["v", "label", "split"]
 
 
+def test_report_and_class_weights_scan_once(spark, tmp_dir):
+    path = f"{tmp_dir}/scored-once"
+    spark.createDataFrame([(i, i % 2, i % 3 % 2, 0.5) for i in range(50)], SCORED).write.parquet(path)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        df = spark.read.parquet(path)
+        for out in (me.classification_report(df), me.weighted_metrics(df), me.class_weight_table(df, "true_label")):
+            assert out._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
 def test_split_key_tells_rows_apart(spark):
     df = spark.createDataFrame([("a|b", "c"), ("a", "b|c"), (None, "x"), ("\\N", "x"), ("-", "x"), ("", "x")], "p STRING, q STRING")
     assert df.select(fe.split_key(df, ["p", "q"])).distinct().count() == 6

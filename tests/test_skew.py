@@ -12,6 +12,8 @@ from collections import defaultdict
 
 from flowlens.operators import clean as cl
 from flowlens.operators import flows as fl
+import pytest
+
 from flowlens.operators.windows import session_flows, tumbling_flows
 
 HOT = ("192.168.1.10", "10.0.0.1", 49152, 80)
@@ -76,7 +78,8 @@ def test_hot_flow_tumbling_windows_match_brute_force(packets):
     assert "partial_" in _plan(df)
 
 
-def test_hot_flow_sessions_match_brute_force(packets):
+@pytest.mark.parametrize("chunk_s", [86_400.0, 30.0, GAP_US / 1e6])
+def test_hot_flow_sessions_match_brute_force(packets, chunk_s):
     rows = _packets()
     by_key: dict[tuple, list[int]] = defaultdict(list)
     for r in rows:
@@ -93,7 +96,7 @@ def test_hot_flow_sessions_match_brute_force(packets):
             n += 1
             prev = t
         expect[(key, start, prev + GAP_US)] = n
-    df = session_flows(_partitioned(packets, rows), gap_s=GAP_US / 1e6)
+    df = session_flows(_partitioned(packets, rows), gap_s=GAP_US / 1e6, chunk_s=chunk_s)
     got = {
         ((r.src_ip, r.dst_ip, r.src_port, r.dst_port, r.protocol_type), r.session_start_us, r.session_end_us): r.total_pkts
         for r in df.collect()
