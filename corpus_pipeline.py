@@ -21,7 +21,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 @shipped
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return linededup.cleaned(docs)
+    return linededup.cleaned(docs, linededup.WORD_EDITS)
 
 
 @shipped

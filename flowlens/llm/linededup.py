@@ -1,16 +1,19 @@
 """Line de-duplication by a segment-partition edit join.
 
 A line of at least MIN_CHARS characters goes when an earlier line of the corpus (by doc_id, text hash, line number) is
-equal or within EDITS edits.  Equal lines are found by a 128-bit hash.  For the rest, each distinct line is split into
-EDITS + 1 segments: two lines within EDITS edits share at least one, and only at the places and between the lengths
-that the number of edits allows, so each line looks up a fixed number of its substrings, named by (length, segment).
-Lines that share such a name are checked by edit distance, computed in a band of 2 EDITS + 1 diagonals with one machine
-word for each pair and many pairs side by side.
-
-The names are 64-bit rolling hashes (a false one costs a check, never a result).  They are summed up by name first, with
-partial sums, so equal lines cost one row and only names that two different lines share are looked up again.  A name
-shared by very many lines is split into blocks; checked pairs are not collected, only the later line of each.  Tables
-that grow with the input are joined by sort-merge whatever their size, so the plan is the same at every scale.
+equal or within EDITS edits.  Equal lines are found by a 128-bit hash.  For the rest, each distinct line has EDITS + 1
+disjoint segments, whose size its length class gives: the first half of them counted from its start, the others from its
+end.  Of two lines within EDITS edits, some segment i of the shorter one stands in the other with no edit in it, at most
+i before it and at most EDITS - i after it (the first i with at most i edits up to its end).  So each line looks up, named
+by (class, segment), the substrings at most that far from its own segments; a line whose length is less than EDITS above
+its class's least looks up those of the class before, too.  That is 13 names for 4 edits.  Lines that share such a name
+are checked by edit distance, computed in a band of 2 EDITS + 1 diagonals with one machine word for each pair and many
+pairs side by side.
+
+The names are 64-bit rolling hashes (a false one costs a check, never a result).  A task names equal lines once; the
+names are dealt out once, and only those that two different lines share are kept.  A name shared by very many lines is
+split into blocks; checked pairs are not collected, only the later line of each.  Tables that grow with the input are
+joined by sort-merge whatever their size, so the plan is the same at every scale.
 
 Defined cases: null and empty texts have no lines to drop and stay as they are; shorter lines are never dropped; rows
 that share doc_id and text are one document and get one result; null doc_ids come last; a document that loses lines and
@@ -24,7 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -32,9 +35,11 @@ from flowlens.llm.common import bucket_blocks, run_pairs, runs, written
 from flowlens.llm.textwords import mix
 
 EDITS = 1
+WORD_EDITS = 4  # of the registered query and the pipeline: covers the change of a short word or of a number
 MIN_CHARS = 20
 BLOCK = 512
 PIECE = 1 << 18  # characters hashed at a time
+SEEN = 1 << 20  # lines that a task remembers as named
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _LOW = mix(np.arange(1, 0x3001, dtype=np.uint64) * np.uint64(_BASE))
@@ -68,43 +73,70 @@ class Rolling:
         return (self.sums[at + size] - self.sums[at]) * self.back[start]
 
 
-def segment(length: np.ndarray, i: int, edits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Start and size of segment i of a line cut into edits + 1 nearly equal ones (the longer ones last)."""
-    n = edits + 1
-    small, more = length // n, length % n
-    return i * small + np.maximum(0, i - (n - more)), small + (i >= n - more)
+def classes(least: int, most: int, edits: int) -> np.ndarray:
+    """Least lengths of the length classes up to ``most`` and of the one after; each is at least edits + 1 wide."""
+    low = [least]
+    while low[-1] <= most:
+        low.append(max(low[-1] + edits + 1, low[-1] * 5 // 4))
+    return np.array(low, np.int64)
 
 
 def names(lines: list[str], edits: int = EDITS, least: int = MIN_CHARS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(line, name, side): side 0 names the line's own segments, side 1 the substrings it looks up."""
     rolling = Rolling(lines)
+    low = classes(least, int(rolling.size.max()) if lines else 0, edits)
+    which = (rolling.size >= least).nonzero()[0]
+    place = np.searchsorted(low, rolling.size[which], "right") - 1
+    above = (place > 0) & (rolling.size[which] < low[place] + edits)  # may be near a line of the class before
+    first = np.concatenate([np.zeros(len(which), np.int8), np.ones(int(above.sum()), np.int8)])
+    which, place = np.concatenate([which, which[above]]), np.concatenate([place, place[above] - 1])
+    length, size = rolling.size[which], low[place] // (edits + 1)
     line, name, side = [], [], []
-    for shorter in range(edits + 1):
-        length = rolling.size - shorter
-        which = (length >= least).nonzero()[0]
-        length = length[which]
-        for i in range(edits + 1):
-            start, size = segment(length, i, edits)
-            tag = mix((length * (edits + 1) + i + 1).astype(np.uint64))
-            for shift in range(max(-i, shorter - (edits - i)), min(i, shorter + edits - i) + 1):
-                at = start + shift
-                ok = (at >= 0) & (at + size <= rolling.size[which])
-                own = shorter == 0 and shift == 0
-                line.append(which[ok])
-                name.append(mix(rolling.hash(which[ok], at[ok], size[ok]) + tag[ok]))
-                side.append(np.full(int(ok.sum()), 0 if own else 1, np.int8))
+    for i in range(edits + 1):
+        reach = min(i, edits - i)
+        home = i * size if 2 * i <= edits else length - (edits + 1 - i) * size
+        tag = mix((low[place] * (edits + 1) + i + 1).astype(np.uint64))
+        for shift in range(-reach, reach + 1):
+            at = home + shift
+            ok = (at >= 0) & (at + size <= length)
+            line.append(which[ok])
+            name.append(mix(rolling.hash(which[ok], at[ok], size[ok]) + tag[ok]))
+            side.append(np.ones(int(ok.sum()), np.int8) if shift else first[ok])
     return np.concatenate(line), np.concatenate(name), np.concatenate(side)
 
 
 # --- edit distance ----------------------------------------------------------------------
 
 
+def _common(a: str, b: str) -> int:
+    """Length of the longest common start."""
+    low, high = 0, min(len(a), len(b))
+    if a[:high] == b[:high]:
+        return high
+    while high - low > 1:
+        middle = (low + high) // 2
+        if a[low:middle] == b[low:middle]:
+            low = middle
+        else:
+            high = middle
+    return low
+
+
+def _differing(a: str, b: str) -> tuple[str, str]:
+    """The two lines without their common start and end, which do not change the distance."""
+    start = _common(a, b)
+    a, b = a[start:], b[start:]
+    end = _common(a[::-1], b[::-1])
+    return a[: len(a) - end], b[: len(b) - end]
+
+
 def within_edits(a: list[str], b: list[str], edits: int) -> np.ndarray:
     """Whether the edit distance of each pair (a[k], b[k]) is at most ``edits``.
 
     Bit k of a word stands for diagonal k - edits of the band; after each column the words move one row down.  The
     distance is followed down the lowest diagonal to the last row of a, then along that row.
     """
+    a, b = map(list, zip(*map(_differing, a, b))) if len(a) else (a, b)
     pad = "\0" * (edits + 1)  # equal starts change no distance and keep the band inside the matrix
     out = np.zeros(len(a), bool)
     todo = np.array([k for k in range(len(a)) if abs(len(a[k]) - len(b[k])) <= edits], np.int64)
@@ -202,21 +234,27 @@ def _long_rows(rows: list[tuple], columns: list[str]) -> pa.RecordBatch:
 
 
 def _name_rows(edits: int, least: int):
-    def give(lines: list[str]) -> pa.RecordBatch:
-        which, name, side = names(lines, edits, least)
-        ident = np.array([_halves(x)[0] for x in lines], np.int64)
+    def give(held: dict[int, str]) -> pa.RecordBatch:
+        which, name, side = names(list(held.values()), edits, least)
+        ident = np.array(list(held), np.int64)
         return pa.RecordBatch.from_arrays([pa.array(name.view(np.int64)), pa.array(ident[which]), pa.array(side.astype(np.int32))], names=["key", "id", "side"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in batches:
-            held, size = [], 0
+            held, size = {}, 0
             for text in batch.column("text"):
-                lines = _eligible(text.as_py(), least)[1]
-                held += lines
-                size += sum(map(len, lines))
+                for line in _eligible(text.as_py(), least)[1]:
+                    ident = _halves(line)[0]
+                    if ident not in seen:
+                        seen.add(ident)
+                        held[ident] = line
+                        size += len(line)
                 if size > PIECE:
                     yield give(held)
-                    held, size = [], 0
+                    held, size = {}, 0
+                if len(seen) > SEEN:
+                    seen.clear()
             if held:
                 yield give(held)
 
@@ -281,12 +319,10 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def near_later_lines(rows: DataFrame, firsts: DataFrame, edits: int, least: int) -> DataFrame:
     """The ids (h1) of distinct lines that have an earlier, different line within ``edits`` edits."""
 
-    def named() -> DataFrame:
-        return rows.select("text").mapInArrow(_name_rows(edits, least), "key long, id long, side int")
-
-    shared = named().groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("b"), F.min("side").alias("s"))
-    shared = written(shared.where("a < b and s = 0").select("key"), "line-names")
-    members = named().join(shared.hint("merge"), "key").groupBy("key", "id").agg(F.min("side").alias("side"))
+    named = rows.select("text").mapInArrow(_name_rows(edits, least), "key long, id long, side int")
+    of = Window.partitionBy("key")
+    shared = named.withColumn("a", F.min("id").over(of)).withColumn("b", F.max("id").over(of)).withColumn("s", F.min("side").over(of))
+    members = shared.where("a < b and s = 0").groupBy("key", "id").agg(F.min("side").alias("side"))
     members = written(members, "line-members")
     place = F.col("f")
     live = firsts.join(members.select(F.col("id").alias("h1")).distinct().hint("merge"), "h1")

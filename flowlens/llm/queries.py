@@ -47,7 +47,7 @@ def op9_water_filling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_line_edit_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return linededup.dedup_lines(table(spark, sf_dir, "documents")).drop("rest")
+    return linededup.dedup_lines(table(spark, sf_dir, "documents"), linededup.WORD_EDITS).drop("rest")
 
 
 QUERIES = {

@@ -154,6 +154,21 @@ def test_line_dedup(docs, empty):
     assert linededup.dedup_lines(empty).collect() == []
 
 
+def test_registered_line_edits(spark, tmp_dir):
+    import corpus_pipeline
+    from flowlens.llm.queries import QUERIES
+
+    line = "the quick brown fox jumps over 17 lazy dogs and the cat"
+    near = [line.replace("17", "42"), line.replace("and", "with"), line.replace("fox", "fox on"), line.replace("the cat", "a cat")]
+    far = line.replace("quick", "entirely")
+    rows = [(1, f"first document here\n{line}")] + [(2 + i, f"own text of document {'abcdefgh'[i] * 9}\n{x}") for i, x in enumerate([*near, far])]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_dir}/documents.parquet")
+    want = {d: text.split("\n")[0] if text.split("\n")[1] in near else text for d, text in rows}
+    assert {r.doc_id: r.text for r in QUERIES["op10_line_edit_join"](spark, tmp_dir).collect()} == want
+    stage = corpus_pipeline.lines(spark, spark.read.parquet(f"{tmp_dir}/documents.parquet"), tmp_dir)
+    assert {r.doc_id: r.text for r in stage.collect()} == want
+
+
 def test_mixing(docs, empty):
     got = mixing.mix(docs).collect()
     rows = make_rows()
