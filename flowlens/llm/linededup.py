@@ -1,7 +1,7 @@
 """Line de-duplication by a segment-partition edit join.
 
-A line of at least MIN_CHARS characters goes when an earlier line of the corpus (by doc_id, text hash, line number) is
-equal or within EDITS edits.  Equal lines are found by a 128-bit hash.  For the rest, each distinct line has EDITS + 1
+A line goes when an earlier line of the corpus (by doc_id, text hash, line number) is equal, or when both have at least
+MIN_CHARS characters and are within EDITS edits.  Equal lines are found by a 128-bit hash.  For the rest, each distinct line has EDITS + 1
 disjoint segments, whose size its length class gives: the first half of them counted from its start, the others from its
 end.  Of two lines within EDITS edits, some segment i of the shorter one stands in the other with no edit in it, at most
 i before it and at most EDITS - i after it (the first i with at most i edits up to its end).  So each line looks up, named
@@ -15,7 +15,8 @@ names are dealt out once, and only those that two different lines share are kept
 split into blocks; checked pairs are not collected, only the later line of each.  Tables that grow with the input are
 joined by sort-merge whatever their size, so the plan is the same at every scale.
 
-Defined cases: null and empty texts have no lines to drop and stay as they are; shorter lines are never dropped; rows
+Defined cases: null and empty texts have no lines to drop and stay as they are; blank lines shorter than
+MIN_CHARS are never dropped; rows
 that share doc_id and text are one document and get one result; null doc_ids come last; a document that loses lines and
 has none but blank ones left is dropped whole; columns other than doc_id and text are ignored.
 """
@@ -201,9 +202,10 @@ def _band(a: list[str], b: list[str], edits: int) -> np.ndarray:
 # --- the join ---------------------------------------------------------------------------
 
 
-def _eligible(text: str | None, least: int) -> tuple[list[int], list[str]]:
+def _eligible(text: str | None, least: int, short: bool = False) -> tuple[list[int], list[str]]:
+    """Places and lines of at least ``least`` characters; with ``short`` also the shorter ones that are not blank."""
     lines = (text or "").split("\n")
-    places = [k for k, x in enumerate(lines) if len(x) >= least]
+    places = [k for k, x in enumerate(lines) if len(x) >= least or short and x.strip()]
     return places, [lines[k] for k in places]
 
 
@@ -218,7 +220,7 @@ def _line_rows(least: int):
             rows = []
             for d, t, text in zip(*(batch.column(c) for c in ("doc_id", "th", "text"))):
                 d, t = d.as_py(), t.as_py()
-                for k, line in zip(*_eligible(text.as_py(), least)):
+                for k, line in zip(*_eligible(text.as_py(), least, short=True)):
                     rows.append((d, t, k, *_halves(line)))
                 if len(rows) > 20_000:
                     yield _long_rows(rows, ["doc_id", "th", "no", "h1", "h2"])

@@ -169,6 +169,14 @@ def test_registered_line_edits(spark, tmp_dir):
     assert {r.doc_id: r.text for r in stage.collect()} == want
 
 
+def test_short_equal_lines(spark):
+    rows = [(1, "Wh the.\nfirst\n\nWh the.\n\nWh the"), (2, "first\nWh the."), (3, "Wh the.\nown\n \n"), (4, "Wh thy.")]
+    got = linededup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: (r.text, r.exact_dropped, r.near_dropped, r.kept) for r in got} == {
+        1: ("Wh the.\nfirst\n\n\nWh the", 1, 0, True), 2: ("", 2, 0, False), 3: ("own\n \n", 1, 0, True), 4: ("Wh thy.", 0, 0, True)
+    }
+
+
 def test_mixing(docs, empty):
     got = mixing.mix(docs).collect()
     rows = make_rows()
