@@ -15,6 +15,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass, field
 
+from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,6 +38,12 @@ def categorical_columns(df: DataFrame, target: str | None = TARGET) -> list[str]
     ]
 
 
+def _column_values(df: DataFrame, cols: list[str], *keep: str) -> DataFrame:
+    """(column, value) of the non-missing values, with the columns ``keep``."""
+    pairs = F.array(*[F.struct(F.lit(c).alias("column"), col(c).alias("value")) for c in cols])
+    return df.select(*keep, F.explode(pairs).alias("kv")).select(*keep, "kv.column", "kv.value").filter(F.col("value").isNotNull())
+
+
 def fit_categories(
     df: DataFrame, columns: list[str] | None = None, target: str | None = TARGET, max_categories: int | None = None
 ) -> dict[str, list[str]]:
@@ -44,12 +51,7 @@ def fit_categories(
     cols = categorical_columns(df, target) if columns is None else list(columns)
     if not cols:
         return {}
-    pairs = (
-        df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), col(c).alias("value")) for c in cols])).alias("kv"))
-        .select("kv.column", "kv.value")
-        .filter(F.col("value").isNotNull())
-        .distinct()
-    )
+    pairs = _column_values(df, cols).distinct()
     if max_categories is not None:
         sizes = pairs.groupBy("column").count().filter(F.col("count") > max_categories).collect()
         if sizes:
@@ -80,6 +82,46 @@ def one_hot(df: DataFrame, categories: dict[str, list[str]], drop_first: bool =
     return df.select(*keep, *dummies)
 
 
+def category_table(df: DataFrame, columns: list[str] | None = None, target: str | None = TARGET, drop_first: bool = True) -> DataFrame:
+    """(column, value, index): the fitted categories as a stored table of any size, numbered from 0 by column and value.
+
+    With ``drop_first`` the smallest value of each column has no row.  The values never reach the driver, only one count
+    a partition does; each partition numbers its own range.
+    """
+    cols = categorical_columns(df, target) if columns is None else list(columns)
+    if not cols:
+        return df.sparkSession.createDataFrame([], "column STRING, value STRING, index LONG")
+    pairs = _column_values(df, cols).distinct()
+    if drop_first:
+        least = pairs.groupBy("column").agg(F.min("value").alias("_least"))
+        pairs = pairs.join(least, "column").where("value > _least").drop("_least")
+    pairs = pairs.orderBy("column", "value")
+    placed = cut_lineage(pairs.withColumn("_p", F.spark_partition_id()).withColumn("_m", F.monotonically_increasing_id()))
+    start, offsets = 0, []
+    for r in placed.groupBy("_p").count().orderBy("_p").collect():  # one row a partition
+        offsets.append((r["_p"], start))
+        start += r["count"]
+    offsets = df.sparkSession.createDataFrame(offsets, "_p INT, _start LONG")
+    return placed.join(offsets, "_p").select("column", "value", (F.col("_start") + F.col("_m").bitwiseAND((1 << 33) - 1)).alias("index"))
+
+
+def one_hot_vector(df: DataFrame, categories: DataFrame, columns: list[str] | None = None, output: str = "categories") -> DataFrame:
+    """E1 for any number of categories: the text columns become one sparse vector by an equi-join with ``category_table``.
+
+    A missing, unseen or dropped value has no entry.  ``columns`` are the encoded ones, by default all text columns.
+    """
+    cols = categorical_columns(df) if columns is None else list(columns)
+    size = categories.agg(F.max("index")).first()[0]
+    size = 0 if size is None else size + 1
+    rows = cut_lineage(df.withColumn("_r", F.monotonically_increasing_id()))
+    entries = F.udf(lambda at: Vectors.sparse(size, sorted(at or []), [1.0] * len(at or [])), VectorUDT())
+    keep = [col(c) for c in df.columns if c not in cols]
+    if not cols:
+        return rows.select(*keep, entries(F.array().cast("array<long>")).alias(output))
+    found = _column_values(rows, cols, "_r").join(categories, ["column", "value"]).groupBy("_r").agg(F.collect_list("index").alias("_at"))
+    return rows.join(found, "_r", "left").select(*keep, entries("_at").alias(output))
+
+
 def encode_categorical(
     df: DataFrame,
     target: str | None = TARGET,

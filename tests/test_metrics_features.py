@@ -100,6 +100,23 @@ def test_one_hot_drop_first_and_unseen(spark):
     assert [(r.proto_tcp, r.proto_udp) for r in rows] == [(0, 1), (0, 0), (0, 0)]
 
 
+def test_one_hot_vector_any_size(spark):
+    rows = [(i, f"10.0.{i % 3000}", ["tcp", "udp", None][i % 3], i % 2) for i in range(4000)]
+    train = spark.createDataFrame(rows, "n INT, src STRING, proto STRING, label INT")
+    table = fe.category_table(train)
+    want = {c: sorted({r[k] for r in rows if r[k]})[1:] for c, k in (("proto", 2), ("src", 1))}
+    order = [(c, v) for c in ("proto", "src") for v in want[c]]
+    assert [(r["column"], r["value"], r["index"]) for r in table.orderBy("index").collect()] == [(*x, i) for i, x in enumerate(order)]
+    at = {x: i for i, x in enumerate(order)}
+    new = rows + [(9001, "unseen", "udp", 0), (9002, None, None, 1)]
+    got = fe.one_hot_vector(spark.createDataFrame(new, train.schema), table)
+    assert got.columns == ["n", "label", "categories"]
+    for r in got.collect():
+        n, src, proto, _ = next(x for x in new[r["n"] if r["n"] < 4000 else -2:] if x[0] == r["n"])
+        assert r["categories"].size == len(order)
+        assert r["categories"].indices.tolist() == sorted(at[x] for x in (("proto", proto), ("src", src)) if x in at)
+
+
 def test_one_hot_cardinality_guard(spark):
     df = spark.createDataFrame([(str(i), 0) for i in range(50)], ["ip", "label"])
     with pytest.raises(ValueError):
