@@ -285,7 +285,8 @@ def _model_predictions(name: str) -> Query:
 
 def _train_and_select(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = trained_flows(spark, sf_dir)
-    return t.result.results.withColumn("is_best", F.col("model") == F.lit(t.result.best_name))
+    best = t.result.results.withColumn("is_best", F.col("model") == F.lit(t.result.best_name))
+    return best.select("*", *[F.lit(t.dropped[k]).cast("long").alias(f"{k}_rows_dropped") for k in ("train", "test")])
 
 
 def _best_model(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -306,7 +307,8 @@ def _evaluate_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     from flowlens.plans.training import evaluate_model
 
     t = trained_flows(spark, sf_dir)
-    return evaluate_model(spark, t.artifacts_path, t.test)[1]
+    table = evaluate_model(spark, t.artifacts_path, t.test)[1]
+    return table.withColumn("test_rows_dropped", F.lit(t.dropped["test"]).cast("long"))
 
 
 def _score_flows(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -173,3 +173,13 @@ def test_text_labels_train_and_score_with_row_identity(spark):
     got = score(raw.drop("Label"), art, row_id="flow_no").predictions.collect()
     assert sorted(r["row_id"] for r in got) == [1000 + i for i in range(60)]  # the repeated row keeps its smallest id
     assert sum(r["prediction"] == (r["row_id"] >= 1030) for r in got) >= 55
+
+
+def test_registered_training_tells_dropped_rows(spark, trained, monkeypatch):
+    from dataclasses import replace
+
+    from flowlens.plans import catalog
+
+    monkeypatch.setattr(catalog, "trained_flows", lambda spark, sf_dir: replace(trained, dropped={"train": 7, "test": 3}))
+    assert {(r.train_rows_dropped, r.test_rows_dropped) for r in catalog.QUERIES["train_and_select"](spark, "").collect()} == {(7, 3)}
+    assert {r.test_rows_dropped for r in catalog.QUERIES["evaluate_model"](spark, "").collect()} == {3}
