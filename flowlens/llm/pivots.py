@@ -10,8 +10,8 @@ Queries and candidates meet in blocks: every (query block, candidate block) is o
 most k rows a query, which a final ranking by query merges.  Pivots are a bounded seeded choice of vectors; they change
 the work, never the result.
 
-Defined cases: vectors that are null or hold null or non-finite components (or components beyond 2**20) take no part,
-nor do rows with a null vec_id; vectors of different lengths do not meet; a query never meets a row with its own vec_id;
+Defined cases: vectors that are null or hold null or non-finite components take no part, nor do rows with a null vec_id;
+a finite component of 2**20 / SCALE or more in size is an error that names the vec_id, since scores would not be exact; vectors of different lengths do not meet; a query never meets a row with its own vec_id;
 rows that share a vec_id are candidates of their own, and a vec_id that is a query several times is asked once for each
 distinct vector; other columns are ignored.
 """
@@ -109,9 +109,11 @@ def _block_search(k: int):
 def top_products(vectors: DataFrame, every: int = EVERY, top: int = TOP, scale: int = SCALE, pivots: int = PIVOTS) -> DataFrame:
     """query_id, rank, vec_id, score for the queries whose vec_id is divisible by ``every``."""
     v = F.col("embedding").cast("array<double>")
-    sound = F.coalesce(F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float(1 << 20) / scale)), F.lit(False))
+    sound = F.coalesce(F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))), F.lit(False))
+    large = F.exists(v, lambda x: F.abs(x) >= float(1 << 20) / scale)
+    refuse = F.raise_error(F.concat(F.lit(f"components of {(1 << 20) / scale:g} or more in size: vec_id "), F.col("vec_id").cast("string")))
     rows = vectors.where(sound & F.col("vec_id").isNotNull())
-    rows = rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.transform(v, lambda x: F.floor(x * scale).cast("int")).alias("v"))
+    rows = rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.when(large, refuse).otherwise(F.transform(v, lambda x: F.floor(x * scale).cast("int"))).alias("v"))
     rows = written(rows.withColumn("dims", F.size("v")).withColumn("name", F.xxhash64("vec_id", "v")), "integer-vectors")
     rows = written(with_pivots(rows, pivots), "pivot-table")
     asked = rows.where(F.col("vec_id") % every == 0).dropDuplicates(["vec_id", "name"])

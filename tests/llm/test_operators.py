@@ -322,3 +322,11 @@ def test_quality_and_toxicity(spark, empty):
     spans = {x.doc_id: x.spans for x in crf.toxicity_scores(docs, known).collect() if x.doc_id in truth and truth[x.doc_id][1] and x.predicted}
     texts = dict(rows)
     assert np.mean([any("scumbag" in texts[d][s.start : s.end] for s in found) for d, found in spans.items()]) >= 0.9
+
+
+def test_large_components_raise(spark):
+    schema = "vec_id long, embedding array<double>"
+    rows = [(20, [1.0, 2.0]), (21, [16383.9, 0.5]), (22, [float("inf"), 1.0]), (None, [1e9, 1.0])]
+    assert [r.vec_id for r in pivots.top_products(spark.createDataFrame(rows, schema)).collect()] == [21]
+    with pytest.raises(Exception, match="vec_id 4711"):
+        pivots.top_products(spark.createDataFrame([*rows, (4711, [0.0, -16384.0])], schema)).collect()
