@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from zlib import crc32
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowlens.llm import bpe, crf, linededup, minhash, mixing, pivots, pstable, pulearn, sharding, warc
+from flowlens.llm import bpe, crf, crosstoken, linededup, minhash, mixing, pieces, pivots, pstable, pulearn, sharding, warc, wordruns
 from flowlens.llm.common import shipped, table
 
 
@@ -50,11 +52,50 @@ def op10_line_edit_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.dedup_lines(table(spark, sf_dir, "documents"), linededup.WORD_EDITS).drop("rest")
 
 
+def periodic_tail(doc_id: int | None, words: list[bytes]) -> list[bytes]:
+    """The words whose runs are asked for: a tenth of the documents, by the crc32 of their id, end in a periodic tail."""
+    if doc_id is None or not words or (h := crc32(str(doc_id).encode())) % 10:
+        return words
+    n, g = len(words), h // 10
+    a = g % n
+    period = 1 + (n - a) // (3 + g % 8)
+    tail = words[a : a + period]
+    return words[:a] + (tail * (-(-(n - a) // period)))[: n - a]
+
+
+def op11_automaton_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = wordruns.periodic_runs(table(spark, sf_dir, "documents"), periodic_tail)
+    line = F.transform("runs", lambda r: F.concat(r["start"], F.lit(","), r["length"], F.lit(","), r["period"], F.lit("\n")))
+    # longest; of equals the smallest start, then the smallest period
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
+    return found.withColumn("best", best).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), (-F.col("best.start")).alias("start"), F.col("best.length").alias("length"),
+        (-F.col("best.period")).alias("period"), F.expr("1000 * best.length div -best.period").alias("exponent_milli"),
+        F.sha2(F.array_join(line, "").cast("binary"), 256).alias("runs_sha256"), F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
+def op12_piece_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = pieces.encode_documents(table(spark, sf_dir, "documents"), with_text=True)
+    ids = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return coded.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids.cast("binary"), 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+    )
+
+
+def op13_fragment_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    aligned = crosstoken.align_documents(table(spark, sf_dir, "documents"))
+    digest = F.when(F.col("n_groups") > 0, F.sha2(F.col("groups").cast("binary"), 256)).otherwise("")
+    counted = crosstoken.with_pair_counts(aligned.withColumn("groups", digest).withColumnRenamed("groups", "groups_sha256"))
+    return counted.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
 QUERIES = {
     f.__name__: shipped(f)
     for f in (
         op1_arc_to_warc, op2_pu_quality, op3_crf_toxicity, op4_pstable_vectors, op5_minhash, op6_pivot_topk, op7_kk_shards,
-        op8_tree_bpe, op9_water_filling, op10_line_edit_join,
+        op8_tree_bpe, op9_water_filling, op10_line_edit_join, op11_automaton_runs, op12_piece_rounds, op13_fragment_alignment,
     )
 }
 
