@@ -7,9 +7,11 @@ different components are compared, with the smallest member and, block by block,
 expanded into all its pairs, and no link that could join two components is lost.  A pair counts when its full shingle sets say so; the signature only thins the candidates, five standard
 deviations below the threshold.
 
+Classes carry numbers of their own, so that it does not matter how doc_ids are spread over them.
+
 Defined cases: null, empty and blank texts have no shingles, link with nothing and keep themselves.  Of rows that share
-a doc_id each goes by its own text.  A row with a null doc_id belongs to the component of its text class and is kept
-only if that class has no doc_id at all.  Columns other than doc_id and text are ignored.
+a doc_id each goes by its own text.  A row with a null doc_id links as any other; a component without any doc_id has a
+null component_id, and of its texts one is kept.  Columns other than doc_id and text are ignored.
 """
 
 from __future__ import annotations
@@ -47,6 +49,10 @@ def signature(shingles: np.ndarray) -> np.ndarray:
     return (mix(low) & np.uint64(0xFFFF)).astype("<u2")
 
 
+def set_key(shingles: np.ndarray) -> bytes:
+    return hashlib.blake2b(shingles.tobytes(), digest_size=16).digest()
+
+
 def _signatures(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -56,11 +62,12 @@ def _signatures(width: int):
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column("doc_id").slice(i, j - i),
+                        batch.column("text_key").slice(i, j - i),
                         pa.array([len(s) for s in sets], pa.int64()),
-                        pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()),
+                        pa.array([set_key(s) for s in sets], pa.binary()),
                         pa.array([signature(s).tobytes() for s in sets], pa.binary()),
                     ],
-                    names=["doc_id", "n_shingles", "set_key", "sig"],
+                    names=["doc_id", "text_key", "n_shingles", "set_key", "sig"],
                 )
 
     return run
@@ -71,12 +78,14 @@ def _sets(width: int):
         for batch in batches:
             raw, at = utf8(batch.column("text"))
             for i, j in slices(at):
-                sets = [s.view(np.int64) for s in shingle_sets(raw, at[i : j + 1], width)]
-                ends = np.cumsum([0] + [len(s) for s in sets]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(i, j - i), pa.ListArray.from_arrays(ends, np.concatenate(sets))],
-                    names=["id", "shingles"],
-                )
+                sets = shingle_sets(raw, at[i : j + 1], width)
+                # a text that only shares the key of the class's text is another one
+                own = [set_key(s) == k for s, k in zip(sets, batch.column("set_key").slice(i, j - i).to_pylist())]
+                ids = batch.column("id").slice(i, j - i).filter(pa.array(own))
+                sets = [s.view(np.int64) for s, ok in zip(sets, own) if ok]
+                if sets:
+                    ends = np.cumsum([0] + [len(s) for s in sets]).astype(np.int32)
+                    yield pa.RecordBatch.from_arrays([ids, pa.ListArray.from_arrays(ends, np.concatenate(sets))], names=["id", "shingles"])
 
     return run
 
@@ -143,14 +152,18 @@ def _bucket_links(threshold: int, least: int):
     return run
 
 
-def near_duplicates(docs: DataFrame, width: int = WIDTH, threshold: int = THRESHOLD) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id (smallest doc_id reachable by links), kept."""
+def _graded(docs: DataFrame, width: int, threshold: int) -> DataFrame:
+    """doc_id, text_key, n_shingles and, for rows with shingles, ``rep``: the first (doc_id, text_key) of the row's component."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    signed = written(texts.mapInArrow(_signatures(width), "doc_id long, n_shingles long, set_key binary, sig binary"), "signatures")
+    texts = texts.withColumn("text_key", F.xxhash64("text"))
+    schema = "doc_id long, text_key long, n_shingles long, set_key binary, sig binary"
+    signed = written(texts.mapInArrow(_signatures(width), schema), "signatures")
+    first = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")
     classes = (
-        signed.where("n_shingles > 0 and doc_id is not null")
+        signed.where("n_shingles > 0")
         .groupBy("set_key")
-        .agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig"))
+        .agg(F.min(first).alias("rep"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig"))
+        .withColumn("id", F.monotonically_increasing_id())
     )
     classes = written(classes, "classes")
 
@@ -170,8 +183,11 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, threshold: int = THRESH
         return pairs.withColumn("same", agreement("sa", "sb")).where(F.col("same") >= least).select("a", "b")
 
     def sets_of(ids: DataFrame) -> DataFrame:
-        ids = ids.select(F.col("id").alias("doc_id")).distinct().hint("merge")
-        return written(texts.join(ids, "doc_id").mapInArrow(_sets(width), "id long, shingles array<long>").dropDuplicates(["id"]), "sets")
+        """The shingle sets of classes, from the text of each one's first row."""
+        named = classes.select("id", "set_key", F.col("rep.doc_id").alias("d"), F.col("rep.text_key").alias("k"))
+        named = named.join(ids.select("id").distinct().hint("merge"), "id").hint("merge")
+        rows = texts.join(named, (F.col("text_key") == F.col("k")) & F.col("doc_id").eqNullSafe(F.col("d"))).select("id", "set_key", "text")
+        return written(rows.mapInArrow(_sets(width), "id long, shingles array<long>").dropDuplicates(["id"]), "sets")
 
     def ends(pairs: DataFrame) -> DataFrame:
         return pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id")))
@@ -191,9 +207,12 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, threshold: int = THRESH
     pairs = written(agreeing(led), "pairs")
     links = written(confirmed(pairs, sets_of(ends(pairs))), "links")
     comps = connected_components(links)
+    # the leader's component comes by the bucket, one row each
     leads = comps.select(F.col("node").alias("lead"), F.col("component").alias("lead_comp"))
-    apart = placed(comps).where(F.col("id") > F.col("lead")).join(leads.hint("merge"), "lead", "left")
-    apart = apart.where(F.col("comp") != F.coalesce("lead_comp", "lead")).select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct()
+    leads = members.where("id = lead").select("key", "lead").join(leads.hint("merge"), "lead", "left")
+    leads = leads.select("key", F.coalesce("lead_comp", "lead").alias("lead_comp"))
+    apart = placed(comps).where(F.col("id") > F.col("lead")).join(leads.hint("merge"), "key")
+    apart = apart.where(F.col("comp") != F.col("lead_comp")).select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct()
     apart = apart.join(led.hint("merge"), ["a", "b"], "left_anti")
     near = written(agreeing(apart), "pairs")
     # members apart from each other, neither of them the leader
@@ -206,16 +225,32 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, threshold: int = THRESH
     late = rest.mapInArrow(_bucket_links(threshold, least), "a long, b long")
     comps = connected_components(links.union(confirmed(near, sets)).union(late))
 
-    named = classes.select("set_key", F.col("id").alias("node")).join(comps.hint("merge"), "node", "left")
-    named = named.select("set_key", F.coalesce("component", "node").alias("component"))
-    out = signed.select("doc_id", "n_shingles", "set_key").join(named.hint("merge"), "set_key", "left")
-    least_id = F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id"))
-    out = out.select("doc_id", "n_shingles", least_id.alias("component_id"))
-    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    named = classes.select("set_key", "rep", F.col("id").alias("node")).join(comps.hint("merge"), "node", "left")
+    named = named.select("set_key", "rep", F.coalesce("component", "node").alias("component"))
+    reps = named.groupBy("component").agg(F.min("rep").alias("rep"))
+    named = named.drop("rep").join(reps.hint("merge"), "component").select("set_key", "rep")
+    return signed.select("doc_id", "text_key", "n_shingles", "set_key").join(named.hint("merge"), "set_key", "left").drop("set_key")
+
+
+def _is_rep() -> F.Column:
+    return F.col("doc_id").eqNullSafe(F.col("rep.doc_id")) & (F.col("text_key") == F.col("rep.text_key"))
+
+
+def near_duplicates(docs: DataFrame, width: int = WIDTH, threshold: int = THRESHOLD) -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id (smallest doc_id reachable by links), kept."""
+    out = _graded(docs, width, threshold)
+    lone = F.col("n_shingles") == 0
+    out = out.withColumn("component_id", F.when(lone, F.col("doc_id")).otherwise(F.col("rep.doc_id")))
+    kept = F.when(lone, F.lit(True)).when(F.col("component_id").isNull(), _is_rep()).otherwise(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    return out.select("doc_id", "n_shingles", "component_id", kept.alias("kept"))
 
 
 def one_of_each(docs: DataFrame, width: int = WIDTH, threshold: int = THRESHOLD) -> DataFrame:
-    """The documents kept, columns unchanged; of rows equal in doc_id and text one stays."""
-    ids = near_duplicates(docs, width, threshold).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    rows = docs.join(ids.hint("merge"), F.col("doc_id").cast("long").eqNullSafe(F.col("_kept")), "left_semi")
-    return rows.dropDuplicates(["doc_id", "text"])
+    """One row of each component, columns unchanged: the smallest doc_id (null last); of rows equal in doc_id and text one stays."""
+    kept = _graded(docs, width, threshold).where((F.col("n_shingles") == 0) | _is_rep())
+    kept = kept.select(F.col("doc_id").alias("d"), F.col("text_key").alias("k")).distinct()
+    rows = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("id"), F.xxhash64(F.col("text").cast("string")).alias("key"),
+    )
+    rows = rows.join(kept.hint("merge"), F.col("id").eqNullSafe(F.col("d")) & (F.col("key") == F.col("k")), "left_semi")
+    return rows.select("row.*").dropDuplicates(["doc_id", "text"])
