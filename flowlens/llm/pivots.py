@@ -10,8 +10,11 @@ Queries and candidates meet in blocks: every (query block, candidate block) is o
 most k rows a query, which a final ranking by query merges.  Pivots are a bounded seeded choice of vectors; they change
 the work, never the result.
 
+Products of vectors with a component of 2**20 or more in size (after scaling) are computed in whole numbers of any length,
+without elimination, so that they are exact, too.
+
 Defined cases: vectors that are null or hold null or non-finite components take no part, nor do rows with a null vec_id;
-a finite component of 2**20 / SCALE or more in size is an error that names the vec_id, since scores would not be exact; vectors of different lengths do not meet; a query never meets a row with its own vec_id;
+a score beyond 64 bits is an error that names both vec_ids; vectors of different lengths do not meet; a query never meets a row with its own vec_id;
 rows that share a vec_id are candidates of their own, and a vec_id that is a query several times is asked once for each
 distinct vector; other columns are ignored.
 """
@@ -19,6 +22,7 @@ distinct vector; other columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from operator import mul
 
 import numpy as np
 import pyarrow as pa
@@ -35,12 +39,14 @@ EVERY = 20
 PIVOTS = 32
 QUERY_BLOCK, ROW_BLOCK = 512, 4096
 STEP = 256
+LARGE = float(1 << 20)  # sums of up to 2**13 products below this stay exact in doubles
 SEED = 3
 
 
 def with_pivots(rows: DataFrame, pivots: int = PIVOTS) -> DataFrame:
     """Add ``d``: the distances to a seeded choice of at most ``pivots`` vectors (those of the same length; else 0)."""
-    chosen = rows.select("vec_id", "v").orderBy(F.xxhash64(F.lit(SEED), "vec_id", "v")).limit(pivots).collect()
+    plain = rows.where(~F.exists("v", lambda x: F.abs(x) >= LARGE))
+    chosen = plain.select("vec_id", "v").orderBy(F.xxhash64(F.lit(SEED), "vec_id", "v")).limit(pivots).collect()
     table = [np.array(r["v"], float) for r in chosen]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -53,7 +59,8 @@ def with_pivots(rows: DataFrame, pivots: int = PIVOTS) -> DataFrame:
                 x = flat[(ends[at][:, None] + np.arange(size))]
                 for k, p in enumerate(table):
                     if len(p) == size:
-                        d[at, k] = np.sqrt(((x - p) ** 2).sum(axis=1))
+                        with np.errstate(over="ignore"):  # of large vectors no distance is used
+                            d[at, k] = np.sqrt(((x - p) ** 2).sum(axis=1))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(list(d), pa.list_(pa.float64()))], names=[*batch.schema.names, "d"])
 
     return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField("d", T.ArrayType(T.DoubleType()))]))
@@ -82,6 +89,38 @@ def eliminate(q: np.ndarray, dq: np.ndarray, x: np.ndarray, dx: np.ndarray, qid:
         yield i, best_rows, best
 
 
+def large(v: np.ndarray) -> np.ndarray:
+    """Which vectors hold components whose products doubles may round."""
+    return (np.abs(v) >= LARGE).any(axis=1) if v.size else np.zeros(len(v), bool)
+
+
+def exact_products(q: np.ndarray, x: np.ndarray, qid: int, xid: np.ndarray) -> list[int]:
+    """Inner products in Python integers."""
+    whole = [int(c) for c in q]
+    out = [sum(map(mul, whole, map(int, row))) for row in x.tolist()]
+    for s, other in zip(out, xid.tolist()):
+        if not -(1 << 63) <= s < 1 << 63:
+            raise OverflowError(f"the score of vec_id {qid} and vec_id {other} is beyond 64 bits")
+    return out
+
+
+def best_of_block(q: np.ndarray, dq: np.ndarray, x: np.ndarray, dx: np.ndarray, qid: np.ndarray, xid: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, list[int]]]:
+    """As :func:`eliminate`, with vectors of any size: those that are large are scored one by one."""
+    big_q, big_x = large(q), large(x)
+    plain = (~big_x).nonzero()[0]
+    asked = (~big_q).nonzero()[0]
+    for i, rows, scores in eliminate(q[asked], dq[asked], x[plain], dx[plain], qid[asked], xid[plain], k):
+        yield int(asked[i]), plain[rows], [int(s) for s in scores]
+    for i in range(len(q)):
+        rows = (np.ones(len(x), bool) if big_q[i] else big_x).nonzero()[0]
+        rows = rows[xid[rows] != qid[i]]
+        for at in range(0, len(rows), STEP):
+            some = rows[at : at + STEP]
+            scores = exact_products(q[i], x[some], int(qid[i]), xid[some])
+            first = sorted(range(len(some)), key=lambda j: (-scores[j], int(xid[some[j]])))[:k]
+            yield i, some[first], [scores[j] for j in first]
+
+
 def _block_search(k: int):
     keys = ["qb", "xb", "dims"]
 
@@ -98,8 +137,10 @@ def _block_search(k: int):
                 ident = part.column("vec_id").to_numpy()
                 v, d = (np.asarray(part.column(c).combine_chunks().flatten(), float).reshape(len(ident), -1) for c in ("v", "d"))
                 out = []
-                for i, rows, scores in eliminate(v[ask], d[ask], v[~ask], d[~ask], ident[ask], ident[~ask], k):
-                    out.append((np.full(len(rows), ident[ask][i]), np.full(len(rows), part.column("name").to_numpy()[ask][i]), ident[~ask][rows], scores.astype(np.int64)))
+                for i, rows, scores in best_of_block(v[ask], d[ask], v[~ask], d[~ask], ident[ask], ident[~ask], k):
+                    out.append((np.full(len(rows), ident[ask][i]), np.full(len(rows), part.column("name").to_numpy()[ask][i]), ident[~ask][rows], np.array(scores, np.int64)))
+                if not out:
+                    continue
                 columns = [pa.array(np.concatenate(c).astype(np.int64)) for c in zip(*out)]
                 yield pa.RecordBatch.from_arrays(columns, names=["query_id", "name", "vec_id", "score"])
 
@@ -110,10 +151,10 @@ def top_products(vectors: DataFrame, every: int = EVERY, top: int = TOP, scale:
     """query_id, rank, vec_id, score for the queries whose vec_id is divisible by ``every``."""
     v = F.col("embedding").cast("array<double>")
     sound = F.coalesce(F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))), F.lit(False))
-    large = F.exists(v, lambda x: F.abs(x) >= float(1 << 20) / scale)
-    refuse = F.raise_error(F.concat(F.lit(f"components of {(1 << 20) / scale:g} or more in size: vec_id "), F.col("vec_id").cast("string")))
+    # doubles from 2**53 on are whole already
+    whole = lambda x: F.when(F.abs(x * scale) < float(1 << 53), F.floor(x * scale).cast("double")).otherwise(x * scale)
     rows = vectors.where(sound & F.col("vec_id").isNotNull())
-    rows = rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.when(large, refuse).otherwise(F.transform(v, lambda x: F.floor(x * scale).cast("int"))).alias("v"))
+    rows = rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.transform(v, whole).alias("v"))
     rows = written(rows.withColumn("dims", F.size("v")).withColumn("name", F.xxhash64("vec_id", "v")), "integer-vectors")
     rows = written(with_pivots(rows, pivots), "pivot-table")
     asked = rows.where(F.col("vec_id") % every == 0).dropDuplicates(["vec_id", "name"])
