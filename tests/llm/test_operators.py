@@ -6,14 +6,16 @@ from __future__ import annotations
 import collections
 import hashlib
 import itertools
+import math
 import random
 import re
 import zlib
+from operator import mul
 
 import numpy as np
 import pytest
 
-from flowlens.llm import bpe, crf, linededup, minhash, mixing, pivots, pstable, pulearn, sharding, warc
+from flowlens.llm import bpe, common, crf, linededup, minhash, mixing, pivots, pstable, pulearn, sharding, warc
 from flowlens.llm.common import connected_components
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, shard int, `_kept` string, score double"
@@ -324,9 +326,131 @@ def test_quality_and_toxicity(spark, empty):
     assert np.mean([any("scumbag" in texts[d][s.start : s.end] for s in found) for d, found in spans.items()]) >= 0.9
 
 
-def test_large_components_raise(spark):
+def test_large_components_are_exact(spark):
     schema = "vec_id long, embedding array<double>"
     rows = [(20, [1.0, 2.0]), (21, [16383.9, 0.5]), (22, [float("inf"), 1.0]), (None, [1e9, 1.0])]
     assert [r.vec_id for r in pivots.top_products(spark.createDataFrame(rows, schema)).collect()] == [21]
-    with pytest.raises(Exception, match="vec_id 4711"):
-        pivots.top_products(spark.createDataFrame([*rows, (4711, [0.0, -16384.0])], schema)).collect()
+    r = random.Random(7)
+    sizes = [1.0, 0.3, 3e4, 2.0**23, -1e6]
+    rows = [(i, [r.choice(sizes) * r.uniform(-1, 1) for _ in range(6)]) for i in range(120)] + [(200, [2.0**23 + 1 / 64] * 6), (201, [2.0**23] * 6)]
+    whole = [(i, [math.floor(64 * x) for x in v]) for i, v in rows]
+    want = []
+    for i, q in whole:
+        if i % 20 == 0:
+            best = sorted((-sum(map(mul, q, v)), j) for j, v in whole if j != i)[:20]
+            want += [(i, k, j, -s) for k, (s, j) in enumerate(best, 1)]
+    assert sorted(map(tuple, pivots.top_products(spark.createDataFrame(rows, schema)).collect())) == sorted(want)
+    with pytest.raises(Exception, match="beyond 64 bits"):
+        pivots.top_products(spark.createDataFrame([(0, [1e15, 1.0]), (1, [1e15, 2.0])], schema)).collect()
+
+
+def test_minhash_shared_and_missing_ids(spark):
+    """Two texts under one doc_id are two documents; documents without doc_id link as any other."""
+    a, b = words(60, 31), words(60, 32)
+    near = lambda w: " ".join([*w[:-1], "changed"])
+    one, two = " ".join(a), " ".join(b)
+    got = minhash.near_duplicates(spark.createDataFrame([(1, one), (1, two), (2, near(a)), (3, near(b))], "doc_id long, text string"))
+    assert sorted((r.doc_id, r.component_id, r.kept) for r in got.collect()) == [(1, 1, True), (1, 1, True), (2, 1, False), (3, 1, False)]
+    third = " ".join(words(60, 33))
+    rows = [(None, one), (None, near(a)), (None, near(a)), (None, two), (9, near(b)), (None, third)]
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert collections.Counter(r.component_id for r in got) == {None: 4, 9: 2}
+    # of the first group (two texts, one of them twice) one text is kept, of the second document 9, and the lone one
+    assert sum(r.kept for r in got if r.component_id == 9) == 1 and sum(r.kept for r in got if r.component_id is None) in (2, 3)
+    # a text without doc_id joins its neighbours, which are too far from each other
+    chain = [a[:40] + [f"x{k}" for k in range(3)] + a[43:], a, a[:10] + [f"y{k}" for k in range(3)] + a[13:]]
+    got = minhash.near_duplicates(spark.createDataFrame([(4, " ".join(chain[0])), (None, " ".join(chain[1])), (6, " ".join(chain[2]))], "doc_id long, text string"))
+    ends = shingles(" ".join(chain[0])), shingles(" ".join(chain[1])), shingles(" ".join(chain[2]))
+    linked = [100 * len(x & y) >= 75 * len(x | y) for x, y in ((ends[0], ends[1]), (ends[1], ends[2]), (ends[0], ends[2]))]
+    assert linked == [True, True, False]
+    assert {r.component_id for r in got.collect()} == {4}
+
+
+def test_one_of_each_group(spark):
+    schema = "doc_id long, text string, _kept string, d int, k int, row string"
+    a, b = " ".join(words(60, 41)), " ".join(words(60, 42))
+    rows = [(None, a), (1, a), (None, None), (2, a + " more"), (3, b), (3, a), (None, None), (5, ""), (6, "")]
+    docs = spark.createDataFrame([(*r, "x", 1, 2, "y") for r in rows], schema)
+    kept = minhash.one_of_each(docs)
+    assert kept.columns == docs.columns
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted([(1, a), (3, b), (None, None), (5, ""), (6, "")], key=str)
+    # a group without any doc_id keeps one text
+    kept = minhash.one_of_each(spark.createDataFrame([(None, a), (None, a + " more"), (None, a)], "doc_id long, text string")).collect()
+    assert len(kept) == 1
+
+
+def plain_mix(rows, epochs=3, seed=mixing.SEED):
+    """Copies of each (doc_id, source, size) by the rule, one source at a time."""
+    names = sorted({s for _, s, _ in rows if s is not None}) + ([None] if any(s is None for _, s, _ in rows) else [])
+    size = {s: sum(n for _, t, n in rows if t == s) for s in names}
+    weight = {s: k % 3 + 1 for k, s in enumerate(names)}
+    free, total = set(names), sum(size.values())
+    while True:
+        left = total - sum(epochs * size[s] for s in names if s not in free)
+        over = {s for s in free if weight[s] * left > epochs * size[s] * sum(weight[t] for t in free)}
+        if not over:
+            break
+        free -= over
+    target = {s: weight[s] * float(left) / float(sum(weight[t] for t in free)) if s in free else float(epochs * size[s]) for s in names}
+    out = {}
+    for s in names:
+        mine = sorted((hashlib.md5(f"{seed}:{'null' if d is None else d}".encode()).hexdigest(), n, d) for d, t, n in rows if t == s)
+        whole = math.floor(target[s] / size[s]) if size[s] else 0
+        rest = target[s] - whole * size[s]
+        for draw, n, d in mine:
+            after = sum(m for x, m, _ in mine if (x, m) <= (draw, n))
+            out[d, s, n] = whole + (1 if rest > 0 and after - n / 2 <= rest else 0)
+    return out
+
+
+@pytest.mark.parametrize("torn_rows", [1 << 16, 3])
+def test_mix_against_the_rule(spark, torn_rows):
+    r = random.Random(5)
+    rows = [(i, r.choice(["a", "b", "b", "b", "c", "", None]), r.choice([0, 1, 3, 40])) for i in range(300)]
+    rows += [(None, "b", 5)] * 30 + [(400 + i, "tiny", n) for i, n in enumerate([0, 0, 2])] + [(500, "none", 0)]
+    docs = spark.createDataFrame([(d, " ".join(["w"] * n), s) for d, s, n in rows], "doc_id long, text string, source string")
+    want = plain_mix(rows)
+    got = mixing.mix(docs, torn_rows=torn_rows).collect()
+    assert len(got) == len(rows)
+    assert {(x.doc_id, x.source, x.size): x.copies for x in got} == want
+    assert max(x.copies for x in got) <= mixing.EPOCHS
+    assert mixing.mixed_rows(docs).count() == sum(want[d, s, n] for d, s, n in rows)
+
+
+def test_sources_are_numbered_in_order(spark):
+    names = [f"s{k:04d}" for k in range(700)] + ["Z", "é", ""]
+    table = spark.createDataFrame([(s, 1) for s in [*names, None]], "source string, source_size long").repartition(7)
+    got = {r.source: r.weight for r in mixing.numbered(table).collect()}
+    assert got == {s: k % 3 + 1 for k, s in enumerate([*sorted(names), None])}
+
+
+def test_archives_are_of_bounded_size(spark, monkeypatch):
+    """Files end after a number of rows and are filled up when they have their bytes; small payloads share no partition."""
+    monkeypatch.setattr(warc, "ARCHIVE_ROWS", 9)
+    monkeypatch.setattr(warc, "ARCHIVE_BYTES", 6000)
+    archive, rows = warc.Archive(), []
+    for k in range(40):
+        if archive.opens():
+            rows += archive.add(b"start")
+        rows += archive.add(b"x" * (1000 if k < 30 else 4000))
+    files = [rows[i : i + 9] for i in range(0, len(rows), 9)]
+    assert all(f[0] == b"start" for f in files) and sum(x not in (b"", b"start") for x in rows) == 40
+    assert all(sum(map(len, f)) <= 6000 + 4000 for f in files)
+
+
+def test_small_payloads_are_spread(spark):
+    pages = spark.createDataFrame([(i, f"http://x/{i}", "small" if i % 2 else None) for i in range(400)], "page_id long, url string, html string")
+    base = common.scratch_path(spark, "arc-test")
+    warc.write_arc(pages.repartition(3), base + "-arc")
+    other = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    was = {k: spark.conf.get(k) for k in other}
+    for k, v in other.items():
+        spark.conf.set(k, v)
+    try:
+        warc.convert(spark, base + "-arc", base + "-warc")
+    finally:
+        for k, v in was.items():
+            spark.conf.set(k, v)
+    assert warc.read_warc(spark, base + "-warc").count() == 400
+    archives = spark.read.format("binaryFile").load(base + "-warc").where("length > 0").select("length").collect()
+    assert len(archives) == int(spark.conf.get("spark.sql.shuffle.partitions")) and max(a.length for a in archives) < 0.4 * sum(a.length for a in archives)
