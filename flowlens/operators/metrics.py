@@ -18,6 +18,7 @@ from flowlens.constants import (
     HISTOGRAM_BINS,
     KDE_GRID_POINTS,
     MODEL_ORDER,
+    TARGET,
     TOP_FEATURES,
     UNRELIABLE_MISSING_RATIO,
 )
@@ -323,6 +324,15 @@ def top_features(importances: DataFrame, n: int = TOP_FEATURES) -> DataFrame:
     return importances.orderBy(F.col("importance").desc(), F.col("feature")).limit(n)
 
 
+def class_mean_gaps(df: DataFrame, target: str = TARGET, digits: int = 4) -> DataFrame:
+    """(feature, importance): how far the two classes' means of each numeric column lie apart.  One aggregate."""
+    features = [c for c in df.columns if c != target]
+    mean = lambda c, k: F.coalesce(F.avg(F.when(col(target) == k, col(c).cast("double"))), F.lit(0.0))
+    gaps = df.agg(*[F.bround(F.abs(mean(c, 1) - mean(c, 0)), digits).alias(f"g{i}") for i, c in enumerate(features)])
+    pairs = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(f"g{i}").alias("importance")) for i, c in enumerate(features)])
+    return gaps.select(F.inline(pairs))
+
+
 def best_model(results: DataFrame) -> DataFrame:
     """The row with the best weighted F1; ties go to the earlier model in the fixed order."""
     order = F.array_position(F.array(*[F.lit(m) for m in MODEL_ORDER]), F.col("model"))

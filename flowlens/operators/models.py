@@ -17,6 +17,7 @@ from pyspark.ml.classification import (
     RandomForestClassifier,
 )
 from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,6 +29,7 @@ from flowlens.constants import (
     TARGET,
 )
 from flowlens.operators import metrics as me
+from flowlens.operators import model_columns as mc
 from flowlens.operators.clean import col
 
 # Execution settings for the tree learners (the fitted trees are the same):
@@ -51,6 +53,13 @@ def missing_value_columns(df: DataFrame, features: list[str]) -> list[str]:
     return [c for i, c in enumerate(features) if row[f"n{i}"] > 0]
 
 
+def missing_counts(df: DataFrame, features: list[str], target: str = TARGET) -> tuple[dict[str, int], int]:
+    """Rows that lack each feature, and rows with a label: one aggregate."""
+    gaps = [F.count_if(col(c).isNull() | F.isnan(col(c).cast("double"))).alias(f"n{i}") for i, c in enumerate(features)]
+    row = df.agg(F.count(col(target)).alias("labelled"), *gaps).first()
+    return {c: row[f"n{i}"] for i, c in enumerate(features)}, row["labelled"]
+
+
 def assemble(df: DataFrame, features: list[str], handle_invalid: str = "error") -> DataFrame:
     """Named double columns -> one vector column, only at the ML boundary."""
     cast = df.select(
@@ -88,6 +97,30 @@ def predict(model, df: DataFrame) -> DataFrame:
     return model.transform(df).withColumn("prediction", F.col("prediction").cast("int"))
 
 
+def apply_model(model, df: DataFrame, features: list[str], handle_invalid: str = "error") -> DataFrame:
+    """P3 on named feature columns: ``prediction`` (INT) and ``probability`` (one value a class).
+
+    A model that can be written as expressions (:mod:`flowlens.operators.model_columns`) needs no vectors: the scores are
+    columns like any other, and a row with a missing feature gets NULL.  Others go through ``transform``, where
+    ``handle_invalid`` says what a missing feature does.
+    """
+    plain = mc.portable(model)
+    if plain is None:
+        pred = predict(model, assemble(df, features, handle_invalid))
+        return pred.withColumn("probability", vector_to_array("probability")) if "probability" in pred.columns else pred
+    whole = None
+    for c in features:
+        whole = col(c).isNotNull() if whole is None else whole & col(c).isNotNull()
+    names = [f"_p{k}" for k in range(plain.n_classes)]
+    given = mc.class_probabilities(plain, [col(c).cast("double") for c in features])
+    named = df.select("*", *[p.alias(n) for p, n in zip(given, names)])
+    prediction = mc.predicted_class(plain, [F.col(n) for n in names])
+    values = F.array(*[F.col(n) for n in names])
+    if whole is not None:
+        prediction, values = F.when(whole, prediction), F.when(whole, values)
+    return named.withColumn("prediction", prediction).withColumn("probability", values).drop(*names)
+
+
 def evaluate(model, test_ml: DataFrame, target: str = TARGET) -> tuple[float, float]:
     """Accuracy and weighted F1 (unrounded) on the test rows."""
     pred = predict(model, test_ml)
@@ -112,18 +145,25 @@ def train_and_select(
     target: str = TARGET,
     overrides: dict | None = None,
     only: tuple[str, ...] = MODEL_ORDER,
+    n_labelled: int | None = None,
 ) -> TrainResult:
-    """M4: fit the classifiers, score each on the test rows, keep the best weighted F1."""
-    bad = missing_value_columns(train, features)
-    if bad:
-        raise ValueError(f"feature columns with missing values (filter them first): {bad}")
+    """M4: fit the classifiers, score each on the test rows, keep the best weighted F1.
+
+    ``n_labelled``: the number of training rows with a label, from a caller that has already seen that none lacks a
+    feature value; without it a pass over the rows checks and counts them.
+    """
+    if n_labelled is None:
+        counts, n_labelled = missing_counts(train, features, target)
+        bad = [c for c, n in counts.items() if n]
+        if bad:
+            raise ValueError(f"feature columns with missing values (filter them first): {bad}")
     weighted = me.with_class_weights(train, target, WEIGHT)
     train_ml = ml_frame(weighted, features, target).persist(StorageLevel.MEMORY_AND_DISK)
     test_ml = ml_frame(test, features, target).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        weight_sum = float(train_ml.agg(F.sum(WEIGHT)).first()[0] or 0.0)
         models, rows = {}, []
-        for name, est in estimators(weight_sum, overrides).items():
+        # balanced weights n / (k n_c) of all labelled rows sum to their number
+        for name, est in estimators(float(n_labelled), overrides).items():
             if name not in only:
                 continue
             fitted = est.fit(train_ml)

@@ -16,12 +16,16 @@ from pyspark.sql import functions as F
 from flowlens.constants import PROBABILITY_DIGITS, ROW_ID, TARGET
 from flowlens.operators import features as fe
 from flowlens.operators import metrics as me
+from flowlens.operators import model_columns as mc
 from flowlens.operators import models as mo
 from flowlens.operators import clean as cl
 from flowlens.operators.clean import clean_for_inference, col
-from flowlens.sources.artifacts import Artifacts
+from flowlens.session import stored
+from flowlens.sources.artifacts import Artifacts, write_predictions
+from flowlens.sources.rowid import with_row_id
 
 
+MISSING = "_missing_features"
 MISSING_VALUE_ERROR = "a feature value is missing and rows with missing values cannot be scored (Q5); column"
 
 
@@ -42,38 +46,36 @@ def attack_probability(model, pred: DataFrame, classes: list[int] | None = None)
     """
     if "probability" not in pred.columns:
         return pred
-    n_classes = getattr(model, "numClasses", 2)
+    n_classes = model.n_classes if isinstance(model, mc.Model) else getattr(model, "numClasses", 2)
+    p = F.col("probability")
+    if pred.schema["probability"].dataType.typeName() != "array":
+        p = vector_to_array(p)
     if classes:
         idx = min(1 if 1 in classes else max(classes), n_classes - 1)
     else:
         idx = 1 if n_classes > 1 else n_classes - 1
     return pred.withColumn(
-        "attack_probability", F.bround(vector_to_array(F.col("probability"))[idx], PROBABILITY_DIGITS)
+        "attack_probability", F.bround(p[idx], PROBABILITY_DIGITS)
     )
 
 
 def _predictions(cleaned: DataFrame, art: Artifacts, has_labels: bool, on_missing: str):
     """P1-P5 after cleaning: fitted one-hot, alignment, scaler, model, probability, names.
 
-    ``on_missing``: "error" raises when a feature value is missing (the
-    models cannot use it, Q5), listing every such column -- found by a pass
-    of its own before scoring; "fail" checks inside the scoring pass
-    instead (no extra pass: the job fails at the first row with a missing
-    value, naming its column), the choice for large batches; "null" keeps
-    every row and gives rows with a missing feature a NULL prediction and
-    probability (one pass, no split of the data); "skip-check" trusts the
-    caller (streams).
+    ``on_missing``: "error" leaves the names of a row's missing features
+    (the models cannot use it, Q5) in ``MISSING`` for the caller, who raises;
+    "fail" makes the job fail at the first row with a missing value, naming
+    its column; "null" keeps every row and gives rows with a missing feature
+    a NULL prediction and probability; "skip-check" trusts the caller
+    (streams).  None of them needs a pass of its own.
     """
     if on_missing not in ("error", "fail", "null", "skip-check"):
         raise ValueError(f"on_missing must be 'error', 'fail', 'null' or 'skip-check', not {on_missing!r}")
     target = art.target
     encoded = fe.one_hot(cleaned, art.categories)
-    keep = tuple(c for c in (ROW_ID, target) if c in encoded.columns)
+    keep = tuple(c for c in (ROW_ID, target, cl.COPIES) if c in encoded.columns)
     aligned, missing, extra = fe.align_features(encoded, art.feature_names, keep=keep)
-    if on_missing == "error":
-        bad = mo.missing_value_columns(aligned, art.feature_names)
-        if bad:
-            raise ValueError(f"feature columns with missing values cannot be scored (Q5): {bad}")
+    extra = [c for c in extra if c != cl.COPIES]
     if on_missing == "fail":
         feats = set(art.feature_names)
         aligned = aligned.select(
@@ -87,16 +89,15 @@ def _predictions(cleaned: DataFrame, art: Artifacts, has_labels: bool, on_missin
                 for c in aligned.columns
             ]
         )
-    complete = None
-    if on_missing == "null":
-        for c in art.feature_names:
-            ok = col(c).isNotNull() & ~F.isnan(col(c).cast("double"))
-            complete = ok if complete is None else (complete & ok)
-        aligned = aligned.withColumn("_complete", complete if complete is not None else F.lit(True))
+    gaps = on_missing in ("null", "error")
+    if gaps:
+        lacks = [F.when(col(c).isNull() | F.isnan(col(c).cast("double")), F.lit(c)) for c in art.feature_names]
+        aligned = aligned.withColumn(MISSING, F.array_compact(F.array(*lacks)).cast("array<string>"))
+        aligned = aligned.withColumn("_complete", F.size(MISSING) == 0)
     scaled = fe.apply_scaler(aligned, art.scaler)
-    pred = mo.predict(art.model, mo.assemble(scaled, art.feature_names, "keep" if on_missing == "null" else "error"))
+    pred = mo.apply_model(art.model, scaled, art.feature_names, "keep" if gaps else "error")
     pred = attack_probability(art.model, pred, art.classes)
-    if on_missing == "null":
+    if gaps:
         pred = pred.withColumn("prediction", F.when(F.col("_complete"), F.col("prediction")))
         if "attack_probability" in pred.columns:
             pred = pred.withColumn("attack_probability", F.when(F.col("_complete"), F.col("attack_probability")))
@@ -105,13 +106,14 @@ def _predictions(cleaned: DataFrame, art: Artifacts, has_labels: bool, on_missin
         *out_cols,
         *(["attack_probability"] if "attack_probability" in pred.columns else []),
         *([col(target).alias("true_label")] if has_labels else []),
+        *[c for c in (cl.COPIES, MISSING) if c in pred.columns],
     )
     out = me.with_label_names(out, "prediction", "true_label" if has_labels else None)
-    if on_missing == "null":
+    if gaps:
         out = out.withColumn("prediction_label", F.when(F.col("prediction").isNotNull(), F.col("prediction_label")))
     ordered = [
         c
-        for c in (ROW_ID, "prediction", "prediction_label", "attack_probability", "true_label", "true_label_name")
+        for c in (ROW_ID, "prediction", "prediction_label", "attack_probability", "true_label", "true_label_name", cl.COPIES, MISSING)
         if c in out.columns
     ]
     return out.select(*ordered), missing, extra
@@ -148,21 +150,35 @@ def score(
 
     Cleaning is the training chain (with the trained numeric columns, so no
     share job); everything after the de-duplication shuffle is one stage.
-    ``row_id`` names the column that identifies the input's rows (a
-    ``row_id`` column needs no naming); it is no feature, passes through to
-    the verdicts and the sink, and of equal rows the smallest one stays.
+    Every verdict carries ``row_id``, the identity of its input row, to the
+    sink: ``row_id`` names the column that holds it (one called ``row_id``
+    needs no naming); otherwise the rows are numbered from 0 in the order
+    they are stored (:func:`flowlens.sources.rowid.with_row_id`).  It is no
+    feature, and of equal rows the smallest one stays.
+
+    The input is scanned once: with a sink, or where missing values are an
+    error, the scores are written once, and the sink, the check, the summary
+    and the caller read them; the number of input rows is the sum of the
+    copies that de-duplication found of each row.
     """
     if row_id is not None and row_id != ROW_ID:
         df = df.select(col(row_id).alias(ROW_ID), *[col(c) for c in df.columns if c not in (row_id, ROW_ID)])
-    cleaned, has_labels, _ = clean_for_inference(df, art.target, coerce_columns=_string_numeric(df, art))
-    out, missing, extra = _predictions(cleaned, art, has_labels, on_missing)
+    df = with_row_id(df)
+    _, has_labels, cleaning = clean_for_inference(df, art.target, coerce_columns=_string_numeric(df, art))
+    cleaned = cleaning.counted if has_labels else cleaning.counted.drop(art.target)
+    scores, missing, extra = _predictions(cleaned, art, has_labels, on_missing)
+    if output_path or on_missing == "error":
+        scores = stored(scores, "scores")
+    if on_missing == "error":
+        lacking = {r[0] for r in scores.where(F.size(MISSING) > 0).select(F.explode(MISSING)).distinct().collect()}
+        if lacking:
+            bad = [c for c in art.feature_names if c in lacking]
+            raise ValueError(f"feature columns with missing values cannot be scored (Q5): {bad}")
+    out = scores.drop(cl.COPIES, MISSING)
     if output_path:
-        from flowlens.sources.artifacts import write_predictions
-
         write_predictions(out, output_path, fmt)
-    n_input = df.select(F.count(F.lit(1))).scalar()
-    summary = out.agg(
-        n_input.alias("n_input_rows"),
+    summary = scores.agg(
+        F.coalesce(F.sum(cl.COPIES), F.lit(0)).alias("n_input_rows"),
         F.count(F.when(F.col("prediction") != 1, 1)).alias("n_normal"),
         F.count(F.when(F.col("prediction").isNull(), 1)).alias("n_unscored"),
         F.count(F.when(F.col("prediction") == 1, 1)).alias("n_attack"),

@@ -7,6 +7,10 @@ Column names and types match the Spark results exactly.
 
 from __future__ import annotations
 
+from flowlens.constants import MODEL_ORDER
+from flowlens.operators import model_columns as mc
+from flowlens.operators.features import dummy_name
+from flowlens.plans.stored_models import FLOW_CATEGORIES, FLOW_NUMERIC, flow_models, live_model, tied_models
 from flowlens.sources.fixtures import with_views
 
 # Packet -> canonical flow key, shared by all F queries.
@@ -180,6 +184,12 @@ _CSV_TYPED = ", ".join(
 )
 _CSV_FINITE = ", ".join(f"{_fin(c)} AS {c}" if c in ("sload", "rate", "sttl") else c for c in _CLEAN_COLS)
 
+# the two disagreeing exports of dirty_csv: quotes and line breaks in attack_cat, no swin where the id is odd
+_DIRTY = {
+    "attack_cat": "'said \"' || attack_cat || '\", ' || chr(10) || chr(10) || 'flow ' || CAST(id AS VARCHAR) AS attack_cat",
+    "swin": "CASE WHEN id % 2 = 0 THEN swin END AS swin",
+}
+
 CLEAN_SQL = {
     "normalize_columns": _raw("SELECT * FROM flows_raw"),
     "resolve_target": _raw("SELECT * FROM flows_raw"),
@@ -209,6 +219,12 @@ CLEAN_SQL = {
     "missing_report": _clean(f"SELECT * FROM ({_MISSING}) WHERE missing_count > 0"),
     "na_tokens": _raw(f"SELECT {_ALL_STRINGS} FROM flows_raw"),
     "csv_ingest": _raw(f"SELECT {_ALL_STRINGS} FROM flows_raw"),
+    "csv_dirty": _raw(
+        "SELECT " + ", ".join(_DIRTY.get(c, f"CAST({c} AS VARCHAR) AS {c}") for c in RAW_COLS) + " FROM flows_raw"
+    ),
+    "csv_latin1": _raw(
+        "SELECT " + ", ".join("'é' || attack_cat || 'ÿ' AS attack_cat" if c == "attack_cat" else f"CAST({c} AS VARCHAR) AS {c}" for c in RAW_COLS) + " FROM flows_raw"
+    ),
     "load_dataset": _raw(
         "SELECT DISTINCT * FROM csv_finite",
         ctes=f"csv_typed AS (SELECT {_CSV_TYPED} FROM flows_raw), csv_finite AS (SELECT {_CSV_FINITE} FROM csv_typed)",
@@ -444,8 +460,92 @@ ps AS (SELECT *, sum(CASE WHEN d IS NULL OR d >= 2000000 THEN 1 ELSE 0 END)
 }
 
 
+# --- stored models (P3-P6, M5, F12, T2, T3) -------------------------------------------------
+
+
+def _model_scores(art, source: str, row_id: str = "row_id", more: str = "") -> str:
+    """CTEs ``scaled`` and ``scores`` (row_id, prediction, attack_probability, ``more``): the model over ``source``."""
+    probabilities, rule = mc.to_sql(art.model, [f'"{f}"' for f in art.feature_names])
+    names = [f"p{k}" for k in range(art.model.n_classes)]
+    dummies = {dummy_name(c, v): (c, v) for c, values in art.categories.items() for v in values[1:]}
+    value = lambda f: f"CAST(coalesce({dummies[f][0]} = '{dummies[f][1]}', false) AS INTEGER)" if f in dummies else f'"{f}"'
+    number = mc.sql_number
+    scaled = ", ".join(f'(CAST({value(f)} AS DOUBLE) - {number(art.scaler.mean[f])}) / {number(art.scaler.scale[f])} AS "{f}"' for f in art.feature_names)
+    complete = " AND ".join(f'"{f}" IS NOT NULL' for f in art.feature_names)
+    return f"""
+scaled AS (SELECT {row_id}{more}, {scaled} FROM {source}),
+probs AS (SELECT {row_id}{more}, {complete} AS complete, {", ".join(f"{p} AS {n}" for p, n in zip(probabilities, names))} FROM scaled),
+scores AS (SELECT {row_id}{more}, CASE WHEN complete THEN CAST({rule(names)} AS INTEGER) END AS prediction,
+                  CASE WHEN complete THEN round_even(p1, 4) END AS attack_probability FROM probs)"""
+
+
+def _clean_numbered(view: str) -> str:
+    """CTEs down to ``clean``: of equal rows the one with the smallest row_id."""
+    return f"""
+typed AS (SELECT row_id, {_TYPED} FROM {view}),
+finite AS (SELECT row_id, {_FINITE} FROM typed),
+clean AS (SELECT min(row_id) AS row_id, {", ".join(_CLEAN_COLS)} FROM finite GROUP BY {", ".join(_CLEAN_COLS)})"""
+
+
+def _stored(art, view: str, body: str, more_ctes: str = "") -> str:
+    ctes = f"{_clean_numbered(view).strip()},{_model_scores(art, 'clean', more=', label')}"
+    return with_views(body, view, ctes=ctes + more_ctes)
+
+
+_NAMED = "CASE WHEN {0} = 1 THEN 'Attack' ELSE 'Normal' END"
+_VERDICT = f"prediction, CASE WHEN prediction IS NOT NULL THEN {_NAMED.format('prediction')} END AS prediction_label, attack_probability"
+_REPORT_CTES = ",\nscored AS (SELECT label AS true_label, prediction FROM scores)," + _PER_CLASS
+_REPORT_BODY = REPORT_SQL["classification_report"][REPORT_SQL["classification_report"].index("SELECT CAST(class AS VARCHAR)") :]
+
+
+def _one_result(name: str) -> str:
+    sql = _stored(
+        tied_models()[name], "flows_complete",
+        f"SELECT '{name}' AS model, {MODEL_ORDER.index(name)} AS place, round_even(sum(tp) / sum(support), 4) AS accuracy, "
+        "round_even(sum(f1_score * support) / sum(support), 4) AS f1_score FROM m", _REPORT_CTES,
+    )
+    return f"SELECT * FROM ({sql})"
+
+
+_ALL_VALUES = {**{f: None for f in FLOW_NUMERIC}, **{f"{c}_{v}": (c, v) for c, values in FLOW_CATEGORIES.items() for v in values}}
+_GAPS = " UNION ALL ".join(
+    "SELECT '{0}' AS feature, round_even(abs(coalesce(avg(CASE WHEN label = 1 THEN {1} END), 0) - coalesce(avg(CASE WHEN label = 0 THEN {1} END), 0)), 4) "
+    "AS importance FROM clean".format(f, f'CAST("{f}" AS DOUBLE)' if cv is None else f"CAST(CAST(coalesce({cv[0]} = '{cv[1]}', false) AS INTEGER) AS DOUBLE)")
+    for f, cv in _ALL_VALUES.items()
+)
+_MATRIX = REPORT_SQL["confusion_matrix"][REPORT_SQL["confusion_matrix"].index("SELECT CAST(count_if(true_label = 0") :]
+
+_LIVE_KEY = "concat_ws('|', src_ip, dst_ip, CAST(src_port AS VARCHAR), CAST(dst_port AS VARCHAR), protocol_type)"
+_CAPTURE = """cap AS (
+  SELECT * FROM packets WHERE ts_us >= (SELECT min(ts_us) FROM packets) AND ts_us < (SELECT min(ts_us) FROM packets) + 10000000
+  ORDER BY ts_us, packet_id LIMIT 1000),
+"""
+
+STORED_SQL = {
+    "score_flows": _stored(
+        flow_models()["Logistic Regression"], "flows_numbered",
+        f"SELECT row_id, {_VERDICT}, label AS true_label, {_NAMED.format('label')} AS true_label_name FROM scores",
+    ),
+    "evaluate_model": _stored(flow_models()["Random Forest"], "flows_complete", _REPORT_BODY, _REPORT_CTES),
+    "best_model": "SELECT model, accuracy, f1_score FROM (" + " UNION ALL ".join(_one_result(n) for n in MODEL_ORDER) + ") ORDER BY f1_score DESC, place LIMIT 1",
+    "top_features": with_views(f"SELECT * FROM ({_GAPS}) ORDER BY importance DESC, feature LIMIT 15", "flows_complete", ctes=_clean_numbered("flows_complete")),
+    "confusion_report": _scored(
+        f"SELECT *, 2 AS classes FROM ({_MATRIX}) UNION ALL "
+        "SELECT CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS BIGINT), 3"
+    ),
+    "detect_traffic": with_views(
+        f"SELECT fl.*, {_VERDICT} FROM fl JOIN scores USING (row_id)",
+        "packets",
+        ctes=_CAPTURE + _PACKET_KEYS.strip().replace("FROM packets", "FROM cap") + ",\n" + _FLOW_STATS.strip()
+        + f",\nfl AS (SELECT {_LIVE_KEY} AS row_id, * FROM ({_FLOW_FEATURES_SELECT.strip()})),"
+        + _model_scores(live_model(), "fl"),
+    ),
+}
+
+
 def oracle_sql() -> dict[str, str]:
     out: dict[str, str] = {}
+    out.update(STORED_SQL)
     out.update(FLOW_SQL)
     out.update(CLEAN_SQL)
     out.update(REPORT_SQL)

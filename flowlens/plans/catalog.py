@@ -149,6 +149,30 @@ def _na_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return csvsrc.load_csv(spark, flows_csv(spark, sf_dir, null_token="NA"))
 
 
+def dirty_csv(spark: SparkSession, sf_dir: str) -> list[str]:
+    """The flow table as two exports that disagree: quotes, commas and line breaks in a text, columns in another order,
+    one column left out."""
+    path = scratch_path(spark, "dirty-csv")
+    note = F.concat(F.lit('said "'), "attack_cat", F.lit('", \n\nflow '), F.col("id").cast("string"))
+    rows = fx.flows_raw(spark, sf_dir).withColumn("attack_cat", note)
+    even, odd = rows.where("id % 2 = 0"), rows.where("id % 2 = 1").drop("swin")
+    for name, df in (("even", even), ("odd", odd.select(*reversed(odd.columns)))):
+        df.write.options(header=True, escape='"').csv(f"{path}/{name}")
+    return [f"{path}/even", f"{path}/odd"]
+
+
+def _csv_dirty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return csvsrc.load_csv(spark, dirty_csv(spark, sf_dir))
+
+
+def _csv_latin1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes that are no UTF-8 are read as ISO-8859-1."""
+    path = scratch_path(spark, "latin-csv")
+    rows = fx.flows_raw(spark, sf_dir).withColumn("attack_cat", F.concat(F.lit("é"), "attack_cat", F.lit("ÿ")))
+    rows.write.options(header=True, encoding="ISO-8859-1").csv(path)
+    return csvsrc.load_csv(spark, path)
+
+
 def _load_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
     return csvsrc.load_dataset(spark, flows_csv(spark, sf_dir))[0]
 
@@ -270,7 +294,7 @@ def trained_flows(spark: SparkSession, sf_dir: str):
 
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _TRAINED:
-        _TRAINED[key] = train(spark, fx.flows_raw(spark, sf_dir), on_missing="drop")
+        _TRAINED[key] = train(spark, fx.flows_complete(spark, sf_dir))
     return _TRAINED[key]
 
 
@@ -289,44 +313,70 @@ def _train_and_select(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best.select("*", *[F.lit(t.dropped[k]).cast("long").alias(f"{k}_rows_dropped") for k in ("train", "test")])
 
 
+# --- stored models: scores that SQL can follow ---------------------------------------------
+
+
+def _through_store(spark: SparkSession, art):
+    from flowlens.sources.artifacts import load_artifacts, save_artifacts
+
+    return load_artifacts(spark, save_artifacts(spark, art, scratch_path(spark, "stored-model")))
+
+
+def _stored_scores(spark: SparkSession, sf_dir: str, art) -> DataFrame:
+    from flowlens.operators.score import score
+
+    return score(fx.flows_complete(spark, sf_dir), _through_store(spark, art), on_missing="null").predictions
+
+
 def _best_model(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return me.best_model(trained_flows(spark, sf_dir).result.results)
+    """T3 over the stored models' results; the forest's and the tree's verdicts are the same, so that their F1 ties."""
+    from flowlens.plans.stored_models import tied_models
 
+    table = None
+    for name, art in tied_models().items():
+        one = me.weighted_metrics(_stored_scores(spark, sf_dir, art)).select(
+            F.lit(name).alias("model"), "accuracy", F.col("f1_weighted").alias("f1_score")
+        )
+        table = one if table is None else table.union(one)
+    return me.best_model(table)
 
-def _top_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from flowlens.operators.models import feature_importances
 
-    t = trained_flows(spark, sf_dir)
-    imp = feature_importances(t.result.best_model, t.prepared.features, spark)
-    if imp is None:  # model without importances: "not available"
-        return spark.createDataFrame([], "feature STRING, importance DOUBLE")
-    return me.top_features(imp)
+def _top_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T2 over the gap between the classes' means of every feature (all categories, so that two-valued ones tie)."""
+    rows = cl.clean_dataframe(fx.flows_complete(spark, sf_dir))[0]
+    return me.top_features(me.class_mean_gaps(fe.one_hot(rows.drop("row_id"), fe.fit_categories(rows), drop_first=False)))
 
 
 def _evaluate_model(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from flowlens.plans.training import evaluate_model
+    """M5 of the stored forest on the whole flow table."""
+    from flowlens.plans.stored_models import flow_models
 
-    t = trained_flows(spark, sf_dir)
-    table = evaluate_model(spark, t.artifacts_path, t.test)[1]
-    return table.withColumn("test_rows_dropped", F.lit(t.dropped["test"]).cast("long"))
+    return me.classification_report(_stored_scores(spark, sf_dir, flow_models()["Random Forest"]))
 
 
 def _score_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P6 with the stored logistic model; rows with a missing feature value get a NULL verdict (Q5)."""
     from flowlens.operators.score import score
-    from flowlens.sources.artifacts import load_artifacts
+    from flowlens.plans.stored_models import flow_models
+
+    art = _through_store(spark, flow_models()["Logistic Regression"])
+    return score(fx.flows_numbered(spark, sf_dir), art, on_missing="null").predictions
 
-    t = trained_flows(spark, sf_dir)
-    art = load_artifacts(spark, t.artifacts_path)
-    # every row is kept; rows with a missing feature value get a NULL verdict (Q5)
-    return score(fx.flows_raw(spark, sf_dir), art, on_missing="null", row_id="id").predictions
+
+def _confusion_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A7 as the evaluation report has it: zeros unless truth and prediction have two classes together."""
+    scored = fx.scored(spark, sf_dir)
+    third = scored.withColumn("prediction", F.when(F.col("attack_probability") > 0.5, F.lit(2)).otherwise(F.col("prediction")))
+    two, three = (me.confusion_matrix(t, fixed_labels=False).withColumn("classes", F.lit(n)) for t, n in ((scored, 2), (third, 3)))
+    return two.union(three)
 
 
 def _detect_traffic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F12 with the stored model of the packet flows' own columns."""
     from flowlens.plans.live import run_live_detection
+    from flowlens.plans.stored_models import live_model
 
-    t = trained_flows(spark, sf_dir)
-    res = run_live_detection(fx.packets(spark, sf_dir), t.artifacts_path)
-    return res.verdicts
+    return run_live_detection(fx.packets(spark, sf_dir), _through_store(spark, live_model())).verdicts
 
 
 def _capture_bound(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -373,6 +423,8 @@ QUERIES: dict[str, Query] = {
     "flow_rates": _flow_rates,
     "csv_ingest": _csv_ingest,
     "na_tokens": _na_tokens,
+    "csv_dirty": _csv_dirty,
+    "csv_latin1": _csv_latin1,
     "load_dataset": _load_dataset,
     "normalize_columns": _normalize_columns,
     "detect_format": _detect_format,
@@ -391,6 +443,7 @@ QUERIES: dict[str, Query] = {
     "probability_histogram": _probability_histogram,
     "probability_kde": _probability_kde,
     "confusion_matrix": _confusion_matrix,
+    "confusion_report": _confusion_report,
     "weighted_metrics": _weighted_metrics,
     "classification_report": _classification_report,
     "label_names": _label_names,

@@ -6,6 +6,7 @@ keep the best weighted F1 -> persist artifacts -> evaluate the stored model.
 
 from __future__ import annotations
 
+import functools
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -31,20 +32,22 @@ class Trained:
     test: DataFrame
 
 
-def complete_rows(df: DataFrame, features: list[str], on_missing: str, name: str) -> tuple[DataFrame, int]:
-    """The rows without missing feature values and how many others there are; with "raise" those are an error."""
+def complete_rows(df: DataFrame, features: list[str], on_missing: str, name: str, target: str = TARGET) -> tuple[DataFrame, int, int]:
+    """The rows without missing feature values, how many others there are, and how many of the kept have a label; with
+    "raise" others are an error.  One aggregate finds all of it."""
     if on_missing not in ("raise", "drop"):
         raise ValueError("on_missing is 'raise' or 'drop'")
     gap = [F.col(f"`{c}`").isNull() | F.isnan(F.col(f"`{c}`").cast("double")) for c in features]
-    missing = {f"c{i}": F.sum(g.cast("long")) for i, g in enumerate(gap)}
-    whole = df.dropna(subset=features)
-    counts = df.agg(F.count(F.lit(1)).alias("n"), *[x.alias(k) for k, x in missing.items()]).first()
+    whole = ~functools.reduce(lambda x, y: x | y, gap) if gap else F.lit(True)
+    counts = df.agg(
+        F.count_if(~whole).alias("n"),
+        F.count_if(whole & F.col(f"`{target}`").isNotNull()).alias("labelled"),
+        *[F.count_if(g).alias(f"c{i}") for i, g in enumerate(gap)],
+    ).first()
     found = [c for i, c in enumerate(features) if counts[f"c{i}"]]
-    if not found:
-        return df, 0
-    if on_missing == "raise":
+    if found and on_missing == "raise":
         raise ValueError(f"missing values in the {name} rows, columns {found}; filter them or pass on_missing='drop'")
-    return whole, counts["n"] - whole.count()
+    return (df.where(whole) if found else df), counts["n"], counts["labelled"]
 
 
 def train(
@@ -65,9 +68,9 @@ def train(
         cleaned = binarize_label(cleaned, target, negative_label)
     prep = fe.prepare_data(cleaned, target)
     numeric = [c for c in cleaned.columns if c != target and c not in prep.categories]
-    tr, train_dropped = complete_rows(prep.train, prep.features, on_missing, "training")
-    te, test_dropped = complete_rows(prep.test, prep.features, on_missing, "test")
-    result = mo.train_and_select(tr, te, prep.features, target, overrides=overrides, only=only)
+    tr, train_dropped, n_labelled = complete_rows(prep.train, prep.features, on_missing, "training", target)
+    te, test_dropped, _ = complete_rows(prep.test, prep.features, on_missing, "test", target)
+    result = mo.train_and_select(tr, te, prep.features, target, overrides=overrides, only=only, n_labelled=n_labelled)
     counts, tests = prep.split.class_counts, prep.split.test_counts
     classes = sorted(int(float(k)) for k, n in counts.items() if k != fe.NULL_KEY and n > tests.get(k, 0))
     art = Artifacts(result.best_model, result.best_name, prep.features, prep.categories, prep.scaler, numeric, target, classes)
@@ -80,7 +83,7 @@ def evaluate_model(
 ) -> tuple[dict, DataFrame]:
     """M5: reload the stored model, score the test rows, build (and optionally save) the report."""
     art: Artifacts = load_artifacts(spark, artifacts_path)
-    pred = mo.predict(art.model, mo.assemble(test, art.feature_names)).select(
+    pred = mo.apply_model(art.model, test, art.feature_names).select(
         F.col(target).alias("true_label"), "prediction"
     )
     report = me.evaluation_report(pred)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -67,6 +68,38 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+_SCOPES: list[list[str]] = []
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession):
+    """Everything :func:`stored` writes inside the scope is deleted when it ends; read the results before."""
+    _SCOPES.append([])
+    try:
+        yield
+    finally:
+        delete_paths(spark, _SCOPES.pop())
+
+
+def delete_paths(spark: SparkSession, paths: list[str]) -> None:
+    conf = spark._jsc.hadoopConfiguration()
+    for p in paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(conf).delete(path, True)
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` once as Parquet below the shared folder and read it back: later passes read only their columns, push
+    filters down and survive lost executors.  A :func:`scratch_scope` around the call deletes the files at its end."""
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    if _SCOPES:
+        _SCOPES[-1].append(path)
+    schema = df.schema
+    df.write.parquet(path)
+    return spark.read.schema(schema).parquet(path)
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Read a driver table as it is stored."""
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))

@@ -17,6 +17,7 @@ from pyspark.ml.classification import (
 )
 from pyspark.sql import DataFrame, SparkSession
 
+from flowlens.operators import model_columns as mc
 from flowlens.operators.features import Scaler
 
 MODEL_KINDS = {
@@ -47,8 +48,11 @@ def path_exists(spark: SparkSession, path: str) -> bool:
 
 
 def save_artifacts(spark: SparkSession, art: Artifacts, path: str) -> str:
+    """A fitted model is saved by Spark ML; one of plain values (``model_columns``) is part of the metadata."""
     base = path.rstrip("/")
-    art.model.write().overwrite().save(f"{base}/model")
+    plain = isinstance(art.model, mc.Model)
+    if not plain:
+        art.model.write().overwrite().save(f"{base}/model")
     meta = {
         "model_name": art.model_name,
         "model_kind": type(art.model).__name__,
@@ -59,6 +63,7 @@ def save_artifacts(spark: SparkSession, art: Artifacts, path: str) -> str:
         "numeric_columns": art.numeric_columns,
         "target": art.target,
         "classes": art.classes,
+        "plain_model": mc.to_dict(art.model) if plain else None,
     }
     spark.createDataFrame([(json.dumps(meta),)], "meta STRING").coalesce(1).write.mode("overwrite").json(f"{base}/meta")
     return base
@@ -68,10 +73,15 @@ def load_artifacts(spark: SparkSession, path: str) -> Artifacts:
     """Load model + metadata; ``FileNotFoundError`` lists what is missing."""
     base = path.rstrip("/")
     missing = [p for p in (f"{base}/model", f"{base}/meta") if not path_exists(spark, p)]
-    if missing:
+    if f"{base}/meta" in missing:
         raise FileNotFoundError(f"stored model incomplete, absent: {missing}")
     meta = json.loads(spark.read.json(f"{base}/meta").first()["meta"])
-    model = MODEL_KINDS[meta["model_kind"]].load(f"{base}/model")
+    if meta.get("plain_model"):
+        model = mc.from_dict(meta["plain_model"])
+    elif missing:
+        raise FileNotFoundError(f"stored model incomplete, absent: {missing}")
+    else:
+        model = MODEL_KINDS[meta["model_kind"]].load(f"{base}/model")
     scaler = Scaler(meta["feature_names"], meta["mean"], meta["scale"])
     return Artifacts(
         model, meta["model_name"], meta["feature_names"], meta["categories"], scaler, meta["numeric_columns"], meta["target"],

@@ -1,16 +1,17 @@
 """CSV flow-table source (S1-S3, S5) and the processed-data loader.
 
-Files are read as strings in parallel splits (no schema inference pass);
-typing is decided later by the cleaning chain's numeric-share job.
+Files are read as strings in parallel splits (no schema inference pass), each by its own header and with line breaks in
+quotes (:mod:`flowlens.sources.csvfiles`); typing is decided later by the cleaning chain's numeric-share job.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from dataclasses import dataclass
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from flowlens.constants import COLUMNS_TO_DROP, NA_TOKENS, NUMERIC_SHARE_THRESHOLD, TARGET
+from flowlens.constants import COLUMNS_TO_DROP, NA_TOKENS, NUMERIC_SHARE_THRESHOLD, ROW_ID, TARGET
 from flowlens.functions.numeric import NUMERIC_PATTERN
 from flowlens.operators.clean import (
     CleanResult,
@@ -20,6 +21,9 @@ from flowlens.operators.clean import (
     numeric_candidates,
     resolve_target,
 )
+from flowlens.operators.ranking import starts
+from flowlens.session import stored
+from flowlens.sources.csvfiles import MALFORMED, PLACE, Part, data_files, read_parts
 
 # fixed value: an integer literal as a CSV reader types it
 INTEGER_PATTERN = r"^\s*[+-]?[0-9]+\s*$"
@@ -27,7 +31,6 @@ INTEGER_PATTERN = r"^\s*[+-]?[0-9]+\s*$"
 # fixed values: the words a CSV reader types as booleans
 BOOLEAN_WORDS = ("True", "TRUE", "true", "False", "FALSE", "false")
 
-MALFORMED = "_malformed_line"
 REPLACEMENT_CHAR = "�"
 
 
@@ -45,56 +48,40 @@ def _expand(spark: SparkSession, paths: str | list[str]) -> list[str]:
     return out
 
 
-def _reader(spark: SparkSession, encoding: str, multi_line: bool):
-    return (
-        spark.read.option("encoding", encoding)
-        .option("mode", "PERMISSIVE")
-        .option("escape", '"')  # a doubled quote inside a quoted value is one quote
-        .option("multiLine", multi_line)
-    )
+@dataclass
+class _Csv:
+    """What a read knows before its rows are checked: a table for each distinct header."""
 
+    parts: list[Part]
 
-def unique_names(names: list[str]) -> list[str]:
-    """Repeated header names get ``.1``, ``.2`` ...; Spark ignores case in names, so this does too."""
-    taken = {n.lower() for n in names}
-    seen: dict[str, int] = {}
-    out = []
-    for n in names:
-        k = seen.get(n.lower(), 0)
-        seen[n.lower()] = k + 1
-        new = n
-        while k and new.lower() in taken:
-            new = f"{n}.{k}"
-            k += 1
-        taken.add(new.lower())
-        out.append(new)
-    return out
+    @property
+    def headers(self) -> list[str]:
+        return [n for p in self.parts for n in p.raw]
 
+    def table(self, place: bool = False) -> DataFrame:
+        """All parts put together by name, with ``MALFORMED`` last but for where each row stands (if asked for)."""
+        out = None
+        for p in self.parts:
+            one = p.table if place else p.table.drop(*PLACE)
+            out = one if out is None else out.unionByName(one, allowMissingColumns=True)
+        last = [c for c in out.columns if c in (MALFORMED, *PLACE)]
+        return out.select(*[col(c) for c in out.columns if c not in last], *last)
 
-def _read(spark: SparkSession, paths: list[str], encoding: str, multi_line: bool = False) -> DataFrame:
-    """All columns as text, plus ``MALFORMED`` with the whole line where a row has too many or too few values.
+    def checks(self, counts) -> DataFrame:
+        """The table with ``_long`` and ``_bad`` flags of each row, which a part judges by its own header."""
+        out = None
+        for p in self.parts:
+            one = p.table.drop(*PLACE)
+            one = one.withColumn("_long", _too_long(one)).withColumn("_bad", _bad_bytes(one)).drop(MALFORMED)
+            out = one if out is None else out.unionByName(one, allowMissingColumns=True)
+        return na_tokens(out).agg(F.count(F.lit(1)).alias("_n"), F.max(F.col("_bad").cast("int")).alias("_bad"), F.count_if("_long").alias("_long"), *counts)
 
-    Values go by position, so every file must have the same header: Spark
-    compares them and fails on a difference.
-    """
-    names = _reader(spark, encoding, multi_line).option("header", True).csv(paths).columns
-    repeated = any(n.endswith(str(i)) for i, n in enumerate(names))
-    if repeated:  # Spark marks a repeated name by its position: see whether these are such names
-        first = _reader(spark, encoding, multi_line).option("header", False).csv(paths).first()
-        raw = [f"_c{i}" if v is None else v for i, v in enumerate(first)]
-        repeated = len({n.lower() for n in raw}) < len(raw) == len(names)
-        names = unique_names(raw) if repeated else names
-    if not names:
-        return spark.read.option("header", True).csv(paths)
-    schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, MALFORMED]])
-    return (
-        _reader(spark, encoding, multi_line)
-        .option("header", True)
-        .option("enforceSchema", repeated)  # names given by us are not those in the header
-        .option("columnNameOfCorruptRecord", MALFORMED)
-        .schema(schema)
-        .csv(paths)
-    )
+
+def _read(spark: SparkSession, paths: list[str], encoding: str, quoted_breaks: bool = True) -> _Csv:
+    parts = read_parts(spark, data_files(spark, paths), encoding, quoted_breaks)
+    if not parts:
+        raise ValueError(f"no header line in {paths}")
+    return _Csv(parts)
 
 
 def _values(df: DataFrame) -> DataFrame:
@@ -107,11 +94,6 @@ def _too_long(df: DataFrame):
     return F.coalesce(commas >= len(df.columns) - 1, F.lit(False))
 
 
-def _refuse_long(n: int, source) -> None:
-    if n:
-        raise ValueError(f"{n} lines of {source} hold more values than the header has names")
-
-
 def _bad_bytes(df: DataFrame):
     """True for a row where some value holds U+FFFD (bytes that were not UTF-8)."""
     bad = None
@@ -121,13 +103,8 @@ def _bad_bytes(df: DataFrame):
     return bad
 
 
-def _undecoded_header(df: DataFrame) -> bool:
-    return any(REPLACEMENT_CHAR in c for c in df.columns)
-
-
-def _checks(df: DataFrame) -> list:
-    """Aggregates of the read pass: any undecodable value, and the number of lines that are too long."""
-    return [F.max(_bad_bytes(df).cast("int")).alias("_bad"), F.count_if(_too_long(df)).alias("_long")]
+def _undecoded_header(read: _Csv) -> bool:
+    return any(REPLACEMENT_CHAR in n for n in read.headers)
 
 
 def na_tokens(df: DataFrame, tokens=NA_TOKENS) -> DataFrame:
@@ -191,63 +168,72 @@ def load_csv(
     encoding: str = "utf-8",
     detect_encoding: bool = True,
     typed: bool = False,
-    multi_line: bool = False,
+    quoted_breaks: bool = True,
+    row_id: bool = False,
 ) -> DataFrame:
     """S1 + S2 + S3 + S5: read one or many CSV files with a header row, as strings.
 
-    Missing path -> ``FileNotFoundError``; a file without a header (zero
-    bytes), a line with more values than the header, or files with different
-    headers -> an error.  When UTF-8 decoding produced U+FFFD the files
-    are re-read as latin-1 (ISO-8859-1), which decodes any byte.
-    ``multi_line`` reads quoted values that hold line breaks; each file is
-    then one task, so it is off by default.
+    Missing path -> ``FileNotFoundError``; no file with a header (zero
+    bytes) or a line with more values than its file's header -> an error.
+    Files may have different headers: columns go by name, and a column that
+    a file lacks is missing in its rows.  When UTF-8 decoding produced U+FFFD
+    the files are re-read as latin-1 (ISO-8859-1), which decodes any byte.
+    Quoted values may hold line breaks, at the price of one scan of the raw
+    lines that looks for them; ``quoted_breaks=False`` saves it where the
+    caller knows that there are none.  ``row_id`` numbers the rows by file and
+    line in a first column ``row_id``.
     """
     paths = _expand(spark, source)
-    df = _read(spark, paths, encoding, multi_line)
-    if not df.columns:
-        raise ValueError(f"no header line in {source}")
-    if typed:
-        return _load_typed(spark, paths, encoding, detect_encoding, df, multi_line)[0]
-    checks = _checks_encoding(encoding, detect_encoding)
-    found = df.agg(*_checks(df)).first()
-    _refuse_long(found["_long"], paths)
-    if checks and (_undecoded_header(df) or found["_bad"]):
-        df = _read(spark, paths, "ISO-8859-1", multi_line)
-    return na_tokens(_values(df))
+    read, row = _checked(spark, paths, encoding, detect_encoding, quoted_breaks, typed)
+    table = read.table(place=row_id)
+    if row_id:
+        table = stored(table, "csv-rows")
+        sizes = table.groupBy(*PLACE[:2]).agg(F.count(F.lit(1)).alias("n"))
+        # by rank, not by difference: where records were put together, places have gaps
+        rank = F.row_number().over(Window.partitionBy(*PLACE[:2]).orderBy(PLACE[2])) - 1
+        table = table.withColumn("_csv_rank", rank).join(starts(sizes, PLACE[:2]).withColumnRenamed("start", "_csv_start"), PLACE[:2])
+        table = table.withColumn(ROW_ID, (F.col("_csv_start") + F.col("_csv_rank")).cast("long")).drop(*PLACE, "_csv_rank", "_csv_start")
+        table = table.select(ROW_ID, *[col(c) for c in table.columns if c != ROW_ID])
+    out = na_tokens(_values(table))
+    return infer_types(out, row) if typed else out
 
 
 def _checks_encoding(encoding: str, detect_encoding: bool) -> bool:
     return detect_encoding and encoding.lower().replace("-", "") in ("utf8",)
 
 
-def _load_typed(spark: SparkSession, paths: list[str], encoding: str, detect_encoding: bool, df: DataFrame, multi_line: bool = False):
+def _checked(spark: SparkSession, paths: list[str], encoding: str, detect_encoding: bool, quoted_breaks: bool, typed: bool):
+    """A read whose lines have been checked, in one aggregate: undecodable values, lines that are too long and, if the
+    columns are to be typed, their type counts.  Undecodable bytes mean a latin-1 re-read and a second pass (rare)."""
+    read = _read(spark, paths, encoding, quoted_breaks)
+    check = _checks_encoding(encoding, detect_encoding)
+    if check and _undecoded_header(read):
+        read, check = _read(spark, paths, "ISO-8859-1", quoted_breaks), False
+    for attempt in (0, 1):
+        row = read.checks(_type_counts(_values(read.table()).columns) if typed else []).first()
+        if row["_long"]:
+            raise ValueError(f"{row['_long']} lines of {paths} hold more values than the header has names")
+        if not (check and row["_bad"] and attempt == 0):
+            break
+        read = _read(spark, paths, "ISO-8859-1", quoted_breaks)
+    return read, row
+
+
+def _load_typed(spark: SparkSession, paths: list[str]):
     """Typed read in one aggregate pass; returns (typed frame, numeric shares).
 
     The pass answers three questions at once: any undecodable value (U+FFFD
     is no NA token, so checking after ``na_tokens`` is the same), the
     read-time type counts, and, per column left as text, the share of ALL
     rows that parse as a number -- the cleaning chain's 90 % rule needs no
-    pass of its own.  Undecodable bytes mean a latin-1 re-read and a second
-    pass (the rare path).
+    pass of its own.
     """
-    check = _checks_encoding(encoding, detect_encoding)
-    if check and _undecoded_header(df):
-        df = _read(spark, paths, "ISO-8859-1", multi_line)
-        check = False
-    strings = _values(df).columns
-    for attempt in (0, 1):
-        row = na_tokens(df).agg(F.count(F.lit(1)).alias("_n"), *_checks(df), *_type_counts(strings)).first()
-        _refuse_long(row["_long"], paths)
-        if check and row["_bad"] and attempt == 0:
-            df = _read(spark, paths, "ISO-8859-1", multi_line)
-            strings = _values(df).columns
-            continue
-        break
-    nt = na_tokens(_values(df))
+    read, row = _checked(spark, paths, "utf-8", True, True, True)
+    nt = na_tokens(_values(read.table()))
     typed_df = infer_types(nt, row)
     still_text = {f.name for f in typed_df.schema.fields if f.dataType.typeName() == "string"}
     n = row["_n"] or 0
-    shares = {c: (row[f"d{i}"] / n if n else 0.0) for i, c in enumerate(strings) if c in still_text}
+    shares = {c: (row[f"d{i}"] / n if n else 0.0) for i, c in enumerate(nt.columns) if c in still_text}
     return typed_df, shares
 
 
@@ -279,11 +265,7 @@ def load_dataset(
     if isinstance(source, DataFrame):
         cleaned, result = clean_dataframe(source)
     else:
-        paths = _expand(spark, source)
-        df = _read(spark, paths, "utf-8")
-        if not df.columns:
-            raise ValueError(f"no header line in {source}")
-        raw, shares = _load_typed(spark, paths, "utf-8", True, df)
+        raw, shares = _load_typed(spark, _expand(spark, source))
         cleaned, result = clean_dataframe(raw, coerce_columns=_columns_to_coerce(raw, shares))
     if save_processed:
         writer = cleaned.write.mode("overwrite")

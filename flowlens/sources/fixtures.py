@@ -14,6 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from flowlens.session import read_table
+from flowlens.sources.rowid import with_row_id
 
 DIALECTS = {
     # Spark binds the source tables as DataFrame arguments of spark.sql, so no
@@ -23,8 +24,16 @@ DIALECTS = {
         "rd": "bround",
         "events": "{events}",
         "lineitem": "{lineitem}",
+        # bound to a table with row ids (flowlens.sources.rowid)
+        "numbered": "{lineitem}",
+    },
+    "duckdb": {
+        "us": "epoch_us(ts)",
+        "rd": "round_even",
+        "events": "events",
+        "lineitem": "lineitem",
+        "numbered": "(SELECT *, row_number() OVER () - 1 AS row_id FROM lineitem)",
     },
-    "duckdb": {"us": "epoch_us(ts)", "rd": "round_even", "events": "events", "lineitem": "lineitem"},
 }
 
 # 30 days of events squeezed to ~26 s in 100 microsecond steps.
@@ -90,8 +99,34 @@ SELECT event_id AS row_id,
 FROM {events}
 """
 
-VIEWS = {"packets": PACKETS_SQL, "flows_raw": FLOWS_RAW_SQL, "scored": SCORED_SQL}
-VIEW_SOURCES = {"packets": "events", "flows_raw": "lineitem", "scored": "events"}
+# The flow table with the identity of its rows: their place in the stored table.
+FLOWS_NUMBERED_SQL = FLOWS_RAW_SQL.replace("SELECT ", "SELECT row_id, ", 1).replace("{lineitem}", "{numbered}")
+
+
+def _without_gaps(sql: str) -> str:
+    """The flow table of an exporter that leaves no value out: 0 and '-' instead of missing, infinite and unreadable ones."""
+    for gap, filled in (
+        ("CASE WHEN l_tax = 0 THEN NULL ELSE CAST(l_tax AS STRING) END", "CAST(l_tax AS STRING)"),
+        ("WHEN 3 THEN NULL", "WHEN 3 THEN '-'"),
+        ("THEN 'Infinity'", "THEN '0'"),
+        ("CASE WHEN l_suppkey % 20 = 0 THEN 'bad' ELSE CAST(CAST(l_suppkey % 3 AS INT) AS STRING) END AS sttl", "CAST(CAST(l_suppkey % 3 AS INT) AS STRING) AS sttl"),
+    ):
+        assert sql.count(gap) == 1, gap
+        sql = sql.replace(gap, filled)
+    return sql
+
+
+FLOWS_COMPLETE_SQL = _without_gaps(FLOWS_NUMBERED_SQL)
+
+VIEWS = {
+    "packets": PACKETS_SQL,
+    "flows_raw": FLOWS_RAW_SQL,
+    "flows_numbered": FLOWS_NUMBERED_SQL,
+    "flows_complete": FLOWS_COMPLETE_SQL,
+    "scored": SCORED_SQL,
+}
+VIEW_SOURCES = {"packets": "events", "flows_raw": "lineitem", "flows_numbered": "lineitem", "flows_complete": "lineitem", "scored": "events"}
+_NUMBERED = ("flows_numbered", "flows_complete")
 
 
 def view_sql(name: str, dialect: str) -> str:
@@ -110,6 +145,8 @@ def load_view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Build a fixture view over the driver table it derives from."""
     source = VIEW_SOURCES[name]
     table = read_table(spark, sf_dir, source)
+    if name in _NUMBERED:
+        table = with_row_id(table)
     return spark.sql(view_sql(name, "spark"), **{source: table})
 
 
@@ -121,5 +158,13 @@ def flows_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load_view(spark, sf_dir, "flows_raw")
 
 
+def flows_numbered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return load_view(spark, sf_dir, "flows_numbered")
+
+
+def flows_complete(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return load_view(spark, sf_dir, "flows_complete")
+
+
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load_view(spark, sf_dir, "scored")

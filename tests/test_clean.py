@@ -131,8 +131,8 @@ def test_typed_csv_read_decodes_and_types_in_one_pass(spark, tmp_dir):
     typed = csvsrc.load_csv(spark, utf8, typed=True)
     jobs = list(sc.statusTracker().getJobIdsForGroup("typed-csv"))
     assert dict(typed.dtypes) == {"name": "string", "n": "double", "label": "bigint"}
-    # the header read plus ONE aggregate (no separate scan for undecodable bytes)
-    assert len([j for j in jobs if sc.statusTracker().getJobInfo(j) is not None]) <= 3
+    # the scan for open quotes and ONE aggregate, each with its final step (no separate scan for undecodable bytes)
+    assert len([j for j in jobs if sc.statusTracker().getJobInfo(j) is not None]) <= 4
     assert [r["name"] for r in typed.orderBy("n").collect()] == ["José", "x"]
 
 
@@ -153,8 +153,8 @@ def test_load_dataset_takes_the_share_from_the_read_pass(spark, tmp_dir):
     sc = spark.sparkContext
     sc.setJobGroup("load-dataset", "read pass only")
     csvsrc.load_dataset(spark, path)
-    # header read + one aggregate: no separate share job before the lazy clean
-    assert len(list(sc.statusTracker().getJobIdsForGroup("load-dataset"))) <= 3
+    # the scan for open quotes and one aggregate: no separate share job before the lazy clean
+    assert len(list(sc.statusTracker().getJobIdsForGroup("load-dataset"))) <= 4
 
 
 def test_csv_typed_read_and_load_dataset(spark, tmp_dir):
@@ -185,7 +185,7 @@ def test_several_csv_files_read_as_one(spark, tmp_dir):
 
 def test_csv_quotes_and_line_breaks(spark, tmp_dir):
     path = _write(os.path.join(tmp_dir, "quoted.csv"), b'a,b,label\n"x ""y"" z","p,q",0\nu,"l1\nl2",1\n')
-    rows = csvsrc.load_csv(spark, path, multi_line=True).orderBy("label").collect()
+    rows = csvsrc.load_csv(spark, path).orderBy("label").collect()
     assert [tuple(r) for r in rows] == [('x "y" z', "p,q", "0"), ("u", "l1\nl2", "1")]
 
 
@@ -198,11 +198,73 @@ def test_csv_long_rows_raise_and_short_rows_fill(spark, tmp_dir):
     assert [tuple(r) for r in csvsrc.load_csv(spark, short).orderBy("a").collect()] == [("1", "0", None), ("2", "3,4", "5")]
 
 
-def test_csv_files_with_different_headers_raise(spark, tmp_dir):
-    a = _write(os.path.join(tmp_dir, "h1.csv"), b"a,label\n1,0\n")
-    b = _write(os.path.join(tmp_dir, "h2.csv"), b"label,a\n1,20\n")
-    with pytest.raises(Exception, match="header"):
-        csvsrc.load_csv(spark, [a, b]).collect()
+def test_csv_columns_go_by_name_in_every_file(spark, tmp_dir):
+    """Other orders, repeated names and columns that a file lacks; the files' numbers follow their names."""
+    a = _write(os.path.join(tmp_dir, "h1.csv"), b"a,x,x,label\n1,2,3,0\n")
+    b = _write(os.path.join(tmp_dir, "h2.csv"), b"label,x,x,a\n1,2,3,20\n")
+    c = _write(os.path.join(tmp_dir, "h3.csv"), "\ufefflabel,extra\r\n0,\"u\r\nv\"\r\n".encode())
+    _write(os.path.join(tmp_dir, "h4.csv"), b"")
+    got = csvsrc.load_csv(spark, os.path.join(tmp_dir, "h*.csv"), row_id=True)
+    assert got.columns == ["row_id", "a", "x", "x.1", "label", "extra"]
+    assert [tuple(r) for r in got.orderBy("row_id").collect()] == [
+        (0, "1", "2", "3", "0", None), (1, "20", "2", "3", "1", None), (2, None, None, None, "0", "u\r\nv"),
+    ]
+    # a line that is too long for its own file raises, though another file's header is longer
+    _write(os.path.join(tmp_dir, "h5.csv"), b"label\n1,2\n")
+    with pytest.raises(ValueError, match="more values"):
+        csvsrc.load_csv(spark, os.path.join(tmp_dir, "h*.csv"))
+
+
+def _random_csv(r, n):
+    """Records with line breaks, quotes and commas, and what a plain parser makes of them."""
+    texts = ["", "x", "a b", 'say ""hi""', "1,2", "l1\nl2", "\n", '\n""', ",\n,", '""', "5", "\n\n\nend"]
+    lines, want = ["v,w,label"], []
+    for i in range(n):
+        v, w = r.choice(texts), r.choice(texts)
+        quoted = [f'"{t}"' if any(c in t for c in ',\n"') else t for t in (v, w)]
+        lines.append(f"{quoted[0]},{quoted[1]},{i}")
+        want.append(tuple(t.replace('""', '"') or None for t in (v, w)) + (str(i),))
+    return "\n".join(lines) + "\n", want
+
+
+@pytest.mark.parametrize("size", ["128m", "64", "17"])
+def test_csv_quoted_breaks_in_any_split(spark, tmp_dir, size):
+    """A file cut into splits at any place (most of them inside quotes) reads as a record parser reads it whole."""
+    import random
+
+    r, want = random.Random(3), []
+    for k in range(3):
+        text, rows = _random_csv(r, 60)
+        _write(os.path.join(tmp_dir, f"q{k}.csv"), text.encode())
+        want += rows
+    _write(os.path.join(tmp_dir, "q9.csv"), b"v,w,label\nplain,line,7\n")
+    want.append(("plain", "line", "7"))
+    was = spark.conf.get("spark.sql.files.maxPartitionBytes"), spark.conf.get("spark.sql.files.openCostInBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+        got = csvsrc.load_csv(spark, os.path.join(tmp_dir, "q*.csv"), row_id=True).orderBy("row_id").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", was[0])
+        spark.conf.set("spark.sql.files.openCostInBytes", was[1])
+    assert [tuple(x)[1:] for x in got] == want and [x.row_id for x in got] == list(range(len(want)))
+
+
+def test_csv_stray_quotes_do_not_join_lines(spark, tmp_dir):
+    path = _write(os.path.join(tmp_dir, "stray.csv"), b'a,b,label\n5" pipe,x,0\n6" pipe,y,1\n"in ""quotes"" here",z,2\n')
+    rows = csvsrc.load_csv(spark, path).orderBy("label").collect()
+    assert [r.b for r in rows] == ["x", "y", "z"] and rows[0].a == '5" pipe' and rows[2].a == 'in "quotes" here'
+
+
+def test_csv_open_quotes_only_slow_their_own_file(spark, tmp_dir):
+    from flowlens.sources import csvfiles
+
+    _write(os.path.join(tmp_dir, "p.csv"), b'a,label\n"x ""q""",0\n')
+    _write(os.path.join(tmp_dir, "o.csv"), b'a,label\n"x\ny",0\n')
+    files = csvfiles.data_files(spark, [tmp_dir])
+    assert {os.path.basename(f) for f in csvfiles.files_with_open_lines(spark, files, "utf-8")} == {"o.csv"}
+    latin = _write(os.path.join(tmp_dir, "l.csv"), 'a,label\n"é\nÿ",0\n'.encode("latin-1"))
+    assert csvsrc.load_csv(spark, latin).first().a == "é\nÿ"
 
 
 def test_csv_repeated_header_names(spark, tmp_dir):

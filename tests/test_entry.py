@@ -14,14 +14,13 @@ from flowlens.plans.catalog import QUERIES
 from flowlens.session import TABLES
 from tests.conftest import SF_SMALL
 
-MODEL_KEYS = {
-    "train_random_forest", "train_logistic", "train_tree", "train_and_select", "best_model", "top_features",
-    "evaluate_model", "score_flows", "detect_traffic",
-}
+# fitted here and now: no SQL follows a training
+MODEL_KEYS = {"train_random_forest", "train_logistic", "train_tree", "train_and_select"}
 FAST_ORACLE_KEYS = [
     "flow_features", "flow_stats", "protocol_mix", "clean_flows", "dataset_profile", "missing_report",
     "weighted_metrics", "classification_report", "probability_histogram", "stratified_split", "capture_bound",
-    "flows_tumbling", "flows_session", "capture_cap",
+    "flows_tumbling", "flows_session", "capture_cap", "score_flows", "evaluate_model", "best_model", "top_features",
+    "confusion_report", "detect_traffic",
 ]
 
 

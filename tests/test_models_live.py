@@ -56,6 +56,7 @@ def test_score_without_labels_and_missing_features(spark, trained, smoke):
     art = load_artifacts(spark, trained.artifacts_path)
     res = score(smoke.drop("label", "dst_bytes"), art)
     assert not res.has_labels and "true_label" not in res.predictions.columns
+    assert sorted(r.row_id for r in res.predictions.collect()) == list(range(12))  # rows without an id are numbered
     assert "dst_bytes" in res.missing_features
 
 
@@ -138,7 +139,8 @@ def test_fail_mode_checks_missing_values_inside_the_scoring_pass(spark, trained)
     art = load_artifacts(spark, trained.artifacts_path)
     rows = list(SMOKE_ROWS)
     rows[3] = (rows[3][0], rows[3][1], rows[3][2], rows[3][3], None, rows[3][5], rows[3][6])
-    bad = spark.createDataFrame(rows, SMOKE_SCHEMA)
+    numbered = lambda rows: spark.createDataFrame(list(enumerate(rows)), f"row_id long, r struct<{SMOKE_SCHEMA}>").select("row_id", "r.*")
+    bad = numbered(rows)
     sc = spark.sparkContext
     sc.setJobGroup("fail-mode", "score() must not run a job of its own")
     res = score(bad, art, on_missing="fail")
@@ -146,8 +148,8 @@ def test_fail_mode_checks_missing_values_inside_the_scoring_pass(spark, trained)
     with pytest.raises(Exception, match="src_bytes"):
         res.predictions.collect()
     sc.setJobGroup("fail-mode-ok", "complete rows")
-    ok = score(spark.createDataFrame(SMOKE_ROWS, SMOKE_SCHEMA), art, on_missing="fail").predictions
-    ref = score(spark.createDataFrame(SMOKE_ROWS, SMOKE_SCHEMA), art).predictions
+    ok = score(numbered(SMOKE_ROWS), art, on_missing="fail").predictions
+    ref = score(numbered(SMOKE_ROWS), art).predictions
     assert sorted(ok.collect()) == sorted(ref.collect())
 
 
@@ -182,4 +184,3 @@ def test_registered_training_tells_dropped_rows(spark, trained, monkeypatch):
 
     monkeypatch.setattr(catalog, "trained_flows", lambda spark, sf_dir: replace(trained, dropped={"train": 7, "test": 3}))
     assert {(r.train_rows_dropped, r.test_rows_dropped) for r in catalog.QUERIES["train_and_select"](spark, "").collect()} == {(7, 3)}
-    assert {r.test_rows_dropped for r in catalog.QUERIES["evaluate_model"](spark, "").collect()} == {3}
