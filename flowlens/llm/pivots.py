@@ -3,8 +3,9 @@
 Vectors are turned into whole numbers (floor of SCALE times each component), so scores are exact.  Distances of every
 vector to PIVOTS pivots are computed once; for a query q and a candidate x the largest |d(q, p) - d(x, p)| bounds d(q, x)
 from below, and with the norms that bounds the score from above: (|q|^2 + |x|^2 - bound^2) / 2.  Candidates of a block
-are evaluated in the order of that bound, step by step, until the bound falls below the k-th best score so far; every
-candidate with a bound equal to it is still looked at, so ties are settled by the smaller vec_id exactly.
+are evaluated in the order of that bound, the best ``STEP`` first and then all whose bound reaches the k-th best score so
+far; the rest is eliminated.  Every candidate with a bound equal to that score is looked at, so ties are settled by the
+smaller vec_id exactly.
 
 Queries and candidates meet in blocks: every (query block, candidate block) is one group of bounded size and gives at
 most k rows a query, which a final ranking by query merges.  Pivots are a bounded seeded choice of vectors; they change
@@ -39,6 +40,7 @@ EVERY = 20
 PIVOTS = 32
 QUERY_BLOCK, ROW_BLOCK = 512, 4096
 STEP = 256
+QUERIES = 64  # of a block, bounded together
 LARGE = float(1 << 20)  # sums of up to 2**13 products below this stay exact in doubles
 SEED = 3
 
@@ -67,26 +69,41 @@ def with_pivots(rows: DataFrame, pivots: int = PIVOTS) -> DataFrame:
 
 
 def eliminate(q: np.ndarray, dq: np.ndarray, x: np.ndarray, dx: np.ndarray, qid: np.ndarray, xid: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(query row, candidate rows, scores): each query's k best candidates of the block, by score and smaller id."""
-    qq, xx = (q * q).sum(1), (x * x).sum(1)
-    for i in range(len(q)):
-        low = np.zeros(len(x))
+    """(query row, candidate rows, scores): each query's k best candidates of the block, by score and smaller id.
+
+    The STEP candidates with the best bounds are evaluated first; of the others only those whose bound reaches the k-th
+    best score found, which no later one can lower."""
+    xx = (x * x).sum(1)
+    step = min(STEP, len(x))
+    if not step:
+        return
+    for at in range(0, len(q), QUERIES):
+        some, ids = q[at : at + QUERIES], qid[at : at + QUERIES]
+        low, gap = np.zeros((len(some), len(x))), np.empty((len(some), len(x)))
         for p in range(dx.shape[1]):
-            np.maximum(low, np.abs(dx[:, p] - dq[i, p]), out=low)
+            np.subtract.outer(dq[at : at + QUERIES, p], dx[:, p], out=gap)
+            np.maximum(low, np.abs(gap, out=gap), out=low)
         # distances carry rounding errors: lift the bound by more than they can amount to
-        bound = (qq[i] + xx - low * low) / 2 + 1e-6 * (qq[i] + xx + 1)
-        bound[xid == qid[i]] = -np.inf
-        order = np.argsort(-bound, kind="stable")
-        order = order[: int(np.searchsorted(-bound[order], np.inf, "left"))]
-        best_rows, best = np.zeros(0, np.int64), np.zeros(0)
-        for at in range(0, len(order), STEP):
-            if len(best) == k and bound[order[at]] < best[-1]:
-                break
-            rows = order[at : at + STEP]
-            best_rows, best = np.concatenate([best_rows, rows]), np.concatenate([best, x[rows] @ q[i]])
-            keep = np.lexsort((xid[best_rows], -best))[:k]
-            best_rows, best = best_rows[keep], best[keep]
-        yield i, best_rows, best
+        size = (some * some).sum(1)[:, None] + xx
+        bound = (size - low * low) / 2 + 1e-6 * (size + 1)
+        bound[ids[:, None] == xid] = -np.inf
+        first = np.argpartition(-bound, step - 1, axis=1)[:, :step]
+        early = np.einsum("qsd,qd->qs", x[first], some)
+        early[np.take_along_axis(bound, first, axis=1) == -np.inf] = -np.inf
+        least = np.partition(early, step - k, axis=1)[:, step - k] if step > k else np.full(len(some), -np.inf)
+        left = (bound >= least[:, None]) & (bound > -np.inf)
+        np.put_along_axis(left, first, early > -np.inf, axis=1)
+        # where the bounds keep most of the block, one product of matrices is the quickest way to the same scores
+        many = left.sum(axis=1) > len(x) // 4
+        scores = iter(some[many] @ x.T)
+        for i in range(len(some)):
+            rows = left[i].nonzero()[0]
+            found = next(scores)[rows] if many[i] else x[rows] @ some[i]
+            if len(rows) > k:  # what ties with the k-th best stays for the ids to settle
+                best = found >= np.partition(found, len(rows) - k)[len(rows) - k]
+                rows, found = rows[best], found[best]
+            keep = np.lexsort((xid[rows], -found))[:k]
+            yield at + i, rows[keep], found[keep]
 
 
 def large(v: np.ndarray) -> np.ndarray:
