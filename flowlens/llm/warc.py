@@ -8,9 +8,11 @@ digests.  Of records with equal payloads of at least ``REVISIT_BYTES`` the one w
 the others become revisits that name it; smaller payloads are never deduplicated.
 
 Archives are written by Spark's text writer (gzip; the line separator is the record separator of the format) and read
-as binary files, so they live in any store Spark reaches.  One archive holds one partition: its size is bounded by
-``spark.sql.files.maxPartitionBytes``.  Equal payloads meet through a partial maximum by digest; a payload held by a
-third of all records is one row there, and its join is a plain equi-join that the adaptive planner can split.
+as binary files, so they live in any store Spark reaches.  An archive ends after ``ARCHIVE_ROWS`` records, or after
+``ARCHIVE_BYTES`` and the record that passes them (its last rows are then empty lines, which readers skip), so that none
+comes near the 2 GiB a binary file may have, however a partition is dealt.  Equal payloads meet through a partial maximum
+by digest; a payload held by a third of all records is one row there, and its join is a plain equi-join that the adaptive
+planner can split.  Payloads too small to be referred to are dealt by record, not by digest.
 
 Defined cases: null html is an empty payload; a null or blank url is ``-`` in ARC and no target in WARC; blanks and
 control characters in a url are percent-encoded; a null page_id is written as none and read back as null, and revisits
@@ -31,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowlens.llm.common import scratch_path
+from flowlens.llm.common import scratch_path, written
 
 REVISIT_BYTES = 1000
 DATE = "20240101000000"
@@ -43,6 +45,10 @@ FIELDS = {
 }
 ROW_HEADER = "X-Archive-Row"
 _UNSAFE = re.compile(r"[\x00-\x20\x7f]")
+ARCHIVE_ROWS = 4096
+ARCHIVE_BYTES = 1 << 28
+#: How hard archives are compressed: zlib's level 3.
+GZIP = {"compression": "gzip", "zlib.compress.level": "THREE"}
 NAMESPACE = uuid.uuid5(uuid.NAMESPACE_URL, "urn:arc-conversion")
 
 
@@ -66,23 +72,41 @@ def filedesc(version: int, name: str) -> str:
     return f"{arc_header(version, 'filedesc://' + name, len(block), 'text/plain', name)}\n{block}"
 
 
+class Archive:
+    """What the writer's present file holds; Spark's writer begins another after ``ARCHIVE_ROWS`` rows."""
+
+    def __init__(self) -> None:
+        self.number = self.rows = self.bytes = 0
+
+    def opens(self) -> bool:
+        return not self.rows
+
+    def add(self, record: str | bytes) -> list:
+        """The rows to write for a record: itself, and empty ones that fill up an archive which has its size."""
+        self.rows, self.bytes = self.rows + 1, self.bytes + len(record)
+        fill = ARCHIVE_ROWS - self.rows if self.bytes >= ARCHIVE_BYTES else 0
+        if self.rows + fill >= ARCHIVE_ROWS:
+            self.number, self.rows, self.bytes = self.number + 1, 0, 0
+        return [record, *[record[:0]] * fill]
+
+
 def _arc_records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     from pyspark import TaskContext
 
     part = TaskContext.get().partitionId()
-    version, name, opened = 1 + part % 2, f"pages-{part:06d}.arc", False
+    version, archive = 1 + part % 2, Archive()
     for batch in batches:
         out = []
         for key, url, html in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html"))):
-            if not opened:
-                out.append(filedesc(version, name))
-                opened = True
+            if archive.opens():
+                name = f"pages-{part:06d}-{archive.number:06d}.arc"
+                out += archive.add(filedesc(version, name))
             body = html or ""
             size = len(_utf8(body))
             row = "" if key is None else f"{ROW_HEADER}: {key}\r\n"
             head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n{row}Content-Length: {size}\r\n\r\n"
             url = _UNSAFE.sub(lambda m: f"%{ord(m[0]):02X}", url or "") or "-"
-            out.append(f"{arc_header(version, url, len(head) + size, 'text/html', name)}\n{head}{body}")
+            out += archive.add(f"{arc_header(version, url, len(head) + size, 'text/html', name)}\n{head}{body}")
             if len(out) >= 500:
                 yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], names=["value"])
                 out = []
@@ -91,12 +115,12 @@ def _arc_records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def write_arc(pages: DataFrame, path: str) -> None:
-    """ARC archives of pages (page_id, url, html): version 1 and 2 in turn, one gzip file for each partition."""
+    """ARC archives of pages (page_id, url, html): version 1 and 2 in turn, gzip files of bounded size."""
     rows = pages.select(
         F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html")
     )
     records = rows.mapInArrow(_arc_records, "value string")
-    records.write.option("lineSep", "\n").option("compression", "gzip").text(path)
+    records.write.options(lineSep="\n", maxRecordsPerFile=ARCHIVE_ROWS, **GZIP).text(path)
 
 
 class Blocks:
@@ -212,7 +236,7 @@ def _reader(rows_of, names: list[str], blocks: bool):
 
 
 def archives(spark: SparkSession, path: str) -> DataFrame:
-    """The archive files below a path, whole (each is one writer partition)."""
+    """The archive files below a path, whole (none is large)."""
     return spark.read.format("binaryFile").load(path).where("length > 0").select("content")
 
 
@@ -246,15 +270,14 @@ def warc_record(kind: str, ident: str, date: str, block: bytes, more: list[tuple
 
 def _warc_records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     columns = ("row_key", "url", "archive_date", "mime", "version", "payload_sha1", "block", "refers_key", "refers_url", "refers_date")
-    opened = False
+    archive = Archive()
     for batch in batches:
         out = []
         for key, url, date, mime, version, sha1, block, to, to_url, to_date in zip(*(batch.column(c).to_pylist() for c in columns)):
-            if not opened:
+            if archive.opens():
                 info = b"software: ARC to WARC conversion\r\nformat: WARC File Format 1.1\r\n"
                 ident = f"<urn:uuid:{uuid.uuid5(NAMESPACE, f'info {key} {url} {date}')}>"
-                out.append(warc_record("warcinfo", ident, _warc_date(date), info, [("Content-Type", "application/warc-fields")]))
-                opened = True
+                out += archive.add(warc_record("warcinfo", ident, _warc_date(date), info, [("Content-Type", "application/warc-fields")]))
             more = [("WARC-Target-URI", url)] if url != "-" else []
             more += [("WARC-IP-Address", ADDRESS), ("Content-Type", "application/http; msgtype=response"), ("WARC-Payload-Digest", _sha1_name(sha1))]
             more += [("WARC-Identified-Payload-Type", mime), ("WARC-Converted-From", f"ARC/{version}")]
@@ -264,7 +287,7 @@ def _warc_records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                 more += [("WARC-Refers-To", record_id(to, to_url, to_date, sha1)), ("WARC-Refers-To-Date", _warc_date(to_date))]
                 more += [("WARC-Refers-To-Target-URI", to_url)] if to_url != "-" else []
                 block = split_http(block)[0]  # the payload stands in the record referred to
-            out.append(warc_record(kind, record_id(key, url, date, sha1), _warc_date(date), block, more))
+            out += archive.add(warc_record(kind, record_id(key, url, date, sha1), _warc_date(date), block, more))
         for i in range(0, len(out), 500):
             yield pa.RecordBatch.from_arrays([pa.array(out[i : i + 500], pa.binary())], names=["record"])
 
@@ -279,14 +302,16 @@ def convert(spark: SparkSession, arc_path: str, path: str, revisit_bytes: int =
         F.max("row_key").alias("refers_key"), F.count(F.lit(1)).alias("_n"), first.alias("_first")
     )
     kept = kept.select(F.col("payload_sha1").alias("_sha1"), "refers_key", F.col("_first.url").alias("refers_url"), F.col("_first.archive_date").alias("refers_date"))
-    large = F.when(F.col("payload_bytes") >= revisit_bytes, F.col("payload_sha1"))
-    rows = arc.join(kept, large == F.col("_sha1"), "left").drop("_sha1")
+    # a small payload has no partner: a key of 8 bytes deals its records evenly
+    alone = F.unhex(F.hex(F.xxhash64("row_key", "url", "archive_date")))
+    key = F.when(F.col("payload_bytes") >= revisit_bytes, F.col("payload_sha1")).otherwise(alone)
+    rows = arc.withColumn("_key", key).join(kept, F.col("_key") == F.col("_sha1"), "left").drop("_sha1", "_key")
     revisits = ~F.col("row_key").eqNullSafe(F.col("refers_key")) & F.col("refers_key").isNotNull()
     for c in ("refers_key", "refers_url", "refers_date"):
         rows = rows.withColumn(f"_{c}", F.when(revisits, F.col(c)))
     rows = rows.select("row_key", "url", "archive_date", "mime", "version", "payload_sha1", "block", *[F.col(f"_{c}").alias(c) for c in ("refers_key", "refers_url", "refers_date")])
     records = rows.mapInArrow(_warc_records, "record binary").select(F.col("record").cast("string").alias("value"))
-    records.write.option("lineSep", "\r\n\r\n").option("compression", "gzip").text(path)
+    records.write.options(lineSep="\r\n\r\n", maxRecordsPerFile=ARCHIVE_ROWS, **GZIP).text(path)
 
 
 # --- WARC reader ------------------------------------------------------------------------
@@ -336,7 +361,7 @@ def convert_pages(pages: DataFrame) -> DataFrame:
     arc, warc = scratch_path(spark, "arc"), scratch_path(spark, "warc")
     write_arc(pages, arc)
     convert(spark, arc, warc)
-    rows = read_warc(spark, warc, blocks=False)
+    rows = written(read_warc(spark, warc, blocks=False), "warc-index")
     named = rows.where("record_type = 'response'").select(F.col("record_id").alias("refers_to"), F.col("row_key").alias("refers"))
     named = named.groupBy("refers_to").agg(F.max("refers").alias("refers"))
     return rows.join(named, "refers_to", "left").select(
