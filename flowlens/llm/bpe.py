@@ -21,6 +21,7 @@ import hashlib
 import heapq
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,8 +29,11 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from flowlens.llm.common import slices, utf8
+
 RANKS = "byte_bpe_50k.tiktoken"
 LEAF = 6
+KNOWN = 1 << 19  # chunks a worker knows before it forgets them
 CACHED = 1 << 18  # entries of each cache of a worker; a full cache is emptied, which costs time only
 CACHED_CHARS = 64
 
@@ -38,6 +42,20 @@ CACHED_CHARS = 64
 BESIDE_BLANK = re.compile(r"\s | \s|^ | $")
 
 
+#: A space between two characters that are no white space.
+SAFE = re.compile(r"(?<=\S) (?=\S)")
+
+
+def chunks(text: str) -> list[str]:
+    """The text cut before every space between two characters that are no white space: there the pattern always starts a
+    new match."""
+    if not BESIDE_BLANK.search(text):
+        first, *rest = text.split(" ")
+        return [first, *[" " + x for x in rest]]
+    at = [0, *(m.start() for m in SAFE.finditer(text)), len(text)]
+    return [text[i:j] for i, j in zip(at, at[1:])]
+
+
 def _room(cache: dict) -> dict:
     if len(cache) >= CACHED:
         cache.clear()
@@ -55,7 +73,7 @@ class Bpe:
         self.seams: dict[int, list[int] | None] = {}
         self.short: dict[bytes, list[int]] = {}
         self.pieces: dict[str, list[int]] = {}
-        self.spaced: dict[str, list[int]] = {}
+        self._forget()
 
     # --- merging within a window
 
@@ -170,20 +188,32 @@ class Bpe:
         return out
 
     def encode(self, text: str) -> list[int]:
-        """The pattern always starts a new match at a space between two characters that are no white space.  So a text
-        in which every space stands so is cut there first, and what follows a space is looked up as one."""
-        if BESIDE_BLANK.search(text):
-            return self._pieces(text)
-        first, *rest = text.split(" ")
-        out, known = self._pieces(first), self.spaced
-        for chunk in rest:
-            ids = known.get(chunk)
-            if ids is None:
-                ids = self._pieces(" " + chunk)
-                if len(chunk) <= CACHED_CHARS:
-                    _room(known)[chunk] = ids
-            out += ids
-        return out
+        return self.encode_all([text])[0].tolist()
+
+    def _forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.begin, self.size, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+
+    def encode_all(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, and each text's place among them.  Each distinct chunk of the texts is encoded once."""
+        if len(self.known) > KNOWN:
+            self._forget()
+        cut = [chunks(t) if t else [] for t in texts]
+        flat = list(chain.from_iterable(cut))
+        fresh = list(set(flat) - self.known.keys())
+        if fresh:
+            found = list(map(self._pieces, fresh))
+            size = np.fromiter(map(len, found), np.int64, len(found))
+            end = np.cumsum(size)
+            base = len(self.known)
+            self.known.update(zip(fresh, range(base, base + len(fresh))))
+            self.begin, self.size = np.append(self.begin, len(self.flat) + end - size), np.append(self.size, size)
+            self.flat = np.append(self.flat, np.fromiter(chain.from_iterable(found), np.int32, int(end[-1])))
+        number = np.fromiter(map(self.known.__getitem__, flat), np.int64, len(flat))
+        size = self.size[number]
+        end = np.concatenate([np.zeros(1, np.int64), np.cumsum(size)])
+        ids = self.flat[np.repeat(self.begin[number] - end[:-1], size) + np.arange(end[-1])]
+        return ids, end[np.cumsum([0, *map(len, cut)])]
 
     def decode(self, ids: list[int]) -> bytes:
         level = [b"".join(map(self.tokens.__getitem__, ids[i : i + 1024])) for i in range(0, len(ids), 1024)]
@@ -214,19 +244,16 @@ def _encoder(ranks: str, with_ids: bool):
         bpe = load(ranks)
         for batch in batches:
             ids, texts = batch.column("doc_id"), batch.column("text")
-            for i in range(0, batch.num_rows, 256):
-                counts, sums, back, tokens = [], [], [], []
-                for text in texts.slice(i, 256):
-                    out = bpe.encode(text.as_py() or "")
-                    counts.append(len(out))
-                    sums.append(hashlib.sha256(np.array(out, "<u4").tobytes()).hexdigest())
-                    back.append(hashlib.sha256(bpe.decode(out)).hexdigest())
-                    if with_ids:
-                        tokens.append(np.array(out, np.int32))
-                columns = [ids.slice(i, 256), pa.array(counts, pa.int64()), pa.array(sums, pa.string()), pa.array(back, pa.string())]
+            _, at = utf8(texts)
+            for i, j in slices(at):
+                flat, cut = bpe.encode_all([t or "" for t in texts.slice(i, j - i).to_pylist()])
+                raw, listed, ends = memoryview(flat.astype("<u4").tobytes()), flat.tolist(), cut.tolist()
+                sums = [hashlib.sha256(raw[4 * x : 4 * y]).hexdigest() for x, y in zip(ends, ends[1:])]
+                back = [hashlib.sha256(bpe.decode(listed[x:y])).hexdigest() for x, y in zip(ends, ends[1:])]
+                columns = [ids.slice(i, j - i), pa.array(np.diff(cut), pa.int64()), pa.array(sums, pa.string()), pa.array(back, pa.string())]
                 names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
                 if with_ids:
-                    columns, names = [*columns, pa.array(tokens, pa.list_(pa.int32()))], [*names, "ids"]
+                    columns, names = [*columns, pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(flat, pa.int32()))], [*names, "ids"]
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return run
