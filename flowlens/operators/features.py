@@ -1,28 +1,31 @@
 """Feature preparation (E1-E5, P2): fitted one-hot, exact stratified split, scaler.
 
 * One-hot categories are fitted once with one distributed ``distinct`` over
-  (column, value) pairs; the category lists are size-checked before they
-  reach the driver.  Encoding is then a pure projection.
+  (column, value) pairs.  Named dummy columns need their values on the
+  driver; :mod:`flowlens.operators.sparse` takes any number of categories.
 * The split is exact (class sizes as the largest-remainder rule gives them)
   without ranking a class inside one task: each row gets a hash key, and the
-  k-th smallest key per class is found by refining a key-prefix histogram
-  (distributed aggregates; only bounded histograms reach the driver).
+  k-th smallest key per class is found by refining a key-prefix histogram.
+  Sizes, histograms and thresholds are tables; the driver sees one row of
+  each round.
 * The scaler is one ``avg``/``stddev_pop`` aggregate over the train rows.
 """
 
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
-from pyspark.ml.linalg import Vectors, VectorUDT
-from pyspark.sql import Column, DataFrame
+from pyspark.ml.linalg import VectorUDT
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from flowlens.constants import RANDOM_STATE, ROW_ID, TARGET, TEST_SIZE
 from flowlens.functions.numeric import is_numeric_type
 from flowlens.operators.clean import col
-from flowlens.session import cut_lineage
+from flowlens.operators.ranking import global_rank
+from flowlens.session import stored
 
 NULL_KEY = "\\N"
 
@@ -85,8 +88,7 @@ def one_hot(df: DataFrame, categories: dict[str, list[str]], drop_first: bool =
 def category_table(df: DataFrame, columns: list[str] | None = None, target: str | None = TARGET, drop_first: bool = True) -> DataFrame:
     """(column, value, index): the fitted categories as a stored table of any size, numbered from 0 by column and value.
 
-    With ``drop_first`` the smallest value of each column has no row.  The values never reach the driver, only one count
-    a partition does; each partition numbers its own range.
+    With ``drop_first`` the smallest value of each column has no row.  The values never reach the driver.
     """
     cols = categorical_columns(df, target) if columns is None else list(columns)
     if not cols:
@@ -95,31 +97,44 @@ def category_table(df: DataFrame, columns: list[str] | None = None, target: str
     if drop_first:
         least = pairs.groupBy("column").agg(F.min("value").alias("_least"))
         pairs = pairs.join(least, "column").where("value > _least").drop("_least")
-    pairs = pairs.orderBy("column", "value")
-    placed = cut_lineage(pairs.withColumn("_p", F.spark_partition_id()).withColumn("_m", F.monotonically_increasing_id()))
-    start, offsets = 0, []
-    for r in placed.groupBy("_p").count().orderBy("_p").collect():  # one row a partition
-        offsets.append((r["_p"], start))
-        start += r["count"]
-    offsets = df.sparkSession.createDataFrame(offsets, "_p INT, _start LONG")
-    return placed.join(offsets, "_p").select("column", "value", (F.col("_start") + F.col("_m").bitwiseAND((1 << 33) - 1)).alias("index"))
+    return global_rank(pairs, [F.col("column"), F.col("value")], "index")
+
+
+def sparse_vector(size: int, indices: Column, values: Column) -> Column:
+    """A Spark ML sparse vector from its ascending indices and their values, by the JVM's JSON functions (no Python).
+
+    The vector type is a record of these arrays; JSON is the way to give a record that type in an expression."""
+    record = F.struct(F.lit(0).cast("byte").alias("type"), F.lit(size).alias("size"), indices.cast("array<int>").alias("indices"), values.cast("array<double>").alias("values"))
+    return F.from_json(F.to_json(F.struct(record.alias("v"))), StructType([StructField("v", VectorUDT())]))["v"]
+
+
+def category_entries(df: DataFrame, categories: DataFrame, columns: list[str], *found: str) -> DataFrame:
+    """``df`` with ``_at``: for each row the (index, ``found``...) of its categories, by ascending index.
+
+    One left join a column with that column's part of the table, which the planner broadcasts if it is small; a missing,
+    unseen or dropped value has no entry.
+    """
+    out = df
+    for i, c in enumerate(columns):
+        part = categories.where(F.col("column") == c).select(F.col("value").alias(f"_v{i}"), F.struct("index", *found).alias(f"_e{i}"))
+        out = out.join(part, col(c) == F.col(f"_v{i}"), "left").drop(f"_v{i}")
+    if not columns:
+        return out.withColumn("_at", F.array().cast("array<struct<index: long>>"))
+    entries = F.array_sort(F.array_compact(F.array(*[F.col(f"_e{i}") for i in range(len(columns))])))
+    return out.withColumn("_at", entries).drop(*[f"_e{i}" for i in range(len(columns))])
 
 
 def one_hot_vector(df: DataFrame, categories: DataFrame, columns: list[str] | None = None, output: str = "categories") -> DataFrame:
-    """E1 for any number of categories: the text columns become one sparse vector by an equi-join with ``category_table``.
+    """E1 for any number of categories: the text columns become one sparse vector by equi-joins with ``category_table``.
 
     A missing, unseen or dropped value has no entry.  ``columns`` are the encoded ones, by default all text columns.
     """
     cols = categorical_columns(df) if columns is None else list(columns)
     size = categories.agg(F.max("index")).first()[0]
-    size = 0 if size is None else size + 1
-    rows = cut_lineage(df.withColumn("_r", F.monotonically_increasing_id()))
-    entries = F.udf(lambda at: Vectors.sparse(size, sorted(at or []), [1.0] * len(at or [])), VectorUDT())
-    keep = [col(c) for c in df.columns if c not in cols]
-    if not cols:
-        return rows.select(*keep, entries(F.array().cast("array<long>")).alias(output))
-    found = _column_values(rows, cols, "_r").join(categories, ["column", "value"]).groupBy("_r").agg(F.collect_list("index").alias("_at"))
-    return rows.join(found, "_r", "left").select(*keep, entries("_at").alias(output))
+    rows = category_entries(df, categories, cols)
+    at = F.transform("_at", lambda e: e["index"])
+    vector = sparse_vector(0 if size is None else size + 1, at, F.transform("_at", lambda e: F.lit(1.0)))
+    return rows.select(*[col(c) for c in df.columns if c not in cols], vector.alias(output))
 
 
 def encode_categorical(
@@ -131,11 +146,11 @@ def encode_categorical(
     """Fit (unless given) and apply the one-hot encoding; returns (frame, categories).
 
     Fitting and applying are two passes over ``df``; ``checkpoint=True``
-    writes it once to the shared checkpoint folder so an expensive input
+    writes it once to the shared folder so an expensive input
     (e.g. a de-duplicated table) is not recomputed by the second pass.
     """
     if categories is None and checkpoint:
-        df = cut_lineage(df)
+        df = stored(df, "encoded-rows")
     cats = fit_categories(df, target=target) if categories is None else categories
     return one_hot(df, cats), cats
 
@@ -171,106 +186,92 @@ def stratum_key(c: Column) -> Column:
     return F.coalesce(c.cast("string"), F.lit(NULL_KEY))
 
 
-def largest_remainder(counts: dict[str, int], draws: int) -> dict[str, int]:
-    """Integer allocation of ``draws`` proportional to ``counts``; ties go to the earlier class."""
-    total = sum(counts.values())
-    keys = sorted(counts)
-    cont = {k: counts[k] * draws / total for k in keys}
-    floor = {k: int(math.floor(cont[k])) for k in keys}
-    need = draws - sum(floor.values())
-    order = sorted(keys, key=lambda k: (-(cont[k] - floor[k]), k))
-    for k in order[:need]:
-        floor[k] += 1
-    return floor
+HEX_PER_LEVEL = 3  # 4096 buckets per refinement level
+KEY_HEX = 48  # 32 of the hash, 16 of the position
+FINAL_BUCKET_ROWS = 50_000
+#: A table with one row a class is broadcast, or numbered in one task, up to this many classes (about 100 bytes each).
+BROADCAST_CLASSES = 100_000
+SALTS = 16
 
 
-def test_sizes(class_counts: dict[str, int], test_size: float = TEST_SIZE) -> dict[str, int]:
-    """Per-stratum test rows: total ceil(test_size*n); stratified iff >1 class and the smallest has >1 row."""
-    n = sum(class_counts.values())
-    n_test = int(math.ceil(test_size * n))
-    stratify = len(class_counts) > 1 and min(class_counts.values()) > 1
-    if not stratify:
-        return {"*": n_test}
-    train = largest_remainder(class_counts, n - n_test)
-    return {k: class_counts[k] - train[k] for k in class_counts}
+@dataclass
+class SplitPlan:
+    """How a table was split.  Both tables have one row a stratum; ``"*"`` is the only one if the split is not stratified."""
 
+    stratified: bool
+    sizes: DataFrame  # class, n, n_test
+    cuts: DataFrame  # class, last_key: rows up to this key are test rows
 
-HEX_PER_LEVEL = 3  # 4096 buckets per refinement level
-KEY_HEX = 48  # 32 of the hash, 16 of the position
-FINAL_BUCKET_ROWS = 50_000
+    @property
+    def class_counts(self) -> dict[str, int]:
+        """Rows of each class; for callers who know that there are few classes."""
+        return {r["class"]: r["n"] for r in self.sizes.collect()}
 
+    @property
+    def test_counts(self) -> dict[str, int]:
+        if not self.stratified:
+            return {"*": sum(r["n_test"] for r in self.sizes.collect())}
+        return {r["class"]: r["n_test"] for r in self.sizes.collect()}
 
-def _pick_buckets(todo, prefix, by_s, level, final):
-    """Walk each stratum's sorted bucket counts to the bucket holding its k-th key."""
-    for s in list(todo):
-        cum = 0
-        for b, n in sorted(by_s.get(s, [])):
-            if cum + n >= todo[s]:
-                todo[s] -= cum
-                prefix[s] = b
-                if n <= FINAL_BUCKET_ROWS or level >= KEY_HEX:
-                    final[s] = b
-                break
-            cum += n
-        else:
-            raise RuntimeError("split bucket search ran past the stratum")
-
-
-def kth_keys(
-    keyed: DataFrame, k_by_stratum: dict[str, int], first_level: dict[str, list[tuple[str, int]]] | None = None
-) -> dict[str, str]:
-    """The k-th smallest ``_u`` per ``_s`` stratum, by prefix-histogram refinement.
-
-    Every round is one distributed aggregate over the rows still inside the
-    boundary bucket; only histograms (<= 4096 rows per stratum) and, at the
-    end, a boundary bucket of at most ``FINAL_BUCKET_ROWS`` keys reach the
-    driver.  ``first_level`` is an already computed first-round histogram.
+
+def _by_class(rows: DataFrame, of_class: DataFrame, n_classes: int, how: str = "inner") -> DataFrame:
+    """Rows with what a table holds for their stratum ``_s``; many strata meet their rows in ``SALTS`` places each."""
+    if n_classes <= BROADCAST_CLASSES:
+        return rows.join(F.broadcast(of_class), "_s", how)
+    copies = of_class.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salt = F.pmod(F.crc32(F.col("_u")), F.lit(SALTS)).cast("int")
+    return rows.withColumn("_salt", salt).join(copies, ["_s", "_salt"], how).drop("_salt")
+
+
+def split_sizes(counts: DataFrame, test_size: float = TEST_SIZE) -> tuple[DataFrame, bool, int]:
+    """Test rows of each class (``_s``, ``n``, ``n_test``), whether the split is stratified, and the number of classes.
+
+    The test set has ceil(test_size n) rows.  It is stratified if there are several classes and the smallest has more than
+    one row; then the training rows are shared out by largest remainder, in whole numbers, ties to the earlier class.
+    Two rows reach the driver, however many classes there are.
     """
-    todo = {s: k for s, k in k_by_stratum.items() if k > 0}
-    prefix = {s: "" for s in todo}
-    result: dict[str, str] = {}
-    level = 0
-    while todo:
-        level += HEX_PER_LEVEL
-        if level == HEX_PER_LEVEL and first_level is not None:
-            by_s = first_level
-        else:
-            cond = None
-            for s in todo:
-                c = (F.col("_s") == F.lit(s)) & F.col("_u").startswith(prefix[s])
-                cond = c if cond is None else (cond | c)
-            hist = (
-                keyed.filter(cond)
-                .groupBy("_s", F.substring("_u", 1, level).alias("b"))
-                .agg(F.count(F.lit(1)).alias("n"))
-                .collect()
-            )
-            by_s = {}
-            for r in hist:
-                by_s.setdefault(r["_s"], []).append((r["b"], r["n"]))
-        final: dict[str, str] = {}
-        _pick_buckets(todo, prefix, by_s, level, final)
-        if final:
-            cond = None
-            for s, b in final.items():
-                c = (F.col("_s") == F.lit(s)) & F.col("_u").startswith(b)
-                cond = c if cond is None else (cond | c)
-            keys: dict[str, list[str]] = {}
-            for r in keyed.filter(cond).select("_s", "_u").collect():  # <= FINAL_BUCKET_ROWS per stratum
-                keys.setdefault(r["_s"], []).append(r["_u"])
-            for s in final:
-                result[s] = sorted(keys[s])[todo[s] - 1]
-                del todo[s]
-                del prefix[s]
-    return result
+    total, least, n_classes = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.min("n"), F.count(F.lit(1))).first()
+    n_test = math.ceil(test_size * total)
+    if n_classes < 2 or least < 2:
+        whole = counts.groupBy(F.lit("*").alias("_s")).agg(F.sum("n").alias("n"))
+        return whole.withColumn("n_test", F.lit(n_test).cast("long")), False, min(n_classes, 1)
+    wide = lambda x: x.cast("decimal(19,0)")
+    share = wide(F.col("n")) * wide(F.lit(total - n_test))
+    shares = counts.withColumn("over", (share % wide(F.lit(total))).cast("long"))
+    shares = shares.withColumn("train", ((share - F.col("over")) / wide(F.lit(total))).cast("long"))
+    need = total - n_test - shares.agg(F.sum("train")).first()[0]
+    order = [F.col("over").desc(), F.col("_s")]
+    if n_classes <= BROADCAST_CLASSES:
+        ranked = shares.withColumn("rank", F.row_number().over(Window.orderBy(*order)) - 1)
+    else:
+        ranked = global_rank(shares, order)
+    train = F.col("train") + (F.col("rank") < need).cast("long")
+    return ranked.select("_s", "n", (F.col("n") - train).alias("n_test")), True, n_classes
 
 
-@dataclass
-class SplitPlan:
-    stratified: bool
-    class_counts: dict[str, int]
-    test_counts: dict[str, int]
-    thresholds: dict[str, str] = field(default_factory=dict)
+def last_test_keys(keyed: DataFrame, histogram: DataFrame, sizes: DataFrame, n_classes: int) -> DataFrame:
+    """(``_s``, ``last_key``): each stratum's ``n_test``-th smallest key ``_u``.
+
+    The bucket of keys that holds it is cut again by the key's next digits until it has at most ``FINAL_BUCKET_ROWS`` keys,
+    in all strata together; only those keys are ordered.  ``histogram``: the first round, rows of each (``_s``, ``b``).
+    Each round is one aggregate of the rows in the open buckets, and one number of it reaches the driver.
+    """
+
+    def boundary(hist: DataFrame, wanted: DataFrame) -> DataFrame:
+        upto = F.sum("n").over(Window.partitionBy("_s").orderBy("b").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+        found = hist.withColumn("upto", upto).join(wanted, "_s").where(F.col("upto") >= F.col("k"))
+        first = F.min_by(F.struct("b", (F.col("k") - F.col("upto") + F.col("n")).alias("k"), "n"), "b")
+        return stored(found.groupBy("_s").agg(first.alias("f")).select("_s", F.col("f.b").alias("prefix"), "f.k", "f.n"), "split-buckets")
+
+    level = HEX_PER_LEVEL
+    open_ = boundary(histogram, sizes.where("n_test > 0").select("_s", F.col("n_test").alias("k")))
+    inside = lambda: _by_class(keyed, open_.select("_s", "prefix", "k"), n_classes).where(F.col("_u").startswith(F.col("prefix")))
+    while level < KEY_HEX and (open_.agg(F.max("n")).first()[0] or 0) > FINAL_BUCKET_ROWS:
+        level += HEX_PER_LEVEL
+        hist = inside().groupBy("_s", F.substring("_u", 1, level).alias("b")).agg(F.count(F.lit(1)).alias("n"))
+        open_ = boundary(hist, open_.select("_s", "k"))
+    place = F.row_number().over(Window.partitionBy("_s").orderBy("_u"))
+    return inside().withColumn("place", place).where("place = k").select("_s", F.col("_u").alias("last_key"))
 
 
 def assign_split(
@@ -285,53 +286,32 @@ def assign_split(
     """Add ``split`` = 'train' | 'test' with exact class sizes.
 
     Test rows of each class are the ones with the smallest hash keys.  The
-    input is read by 2-3 passes (histogram rounds, boundary keys, output; more
-    only when one repeated row fills the boundary), so by default it is
-    checkpointed once into the shared checkpoint folder.  Pass
+    rows are written once with their key and class, and the rounds that look
+    for each class's last test key read only those two columns.  Pass
     ``checkpoint=False`` only for stored input: repeated rows are told apart
     by their position, which must be the same in each pass.
     """
-    if checkpoint:
-        df = cut_lineage(df)
+    columns = df.columns
     if key_columns is None:
-        key_columns = [ROW_ID] if ROW_ID in df.columns else list(df.columns)
-    # one job: per class and first-level key prefix, the row count; class
-    # sizes are its sums, and it is the first round of the threshold search
-    cls = stratum_key(col(target))
-    ordered = df.withColumn("_u", ordered_key(df, key_columns, seed))
-    keyed_cls = ordered.select(cls.alias("_c"), "_u")
-    hist = (
-        keyed_cls.groupBy("_c", F.substring("_u", 1, HEX_PER_LEVEL).alias("b"))
-        .agg(F.count(F.lit(1)).alias("n"))
-        .collect()
-    )  # <= 4096 rows per class
-    class_counts: dict[str, int] = {}
-    for r in hist:
-        class_counts[r["_c"]] = class_counts.get(r["_c"], 0) + int(r["n"])
-    tests = test_sizes(class_counts, test_size) if class_counts else {}
-    stratified = "*" not in tests
-    first: dict[str, list[tuple[str, int]]] = {}
+        key_columns = [ROW_ID] if ROW_ID in columns else columns
+    rows = df.withColumn("_u", ordered_key(df, key_columns, seed)).withColumn("_c", stratum_key(col(target)))
+    if checkpoint:
+        rows = stored(rows, "split-rows")
+    hist = stored(rows.groupBy(F.col("_c").alias("_s"), F.substring("_u", 1, HEX_PER_LEVEL).alias("b")).agg(F.count(F.lit(1)).alias("n")), "split-histogram")
+    sizes, stratified, n_classes = split_sizes(hist.groupBy("_s").agg(F.sum("n").alias("n")), test_size)
+    if not stratified:
+        hist = hist.groupBy(F.lit("*").alias("_s"), "b").agg(F.sum("n").alias("n"))
+    stratum = F.col("_c") if stratified else F.lit("*")
+    cuts = stored(last_test_keys(rows.select(stratum.alias("_s"), "_u"), hist, sizes, n_classes), "split-cuts")
+    out = _by_class(rows.withColumn("_s", stratum), cuts, n_classes, "left")
+    is_test = F.coalesce(F.col("_u") <= F.col("last_key"), F.lit(False))
+    out = out.select(*[col(c) for c in columns], F.when(is_test, F.lit("test")).otherwise(F.lit("train")).alias(split_col))
+    # a split that is not stratified still has classes: their sizes, and the test rows that fell to each
     if stratified:
-        for r in hist:
-            first.setdefault(r["_c"], []).append((r["b"], int(r["n"])))
+        found = sizes.select(F.col("_s").alias("class"), "n", "n_test")
     else:
-        merged: dict[str, int] = {}
-        for r in hist:
-            merged[r["b"]] = merged.get(r["b"], 0) + int(r["n"])
-        first["*"] = list(merged.items())
-    stratum = cls if stratified else F.lit("*")
-    keyed = ordered.select(stratum.alias("_s"), "_u")
-    thresholds = kth_keys(keyed, tests, first_level=first)
-    if thresholds:
-        pairs = []
-        for s, t in thresholds.items():
-            pairs += [F.lit(s), F.lit(t)]
-        cut = F.element_at(F.create_map(*pairs), stratum)
-        is_test = F.coalesce(F.col("_u") <= cut, F.lit(False))
-    else:
-        is_test = F.lit(False)
-    out = ordered.withColumn(split_col, F.when(is_test, F.lit("test")).otherwise(F.lit("train"))).drop("_u")
-    return out, SplitPlan(stratified, class_counts, tests, thresholds)
+        found = out.groupBy(stratum_key(col(target)).alias("class")).agg(F.count(F.lit(1)).alias("n"), F.count_if(col(split_col) == "test").alias("n_test"))
+    return out, SplitPlan(stratified, found, cuts.withColumnRenamed("_s", "class"))
 
 
 # --- E3 / E4 ----------------------------------------------------------------------------------
@@ -433,13 +413,10 @@ def prepare_data(
     """E5: encode -> features/target -> exact split -> scaler fitted on train -> scale all."""
     if target not in df.columns:
         raise KeyError(f"cannot prepare data: no column {target!r} among {df.columns}")
-    if checkpoint:
-        # several passes follow (categories, split rounds, scaler): read the
-        # de-duplicated table from the shared checkpoint folder, not its lineage
-        df = cut_lineage(df)
-    key_cols = [ROW_ID] if ROW_ID in df.columns else list(df.columns)
-    cats = fit_categories(df, target=target)  # fitted before the split, as in the source
-    keyed, plan = assign_split(df, target, test_size, seed, key_columns=key_cols, checkpoint=False)
+    # several passes follow (categories, split rounds, scaler): the split writes the de-duplicated rows once, and they
+    # read them from the shared folder, not through their lineage
+    keyed, plan = assign_split(df, target, test_size, seed, checkpoint=checkpoint)
+    cats = fit_categories(keyed.drop("split"), target=target)  # of all rows, as in the source
     encoded = one_hot(keyed, cats)
     features = [c for c in encoded.columns if c not in (target, ROW_ID, "split")]
     non_numeric = [c for c in features if not is_numeric_type(encoded.schema[c].dataType)

@@ -69,8 +69,8 @@ def assemble(df: DataFrame, features: list[str], handle_invalid: str = "error")
     return va.transform(cast).drop(*[f"__f{i}" for i in range(len(features))])
 
 
-def ml_frame(df: DataFrame, features: list[str], target: str = TARGET) -> DataFrame:
-    out = assemble(df, features)
+def ml_frame(df: DataFrame, features: list[str] | None, target: str = TARGET) -> DataFrame:
+    out = df if features is None else assemble(df, features)
     if target in df.columns:
         out = out.withColumn(LABEL_IDX, col(target).cast("double"))
     return out
@@ -141,7 +141,7 @@ class TrainResult:
 def train_and_select(
     train: DataFrame,
     test: DataFrame,
-    features: list[str],
+    features: list[str] | None,
     target: str = TARGET,
     overrides: dict | None = None,
     only: tuple[str, ...] = MODEL_ORDER,
@@ -149,6 +149,7 @@ def train_and_select(
 ) -> TrainResult:
     """M4: fit the classifiers, score each on the test rows, keep the best weighted F1.
 
+    ``features``: the named columns, or None if the frames already have the vector column.
     ``n_labelled``: the number of training rows with a label, from a caller that has already seen that none lacks a
     feature value; without it a pass over the rows checks and counts them.
     """

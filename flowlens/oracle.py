@@ -493,6 +493,16 @@ def _stored(art, view: str, body: str, more_ctes: str = "") -> str:
 
 
 _NAMED = "CASE WHEN {0} = 1 THEN 'Attack' ELSE 'Normal' END"
+# the split by row id, and the entries of each row's sparse vector
+_ID_KEY = "md5(concat_ws('|', '42', coalesce(CAST(length(CAST(row_id AS VARCHAR)) AS VARCHAR) || ':' || CAST(row_id AS VARCHAR), '-')))"
+_SPLIT_BY_ID = _SPLIT_CTES.replace(_KEY_SQL, _ID_KEY)
+_SPLIT_BY_ID = _SPLIT_BY_ID[: _SPLIT_BY_ID.index("stats AS (")].strip().rstrip(",").replace("label, split,", "row_id, label, split,")
+_ENTRIES = " UNION ALL ".join(
+    f"SELECT row_id, label, split, '{f}' AS feature, round_even(CAST(\"{f}\" AS DOUBLE) / (SELECT CASE WHEN s IS NULL OR s = 0 THEN CAST(1 AS DOUBLE) ELSE s END "
+    f"FROM (SELECT stddev_pop(CAST(\"{f}\" AS DOUBLE)) AS s FROM encoded WHERE split = 'train')), 6) AS value FROM encoded WHERE \"{f}\" <> 0"
+    for f in FEATURES
+)
+
 _VERDICT = f"prediction, CASE WHEN prediction IS NOT NULL THEN {_NAMED.format('prediction')} END AS prediction_label, attack_probability"
 _REPORT_CTES = ",\nscored AS (SELECT label AS true_label, prediction FROM scores)," + _PER_CLASS
 _REPORT_BODY = REPORT_SQL["classification_report"][REPORT_SQL["classification_report"].index("SELECT CAST(class AS VARCHAR)") :]
@@ -529,6 +539,9 @@ STORED_SQL = {
     "evaluate_model": _stored(flow_models()["Random Forest"], "flows_complete", _REPORT_BODY, _REPORT_CTES),
     "best_model": "SELECT model, accuracy, f1_score FROM (" + " UNION ALL ".join(_one_result(n) for n in MODEL_ORDER) + ") ORDER BY f1_score DESC, place LIMIT 1",
     "top_features": with_views(f"SELECT * FROM ({_GAPS}) ORDER BY importance DESC, feature LIMIT 15", "flows_complete", ctes=_clean_numbered("flows_complete")),
+    "prepare_sparse": with_views(
+        f"SELECT * FROM ({_ENTRIES})", "flows_complete", ctes=_clean_numbered("flows_complete").strip() + ",\n" + _SPLIT_BY_ID
+    ),
     "confusion_report": _scored(
         f"SELECT *, 2 AS classes FROM ({_MATRIX}) UNION ALL "
         "SELECT CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS BIGINT), 3"

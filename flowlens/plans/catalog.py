@@ -249,6 +249,15 @@ def _prepare_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded_features(prep, prep.data)
 
 
+def _prepare_sparse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """E5 without a column for each category: the entries of the sparse vectors, by row and feature name."""
+    from flowlens.operators import sparse as sp
+
+    rows = cl.clean_dataframe(fx.flows_complete(spark, sf_dir))[0]
+    prep = sp.prepare_sparse(rows)
+    return sp.entries(prep.data, prep.encoder, ["row_id", "label", "split"]).withColumn("value", F.bround("value", 6))
+
+
 def _incoming_batch(spark: SparkSession, sf_dir: str):
     """A narrower unlabelled export of the flow table (no label, no sttl), encoded
     with the categories fitted on the training table."""
@@ -453,6 +462,7 @@ QUERIES: dict[str, Query] = {
     "scaler_fit": _scaler_fit,
     "scale_features": _scale_features,
     "prepare_data": _prepare_data,
+    "prepare_sparse": _prepare_sparse,
     "align_features": _align_features,
     "alignment_report": _alignment_report,
     "feature_gate": _feature_gate,

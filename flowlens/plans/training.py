@@ -71,8 +71,9 @@ def train(
     tr, train_dropped, n_labelled = complete_rows(prep.train, prep.features, on_missing, "training", target)
     te, test_dropped, _ = complete_rows(prep.test, prep.features, on_missing, "test", target)
     result = mo.train_and_select(tr, te, prep.features, target, overrides=overrides, only=only, n_labelled=n_labelled)
-    counts, tests = prep.split.class_counts, prep.split.test_counts
-    classes = sorted(int(float(k)) for k, n in counts.items() if k != fe.NULL_KEY and n > tests.get(k, 0))
+    # one row a class, as the model has
+    seen = prep.split.sizes.where(F.col("n") > F.col("n_test")).select("class").collect()
+    classes = sorted(int(float(r["class"])) for r in seen if r["class"] != fe.NULL_KEY)
     art = Artifacts(result.best_model, result.best_name, prep.features, prep.categories, prep.scaler, numeric, target, classes)
     path = save_artifacts(spark, art, artifacts_path or scratch_path(spark, "artifacts"))
     return Trained(prep, result, path, numeric, {"train": train_dropped, "test": test_dropped}, tr, te)

@@ -22,8 +22,8 @@ def test_training_rows_with_missing_values_are_an_error_unless_dropped(spark):
     rows = spark.createDataFrame([(1.0, None, 0), (2.0, 3.0, 1)], "a double, b double, label int")
     with pytest.raises(ValueError, match="'b'"):
         complete_rows(rows, ["a", "b"], "raise", "training")
-    kept, dropped = complete_rows(rows, ["a", "b"], "drop", "training")
-    assert (kept.count(), dropped) == (1, 1)
+    kept, dropped, labelled = complete_rows(rows, ["a", "b"], "drop", "training")
+    assert (kept.count(), dropped, labelled) == (1, 1, 1)
 
 
 def test_categories_have_no_default_bound(spark):
