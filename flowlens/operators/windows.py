@@ -7,9 +7,11 @@
   the gap -- and only these bucket rows run through the gap-and-island window.
   A hot flow therefore costs (time span / gap) rows in its window task, not
   its packet count.
-* W4 per-window packet cap: ``row_number() <= cap`` per window, which Spark
-  plans with a partial WindowGroupLimit below the shuffle, so at most
-  cap rows per window leave each map task.
+* W4 per-window packet cap: ``row_number() <= cap`` per (window, part), which
+  Spark plans with a partial WindowGroupLimit below the shuffle, so at most
+  cap rows of each leave a map task; then once more per window over the
+  parts' survivors.  A crowded window is ranked by ``CAP_PARTS`` tasks, and
+  its last task sees at most CAP_PARTS x cap rows, however many there are.
 """
 
 from __future__ import annotations
@@ -21,6 +23,7 @@ from flowlens.constants import CAPTURE_MAX_PACKETS, CAPTURE_SECONDS
 from flowlens.operators import flows as fl
 
 MICROS = 1_000_000
+CAP_PARTS = 32
 
 
 def window_start_us(ts_us, width_us: int):
@@ -107,5 +110,8 @@ def capture_cap(
     p = packets.withColumn("ts_us", fl.packet_time_us(packets)).withColumn(
         "window_start_us", window_start_us(F.col("ts_us"), width)
     )
-    w = Window.partitionBy("window_start_us").orderBy("ts_us", "packet_id")
-    return p.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= max_packets).drop("_rn")
+    parts = p.withColumn("_part", F.pmod(F.xxhash64("packet_id", "ts_us"), F.lit(CAP_PARTS)))
+    for keys in (["window_start_us", "_part"], ["window_start_us"]):
+        w = Window.partitionBy(*keys).orderBy("ts_us", "packet_id")
+        parts = parts.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= max_packets).drop("_rn")
+    return parts.drop("_part")

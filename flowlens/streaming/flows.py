@@ -8,9 +8,10 @@
   the progress metrics (``numRowsDroppedByWatermark``).
 * ``session_flow_stream`` (W2): ``session_window`` with the idle gap; append.
 * ``capped_packet_stream`` (W4): exact first-N packets per window with a
-  bounded state (the N smallest (time, id) pairs of each open window); each
-  partition first keeps only its own N smallest per window, so the state
-  update never sees more than partitions x N rows of one window.
+  bounded state (the N smallest (time, id) pairs of each open window, or of
+  each of its parts); each Arrow batch first keeps only its own N smallest
+  per window.  :func:`flowlens.streaming.live.start_capped` deals a window
+  over parts in different tasks and joins them when it closes.
 * ``score_stream`` (W5): stateless scoring of a flow stream, optionally
   de-duplicated within the watermark.
 """
@@ -121,18 +122,18 @@ def _smallest_per_window(width_us: int, cap: int):
 
 def _cap_state(cap: int, width_us: int):
     def update(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        (start,) = key
+        start = key[0]
         if state.hasTimedOut:
             (kept,) = state.get
             state.remove()
             if kept:
                 yield _frame([tuple(r) for r in kept])
             return
-        parts = [b[STATE_COLUMNS] for b in batches]
-        if state.exists:
-            (kept,) = state.get
-            parts.append(_frame([tuple(r) for r in kept]))
-        pdf = pd.concat(parts, ignore_index=True).sort_values(["ts_us", "packet_id"]).head(cap)
+        # one batch at a time: never more than the cap and a batch in memory
+        pdf = _frame([tuple(r) for r in state.get[0]]) if state.exists else None
+        for b in batches:
+            pdf = b[STATE_COLUMNS] if pdf is None else pd.concat([pdf, b[STATE_COLUMNS]], ignore_index=True)
+            pdf = pdf.sort_values(["ts_us", "packet_id"]).head(cap)
         state.update((_records(pdf),))
         state.setTimeoutTimestamp(int((start + width_us) // 1000))
         return iter(())
@@ -142,14 +143,18 @@ def _cap_state(cap: int, width_us: int):
 
 def capped_packet_stream(
     packets: DataFrame, window_s: float = CAPTURE_SECONDS, max_packets: int = CAPTURE_MAX_PACKETS,
-    watermark_s: float = CAPTURE_SECONDS,
+    watermark_s: float = CAPTURE_SECONDS, parts: int = 1,
 ) -> DataFrame:
-    """W4 on a stream: the first ``max_packets`` packets of each window, emitted when it closes."""
+    """W4 on a stream: the first ``max_packets`` packets of each window, emitted when it closes.
+
+    With several ``parts`` each window is dealt over that many groups, each with its own state of at most ``max_packets``
+    rows, and up to that many come out of each; they come out together, for the sink to cut once more."""
     width = int(round(window_s * MICROS))
     pre = packets.select(*CAP_COLUMNS, "ts")  # the watermark is set after the per-partition pre-cut
     local = pre.mapInPandas(_smallest_per_window(width, max_packets), f"{CAP_SCHEMA}, ts timestamp, window_start_us bigint")
     state_schema = f"rows array<struct<{', '.join(f'{n}: {t}' for n, t in (x.split(' ') for x in (CAP_SCHEMA + ', window_start_us bigint').split(', ')))}>>"
-    return local.withWatermark("ts", _seconds(watermark_s)).groupBy("window_start_us").applyInPandasWithState(
+    local = local.withColumn("part", F.pmod(F.xxhash64("packet_id", "ts_us"), F.lit(parts)))
+    return local.withWatermark("ts", _seconds(watermark_s)).groupBy("window_start_us", "part").applyInPandasWithState(
         _cap_state(max_packets, width),
         outputStructType=f"{CAP_SCHEMA}, window_start_us bigint",
         stateStructType=state_schema,

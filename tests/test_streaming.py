@@ -10,10 +10,12 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 
+from flowlens.operators import flows as fl
 from flowlens.operators import windows as wn
 from flowlens.sources import fixtures as fx
 from flowlens.sources.packets import PACKET_SCHEMA
 from flowlens.streaming import flows as sf
+from flowlens.streaming import live as lv
 from tests.conftest import SF_SMALL
 
 SENTINEL_US = 1704067200000000 + 10 * 60 * 1_000_000  # far past every window: closes them all
@@ -211,3 +213,117 @@ def test_file_sink_restarts_from_checkpoint(spark, packet_folder):
     want = wn.tumbling_flows(pk)
     assert got.count() == want.count()
     assert got.exceptAll(want.select(*got.columns)).count() == 0
+
+
+# --- sinks that a restart repeats without doubling ------------------------------------------
+
+
+def _restarted(spark, packet_folder, start, change=lambda: None):
+    """Run a sink over half of the files, then (after ``change``) over the rest from its checkpoint; the windows close."""
+    import shutil
+    import tempfile
+
+    base, _ = packet_folder
+    folder, sink, ckpt = (tempfile.mkdtemp(prefix=f"flowlens-live-{k}-") for k in ("in", "out", "ckpt"))
+    files = sorted(os.listdir(base))
+    for f in files[:2]:
+        shutil.copy2(os.path.join(base, f), os.path.join(folder, f))
+    start(_stream_source(spark, folder), sink, ckpt).awaitTermination(300)
+    change()
+    for f in files[2:]:
+        shutil.copy2(os.path.join(base, f), os.path.join(folder, f))
+    _sentinel(spark, folder, "zz-sentinel-1")
+    time.sleep(0.05)
+    _sentinel(spark, folder, "zz-sentinel-2")
+    start(_stream_source(spark, folder), sink, ckpt).awaitTermination(300)
+    return sink, folder
+
+
+def test_crowded_windows_are_capped_over_several_tasks(spark, packet_folder):
+    cap = lambda stream, sink, ckpt: lv.start_capped(stream, sink, ckpt, max_packets=50, parts=4, trigger_once=True)
+    sink, _ = _restarted(spark, packet_folder, cap)
+    got, want = spark.read.parquet(sink), wn.capture_cap(packet_folder[1], max_packets=50)
+    cols = [f.name for f in PACKET_SCHEMA.fields] + ["window_start_us"]
+    assert got.count() == want.count() > 0
+    assert got.select(*cols).exceptAll(want.select(*cols)).count() == 0
+
+
+def test_late_packets_are_kept(spark, packet_folder):
+    """Every packet is in the flows, in ``late`` or without an address, and the flows equal a batch over the others."""
+    keep = lambda stream, sink, ckpt: lv.start_flows_keeping_late(stream, sink, ckpt, window_s=2.0, watermark_s=1.0, trigger_once=True)
+    sink, _ = _restarted(spark, packet_folder, keep)
+    progress = spark.read.parquet(f"{sink}/progress").orderBy("batch_id").collect()
+    late = spark.read.parquet(f"{sink}/late")
+    flows = spark.read.parquet(f"{sink}/flows")
+    still_open = spark.read.parquet(f"{sink}/open/batch_id={max(r.batch_id for r in progress)}")
+    counted = [t.selectExpr("coalesce(sum(spkts + dpkts), 0)").first()[0] for t in (flows, still_open)]
+    packets = sum(r.packets for r in progress)
+    assert packets == sum(counted) + late.count() + sum(r.not_ip for r in progress) and late.count() == sum(r.late for r in progress)
+    marks = [r.watermark_us for r in progress]
+    assert marks == sorted(marks)
+    # a batch over the packets that were in time
+    ids = [r.packet_id for r in late.collect()]
+    in_time = packet_folder[1].where(~packet_folder[1].packet_id.isin(ids))
+    want = wn.tumbling_flows(in_time, window_s=2.0)
+    got = flows.select(*want.columns)
+    assert got.count() == want.count() > 0 and got.exceptAll(want).count() == 0
+
+
+def test_a_late_packet_is_in_the_late_table(spark, tmp_dir):
+    folder, sink, ckpt = (os.path.join(tmp_dir, k) for k in ("in", "out", "ckpt"))
+    os.mkdir(folder)
+    row = lambda k, s: (k, 1704067200000000 + int(s * 1e6), "10.0.0.1", "10.0.0.2", "tcp", 1, 2, 60, "S", None)
+    for name, rows in (("a", [row(1, 0), row(2, 9), row(3, 45)]), ("b", [row(4, 8.5), row(5, 30), row(6, 46)]), ("c", [row(7, 90)])):
+        _put(folder, name, rows)
+        time.sleep(0.05)
+    lv.start_flows_keeping_late(_stream_source(spark, folder), sink, ckpt, trigger_once=True).awaitTermination(300)
+    assert [r.packet_id for r in spark.read.parquet(f"{sink}/late").collect()] == [4]
+    got = {(r.window_start_us // 1_000_000 - 1704067200): r.spkts + r.dpkts for r in spark.read.parquet(f"{sink}/flows").collect()}
+    assert got == {0: 2, 30: 1, 40: 2}
+
+
+def test_continuous_detection_gives_each_verdict_once(spark, packet_folder, tmp_dir):
+    """Restarted from its checkpoint, with another model stored in between: one verdict a flow, by the model of its time."""
+    from dataclasses import replace
+
+    from flowlens.operators import model_columns as mc
+    from flowlens.operators.score import score_features
+    from flowlens.plans.stored_models import live_model
+    from flowlens.sources.artifacts import save_artifacts
+
+    path = os.path.join(tmp_dir, "model")
+    first = live_model()
+    always = replace(first, model=mc.tree(mc.leaf(0, 1)))
+    save_artifacts(spark, first, path)
+
+    def other_model():
+        time.sleep(1.1)
+        save_artifacts(spark, always, path)
+
+    run = lambda stream, sink, ckpt: lv.start_live_detection(stream, path, sink, ckpt, window_s=2.0, watermark_s=1.0, trigger_once=True)
+    sink, _ = _restarted(spark, packet_folder, run, other_model)
+    got = spark.read.parquet(sink).drop("batch_id")
+    flows = wn.tumbling_flows(packet_folder[1], window_s=2.0)
+    assert got.count() == got.select("row_id").distinct().count() == flows.count() > 0
+    # the first run closed the earlier windows, with the first model
+    rows = {r.row_id: r for r in got.collect()}
+    plain = score_features(got.select("row_id", *fl.FLOW_FEATURE_COLUMNS), first)
+    early = {r.row_id: (r.prediction, r.attack_probability) for r in plain.collect()}
+    changed = min(r.window_start_us for r in rows.values() if r.attack_probability == 1.0 and early[r.row_id][1] != 1.0)
+    assert changed > min(r.window_start_us for r in rows.values())
+    for r in rows.values():
+        assert (r.prediction, r.attack_probability) == ((1, 1.0) if r.window_start_us >= changed else early[r.row_id])
+
+
+def test_a_model_that_packets_cannot_feed_stops_the_query(spark, packet_folder, tmp_dir):
+    from dataclasses import replace
+
+    from flowlens.plans.stored_models import live_model
+    from flowlens.sources.artifacts import save_artifacts
+
+    path = os.path.join(tmp_dir, "model")
+    art = live_model()
+    save_artifacts(spark, replace(art, feature_names=[*art.feature_names[:-1], "ct_srv_src"]), path)
+    run = lambda stream, sink, ckpt: lv.start_live_detection(stream, path, sink, ckpt, window_s=2.0, watermark_s=1.0, trigger_once=True)
+    with pytest.raises(Exception, match="ct_srv_src"):
+        _restarted(spark, packet_folder, run)
