@@ -28,7 +28,7 @@ from __future__ import annotations
 import json
 import os
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from itertools import chain
 
@@ -47,7 +47,7 @@ CHUNK = 1 << 16
 #: Neighbouring fragments joined by one task of a round.
 FAN = 16
 #: A block of documents is closed at this many (document, distinct pair) entries.
-BLOCK = 1 << 22
+BLOCK = 1 << 20
 KNOWN_CHUNKS = 1 << 18
 
 #: A space between two characters that are no white space.
@@ -81,11 +81,20 @@ class Open:
         return Open(self.a[x], self.a_end[x], self.b[y], self.b_end[y])
 
 
-def links(part: Open) -> np.ndarray:
+def both_ends(part: Open) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes where a token of either kind ends, and those where tokens of both do."""
+    ends = np.sort(np.concatenate([part.a_end, part.b_end]), kind="stable")  # two sorted runs
+    again = ends[1:] == ends[:-1]
+    first = np.ones(len(ends), bool)
+    first[1:] = ~again
+    return ends[first], ends[1:][again]
+
+
+def links(part: Open, ends: np.ndarray | None = None) -> np.ndarray:
     """The pair (A id << 32 | B id) of every two tokens whose bytes overlap, for tokens that cover the same bytes.
 
     Between two neighbouring ends (of either kind) lies exactly one overlap of one token of each kind."""
-    ends = np.union1d(part.a_end, part.b_end)
+    ends = both_ends(part)[0] if ends is None else ends
     return part.a[np.searchsorted(part.a_end, ends)].astype(np.int64) << 32 | part.b[np.searchsorted(part.b_end, ends)]
 
 
@@ -123,7 +132,7 @@ class Fragment:
     @staticmethod
     def of(tokens: Open) -> Fragment:
         """The fragment of the tokens that end in a range."""
-        common = np.intersect1d(tokens.a_end, tokens.b_end, assume_unique=True)
+        common = both_ends(tokens)[1]
         if not len(common):
             return Fragment(prefix=tokens)
         first, last = int(common[0]), int(common[-1])
@@ -216,14 +225,13 @@ class Tokenizers:
         b, b_at = self.b.encode_words([t.replace(" ", pieces.SPACE) for t in texts])
         return a, a_at, b, b_at
 
-    def spelled(self, texts: list[str], ids: np.ndarray, at: np.ndarray, tokens: list[bytes]) -> np.ndarray:
+    def spelled(self, raw: list[bytes], ids: np.ndarray, at: np.ndarray, tokens: list[bytes], sizes: np.ndarray) -> np.ndarray:
         """Which texts the joined bytes of their tokens spell."""
-        raw = [t.encode() for t in texts]
         size = np.fromiter(map(len, raw), np.int64, len(raw))
         flat = ids.tolist()
-        ends = np.concatenate([np.zeros(1, np.int64), np.cumsum(np.fromiter((len(tokens[i]) for i in flat), np.int64, len(flat)))])[at]
+        ends = np.append(0, np.cumsum(sizes[ids]))[at]
         if (np.diff(ends) == size).all() and b"".join(map(tokens.__getitem__, flat)) == b"".join(raw):
-            return np.ones(len(texts), bool)
+            return np.ones(len(raw), bool)
         return np.array([b"".join(map(tokens.__getitem__, flat[i:j])) == x for i, j, x in zip(at.tolist(), at[1:].tolist(), raw)], bool)
 
     # --- distinct chunks
@@ -242,13 +250,13 @@ class Tokenizers:
 
     def _learn(self, chunks: list[str]) -> None:
         a, a_at, b, b_at = self.tokens(chunks)
-        ok = self.spelled(chunks, a, a_at, self.a_bytes) & self.spelled(chunks, b, b_at, self.b_bytes)
+        ok = self._spelled(chunks, a, a_at, b, b_at)
         if not ok.all():  # no tokens for these
             a_in, b_in = np.repeat(ok, np.diff(a_at)), np.repeat(ok, np.diff(b_at))
             a, b = a[a_in], b[b_in]
             a_at, b_at = (np.concatenate([np.zeros(1, np.int64), np.cumsum(np.where(ok, np.diff(x), 0))]) for x in (a_at, b_at))
         part = Open(a, np.cumsum(self.a_size[a]), b, np.cumsum(self.b_size[b]))
-        common = np.intersect1d(part.a_end, part.b_end, assume_unique=True)
+        ends, common = both_ends(part)
         a_group, b_group = np.searchsorted(common, part.a_end), np.searchsorted(common, part.b_end)
         x, y = np.searchsorted(part.a_end, common, "right"), np.searchsorted(part.b_end, common, "right")
         # tokens in the order of the text form: for each group its A tokens, then its B tokens
@@ -266,11 +274,10 @@ class Tokenizers:
         chunk_end = np.append(0, part.a_end)[a_at]
         groups = np.diff(np.searchsorted(common, chunk_end, "right"))
         self.sums = np.concatenate([self.sums, np.column_stack([np.diff(a_at), np.diff(b_at), groups, ok])])
-        ends = np.union1d(part.a_end, part.b_end)
         at = np.searchsorted(ends, chunk_end, "right")
         self.begin = np.append(self.begin, held + at[:-1])
         self.size = np.append(self.size, np.diff(at))
-        self.pairs = np.append(self.pairs, links(part))
+        self.pairs = np.append(self.pairs, links(part, ends))
 
     def align(self, texts: list[str]) -> dict[str, list | np.ndarray]:
         """Of each text: tokens, groups, links, the group text, and the distinct pairs with their times."""
@@ -295,29 +302,56 @@ class Tokenizers:
         size = self.size[number]
         ends = np.cumsum(size)
         pairs = self.pairs[np.repeat(self.begin[number] - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)]
-        distinct, pair = np.unique(pairs, return_inverse=True)
-        key = np.repeat(row, size) * max(1, len(distinct)) + pair
-        order = np.argsort(key, kind="stable")
-        key, count = key[order], np.repeat(count, size)[order]
-        first = np.ones(len(key), bool)
-        first[1:] = key[1:] != key[:-1]
-        starts = first.nonzero()[0]
-        key, times = key[starts], np.add.reduceat(count, starts) if len(starts) else _no(np.int64)
-        row, pair = key // max(1, len(distinct)), key % max(1, len(distinct))
+        row, pairs, times = _by_row(np.repeat(row, size), pairs, np.repeat(count, size), (len(self.a_bytes), len(self.b_bytes)))
         return {
             "n_a": sums[:, 0], "n_b": sums[:, 1], "n_groups": sums[:, 2], "n_links": sums[:, 0] + sums[:, 1] - sums[:, 2], "groups": groups,
-            "at": np.searchsorted(row, np.arange(len(texts) + 1)), "pairs": distinct[pair] if len(pair) else _no(np.int64), "times": times,
+            "at": np.searchsorted(row, np.arange(len(texts) + 1)), "pairs": pairs, "times": times,
         }
 
+    def _spelled(self, texts: list[str], a: np.ndarray, a_at: np.ndarray, b: np.ndarray, b_at: np.ndarray) -> np.ndarray:
+        raw = [t.encode() for t in texts]
+        return self.spelled(raw, a, a_at, self.a_bytes, self.a_size) & self.spelled(raw, b, b_at, self.b_bytes, self.b_size)
+
     def segment(self, text: str, start: int) -> Open | None:
         """The tokens of a text from byte ``start`` on; None if they do not spell it."""
         chunks = _safe_parts(text)
-        a, a_at, b, b_at = self.tokens(chunks)
-        if not (self.spelled(chunks, a, a_at, self.a_bytes) & self.spelled(chunks, b, b_at, self.b_bytes)).all():
+        number = {c: k for k, c in enumerate(dict.fromkeys(chunks))}
+        distinct = list(number)
+        a, a_at, b, b_at = self.tokens(distinct)
+        if not self._spelled(distinct, a, a_at, b, b_at).all():
             return None
+        order = np.fromiter(map(number.__getitem__, chunks), np.int64, len(chunks))
+        a, b = _taken(a, a_at, order), _taken(b, b_at, order)
         return Open(a, start + np.cumsum(self.a_size[a]), b, start + np.cumsum(self.b_size[b]))
 
 
+def _taken(flat: np.ndarray, at: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """The parts ``flat[at[k]:at[k + 1]]`` for each k of ``order``."""
+    size = np.diff(at)[order]
+    ends = np.cumsum(size)
+    return flat[np.repeat(at[order] - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)]
+
+
+def _by_row(row: np.ndarray, pairs: np.ndarray, times: np.ndarray, ids: tuple[int, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct (row, pair), sorted, and the sum of each one's times."""
+    if not len(row):
+        return _no(np.int64), _no(np.int64), _no(np.int64)
+    low, high = int(ids[1] - 1).bit_length(), int(ids[0] - 1).bit_length() + int(ids[1] - 1).bit_length()
+    few = int(times.max()).bit_length()
+    if int(row.max()).bit_length() + high + few < 64:  # all of it in one number, which sorts quicker than places do
+        key = np.sort(((row << high | (pairs >> 32) << low | (pairs & 0xFFFFFFFF)) << few) | times)
+        key, times = key >> few, key & ((1 << few) - 1)
+        row, pair = key >> high, key & ((1 << high) - 1)
+        pairs = pair >> low << 32 | pair & ((1 << low) - 1)
+    else:
+        order = np.lexsort((pairs, row))
+        row, pairs, times = row[order], pairs[order], times[order]
+    first = np.ones(len(row), bool)
+    first[1:] = (row[1:] != row[:-1]) | (pairs[1:] != pairs[:-1])
+    at = first.nonzero()[0]
+    return row[at], pairs[at], np.add.reduceat(times, at)
+
+
 _LOADED: dict[tuple[str, str], Tokenizers] = {}
 
 
@@ -456,10 +490,14 @@ def align_long(docs: DataFrame, a: str, b: str, chunk: int) -> DataFrame:
 
 def align_documents(docs: DataFrame, a: str = BYTE_LEVEL, b: str = pieces.MODEL, chunk: int = CHUNK) -> DataFrame:
     """doc_id, n_a, n_b, n_groups, n_links, groups (text form), pairs (distinct A id << 32 | B id) and times (links of each)."""
+    short, long = _by_length(docs, chunk)
+    return short.mapInArrow(_aligner(a, b), ALIGNED).union(align_long(long, a, b, chunk))
+
+
+def _by_length(docs: DataFrame, chunk: int) -> tuple[DataFrame, DataFrame]:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     size = F.coalesce(F.octet_length("text"), F.lit(0))
-    short = rows.where(size < chunk).mapInArrow(_aligner(a, b), ALIGNED)
-    return short.union(align_long(rows.where(size >= chunk), a, b, chunk))
+    return rows.where(size < chunk), rows.where(size >= chunk)
 
 
 # --- how many documents hold a pair -------------------------------------------------------
@@ -515,19 +553,59 @@ def _sums(names: list[str]):
     return run
 
 
-def with_pair_counts(aligned: DataFrame, block: int = BLOCK) -> DataFrame:
-    """The columns of ``aligned`` but its lists, and n_best and count_sum: links whose pair is held by most documents for
-    its A id, and the sum over links of how many documents hold the pair."""
-    own = [f for f in aligned.schema.fields if f.name not in ("pairs", "times")]
-    names = [f.name for f in own]
-    packed = ", ".join(f"`{f.name}` array<{f.dataType.simpleString()}>" for f in own)
-    schema = f"block long, entries long, places binary, pairs array<long>, holders array<long>, {packed}"
-    blocks = written(aligned.mapInArrow(_packer(names, block), schema), "blocks")
+def _shown(shown: Callable[[str], str]):
+    """Replace the group text by what is kept of it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.schema.get_field_index("groups")
+            kept = pa.array(map(shown, batch.column(at).to_pylist()), pa.string())
+            yield batch.set_column(at, "groups", kept)
+
+    return run
+
+
+def _in_turn(*steps):
+    """The steps one after another in one worker, batch by batch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for step in steps:
+            batches = step(batches)
+        return batches
+
+    return run
+
+
+_OWN = ["doc_id", "n_a", "n_b", "n_groups", "n_links", "groups"]
+_PACKED = "block long, entries long, places binary, pairs array<long>, holders array<long>, " + ", ".join(
+    f"{c} array<{'string' if c == 'groups' else 'long'}>" for c in _OWN
+)
+
+
+def _counted(blocks: DataFrame) -> DataFrame:
+    blocks = written(blocks, "blocks")
     held = blocks.select("block", F.posexplode(F.arrays_zip("pairs", "holders")).alias("pos", "x")).select("block", "pos", "x.pairs", "x.holders")
     totals = held.groupBy("pairs").agg(F.sum("holders").alias("total"))
     # an A id has as many pairs as there are B ids at most, so that its window is bounded
     top = F.max("total").over(Window.partitionBy(F.shiftright("pairs", 32)))
     totals = totals.withColumn("best", (F.col("total") == top).cast("long"))
     counts = held.join(totals.hint("merge"), "pairs").select(F.col("block").alias("of_block"), "pos", "total", "best")
-    result = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own) + ", n_best long, count_sum long"
-    return blocks.drop("pairs", "holders").groupBy("block").cogroup(counts.groupBy("of_block")).applyInArrow(_sums(names), result)
+    result = ", ".join(f"{c} {'string' if c == 'groups' else 'long'}" for c in _OWN) + ", n_best long, count_sum long"
+    return blocks.drop("pairs", "holders").groupBy("block").cogroup(counts.groupBy("of_block")).applyInArrow(_sums(_OWN), result)
+
+
+def with_pair_counts(aligned: DataFrame, block: int = BLOCK) -> DataFrame:
+    """The columns of ``aligned`` but its lists, and n_best and count_sum: links whose pair is held by most documents for
+    its A id, and the sum over links of how many documents hold the pair."""
+    return _counted(aligned.mapInArrow(_packer(_OWN, block), _PACKED))
+
+
+def count_links(
+    docs: DataFrame, shown: Callable[[str], str], a: str = BYTE_LEVEL, b: str = pieces.MODEL, chunk: int = CHUNK, block: int = BLOCK
+) -> DataFrame:
+    """:func:`with_pair_counts` of :func:`align_documents` in one worker for each task: the lists of pairs never leave it.
+
+    ``shown`` says what is kept of a document's group text (a digest, say), in ``groups``."""
+    short, long = _by_length(docs, chunk)
+    packed = short.mapInArrow(_in_turn(_aligner(a, b), _shown(shown), _packer(_OWN, block)), _PACKED)
+    return _counted(packed.union(align_long(long, a, b, chunk).mapInArrow(_in_turn(_shown(shown), _packer(_OWN, block)), _PACKED)))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from hashlib import sha256
 from zlib import crc32
 
 from pyspark.sql import DataFrame, SparkSession
@@ -85,10 +86,9 @@ def op12_piece_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op13_fragment_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    aligned = crosstoken.align_documents(table(spark, sf_dir, "documents"))
-    digest = F.when(F.col("n_groups") > 0, F.sha2(F.col("groups").cast("binary"), 256)).otherwise("")
-    counted = crosstoken.with_pair_counts(aligned.withColumn("groups", digest).withColumnRenamed("groups", "groups_sha256"))
-    return counted.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+    digest = lambda groups: sha256(groups.encode()).hexdigest() if groups else ""
+    counted = crosstoken.count_links(table(spark, sf_dir, "documents"), digest)
+    return counted.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", F.col("groups").alias("groups_sha256"))
 
 
 QUERIES = {
@@ -101,7 +101,38 @@ QUERIES = {
 
 WORDS = r"coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT"
 
+# smallest reachable name of each node: ``nodes`` (n) and ``edges`` (a, b, both ways)
+REACHED = """
+reached AS (SELECT n, n AS c FROM nodes UNION SELECT e.b, r.c FROM reached r JOIN edges e ON r.n = e.a),
+least AS (SELECT n, min(c) AS c FROM reached GROUP BY n)"""
+
 ORACLE_SQL = {
+    "op4_pstable_vectors": f"""
+WITH RECURSIVE v AS (
+  SELECT vec_id, [x::DOUBLE FOR x IN embedding] AS e FROM embeddings
+  WHERE len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0 AND len([x FOR x IN embedding IF x <> 0]) > 0
+), pairs AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id < b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_cosine_similarity(a.e, b.e) >= {pstable.THRESHOLD}
+), edges AS (SELECT a, b FROM pairs UNION ALL SELECT b, a FROM pairs
+), nodes AS (SELECT vec_id AS n FROM embeddings),{REACHED}
+SELECT vec_id, (SELECT count(*) FROM edges WHERE a = vec_id)::BIGINT AS n_links, c AS component_id, vec_id = c AS kept
+FROM embeddings JOIN least ON n = vec_id""",
+    "op5_minhash": rf"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-]+'), []) AS ws
+  FROM documents
+), s AS (
+  SELECT doc_id, CASE WHEN len(ws) >= {minhash.WIDTH} THEN list_distinct([array_to_string(ws[i : i + {minhash.WIDTH - 1}], ' ') FOR i IN range(1, len(ws) - {minhash.WIDTH - 2})])
+                      WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END AS sh FROM w
+), u AS (SELECT doc_id, unnest(sh) AS x FROM s
+), p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM u a JOIN u b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY ALL
+), linked AS (
+  SELECT a, b FROM p JOIN s x ON x.doc_id = a JOIN s y ON y.doc_id = b
+  WHERE 100 * n >= {minhash.THRESHOLD} * (len(x.sh) + len(y.sh) - n)
+), edges AS (SELECT a, b FROM linked UNION ALL SELECT b, a FROM linked
+), nodes AS (SELECT doc_id AS n FROM documents),{REACHED}
+SELECT doc_id, len(sh)::BIGINT AS n_shingles, c AS component_id, doc_id = c AS kept FROM s JOIN least ON n = doc_id""",
     "op1_arc_to_warc": """
 WITH p AS (
   SELECT page_id, strlen(coalesce(html, '')) AS n, sha1(coalesce(html, '')) AS digest FROM pages
