@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from flowlens.llm import bpe, linededup, minhash, mixing, pulearn
-from flowlens.llm.common import shipped, table, written
+from flowlens.llm.common import clear_scratch, scratch_mark, shipped, table, written
 
 
 @shipped
@@ -41,15 +41,17 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality", quality), ("lines", lines), ("near_duplicates", near_duplicates), ("mixture", mixture), ("tokens", tokens)]
 
-#: Learned scores and token merges are not SQL; tests hold the stages against brute force.
+#: Learned scores and token merges are not SQL; tests hold each stage but the first against plain Python.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply the stages to ``documents``; every stage's result is a written table."""
-    docs = table(spark, sf_dir, "documents")
+    """Apply the stages to ``documents``; every stage's result is a written table, and what a stage wrote on the way to it
+    is deleted when it stands."""
+    docs, mark = table(spark, sf_dir, "documents"), scratch_mark(spark)
     for name, stage in STAGES:
         docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+        clear_scratch(spark, mark, docs)
     return docs
 
 

@@ -19,16 +19,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from flowlens.session import delete_paths, ensure_checkpoint_dir
+
 _WRITTEN: dict[str, list[str]] = {}
 _SHIPPED: set[str] = set()
 
 
 def shared_folder(spark: SparkSession) -> str:
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="llm-shared-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
+    """The folder of ``spark.checkpoint.dir``; without it a local session gets one of its own, a cluster an error."""
+    return ensure_checkpoint_dir(spark).rstrip("/")
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -46,14 +45,21 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
-def clear_scratch(spark: SparkSession) -> int:
-    """Delete every scratch table this application wrote; call it when the results that read them are stored."""
-    paths = _WRITTEN.pop(spark.sparkContext.applicationId, [])
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    for p in paths:
-        path = jvm.org.apache.hadoop.fs.Path(p)
-        path.getFileSystem(conf).delete(path, True)
-    return len(paths)
+def clear_scratch(spark: SparkSession, since: int = 0, keep: DataFrame | None = None) -> int:
+    """Delete the scratch tables this application wrote; call it when the results that read them are stored.
+
+    ``since``: leave the first so many (:func:`scratch_mark`) as they are; ``keep``: a written table that stays."""
+    mine = _WRITTEN.setdefault(spark.sparkContext.applicationId, [])
+    kept = [p for p in mine[since:] if keep is not None and any(f"/{p.rsplit('/', 1)[1]}/" in f for f in keep.inputFiles())]
+    gone = [p for p in mine[since:] if p not in kept]
+    mine[since:] = kept
+    delete_paths(spark, gone)
+    return len(gone)
+
+
+def scratch_mark(spark: SparkSession) -> int:
+    """How many scratch tables there are by now."""
+    return len(_WRITTEN.get(spark.sparkContext.applicationId, []))
 
 
 def ship(spark: SparkSession) -> None:
