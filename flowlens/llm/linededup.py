@@ -1,7 +1,9 @@
 """Line de-duplication by a segment-partition edit join.
 
 A line goes when an earlier line of the corpus (by doc_id, text hash, line number) is equal, or when both have at least
-MIN_CHARS characters and are within EDITS edits.  Equal lines are found by a 128-bit hash.  For the rest, each distinct line has EDITS + 1
+MIN_CHARS characters and are near: within EDITS edits, and one edit for each EDIT_CHARS characters of the shorter one (one at
+least), so that short lines which differ in a number are not taken for copies.  Lines are told apart by a 128-bit hash.
+For the rest, each distinct line has EDITS + 1
 disjoint segments, whose size its length class gives: the first half of them counted from its start, the others from its
 end.  Of two lines within EDITS edits, some segment i of the shorter one stands in the other with no edit in it, at most
 i before it and at most EDITS - i after it (the first i with at most i edits up to its end).  So each line looks up, named
@@ -37,6 +39,7 @@ from flowlens.llm.textwords import mix
 
 EDITS = 1
 WORD_EDITS = 4  # of the registered query and the pipeline: covers the change of a short word or of a number
+EDIT_CHARS = 12
 MIN_CHARS = 20
 BLOCK = 512
 PIECE = 1 << 18  # characters hashed at a time
@@ -131,8 +134,13 @@ def _differing(a: str, b: str) -> tuple[str, str]:
     return a[: len(a) - end], b[: len(b) - end]
 
 
-def within_edits(a: list[str], b: list[str], edits: int) -> np.ndarray:
-    """Whether the edit distance of each pair (a[k], b[k]) is at most ``edits``.
+def allowed_edits(shorter: np.ndarray, edits: int) -> np.ndarray:
+    """How many edits near lines may be apart, by the length of the shorter one."""
+    return np.clip(shorter // EDIT_CHARS, 1, edits)
+
+
+def within_edits(a: list[str], b: list[str], edits: int, most: np.ndarray | None = None) -> np.ndarray:
+    """Whether the edit distance of each pair (a[k], b[k]) is at most ``edits`` (and ``most[k]``, if given).
 
     Bit k of a word stands for diagonal k - edits of the band; after each column the words move one row down.  The
     distance is followed down the lowest diagonal to the last row of a, then along that row.
@@ -140,6 +148,7 @@ def within_edits(a: list[str], b: list[str], edits: int) -> np.ndarray:
     a, b = map(list, zip(*map(_differing, a, b))) if len(a) else (a, b)
     pad = "\0" * (edits + 1)  # equal starts change no distance and keep the band inside the matrix
     out = np.zeros(len(a), bool)
+    most = np.full(len(a), edits) if most is None else most
     todo = np.array([k for k in range(len(a)) if abs(len(a[k]) - len(b[k])) <= edits], np.int64)
     if not len(todo):
         return out
@@ -151,7 +160,7 @@ def within_edits(a: list[str], b: list[str], edits: int) -> np.ndarray:
         room = np.arange(1, len(todo) - i + 1) * cells[i:]
         j = i + max(1, int(np.searchsorted(room, 1 << 21, "right")))
         part = todo[i:j]
-        out[part] = _band([pad + a[k] for k in part], [pad + b[k] for k in part], edits)
+        out[part] = _band([pad + a[k] for k in part], [pad + b[k] for k in part], edits, most[part])
         i = j
     return out
 
@@ -164,7 +173,7 @@ def _points(lines: list[str], before: int, after: int, fill: int) -> np.ndarray:
     return out
 
 
-def _band(a: list[str], b: list[str], edits: int) -> np.ndarray:
+def _band(a: list[str], b: list[str], edits: int, most: np.ndarray) -> np.ndarray:
     width, one = 2 * edits + 1, np.uint64(1)
     mask, lowest = np.uint64((1 << width) - 1), np.uint64(2 * edits)
     rows, cols = np.array([len(x) for x in a]), np.array([len(x) for x in b])
@@ -189,7 +198,7 @@ def _band(a: list[str], b: list[str], edits: int) -> np.ndarray:
         up = (left | ~((same >> one) | right)) & mask
         down = (same >> one) & right
         done = j + 1 == cols[live]
-        out[live[done]] = distance[done] <= edits
+        out[live[done]] = distance[done] <= most[live[done]]
         # a distance can fall again by one for each column after the last row is reached, at most 2 edits of them
         rest = ~done & (distance <= 3 * edits + 1)
         if not rest.all():
@@ -239,7 +248,8 @@ def _name_rows(edits: int, least: int):
     def give(held: dict[int, str]) -> pa.RecordBatch:
         which, name, side = names(list(held.values()), edits, least)
         ident = np.array(list(held), np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(name.view(np.int64)), pa.array(ident[which]), pa.array(side.astype(np.int32))], names=["key", "id", "side"])
+        # 63 bits of the line's hash and the side (0: its own segment) in one word
+        return pa.RecordBatch.from_arrays([pa.array(name.view(np.int64)), pa.array(ident[which] & ~1 | (side != 0))], names=["key", "at"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -269,9 +279,10 @@ def _wanted_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         for text, wanted in zip(batch.column("text"), batch.column("wanted")):
             parts = text.as_py().split("\n")
             for w in wanted.as_py():
-                idents.append(w["id"])
+                idents.append((w["h1"], w["h2"]))
                 lines.append(parts[w["no"]])
-        yield pa.RecordBatch.from_arrays([pa.array(idents, pa.int64()), pa.array(lines, pa.string())], names=["id", "line"])
+        halves = [pa.array(x, pa.int64()) for x in (zip(*idents) if idents else ((), ()))]
+        yield pa.RecordBatch.from_arrays([*halves, pa.array(lines, pa.string())], names=["h1", "h2", "line"])
 
 
 def _later_lines(edits: int):
@@ -279,26 +290,31 @@ def _later_lines(edits: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for found in runs(batches, keys):
-            ident, mine, side = (found.column(c).to_numpy() for c in ("id", "mine", "side"))
+            h1, h2, mine, side = (found.column(c).to_numpy() for c in ("h1", "h2", "mine", "side"))
+            # lines by number within this run
+            _, ident = np.unique(np.column_stack([h1, h2]), axis=0, return_inverse=True)
+            ident = ident.reshape(-1)
             order = [found.column(c).to_numpy() for c in ("none", "d", "t", "no")]
             lines = found.column("line").to_pylist()
             size = np.array([len(x) for x in lines])
-            late: set[int] = set()
+            late = np.zeros(len(ident), bool)  # by line number
             for x, y in run_pairs(found, keys, mine, 1 << 16):
-                ok = (ident[x] != ident[y]) & ((side[x] == 0) | (side[y] == 0)) & (np.abs(size[x] - size[y]) <= edits)
-                x, y = x[ok], y[ok]
+                most = allowed_edits(np.minimum(size[x], size[y]), edits)
+                ok = (ident[x] != ident[y]) & ((side[x] == 0) | (side[y] == 0)) & (np.abs(size[x] - size[y]) <= most)
+                x, y, most = x[ok], y[ok], most[ok]
                 before = np.zeros(len(x), bool)  # x stands before y
                 level = np.ones(len(x), bool)
                 for c in order:
                     before |= level & (c[x] < c[y])
                     level &= c[x] == c[y]
                 last = np.where(before, y, x)
-                new = ~np.isin(ident[last], list(late)) if late else np.ones(len(x), bool)
-                x, y, last = x[new], y[new], last[new]
-                near = within_edits([lines[i] for i in x], [lines[i] for i in y], edits)
-                late.update(ident[last[near]].tolist())
-            if late:
-                yield pa.RecordBatch.from_arrays([pa.array(sorted(late), pa.int64())], names=["id"])
+                new = ~late[ident[last]]
+                x, y, last, most = x[new], y[new], last[new], most[new]
+                near = within_edits([lines[i] for i in x], [lines[i] for i in y], edits, most)
+                late[ident[last[near]]] = True
+            if late.any():
+                first = np.unique(ident, return_index=True)[1][late[: ident.max() + 1].nonzero()[0]]
+                yield pa.RecordBatch.from_arrays([pa.array(h1[first]), pa.array(h2[first])], names=["h1", "h2"])
 
     return run
 
@@ -319,24 +335,25 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def near_later_lines(rows: DataFrame, firsts: DataFrame, edits: int, least: int) -> DataFrame:
-    """The ids (h1) of distinct lines that have an earlier, different line within ``edits`` edits."""
+    """(h1, h2) of the distinct lines that have an earlier, different line near them.
+
+    Names go by 63 bits of a line's hash; the lines that meet are told apart by all 128."""
 
-    named = rows.select("text").mapInArrow(_name_rows(edits, least), "key long, id long, side int")
+    named = rows.select("text").mapInArrow(_name_rows(edits, least), "key long, at long")
     of = Window.partitionBy("key")
-    shared = named.withColumn("a", F.min("id").over(of)).withColumn("b", F.max("id").over(of)).withColumn("s", F.min("side").over(of))
-    members = shared.where("a < b and s = 0").groupBy("key", "id").agg(F.min("side").alias("side"))
+    ident = F.col("at").bitwiseAND(-2)
+    shared = named.withColumn("a", F.min(ident).over(of)).withColumn("b", F.max(ident).over(of)).withColumn("s", F.min(F.col("at").bitwiseAND(1)).over(of))
+    members = shared.where("a < b and s = 0").groupBy("key", ident.alias("id")).agg(F.min(F.col("at").bitwiseAND(1)).cast("int").alias("side"))
     members = written(members, "line-members")
-    place = F.col("f")
-    live = firsts.join(members.select(F.col("id").alias("h1")).distinct().hint("merge"), "h1")
-    live = live.groupBy("h1").agg(F.min("f").alias("f"))
-    live = written(live.select(F.col("h1").alias("id"), place["none"].alias("none"), place["d"].alias("d"), place["t"].alias("t"), place["no"].alias("no")), "line-places")
-    wanted = live.groupBy("none", "d", "t").agg(F.collect_list(F.struct("id", "no")).alias("wanted"))
+    live = firsts.withColumn("id", F.col("h1").bitwiseAND(-2)).join(members.select("id").distinct().hint("merge"), "id")
+    live = written(live.select("id", "h1", "h2", "f.none", "f.d", "f.t", "f.no"), "line-places")
+    wanted = live.groupBy("none", "d", "t").agg(F.collect_list(F.struct("h1", "h2", "no")).alias("wanted"))
     texts = rows.select(F.col("doc_id").isNull().cast("int").alias("none"), F.coalesce("doc_id", F.lit(0)).alias("d"), F.col("th").alias("t"), "text")
-    texts = texts.join(wanted.hint("merge"), ["none", "d", "t"]).select("text", "wanted").mapInArrow(_wanted_lines, "id long, line string")
-    texts = written(texts.dropDuplicates(["id"]).join(live.hint("merge"), "id"), "line-texts")
+    texts = texts.join(wanted.hint("merge"), ["none", "d", "t"]).select("text", "wanted").mapInArrow(_wanted_lines, "h1 long, h2 long, line string")
+    texts = written(texts.dropDuplicates(["h1", "h2"]).join(live.hint("merge"), ["h1", "h2"]), "line-texts")
     blocks = bucket_blocks(members, "key", "id", BLOCK).join(texts.hint("merge"), "id")
     blocks = blocks.repartition("key", "bi", "bj").sortWithinPartitions("key", "bi", "bj")
-    return blocks.mapInArrow(_later_lines(edits), "id long").distinct()
+    return blocks.mapInArrow(_later_lines(edits), "h1 long, h2 long").distinct()
 
 
 def dedup_lines(docs: DataFrame, edits: int = EDITS, least: int = MIN_CHARS) -> DataFrame:
@@ -350,7 +367,7 @@ def dedup_lines(docs: DataFrame, edits: int = EDITS, least: int = MIN_CHARS) ->
     place = F.struct(F.col("doc_id").isNull().cast("int").alias("none"), F.coalesce("doc_id", F.lit(0)).alias("d"), F.col("th").alias("t"), "no")
     firsts = written(lines.withColumn("f", place).groupBy("h1", "h2").agg(F.min("f").alias("f")), "first-lines")
     late = written(near_later_lines(rows, firsts, edits, least), "late-lines")
-    known = firsts.join(late.select(F.col("id").alias("h1"), F.lit(True).alias("near")).hint("merge"), "h1", "left")
+    known = firsts.join(late.withColumn("near", F.lit(True)).hint("merge"), ["h1", "h2"], "left")
     drops = lines.withColumn("p", place).join(known.hint("merge"), ["h1", "h2"])
     first = F.col("p") == F.col("f")
     near = F.coalesce("near", F.lit(False))
