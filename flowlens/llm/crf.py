@@ -7,7 +7,8 @@ A two-state CRF with word, prefix, suffix and neighbour features is fitted to th
 has not met.  Forward-backward marginals of every sentence give the offending offsets (marginal of 0.5 or more); their
 maximum and sum, through a logistic curve fitted to the document labels, give the document score.
 
-The fit uses at most ``TOXIC_ROWS`` and ``CLEAN_ROWS`` labelled documents (by hash order of doc_id), and of their
+The fit uses at most ``TOXIC_ROWS`` and ``CLEAN_ROWS`` labelled documents (by hash order of doc_id; one text each, of at
+most ``LEARNED_CHARS`` characters), and of their
 sentences those with a toxic token and at most ``CLEAN_SENTENCES`` others, whatever the input; it runs in one task and
 gives a sparse table of weights of at most ``BUCKETS`` entries.  Every document is scored whole.
 
@@ -32,6 +33,7 @@ from flowlens.llm.common import slices, utf8, written
 from flowlens.llm.textwords import Words, mix
 
 TOXIC_ROWS, CLEAN_ROWS, CLEAN_SENTENCES = 2_000, 2_000, 30_000
+LEARNED_CHARS = 1 << 18
 BUCKETS = 1 << 18
 STEPS, RATE, DECAY, SEED = 40, 0.15, 1e-7, 7
 FOLDS, HELD_OUT = 5, 0
@@ -237,7 +239,9 @@ def learn(docs: DataFrame, labelled: DataFrame, toxic_rows: int = TOXIC_ROWS, cl
     # bounded, narrow rows: they can go to every executor
     picked = written(bad.union(good).select("doc_id", "toxic", "draw"), "crf-sample")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sample = texts.join(F.broadcast(picked), "doc_id").where("text is not null").select("text", "toxic", "draw")
+    # one row of each picked doc_id, however often it stands in the table, and none that alone would fill the task
+    sample = texts.join(F.broadcast(picked), "doc_id").where(F.length("text") <= LEARNED_CHARS)
+    sample = sample.groupBy("doc_id", "toxic", "draw").agg(F.min("text").alias("text")).drop("doc_id")
     model = sample.groupBy().applyInPandas(_fit_rows, "model binary").first()
     return bytes(model["model"]) if model else b""
 

@@ -10,8 +10,8 @@ The class prior pi is estimated first: a P-against-U scorer is fitted on one hal
 pi is the smallest ratio of the shares of U and of P above a score, over the scores that keep a tenth of P or more (above
 any score, pi times the positives' share is at most the unlabelled share).
 
-The fit uses a sample bounded by ``P_ROWS`` and ``U_ROWS`` (by hash order of doc_id), whatever the input; it runs in one
-task and gives a few kB of weights.  Every document is scored by its whole text.
+The fit uses a sample bounded by ``P_ROWS`` and ``U_ROWS`` (by hash order of doc_id, one text each), whatever the input;
+it runs in one task and gives a few kB of weights.  Every document is scored by its whole text.
 
 Defined cases: null, empty and blank texts have all-zero counts and get the score of that feature vector; a doc_id with
 several labels counts as positive only if all are 1; rows with a null doc_id are scored but never learned from; without
@@ -223,7 +223,8 @@ def learn(docs: DataFrame, positives: DataFrame) -> tuple[float, bytes]:
     # at most P_ROWS + U_ROWS narrow rows, so they can go to every executor
     picked = written(p.select("doc_id", "draw", F.lit(1).alias("positive")).union(u.select("doc_id", "draw", F.lit(0).alias("positive"))), "pu-sample")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = texts.join(F.broadcast(picked), "doc_id").select("text", "positive", "draw")
+    # one row of each picked doc_id, however often it stands in the table
+    rows = texts.join(F.broadcast(picked), "doc_id").groupBy("doc_id", "positive", "draw").agg(F.min("text").alias("text")).drop("doc_id")
     sample = rows.mapInArrow(_feature_rows, "positive int, draw long, x binary")
     model = sample.groupBy().applyInPandas(_fit_rows, "prior double, model binary").first()
     return (model["prior"], bytes(model["model"])) if model else (0.5, b"")
