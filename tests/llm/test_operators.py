@@ -171,6 +171,39 @@ def test_registered_line_edits(spark, tmp_dir):
     assert {r.doc_id: r.text for r in stage.collect()} == want
 
 
+def test_registered_edits_against_all_pairs(spark):
+    """Four edits on random lines, each checked against every earlier one."""
+    r = random.Random(11)
+    base = [" ".join("".join(r.choice("abcdeé12") for _ in range(r.randrange(1, 8))) for _ in range(r.randrange(5, 14))) for _ in range(40)]
+    lines = []
+    for _ in range(260):
+        t = list(r.choice(base))
+        for _ in range(r.randrange(6)):
+            k = r.randrange(len(t))
+            t[k : k + r.choice([0, 1])] = r.choice(["", "x", "y", " "])
+        lines.append("".join(t))
+    rows = [(k, "\n".join(lines[k : k + 4])) for k in range(0, 260, 4)]
+    seen, want = [], {}
+    for d, text in rows:
+        keep = []
+        for line in text.split("\n"):
+            near = lambda x: distance(line, x) <= min(4, max(1, min(len(line), len(x)) // 12))
+            gone = line in seen or len(line) >= 20 and any(len(x) >= 20 and abs(len(line) - len(x)) <= 4 and near(x) for x in seen)
+            keep += [] if gone and line.strip() else [line]
+            seen.append(line)
+        want[d] = keep
+    got = linededup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), linededup.WORD_EDITS).collect()
+    assert {x.doc_id: x.text for x in got} == {d: "\n".join(keep) for d, keep in want.items()}
+    assert sum(map(len, want.values())) < 200
+
+
+def test_short_lines_may_differ_in_a_number(spark):
+    text = "Order number 20240117-{} was shipped"
+    rows = [(1, text.format(9842) + "\nx"), (2, text.format(5531) + "\ny"), (3, text.format(9843) + "\nz")]
+    got = {x.doc_id: x.near_dropped for x in linededup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), linededup.WORD_EDITS).collect()}
+    assert got == {1: 0, 2: 0, 3: 1}
+
+
 def test_short_equal_lines(spark):
     rows = [(1, "Wh the.\nfirst\n\nWh the.\n\nWh the"), (2, "first\nWh the."), (3, "Wh the.\nown\n \n"), (4, "Wh thy.")]
     got = linededup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
@@ -454,3 +487,78 @@ def test_small_payloads_are_spread(spark):
     assert warc.read_warc(spark, base + "-warc").count() == 400
     archives = spark.read.format("binaryFile").load(base + "-warc").where("length > 0").select("length").collect()
     assert len(archives) == int(spark.conf.get("spark.sql.shuffle.partitions")) and max(a.length for a in archives) < 0.4 * sum(a.length for a in archives)
+
+
+def test_samples_take_one_row_of_a_doc_id(spark):
+    """A doc_id that stands many times brings one text (the smallest) to the fit, so the model is that of single rows."""
+    own = [(i, " ".join(words(30, i)) + (" you vile filthy lot" if i % 2 else "")) for i in range(2, 60)]
+    schema = "doc_id long, text string"
+    once = spark.createDataFrame([(1, "aa first text"), *own], schema)
+    often = spark.createDataFrame([(1, "aa first text")] + [(1, f"repeated text {i}") for i in range(500)] + own, schema).repartition(5)
+    good = once.where("doc_id < 30").select("doc_id")
+    known = once.selectExpr("doc_id", "cast(doc_id % 2 as int) AS toxic")
+    assert pulearn.learn(often, good) == pulearn.learn(once, good)
+    assert crf.learn(often, known) == crf.learn(once, known)
+
+
+def test_chain_marginals_against_all_taggings():
+    r = np.random.default_rng(3)
+    for n in (1, 2, 3, 7):
+        model = crf.Crf()
+        model.move, model.begin = r.normal(size=(2, 2)), r.normal(size=2)
+        unary = r.normal(size=n)
+        p, moves, first = model.marginals(unary, np.array([0]), np.array([n]), True)
+        total, want, steps, begins = 0.0, np.zeros(n), np.zeros((2, 2)), np.zeros(2)
+        for tags in itertools.product((0, 1), repeat=n):
+            weight = math.exp(float(unary @ np.array(tags)) + model.begin[tags[0]] + sum(model.move[a, b] for a, b in zip(tags, tags[1:])))
+            total += weight
+            want += weight * np.array(tags)
+            begins[tags[0]] += weight
+            for a, b in zip(tags, tags[1:]):
+                steps[a, b] += weight
+        assert np.allclose(p, want / total) and np.allclose(first, begins / total)
+        assert n == 1 or np.allclose(moves, steps / total)
+
+
+def test_network_gradient_against_difference_quotients():
+    r = np.random.default_rng(4)
+    net = pulearn.Network(6)
+    z, dg = r.normal(size=(9, 6)), r.normal(size=9)
+    for w, g in zip(net.w, net.gradient(z, dg)):
+        for at in np.ndindex(w.shape):
+            was = w[at]
+            w[at] = was + 1e-6
+            up = net.output(z) @ dg
+            w[at] = was - 1e-6
+            down = net.output(z) @ dg
+            w[at] = was
+            assert math.isclose((up - down) / 2e-6, g[at], rel_tol=1e-4, abs_tol=1e-6)
+
+
+def test_vectors_near_the_threshold_are_found(spark):
+    """Recall of the registered parameters on planted pairs with cosines of 0.9 to 0.93."""
+    r, rows, pairs = np.random.default_rng(6), [], []
+    for k in range(300):
+        a = r.normal(size=64)
+        a /= np.linalg.norm(a)
+        b = r.normal(size=64)
+        b -= (b @ a) * a
+        b /= np.linalg.norm(b)
+        c = r.uniform(0.9001, 0.93)
+        rows += [(2 * k, a.tolist()), (2 * k + 1, (c * a + math.sqrt(1 - c * c) * b).tolist())]
+        pairs.append((2 * k, 2 * k + 1))
+    got = {x.vec_id: x for x in pstable.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    found = sum(got[b].component_id == a for a, b in pairs)
+    assert found >= 0.95 * len(pairs) and all(x.n_links <= 1 for x in got.values())
+
+
+def test_shard_balance(docs):
+    """Bytes of the shards differ by less than the largest document; every document stands in one shard."""
+    rows = sharding.shard_documents(docs).collect()
+    sizes = collections.Counter()
+    for x in rows:
+        sizes[x.shard] += x.size
+    assert len(rows) == len(make_rows())
+    if rows[0].law == "bytes":
+        spread = max(sizes.get(k, 0) for k in range(24)) - min(sizes.get(k, 0) for k in range(24))
+        assert spread <= max(x.size for x in rows)
