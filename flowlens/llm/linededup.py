@@ -248,8 +248,7 @@ def _name_rows(edits: int, least: int):
     def give(held: dict[int, str]) -> pa.RecordBatch:
         which, name, side = names(list(held.values()), edits, least)
         ident = np.array(list(held), np.int64)
-        # 63 bits of the line's hash and the side (0: its own segment) in one word
-        return pa.RecordBatch.from_arrays([pa.array(name.view(np.int64)), pa.array(ident[which] & ~1 | (side != 0))], names=["key", "at"])
+        return pa.RecordBatch.from_arrays([pa.array(name.view(np.int64)), pa.array(ident[which]), pa.array(side.astype(np.int32))], names=["key", "id", "side"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -292,8 +291,11 @@ def _later_lines(edits: int):
         for found in runs(batches, keys):
             h1, h2, mine, side = (found.column(c).to_numpy() for c in ("h1", "h2", "mine", "side"))
             # lines by number within this run
-            _, ident = np.unique(np.column_stack([h1, h2]), axis=0, return_inverse=True)
-            ident = ident.reshape(-1)
+            by_line = np.lexsort((h2, h1))
+            new = np.zeros(len(h1), bool)
+            new[1:] = (np.diff(h1[by_line]) != 0) | (np.diff(h2[by_line]) != 0)
+            ident = np.empty(len(h1), np.int64)
+            ident[by_line] = np.cumsum(new)
             order = [found.column(c).to_numpy() for c in ("none", "d", "t", "no")]
             lines = found.column("line").to_pylist()
             size = np.array([len(x) for x in lines])
@@ -337,15 +339,14 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def near_later_lines(rows: DataFrame, firsts: DataFrame, edits: int, least: int) -> DataFrame:
     """(h1, h2) of the distinct lines that have an earlier, different line near them.
 
-    Names go by 63 bits of a line's hash; the lines that meet are told apart by all 128."""
+    Names go by half of a line's hash; the lines that meet are told apart by all of it."""
 
-    named = rows.select("text").mapInArrow(_name_rows(edits, least), "key long, at long")
+    named = rows.select("text").mapInArrow(_name_rows(edits, least), "key long, id long, side int")
     of = Window.partitionBy("key")
-    ident = F.col("at").bitwiseAND(-2)
-    shared = named.withColumn("a", F.min(ident).over(of)).withColumn("b", F.max(ident).over(of)).withColumn("s", F.min(F.col("at").bitwiseAND(1)).over(of))
-    members = shared.where("a < b and s = 0").groupBy("key", ident.alias("id")).agg(F.min(F.col("at").bitwiseAND(1)).cast("int").alias("side"))
+    shared = named.select("key", "id", "side", F.min("id").over(of).alias("a"), F.max("id").over(of).alias("b"), F.min("side").over(of).alias("s"))
+    members = shared.where("a < b and s = 0").groupBy("key", "id").agg(F.min("side").alias("side"))
     members = written(members, "line-members")
-    live = firsts.withColumn("id", F.col("h1").bitwiseAND(-2)).join(members.select("id").distinct().hint("merge"), "id")
+    live = firsts.withColumn("id", F.col("h1")).join(members.select("id").distinct().hint("merge"), "id")
     live = written(live.select("id", "h1", "h2", "f.none", "f.d", "f.t", "f.no"), "line-places")
     wanted = live.groupBy("none", "d", "t").agg(F.collect_list(F.struct("h1", "h2", "no")).alias("wanted"))
     texts = rows.select(F.col("doc_id").isNull().cast("int").alias("none"), F.coalesce("doc_id", F.lit(0)).alias("d"), F.col("th").alias("t"), "text")
