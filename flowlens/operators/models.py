@@ -8,6 +8,7 @@ the executors (Spark ML's level-wise distributed training).
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark import StorageLevel
@@ -76,6 +77,20 @@ def ml_frame(df: DataFrame, features: list[str] | None, target: str = TARGET) ->
     return out
 
 
+# A tree learner's task sends the counts of every open node, also from a part without rows, and its longest task is that of
+# the fullest part.  A reader's parts of one small file are mostly empty, so the rows are dealt out evenly first; fewer rows
+# than this are not worth it, and a part does not get more than the second number.
+DEAL_FROM_ROWS = 10_000
+ROWS_A_PART = 250_000
+
+
+def dealt(df: DataFrame, rows: int) -> DataFrame:
+    """``df``, of about ``rows`` rows, in even parts: one for each core, or more if these would be too large."""
+    if rows < DEAL_FROM_ROWS:
+        return df
+    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, math.ceil(rows / ROWS_A_PART)))
+
+
 def estimators(weight_sum: float, overrides: dict | None = None) -> dict:
     """The three classifiers with the fixed settings (``overrides`` per model name)."""
     overrides = overrides or {}
@@ -159,8 +174,8 @@ def train_and_select(
         if bad:
             raise ValueError(f"feature columns with missing values (filter them first): {bad}")
     weighted = me.with_class_weights(train, target, WEIGHT)
-    train_ml = ml_frame(weighted, features, target).persist(StorageLevel.MEMORY_AND_DISK)
-    test_ml = ml_frame(test, features, target).persist(StorageLevel.MEMORY_AND_DISK)
+    train_ml = dealt(ml_frame(weighted, features, target), n_labelled).persist(StorageLevel.MEMORY_AND_DISK)
+    test_ml = dealt(ml_frame(test, features, target), n_labelled).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         models, rows = {}, []
         # balanced weights n / (k n_c) of all labelled rows sum to their number
