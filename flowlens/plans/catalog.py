@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
+from flowlens.constants import MODEL_ORDER
 from flowlens.operators import clean as cl
 from flowlens.operators import features as fe
 from flowlens.operators import flows as fl
@@ -292,26 +293,30 @@ def _feature_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-# --- models: one training per session and data folder, shared by the model keys --------
+# --- models: one training per session, data folder and model; the selection trains all three ---
 
-_TRAINED: dict[tuple[str, str], object] = {}
+_TRAINED: dict[tuple[str, str, tuple[str, ...]], object] = {}
 
 
-def trained_flows(spark: SparkSession, sf_dir: str):
-    """Train on the flow table once per (application, folder); artifacts go to the shared store."""
+def trained_flows(spark: SparkSession, sf_dir: str, only: tuple[str, ...] = MODEL_ORDER):
+    """Train ``only`` these models on the flow table once per (application, folder); artifacts go to the shared store.
+
+    A training of all models serves each one of them."""
     from flowlens.plans.training import train
 
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _TRAINED:
-        _TRAINED[key] = train(spark, fx.flows_complete(spark, sf_dir))
-    return _TRAINED[key]
+    at = (spark.sparkContext.applicationId, sf_dir)
+    if (*at, MODEL_ORDER) in _TRAINED:
+        return _TRAINED[*at, MODEL_ORDER]
+    if (*at, only) not in _TRAINED:
+        _TRAINED[*at, only] = train(spark, fx.flows_complete(spark, sf_dir), only=only)
+    return _TRAINED[*at, only]
 
 
 def _model_predictions(name: str) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         from flowlens.plans.training import model_predictions
 
-        return model_predictions(trained_flows(spark, sf_dir), name)
+        return model_predictions(trained_flows(spark, sf_dir, only=(name,)), name)
 
     return run
 

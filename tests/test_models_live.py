@@ -184,3 +184,34 @@ def test_registered_training_tells_dropped_rows(spark, trained, monkeypatch):
 
     monkeypatch.setattr(catalog, "trained_flows", lambda spark, sf_dir: replace(trained, dropped={"train": 7, "test": 3}))
     assert {(r.train_rows_dropped, r.test_rows_dropped) for r in catalog.QUERIES["train_and_select"](spark, "").collect()} == {(7, 3)}
+
+
+def test_registered_model_keys_fit_their_own_model(spark, trained, monkeypatch):
+    from flowlens.plans import catalog, training
+
+    asked = []
+    monkeypatch.setattr(catalog, "_TRAINED", {})
+    monkeypatch.setattr(catalog.fx, "flows_complete", lambda spark, sf_dir: None)
+    monkeypatch.setattr(training, "train", lambda spark, raw, only: asked.append(only) or trained)
+    monkeypatch.setattr(training, "model_predictions", lambda trained, name: name)
+    keys = {"train_logistic": "Logistic Regression", "train_tree": "Decision Tree", "train_random_forest": "Random Forest"}
+    for key, name in keys.items():
+        assert catalog.QUERIES[key](spark, "a") == name
+    assert asked == [(name,) for name in keys.values()]
+    catalog.QUERIES["train_and_select"](spark, "a")
+    assert asked[3:] == [catalog.MODEL_ORDER]
+    catalog.QUERIES["train_tree"](spark, "a")
+    catalog.QUERIES["train_and_select"](spark, "a")
+    assert len(asked) == 4  # the training of all models serves each
+
+
+def test_training_rows_are_dealt_evenly(spark, monkeypatch):
+    from flowlens.operators import models as mo
+
+    rows = spark.range(20_000).coalesce(1).unionByName(spark.range(0).repartition(3))
+    sizes = mo.dealt(rows, 20_000).rdd.mapPartitions(lambda part: [sum(1 for _ in part)]).collect()
+    assert sum(sizes) == 20_000 and min(sizes) > 0 and max(sizes) - min(sizes) <= len(sizes)
+    assert len(sizes) == spark.sparkContext.defaultParallelism
+    assert mo.dealt(rows, 9_999) is rows
+    monkeypatch.setattr(mo, "ROWS_A_PART", 100)
+    assert mo.dealt(rows, 20_000).rdd.getNumPartitions() == max(200, spark.sparkContext.defaultParallelism)
