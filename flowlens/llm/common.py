@@ -103,6 +103,15 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, at
 
 
+#: White space beside a space; searched for one by one, which is quicker than a pattern.
+BLANK_PAIRS = sorted({x for c in map(chr, range(0x110000)) if c.isspace() for x in (c + " ", " " + c)})
+
+
+def lone_spaces(text: str) -> bool:
+    """Whether every space stands between two characters that are no white space."""
+    return not text.startswith(" ") and not text.endswith(" ") and not any(pair in text for pair in BLANK_PAIRS)
+
+
 def slices(at: np.ndarray, most_bytes: int = 1 << 20) -> Iterator[tuple[int, int]]:
     """Row ranges of at most ``most_bytes`` bytes each (or one longer row), so that working memory stays bounded."""
     i, n = 0, len(at) - 1

@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowlens.llm import pieces
-from flowlens.llm.common import slices, utf8, written
+from flowlens.llm.common import lone_spaces, slices, utf8, written
 
 BYTE_LEVEL = "byte_bpe_50k.json"
 #: Texts of at least this many bytes are cut into segments of about this many for different tasks.
@@ -48,11 +48,10 @@ CHUNK = 1 << 16
 FAN = 16
 #: A block of documents is closed at this many (document, distinct pair) entries.
 BLOCK = 1 << 20
-KNOWN_CHUNKS = 1 << 18
+KNOWN_CHUNKS = 1 << 19
 
 #: A space between two characters that are no white space.
 SAFE = re.compile(r"(?<=\S) (?=\S)")
-BESIDE_BLANK = re.compile(r"\s | \s|^ | $")
 
 
 # --- the fragment monoid ----------------------------------------------------------------
@@ -190,7 +189,7 @@ def _safe_parts(text: str) -> list[str]:
 
 def _cuts(text: str) -> list[str]:
     """A space and the text, cut before every space between two characters that are no white space."""
-    if not BESIDE_BLANK.search(text):
+    if lone_spaces(text):
         return [" " + x for x in text.split(" ")]
     return _safe_parts(" " + text)
 
@@ -464,16 +463,24 @@ def _reduce(fan: int):
 
 
 def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The columns of ``ALIGNED`` of each whole text, as often as its row stood in the table."""
+    kinds = {"groups": pa.string(), "pairs": pa.list_(pa.int64()), "times": pa.list_(pa.int64())}
     for batch in batches:
         rows = pa.Table.from_batches([batch])
         for i in range(rows.num_rows):
             x = _fragment(rows, i).whole() if rows.column("spelled")[i].as_py() else Fragment(True)
-            head = {k: rows.column(k)[i].as_py() for k in ("key", "doc_id", "copies", "place", "spelled")}
-            yield from _arrow_row(head, x).to_batches()
+            values = {"doc_id": rows.column("doc_id")[i].as_py(), "n_links": x.n_a + x.n_b - x.n_groups}
+            names = [c.split()[0] for c in ALIGNED.split(", ")]
+            columns = [pa.array([values[c] if c in values else getattr(x, c)], kinds.get(c, pa.int64())) for c in names]
+            for _ in range(rows.column("copies")[i].as_py()):
+                yield pa.RecordBatch.from_arrays(columns, names=names)
 
 
-def align_long(docs: DataFrame, a: str, b: str, chunk: int) -> DataFrame:
-    """Texts cut into segments over tasks, their fragments joined in rounds.  Equal rows are done once and repeated."""
+def _whole(docs: DataFrame, a: str, b: str, chunk: int) -> DataFrame:
+    """Texts cut into segments over tasks, their fragments joined in rounds; one row for equal rows.
+
+    The rows are stored: steps in Python that follow each other in one task hold a worker each, and any of an executor's
+    workers may later be the one that loads the tokenizers."""
     spark = docs.sparkSession
     key = F.sha2(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.sha2("text", 256)), 256)
     once = docs.groupBy(key.alias("key")).agg(F.first("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"), F.first("text").alias("text"))
@@ -481,11 +488,16 @@ def align_long(docs: DataFrame, a: str, b: str, chunk: int) -> DataFrame:
     cut = cut.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "key", "number")
     parts = written(cut.mapInArrow(_fragments(a, b, chunk), FRAGMENT), "fragments")
     top = parts.agg(F.max("place")).first()[0] or 0
+    rounds = top > 0
     while top > 0:
         parts = parts.groupBy("key", F.floor(F.col("place") / FAN).alias("node")).applyInArrow(_reduce(FAN), FRAGMENT)
         top //= FAN
-    done = parts.mapInArrow(_finish, FRAGMENT).withColumn("n_links", F.col("n_a") + F.col("n_b") - F.col("n_groups"))
-    return done.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*(c.split()[0] for c in ALIGNED.split(", ")))
+    return written(parts, "whole-fragments") if rounds else parts
+
+
+def align_long(docs: DataFrame, a: str, b: str, chunk: int) -> DataFrame:
+    """:func:`align_documents` of texts of any length.  Equal rows are done once and repeated."""
+    return _whole(docs, a, b, chunk).mapInArrow(_finish, ALIGNED)
 
 
 def align_documents(docs: DataFrame, a: str = BYTE_LEVEL, b: str = pieces.MODEL, chunk: int = CHUNK) -> DataFrame:
@@ -608,4 +620,5 @@ def count_links(
     ``shown`` says what is kept of a document's group text (a digest, say), in ``groups``."""
     short, long = _by_length(docs, chunk)
     packed = short.mapInArrow(_in_turn(_aligner(a, b), _shown(shown), _packer(_OWN, block)), _PACKED)
-    return _counted(packed.union(align_long(long, a, b, chunk).mapInArrow(_in_turn(_shown(shown), _packer(_OWN, block)), _PACKED)))
+    whole = _whole(long, a, b, chunk)
+    return _counted(packed.union(whole.mapInArrow(_in_turn(_finish, _shown(shown), _packer(_OWN, block)), _PACKED)))

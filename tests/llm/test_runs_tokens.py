@@ -265,3 +265,31 @@ def test_alignment_query(spark):
         assert x.n_best == sum(m for p, m in links if hold[p] == best[p >> 32])
         assert x.count_sum == sum(m * hold[p] for p, m in links)
         assert x.groups_sha256 == (hashlib.sha256(f.groups.encode()).hexdigest() if f.groups else "")
+
+
+def test_lone_spaces_is_the_pattern():
+    import re
+
+    from flowlens.llm.common import lone_spaces
+
+    pattern = re.compile(r"\s | \s|^ | $")
+    blanks = [chr(i) for i in range(0x110000) if re.match(r"\s", chr(i))]
+    texts = ["", "a", "a b", " a", "a ", "  ", "a\nb c", *(f"a{c} b" for c in blanks), *(f"a {c}b" for c in blanks), *(f"a{c}b c" for c in blanks)]
+    assert [lone_spaces(t) for t in texts] == [pattern.search(t) is None for t in texts]
+
+
+def test_long_alignments_share_no_task_between_python_steps(spark):
+    """Steps in Python behind each other in one task hold a worker each, which took the check's executor memory."""
+    from flowlens.llm import crosstoken as ct
+
+    words = " ".join(f"word{i % 37} ({i})" for i in range(400))
+    rows = [(1, words), (1, words), (2, "x" + words), (3, "short text"), (4, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    done = ct.count_links(docs, str, chunk=256)
+    whole = ct._whole(ct._by_length(docs, 256)[1], ct.BYTE_LEVEL, ct.pieces.MODEL, 256)
+    plan = whole._jdf.queryExecution().analyzed().toString()
+    assert "InArrow" not in plan and "InPandas" not in plan  # the joined fragments are read from a stored table
+    seen = sorted(tuple(r) for r in done.select("doc_id", "n_a", "n_b", "n_groups", "groups", "n_best", "count_sum").collect())
+    plain = ct.count_links(docs, str, chunk=1 << 16)
+    assert seen == sorted(tuple(r) for r in plain.select("doc_id", "n_a", "n_b", "n_groups", "groups", "n_best", "count_sum").collect())
+    assert len(seen) == 5 and seen[0] == seen[1]
