@@ -29,19 +29,15 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowlens.llm.common import slices, utf8
+from flowlens.llm.common import lone_spaces, slices, utf8
 
 RANKS = "byte_bpe_50k.tiktoken"
 LEAF = 6
-KNOWN = 1 << 19  # chunks a worker knows before it forgets them
-CACHED = 1 << 18  # entries of each cache of a worker; a full cache is emptied, which costs time only
+KNOWN = 1 << 20  # chunks a worker knows before it forgets them
+CACHED = 1 << 19  # entries of each cache of a worker; a full cache is emptied, which costs time only
 CACHED_CHARS = 64
 
 
-#: A space at the start or end of the text or beside other white space.
-BESIDE_BLANK = re.compile(r"\s | \s|^ | $")
-
-
 #: A space between two characters that are no white space.
 SAFE = re.compile(r"(?<=\S) (?=\S)")
 
@@ -49,7 +45,7 @@ SAFE = re.compile(r"(?<=\S) (?=\S)")
 def chunks(text: str) -> list[str]:
     """The text cut before every space between two characters that are no white space: there the pattern always starts a
     new match."""
-    if not BESIDE_BLANK.search(text):
+    if lone_spaces(text):
         first, *rest = text.split(" ")
         return [first, *[" " + x for x in rest]]
     at = [0, *(m.start() for m in SAFE.finditer(text)), len(text)]
@@ -149,7 +145,10 @@ class Bpe:
         """The encoding of two texts together from the encodings of each."""
         if not a or not b:
             return a or b
-        window, seam = self.seam(a[-1], b[0]), self.seam
+        seam = self.seam
+        window = self.seams.get(a[-1] * self.base + b[0], False)
+        if window is False:
+            window = seam(a[-1], b[0])
         if window is None:
             return a + b
         left = right = 1
@@ -165,7 +164,7 @@ class Bpe:
 
     def reduce(self, data: bytes) -> list[int]:
         if len(data) <= LEAF:
-            return self.merge(data)
+            return self.short.get(data) or self.merge(data)
         half = len(data) // 2
         return self.join(self.reduce(data[:half]), self.reduce(data[half:]))
 
@@ -200,7 +199,8 @@ class Bpe:
             self._forget()
         cut = [chunks(t) if t else [] for t in texts]
         flat = list(chain.from_iterable(cut))
-        fresh = list(set(flat) - self.known.keys())
+        number = list(map(self.known.get, flat))
+        fresh = list({c for c, k in zip(flat, number) if k is None})
         if fresh:
             found = list(map(self._pieces, fresh))
             size = np.fromiter(map(len, found), np.int64, len(found))
@@ -209,7 +209,8 @@ class Bpe:
             self.known.update(zip(fresh, range(base, base + len(fresh))))
             self.begin, self.size = np.append(self.begin, len(self.flat) + end - size), np.append(self.size, size)
             self.flat = np.append(self.flat, np.fromiter(chain.from_iterable(found), np.int32, int(end[-1])))
-        number = np.fromiter(map(self.known.__getitem__, flat), np.int64, len(flat))
+            number = [self.known[c] if k is None else k for c, k in zip(flat, number)]
+        number = np.array(number, np.int64)
         size = self.size[number]
         end = np.concatenate([np.zeros(1, np.int64), np.cumsum(size)])
         ids = self.flat[np.repeat(self.begin[number] - end[:-1], size) + np.arange(end[-1])]
