@@ -181,7 +181,8 @@ def records(lines: DataFrame) -> DataFrame:
     top = F.first(F.struct(block, F.col("head").alias(place))).over(so_far)
     splits = splits.select(F.col(file).alias("f"), F.col(block).alias("b"), "inside", "begun", top.alias("top"))
 
-    x = x.join(splits, (F.col(file) == F.col("f")) & (F.col(block) == F.col("b")))
+    # one row a split and no text: broadcast, so that the lines are not shuffled to meet it
+    x = x.join(F.broadcast(splits), (F.col(file) == F.col("f")) & (F.col(block) == F.col("b")))
     pick = lambda name: F.when(F.col("inside"), F.col(f"{name}1")).otherwise(F.col(f"{name}0"))
     x = x.select("line", *PLACE, "out_to", "top", pick("in").alias("in"), F.coalesce(pick("rec"), F.col("begun")).alias("rec"))
     first = (F.col("rec") == F.col("top")).alias("first")
@@ -204,7 +205,8 @@ def _parsed(spark: SparkSession, files: list[str], names: list[str], encoding: s
     """Files with line breaks in quotes: their records through ``from_csv``."""
     found = records(raw_lines(spark, files, encoding)).where("not first")
     line = F.regexp_replace("line", "\r$", "")
-    found = found.select(line.alias("line"), *PLACE).where("line <> ''")
+    # stored once: the checks and the caller both read them
+    found = stored(found.select(line.alias("line"), *PLACE).where("line <> ''"), "csv-records")
     schema = ", ".join(f"`{f.name.replace('`', '``')}` STRING" for f in _strings(names).fields)
     return found.select(F.from_csv("line", schema, {k: v for k, v in _OPTIONS.items()}).alias("row"), *PLACE).select("row.*", *PLACE)
 

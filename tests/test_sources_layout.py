@@ -82,3 +82,14 @@ def test_capture_window_on_a_timestamp_column_is_pushed(spark, tmp_dir, packets)
         pushed = _scan_line(df).split("PushedFilters")[1].split("ReadSchema")[0]
         assert "GreaterThanOrEqual(ts," in pushed and "LessThan(ts," in pushed
         assert sorted(r.packet_id for r in df.collect()) == list(range(15))  # t < 1010.0: ids 0..14
+
+
+def test_records_of_quoted_breaks_are_put_together_once(spark, tmp_path):
+    """The checks and the caller read stored records; before, each pass shuffled all lines anew."""
+    from flowlens.sources import csv as csvsrc
+
+    (tmp_path / "a.csv").write_text('id,note\n' + "".join(f'{i},"said ""x"", \n\nflow {i}"\n' for i in range(50)))
+    got = csvsrc.load_csv(spark, str(tmp_path / "a.csv"))
+    plan = got._jdf.queryExecution().analyzed().toString()
+    assert "Aggregate" not in plan and "Join" not in plan and "Window" not in plan
+    assert sorted((int(r["id"]), r["note"]) for r in got.collect()) == [(i, f'said "x", \n\nflow {i}') for i in range(50)]
