@@ -3,14 +3,15 @@
 A line goes when an earlier line of the corpus (by doc_id, text hash, line number) is equal, or when both have at least
 MIN_CHARS characters and are near: within EDITS edits, and one edit for each EDIT_CHARS characters of the shorter one (one at
 least), so that short lines which differ in a number are not taken for copies.  Lines are told apart by a 128-bit hash.
-For the rest, each distinct line has EDITS + 1
-disjoint segments, whose size its length class gives: the first half of them counted from its start, the others from its
-end.  Of two lines within EDITS edits, some segment i of the shorter one stands in the other with no edit in it, at most
-i before it and at most EDITS - i after it (the first i with at most i edits up to its end).  So each line looks up, named
-by (class, segment), the substrings at most that far from its own segments; a line whose length is less than EDITS above
-its class's least looks up those of the class before, too.  That is 13 names for 4 edits.  Lines that share such a name
-are checked by edit distance, computed in a band of 2 EDITS + 1 diagonals with one machine word for each pair and many
-pairs side by side.
+For the rest, each distinct line has k + 1 disjoint
+segments, where k is the number of edits allowed at its length and its length class gives their size: the first half of them
+counted from its start, the others from its end.  Of two lines within k edits, some segment i of the shorter one stands in
+the other with no edit in it, at most i before it and at most k - i after it (the first i with at most i edits up to its
+end).  So each line looks up, named by (class, segment), the substrings at most that far from its own segments; a line whose
+length is less than k above the end of the class before looks up those of that class, too.  That is 13 names for 4 edits,
+2 for one.  Lines that share such a name are sorted by length, and those of near lengths compared by how often each kind of
+character stands in them, which bounds their edit distance from below; the distance of the rest is followed along the
+diagonals, from one edit to the next.
 
 The names are 64-bit rolling hashes (a false one costs a check, never a result).  A task names equal lines once; the
 names are dealt out once, and only those that two different lines share are kept.  A name shared by very many lines is
@@ -34,7 +35,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from flowlens.llm.common import bucket_blocks, run_pairs, runs, written
+from flowlens.llm.common import bucket_blocks, runs, written
 from flowlens.llm.textwords import mix
 
 EDITS = 1
@@ -44,6 +45,8 @@ MIN_CHARS = 20
 BLOCK = 512
 PIECE = 1 << 18  # characters hashed at a time
 SEEN = 1 << 20  # lines that a task remembers as named
+PROFILE = 32  # kinds of characters counted in a line; a power of two
+VERIFIED = 1 << 13  # pairs whose distance is computed before the next ones are looked at
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _LOW = mix(np.arange(1, 0x3001, dtype=np.uint64) * np.uint64(_BASE))
@@ -77,135 +80,112 @@ class Rolling:
         return (self.sums[at + size] - self.sums[at]) * self.back[start]
 
 
-def classes(least: int, most: int, edits: int) -> np.ndarray:
-    """Least lengths of the length classes up to ``most`` and of the one after; each is at least edits + 1 wide."""
-    low = [least]
+def classes(least: int, most: int, edits: int, chars: int | None = None) -> np.ndarray:
+    """Least lengths of the length classes up to ``most`` and of the one after; each is at least edits + 1 wide.
+
+    With ``chars`` (characters for each allowed edit), a class also ends where one edit more is allowed."""
+    low, ends = [least], [chars * k for k in range(2, edits + 1)] if chars else []
     while low[-1] <= most:
-        low.append(max(low[-1] + edits + 1, low[-1] * 5 // 4))
+        then, end = max(low[-1] + edits + 1, low[-1] * 5 // 4), next((x for x in ends if x > low[-1]), None)
+        low.append(then if end is None or then + edits < end else end)
     return np.array(low, np.int64)
 
 
-def names(lines: list[str], edits: int = EDITS, least: int = MIN_CHARS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(line, name, side): side 0 names the line's own segments, side 1 the substrings it looks up."""
+def names(lines: list[str], edits: int = EDITS, least: int = MIN_CHARS, chars: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(line, name, side): side 0 names the line's own segments, side 1 the substrings it looks up.
+
+    Any two lines within ``edits`` share one; with ``chars``, two within one edit for each ``chars`` characters of the
+    shorter one (one at least, ``edits`` at most), so that short lines have fewer and longer segments."""
     rolling = Rolling(lines)
-    low = classes(least, int(rolling.size.max()) if lines else 0, edits)
-    which = (rolling.size >= least).nonzero()[0]
-    place = np.searchsorted(low, rolling.size[which], "right") - 1
-    above = (place > 0) & (rolling.size[which] < low[place] + edits)  # may be near a line of the class before
-    first = np.concatenate([np.zeros(len(which), np.int8), np.ones(int(above.sum()), np.int8)])
-    which, place = np.concatenate([which, which[above]]), np.concatenate([place, place[above] - 1])
-    length, size = rolling.size[which], low[place] // (edits + 1)
+    low = classes(least, int(rolling.size.max()) if lines else 0, edits, chars)
+    most = allowed_edits(low, edits, chars) if chars else np.full(len(low), edits)
+    whole = (rolling.size >= least).nonzero()[0]
+    home = np.searchsorted(low, rolling.size[whole], "right") - 1
+    which, place, first, back = [whole], [home], [np.zeros(len(whole), np.int8)], 1
+    while True:  # lines that may be near one of the class before, of the one before that
+        above = home >= back
+        above[above] = rolling.size[whole[above]] < low[home[above] - back + 1] + most[home[above] - back]
+        if not above.any():
+            break
+        which.append(whole[above])
+        place.append(home[above] - back)
+        first.append(np.ones(int(above.sum()), np.int8))
+        back += 1
+    which, place, first = np.concatenate(which), np.concatenate(place), np.concatenate(first)
     line, name, side = [], [], []
-    for i in range(edits + 1):
-        reach = min(i, edits - i)
-        home = i * size if 2 * i <= edits else length - (edits + 1 - i) * size
-        tag = mix((low[place] * (edits + 1) + i + 1).astype(np.uint64))
+    for k in range(1, edits + 1):
+        mine = (most[place] == k).nonzero()[0]
+        if len(mine):
+            _named(rolling, which[mine], low[place[mine]], first[mine], k, edits, line, name, side)
+    return tuple(np.concatenate(x) if x else np.zeros(0, t) for x, t in ((line, np.int64), (name, np.uint64), (side, np.int8)))
+
+
+def _named(rolling: Rolling, which: np.ndarray, low: np.ndarray, first: np.ndarray, k: int, edits: int, line: list, name: list, side: list) -> None:
+    """Adds the names of the lines ``which`` in classes of ``k`` allowed edits that begin at ``low``."""
+    length, size = rolling.size[which], low // (k + 1)
+    for i in range(k + 1):
+        reach = min(i, k - i)
+        home = i * size if 2 * i <= k else length - (k + 1 - i) * size
+        tag = mix((low * (edits + 1) + i + 1).astype(np.uint64))
         for shift in range(-reach, reach + 1):
             at = home + shift
             ok = (at >= 0) & (at + size <= length)
             line.append(which[ok])
             name.append(mix(rolling.hash(which[ok], at[ok], size[ok]) + tag[ok]))
             side.append(np.ones(int(ok.sum()), np.int8) if shift else first[ok])
-    return np.concatenate(line), np.concatenate(name), np.concatenate(side)
 
 
 # --- edit distance ----------------------------------------------------------------------
 
 
-def _common(a: str, b: str) -> int:
-    """Length of the longest common start."""
-    low, high = 0, min(len(a), len(b))
-    if a[:high] == b[:high]:
-        return high
+def _same_from(a: str, i: int, b: str, j: int) -> int:
+    """How many characters from a[i] on and from b[j] on are the same."""
+    most, low, step = min(len(a) - i, len(b) - j), 0, 16
+    while low < most:
+        high = min(low + step, most)
+        if a[i + low : i + high] != b[j + low : j + high]:
+            break
+        low, step = high, 4 * step
+    else:
+        return most
     while high - low > 1:
         middle = (low + high) // 2
-        if a[low:middle] == b[low:middle]:
+        if a[i + low : i + middle] == b[j + low : j + middle]:
             low = middle
         else:
             high = middle
     return low
 
 
-def _differing(a: str, b: str) -> tuple[str, str]:
-    """The two lines without their common start and end, which do not change the distance."""
-    start = _common(a, b)
-    a, b = a[start:], b[start:]
-    end = _common(a[::-1], b[::-1])
-    return a[: len(a) - end], b[: len(b) - end]
-
-
-def allowed_edits(shorter: np.ndarray, edits: int) -> np.ndarray:
+def _near(a: str, b: str, most: int) -> bool:
+    """Whether the edit distance is at most ``most``: the last row of a that each diagonal reaches, one edit after another,
+    on the diagonals from which the last one can be reached with the edits left."""
+    n, m = len(a), len(b)
+    last = m - n
+    if abs(last) > most:
+        return False
+    rows = [-most - 2] * (2 * most + 3)  # by diagonal (place in b less place in a) + most + 1
+    for e in range(most + 1):
+        reached = rows[:]
+        for d in range(max(-e, last - most + e), min(e, last + most - e) + 1):
+            k = d + most + 1
+            i = min(max(rows[k] + 1, rows[k - 1], rows[k + 1] + 1), n, m - d) if e else 0
+            reached[k] = i + _same_from(a, i, b, i + d) if i < n and i + d < m and a[i] == b[i + d] else i
+        rows = reached
+        if rows[last + most + 1] >= n:
+            return True
+    return False
+
+
+def allowed_edits(shorter: np.ndarray, edits: int, chars: int = EDIT_CHARS) -> np.ndarray:
     """How many edits near lines may be apart, by the length of the shorter one."""
-    return np.clip(shorter // EDIT_CHARS, 1, edits)
+    return np.clip(shorter // chars, 1, edits)
 
 
 def within_edits(a: list[str], b: list[str], edits: int, most: np.ndarray | None = None) -> np.ndarray:
-    """Whether the edit distance of each pair (a[k], b[k]) is at most ``edits`` (and ``most[k]``, if given).
-
-    Bit k of a word stands for diagonal k - edits of the band; after each column the words move one row down.  The
-    distance is followed down the lowest diagonal to the last row of a, then along that row.
-    """
-    a, b = map(list, zip(*map(_differing, a, b))) if len(a) else (a, b)
-    pad = "\0" * (edits + 1)  # equal starts change no distance and keep the band inside the matrix
-    out = np.zeros(len(a), bool)
-    most = np.full(len(a), edits) if most is None else most
-    todo = np.array([k for k in range(len(a)) if abs(len(a[k]) - len(b[k])) <= edits], np.int64)
-    if not len(todo):
-        return out
-    cells = np.array([max(len(a[k]), len(b[k])) for k in todo]) + 2 * edits + 2
-    todo = todo[np.argsort(cells, kind="stable")]
-    cells = np.sort(cells)
-    i = 0
-    while i < len(todo):
-        room = np.arange(1, len(todo) - i + 1) * cells[i:]
-        j = i + max(1, int(np.searchsorted(room, 1 << 21, "right")))
-        part = todo[i:j]
-        out[part] = _band([pad + a[k] for k in part], [pad + b[k] for k in part], edits, most[part])
-        i = j
-    return out
-
-
-def _points(lines: list[str], before: int, after: int, fill: int) -> np.ndarray:
-    most = max(map(len, lines))
-    out = np.full((before + most + after, len(lines)), fill, np.uint32)
-    for k, x in enumerate(lines):
-        out[before : before + len(x), k] = np.frombuffer(x.encode("utf-32-le", "surrogatepass"), "<u4")
-    return out
-
-
-def _band(a: list[str], b: list[str], edits: int, most: np.ndarray) -> np.ndarray:
-    width, one = 2 * edits + 1, np.uint64(1)
-    mask, lowest = np.uint64((1 << width) - 1), np.uint64(2 * edits)
-    rows, cols = np.array([len(x) for x in a]), np.array([len(x) for x in b])
-    pa_, pb = _points(a, edits, 2 * edits + 1 + max(0, int(cols.max() - rows.max())), 0xFFFFFFFF), _points(b, 0, 0, 0xFFFFFFFE)
-    up = np.full(len(a), ((1 << (edits + 1)) - 1) << edits, np.uint64)
-    down = np.zeros(len(a), np.uint64)
-    distance = np.full(len(a), edits)
-    live = np.arange(len(a))
-    out = np.zeros(len(a), bool)
-    for j in range(int(cols.max())):
-        x = np.zeros(len(live), np.uint64)
-        for k in range(width):  # row j - edits + k of a; pa_ starts ``edits`` rows early
-            x |= (pa_[j + k, live] == pb[j, live]).astype(np.uint64) << np.uint64(k)
-        same = ((((x & up) + up) ^ up) | x | down) & mask
-        right = (down | ~(same | up)) & mask
-        left = same & up
-        inside = j + 1 + edits <= rows[live]  # the lowest diagonal has not passed the last row
-        bit = np.where(inside, lowest, (lowest.astype(np.int64) - (j + 1 + edits - rows[live])).clip(0).astype(np.uint64))
-        step = np.where(inside, ~(same >> bit) & one, 0).astype(np.int64)
-        step += np.where(inside, 0, ((right >> bit) & one).astype(np.int64) - ((left >> bit) & one).astype(np.int64))
-        distance += step
-        up = (left | ~((same >> one) | right)) & mask
-        down = (same >> one) & right
-        done = j + 1 == cols[live]
-        out[live[done]] = distance[done] <= most[live[done]]
-        # a distance can fall again by one for each column after the last row is reached, at most 2 edits of them
-        rest = ~done & (distance <= 3 * edits + 1)
-        if not rest.all():
-            live, up, down, distance = live[rest], up[rest], down[rest], distance[rest]
-            if not len(live):
-                break
-    return out
+    """Whether the edit distance of each pair (a[k], b[k]) is at most ``edits`` (and ``most[k]``, if given)."""
+    most = np.full(len(a), edits) if most is None else np.minimum(most, edits)
+    return np.fromiter(map(_near, a, b, most.tolist()), bool, len(a))
 
 
 # --- the join ---------------------------------------------------------------------------
@@ -246,7 +226,7 @@ def _long_rows(rows: list[tuple], columns: list[str]) -> pa.RecordBatch:
 
 def _name_rows(edits: int, least: int):
     def give(held: dict[int, str]) -> pa.RecordBatch:
-        which, name, side = names(list(held.values()), edits, least)
+        which, name, side = names(list(held.values()), edits, least, EDIT_CHARS)
         ident = np.array(list(held), np.int64)
         return pa.RecordBatch.from_arrays([pa.array(name.view(np.int64)), pa.array(ident[which]), pa.array(side.astype(np.int32))], names=["key", "id", "side"])
 
@@ -284,6 +264,41 @@ def _wanted_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([*halves, pa.array(lines, pa.string())], names=["h1", "h2", "line"])
 
 
+def _profiles(lines: list[str]) -> np.ndarray:
+    """How often the characters of each of PROFILE kinds stand in a line (modulo 2^16)."""
+    out, i = np.zeros((len(lines), PROFILE), np.int16), 0
+    ends = np.cumsum([len(x) for x in lines])
+    while i < len(lines):
+        j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + PIECE, "right")))
+        points = np.frombuffer("".join(lines[i:j]).encode("utf-32-le", "surrogatepass"), "<u4")
+        kind = (points * np.uint32(0x9E3779B1)) >> np.uint32(32 - (PROFILE - 1).bit_length())
+        row = np.repeat(np.arange(j - i), [len(x) for x in lines[i:j]])
+        out[i:j] = np.bincount(row * PROFILE + kind, minlength=(j - i) * PROFILE).reshape(j - i, PROFILE).astype(np.int16)
+        i = j
+    return out
+
+
+def _profile_edits(a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """A lower bound of the edit distance of lines with these profiles and differences in size: an edit puts at most one
+    character in and takes at most one out."""
+    return (np.abs(a - b).sum(1, dtype=np.int64) + np.abs(size)) // 2
+
+
+def _near_sizes(group: np.ndarray, size: np.ndarray, most: np.ndarray, limit: int = 1 << 16) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Row pairs of a group, the shorter line before the longer, whose sizes differ by at most the shorter one's ``most``;
+    about ``limit`` at a time."""
+    rank = np.lexsort((size, group))
+    at = group[rank] * (int(size.max()) + int(most.max()) + 1) + size[rank]
+    later = np.searchsorted(at, at + most[rank], "right") - np.arange(1, len(at) + 1)
+    total, i = np.concatenate([[0], np.cumsum(later)]), 0
+    while i < len(at):
+        j = max(i + 1, int(np.searchsorted(total, total[i] + limit, "right")) - 1)
+        x = np.repeat(np.arange(i, j), later[i:j])
+        y = x + 1 + np.arange(len(x)) - np.repeat(total[i:j] - total[i], later[i:j])
+        yield rank[x], rank[y]
+        i = j
+
+
 def _later_lines(edits: int):
     keys = ["key", "bi", "bj"]
 
@@ -296,27 +311,38 @@ def _later_lines(edits: int):
             new[1:] = (np.diff(h1[by_line]) != 0) | (np.diff(h2[by_line]) != 0)
             ident = np.empty(len(h1), np.int64)
             ident[by_line] = np.cumsum(new)
-            order = [found.column(c).to_numpy() for c in ("none", "d", "t", "no")]
+            first = np.unique(ident, return_index=True)[1]  # a row of each line
+            # the lines' order in the corpus
+            order = np.empty(len(first), np.int64)
+            order[np.lexsort([found.column(c).to_numpy()[first] for c in ("no", "t", "d", "none")])] = np.arange(len(first))
+            change = np.zeros(len(h1), np.int64)
+            for c in keys:
+                change[1:] |= np.diff(found.column(c).to_numpy()) != 0
+            across = found.column("bi").to_numpy() != found.column("bj").to_numpy()
             lines = found.column("line").to_pylist()
             size = np.array([len(x) for x in lines])
-            late = np.zeros(len(ident), bool)  # by line number
-            for x, y in run_pairs(found, keys, mine, 1 << 16):
-                most = allowed_edits(np.minimum(size[x], size[y]), edits)
-                ok = (ident[x] != ident[y]) & ((side[x] == 0) | (side[y] == 0)) & (np.abs(size[x] - size[y]) <= most)
-                x, y, most = x[ok], y[ok], most[ok]
-                before = np.zeros(len(x), bool)  # x stands before y
-                level = np.ones(len(x), bool)
-                for c in order:
-                    before |= level & (c[x] < c[y])
-                    level &= c[x] == c[y]
-                last = np.where(before, y, x)
-                new = ~late[ident[last]]
-                x, y, last, most = x[new], y[new], last[new], most[new]
-                near = within_edits([lines[i] for i in x], [lines[i] for i in y], edits, most)
-                late[ident[last[near]]] = True
+            most = allowed_edits(size, edits)
+            late = np.zeros(len(first), bool)  # by line number
+            profiles, known = np.zeros((len(first), PROFILE), np.int16), np.zeros(len(first), bool)
+            for x, y in _near_sizes(np.cumsum(change), size, most):
+                a, b = ident[x], ident[y]
+                last = np.where(order[a] < order[b], b, a)
+                ok = (a != b) & ((side[x] == 0) | (side[y] == 0)) & (~across[x] | (mine[x] != mine[y])) & ~late[last]
+                x, y, a, b, last = x[ok], y[ok], a[ok], b[ok], last[ok]
+                unknown = np.zeros(len(first), bool)
+                unknown[a] = unknown[b] = True
+                unknown = (unknown & ~known).nonzero()[0]
+                profiles[unknown] = _profiles([lines[i] for i in first[unknown]])
+                known[unknown] = True
+                ok = (_profile_edits(profiles[a], profiles[b], size[x] - size[y]) <= most[x]).nonzero()[0]
+                for i in range(0, len(ok), VERIFIED):
+                    part = ok[i : i + VERIFIED]
+                    part = part[~late[last[part]]]
+                    near = within_edits([lines[k] for k in x[part]], [lines[k] for k in y[part]], edits, most[x[part]])
+                    late[last[part[near]]] = True
             if late.any():
-                first = np.unique(ident, return_index=True)[1][late[: ident.max() + 1].nonzero()[0]]
-                yield pa.RecordBatch.from_arrays([pa.array(h1[first]), pa.array(h2[first])], names=["h1", "h2"])
+                gone = first[late]
+                yield pa.RecordBatch.from_arrays([pa.array(h1[gone]), pa.array(h2[gone])], names=["h1", "h2"])
 
     return run
 

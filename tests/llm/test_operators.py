@@ -134,6 +134,50 @@ def test_edit_distance_and_names(edits):
             assert own(0, 0) & own(1, 1) or own(1, 0) & own(0, 1)
 
 
+def test_names_by_allowed_edits():
+    """Lines within the edits that the shorter one's length allows share a name, at every length around the classes' ends;
+    a short line has few names."""
+    r = random.Random(3)
+    for size in list(range(20, 66)) * 12:
+        x = "".join(r.choice("abcé😀") for _ in range(size))
+        t = list(x)
+        for _ in range(r.randrange(1, 6)):
+            k = r.randrange(len(t))
+            t[k : k + r.choice([0, 1])] = r.choice(["", "x", "y"])
+        y = "".join(t)
+        if x != y and len(y) >= 20 and distance(x, y) <= linededup.allowed_edits(np.array(min(len(x), len(y))), 4):
+            line, name, side = linededup.names([x, y], 4, 20, linededup.EDIT_CHARS)
+            own = lambda k, s: set(name[(line == k) & (side <= s)].tolist())
+            assert own(0, 0) & own(1, 1) or own(1, 0) & own(0, 1)
+    line, name, side = linededup.names(["x" * 22, "y" * 100], 4, 20, linededup.EDIT_CHARS)
+    assert [int((line == k).sum()) for k in (0, 1)] == [2, 13]
+
+
+def test_later_lines_of_a_large_family(monkeypatch):
+    """Lines that share a name but differ in many words are told apart without the edit distance of each pair."""
+    import pyarrow as pa
+
+    r = random.Random(8)
+    base = words(60, 5)
+    lines = []
+    for k in range(300):
+        t = base[:20] + [r.choice(base) if r.random() < 0.1 else w for w in base[20:]]
+        lines.append(" ".join(t))
+        if k % 10 == 0:
+            lines.append(lines[-1][:-1] + "!?")
+    lines = sorted(set(lines), key=lambda x: r.random())
+    n = len(lines)
+    brute = {j for j in range(n) for i in range(j) if abs(len(lines[i]) - len(lines[j])) <= 4 and linededup.within_edits([lines[i]], [lines[j]], 4)[0]}
+    zero, number = pa.array([0] * n, pa.int32()), pa.array(range(n), pa.int64())
+    columns = {"key": pa.array([7] * n, pa.int64()), "bi": zero, "bj": zero, "mine": zero, "side": zero, "h1": number, "h2": number, "none": zero, "d": number, "t": number, "no": number}
+    batch = pa.RecordBatch.from_pydict({**columns, "line": pa.array(lines)})
+    verified, distances = [], linededup.within_edits
+    monkeypatch.setattr(linededup, "within_edits", lambda a, b, *rest: verified.append(len(a)) or distances(a, b, *rest))
+    got = [k for out in linededup._later_lines(4)(iter([batch])) for k in out.column("h1").to_pylist()]
+    assert sorted(got) == sorted(brute) and len(brute) >= 25
+    assert sum(verified) < 1_000
+
+
 def test_line_dedup(docs, empty):
     rows = make_rows()
     order = sorted({(r[0] is None, r[0] or 0, r[1]) for r in rows if r[1] is not None}, key=lambda k: (k[0], k[1]))
